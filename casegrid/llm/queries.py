@@ -3,16 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casegrid.llm import line_rules
-from casegrid.llm.common import documents
+from casegrid.llm import language, line_crf, line_rules, packing, token_files
+from casegrid.llm.common import documents, fold
+from casegrid.llm.tokens import vocabulary_path
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id")) % 3 == 1)
+    dictionaries = language.learn(docs.where("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
 
 
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(documents(spark, sf_dir), with_text=False)
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) % 4 == 2)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = line_crf.learn(docs, labels.where(fold(F.col("doc_id")) % 4 != 2))
+    scored = line_crf.score(docs, model)
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=1)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=0)
+
+
 QUERIES = {
+    "op2_language": op2_language,
     "op3_line_rules": op3_line_rules,
+    "op4_line_crf": op4_line_crf,
+    "op7_token_files": op7_token_files,
+    "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
