@@ -35,8 +35,8 @@ class Settings:
     #: bytes of a training piece; pieces are drawn by the hash of their content
     piece_bytes: int = 1024
     #: bytes that are compressed at a time, so that a long text stays near the dictionary
-    block_bytes: int = 2048
-    level: int = 3
+    block_bytes: int = 4096
+    level: int = 9
     #: the second-best total must exceed the best by this share and by two bytes, or the text is rejected
     margin: float = 0.01
     #: weight of a byte of difference in the score

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import language, line_crf, line_rules, packing, token_files
+from casegrid.llm import duck_bpe, edit_embedding, language, line_crf, line_rules, packing, token_files
 from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
@@ -28,10 +28,20 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return duck_bpe.encode(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=0)
 
@@ -40,7 +50,9 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_line_rules": op3_line_rules,
     "op4_line_crf": op4_line_crf,
+    "op6_edit_embedding": op6_edit_embedding,
     "op7_token_files": op7_token_files,
+    "op8_duck_bpe": op8_duck_bpe,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
