@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, language, line_crf, line_rules, packing, token_files
+from casegrid.llm import duck_bpe, edit_embedding, language, line_crf, line_rules, maxent_lm, packing, token_files
 from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) % 7 == 2)
+    return maxent_lm.score_documents(docs)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id")) % 3 == 1)
     dictionaries = language.learn(docs.where("not held_out"))
@@ -47,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_language": op2_language,
     "op3_line_rules": op3_line_rules,
     "op4_line_crf": op4_line_crf,
