@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, language, line_crf, line_rules, maxent_lm, packing, token_files
+from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, token_files
 from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
@@ -47,6 +47,10 @@ def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duck_bpe.encode(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text")).drop("key")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=0)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_edit_embedding": op6_edit_embedding,
     "op7_token_files": op7_token_files,
     "op8_duck_bpe": op8_duck_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
