@@ -25,8 +25,8 @@ def word_encoder(path: str) -> "WordEncoder":
 
 
 class WordEncoder:
-    #: words remembered at most; the memory is emptied beyond
-    LIMIT = 400_000
+    #: words of a generation; when one is full the one before it is forgotten
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,6 +36,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -48,8 +49,16 @@ class WordEncoder:
         except KeyError:
             pass
         if len(known) > self.LIMIT:
-            known.clear()
-        new = [w for w in set(ws) if w not in known]
-        for w, got in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
+            self.known, self.older = known, older = {}, known
+        else:
+            older = self.older
+        new = []
+        for w in set(ws):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        for w, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
             known[w] = np.asarray(got.ids, dtype="<u4").tobytes()
         return b"".join([known[w] for w in ws])
