@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, token_files
+from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, suffix_dedup, token_files
 from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
@@ -33,6 +33,10 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.fingerprint_edits(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_line_rules": op3_line_rules,
     "op4_line_crf": op4_line_crf,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_edit_embedding": op6_edit_embedding,
     "op7_token_files": op7_token_files,
     "op8_duck_bpe": op8_duck_bpe,
