@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from casegrid.session import table
+from casegrid.plans import corpus, evaluation, interop, longitudinal, relational, text
 
-QUERIES = {}
-ORACLE = {}
+MODULES = (relational, longitudinal, evaluation, corpus, text, interop)
+QUERIES = {name: q for m in MODULES for name, q in m.R.queries.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.R.oracle.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return QUERIES["a3_event_percentiles"](spark, sf_dir)
