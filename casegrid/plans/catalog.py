@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegrid.plans import corpus, evaluation, interop, longitudinal, relational, text
+from casegrid.plans import corpus, evaluation, interop, longitudinal, relational, stream, text
 
-MODULES = (relational, longitudinal, evaluation, corpus, text, interop)
+MODULES = (relational, longitudinal, evaluation, corpus, text, interop, stream)
 QUERIES = {name: q for m in MODULES for name, q in m.R.queries.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.R.oracle.items()}
 
