@@ -6,10 +6,12 @@ some segment differs by less than its allocation if the allocations add up to
 H + 1. Each band is laid out by the cost estimated from its number of sets:
 
 * allocation one: m = H + 1 + slack segments, one signature (the sum of its
-  hashes) for each. At least slack + 1 segments of a linked pair are equal, so
-  weak signatures (of empty segments, and of hashes that a sample shows to be
-  frequent) get allocation nought and are left out, as long as a set has at
-  most ``slack`` of them; a set with more keeps all. This loses no pair.
+  hashes) for each. A set of a given size has at least m less its own most
+  differences of them in common with a linked one, so weak signatures (of empty
+  segments, and of hashes that a sample shows to be frequent) get allocation
+  nought and are left out, as long as the set has fewer of them than that; a set
+  with more keeps all. This loses no pair, and tells how many signatures a set
+  must share with others to have a link at all.
 * allocation two: half as many segments, and for each the signatures of the
   whole segment and of its one-deletion neighbourhood, which are equal if the
   segments differ by at most one hash. Short sets, whose segments would often
@@ -19,8 +21,9 @@ Signatures travel packed by bucket. In a group of equal signatures each set
 meets the group's first and its own predecessor; candidates pass a lower bound
 of their difference (parity sketches) and are verified exactly on their texts.
 Groups of four or more whose members are still in different components are
-compared in full, by sketches in blocks, before the result stands; only the
-component is asked for, so pairs inside one are never expanded.
+compared by sketches in blocks, and untested pairs verified, a spanning forest
+of them a round, until none is left; only the component is asked for, so pairs
+inside one are never expanded.
 
 Edge cases: a text with fewer words than n is one shingle of all its words;
 null texts, empty texts and texts without words have the empty set, link with
@@ -48,48 +51,67 @@ class Settings:
     n: int = 5
     percent: int = 75
     #: share of H + 1 that the slack has
-    slack: float = 0.12
+    slack: float = 0.15
     #: documents whose shingles are counted to find frequent ones: a bound on cost, not on results
-    sample: int = 6000
+    sample: int = 8000
     #: frequent shingles that are broadcast at most
-    frequent: int = 100_000
-    #: pairs of members that a full comparison of a group takes at a time
-    block: int = 512
+    frequent: int = 300_000
+    #: members of a group that are compared with all others at a time, and 64-bit words of sketches that are compared at a time
+    block: int = 256
+    cells: int = 4_000_000
+    #: rounds of forests over open groups; the last takes every pair that is left
+    turns: int = 2
+
+
+class WordNumbers(dict):
+    """Numbers words as they are first asked for; ``values`` has the hash of each."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.values = np.empty(1 << 16, dtype=np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        if k == len(self.values):
+            self.values = np.concatenate([self.values, np.empty_like(self.values)])
+        self.values[k] = xxhash.xxh64_intdigest(word)
+        return k
 
 
 class Shingler:
+    """Texts as shingle hashes; a word is hashed once and then known by its number."""
+
+    #: words remembered at most
     LIMIT = 1_000_000
 
     def __init__(self, n: int):
         self.n = n
-        self.known: dict[bytes, int] = {}
+        self.known = WordNumbers()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the n-grams."""
         ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not ws:
             return np.empty(0, dtype=np.uint64)
-        known = self.known
-        try:
-            codes = [known[w] for w in ws]
-        except KeyError:
-            if len(known) > self.LIMIT:
-                known.clear()
-            for w in ws:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            codes = [known[w] for w in ws]
-        h = np.array(codes, dtype=np.uint64)
+        if len(self.known) > self.LIMIT:
+            self.known = WordNumbers()
+        codes = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+        h = self.known.values[codes]
         width = min(self.n, len(h))
+        m = len(h) - width + 1
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - width + 1, 0x2545F4914F6CDD1D + width, dtype=np.uint64)
+            out = np.full(m, 0x2545F4914F6CDD1D + width, dtype=np.uint64)
             for k in range(width):
-                out = (out ^ h[k : k + len(out)]) * np.uint64(0xFF51AFD7ED558CCD)
+                out ^= h[k : k + m]
+                out *= np.uint64(0xFF51AFD7ED558CCD)
                 out ^= out >> np.uint64(32)
             out *= np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
         out.sort()
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        new = np.empty(m, dtype=bool)
+        new[0] = True
+        np.not_equal(out[1:], out[:-1], out=new[1:])
+        return out[new]
 
 
 def signed(value: int) -> int:
@@ -146,6 +168,11 @@ class Bands:
             self.made[band] = deletions, slack, np.array([(k * 2**64) // m for k in range(m)], dtype=np.uint64)
         return self.made[band]
 
+    def most_apart(self, size: int, band: int) -> int:
+        """Most differences between a set of this size and any that it links with in the band."""
+        t = self.s.percent
+        return (size + min(self.tops[band], size * 100 // t)) * (100 - t) // (100 + t)
+
     def cost_one(self, band: int, top: int, m: int, slack: int) -> float:
         """Signatures and chance pairs if empty segments go as far as the slack allows."""
         n, empty = self.sets.get(band, 1), float(np.exp(-top / m))
@@ -161,8 +188,17 @@ class Bands:
         return n * (m + top) + m * (n * empty) ** 2 * (0.5 + mean + mean * mean / 2)
 
 
-def signatures(shingles: np.ndarray, band: int, bands: Bands, frequent: np.ndarray) -> np.ndarray:
-    deletions, slack, edges = bands.layout(band)
+def frequent_sums(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray | None:
+    """Prefix counts of the shingles that are frequent; None if there are none."""
+    if not len(frequent):
+        return None
+    there = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    return np.concatenate([[0], np.cumsum(there)]) if there.any() else None
+
+
+def signatures(shingles: np.ndarray, band: int, bands: Bands, often: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """(signatures, how many of them at least any linked set of the band shares)."""
+    deletions, _, edges = bands.layout(band)
     begin = np.searchsorted(shingles, edges)
     ends = np.append(begin[1:], len(shingles))
     with np.errstate(over="ignore"):
@@ -176,13 +212,14 @@ def signatures(shingles: np.ndarray, band: int, bands: Bands, frequent: np.ndarr
         sig = (sig ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
         sig ^= sig >> np.uint64(33)
     if deletions:
-        return np.unique(sig)
+        return np.unique(sig), 1
     weak = begin == ends
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        often = np.concatenate([[0], np.cumsum(frequent[at] == shingles)])
+    if often is not None:
         weak |= often[ends] - often[begin] == ends - begin
-    return sig[~weak] if weak.sum() <= slack else sig
+    # a linked set differs from one of this size in so many hashes at most; it has equal segments at least where those don't fall
+    equal = len(edges) - bands.most_apart(len(shingles), band)
+    n_weak = int(weak.sum())
+    return (sig[~weak], equal - n_weak) if n_weak < equal else (sig, 1)  # the other set may leave out more
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -251,6 +288,7 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 KEEP = 40  # bits of a signature inside its bucket
+HEAD = 16  # bytes of a record before its signatures
 
 
 def sets_by_band(classes: DataFrame, s: Settings) -> dict[int, int]:
@@ -268,15 +306,16 @@ def sets_by_band(classes: DataFrame, s: Settings) -> dict[int, int]:
 def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.ndarray, sets: dict[int, int]) -> DataFrame:
     """bucket, data: the signatures of a task's different sets by bucket.
 
-    A record in ``data`` is a set: key (8 bytes), count and own-band flag (4),
-    then 40 bits of each signature.
+    A record in ``data`` is a set: key (8 bytes), then 32-bit words for the
+    signatures here with the own-band flag, and for how many a linked set shares
+    at least over all buckets; then 40 bits of each signature.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands, often = Shingler(s.n), Bands(s, sets), shared.value
         met: set[int] = set()
-        keys, counts, sigs = [], [], []
+        keys, counts, least, sigs = [], [], [], []
         held = 0
 
         def made() -> pa.RecordBatch:
@@ -284,13 +323,14 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
             sig = np.concatenate(sigs)
             owner = np.repeat(np.arange(len(keys)), np.array(counts) >> 1)
             bucket = ((sig >> np.uint64(KEEP)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((owner, bucket))
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 2**16 else bucket, kind="stable")  # owners stay in order
             sig, owner, bucket = sig[order] & np.uint64(2**KEEP - 1), owner[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
             size = np.diff(np.append(first, len(sig)))
-            head = np.zeros((len(first), 12), np.uint8)
+            head = np.zeros((len(first), HEAD), np.uint8)
             head[:, :8] = np.array(keys, np.int64)[owner[first]].astype("<i8").view(np.uint8).reshape(-1, 8)
-            head[:, 8:] = ((size << 1) | (np.array(counts)[owner[first]] & 1)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            head[:, 8:12] = ((size << 1) | (np.array(counts)[owner[first]] & 1)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            head[:, 12:] = np.array(least)[owner[first]].astype("<u4").view(np.uint8).reshape(-1, 4)
             body = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEEP // 8]
             cut = np.flatnonzero(np.concatenate([[True], bucket[first][1:] != bucket[first][:-1]]))
             ends = np.append(cut[1:], len(first))
@@ -299,7 +339,7 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
             for a, b in zip(cut.tolist(), ends.tolist()):
                 data.append(np.array([b - a], "<u4").tobytes() + head[a:b].tobytes() + body[sums[a] : sums[b]].tobytes())
             out = pa.RecordBatch.from_arrays([pa.array(bucket[first][cut].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
-            keys.clear(), counts.clear(), sigs.clear()
+            keys.clear(), counts.clear(), least.clear(), sigs.clear()
             held = 0
             return out
 
@@ -310,9 +350,11 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
                     continue
                 met.add(key)
                 band = bands.band(len(got))
+                sums = frequent_sums(got, often)
                 for level, own in ((band, 1), (band + 1, 0)) if bands.reaches_next(len(got), band) else ((band, 1),):
-                    sig = signatures(got, level, bands, often)
+                    sig, shared_by = signatures(got, level, bands, sums)
                     keys.append(key)
+                    least.append(shared_by)
                     counts.append(len(sig) << 1 | own)
                     sigs.append(sig)
                     held += len(sig)
@@ -324,68 +366,81 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
     return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, key, own) of all records."""
-    sigs, keys, owns = [], [], []
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(signature, key, own, least) of all records."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
     step = KEEP // 8
     for blob in blobs:
         n = int(np.frombuffer(blob, "<u4", 1)[0])
-        head = np.frombuffer(blob, np.uint8, 12 * n, 4).reshape(n, 12)
+        head = np.frombuffer(blob, np.uint8, HEAD * n, 4).reshape(n, HEAD)
         key = np.ascontiguousarray(head[:, :8]).view("<i8").ravel()
-        count = np.ascontiguousarray(head[:, 8:]).view("<u4").ravel()
+        count = np.ascontiguousarray(head[:, 8:12]).view("<u4").ravel()
+        least = np.ascontiguousarray(head[:, 12:]).view("<u4").ravel()
         size = count >> 1
-        body = np.frombuffer(blob, np.uint8, offset=4 + 12 * n).reshape(-1, step)
+        body = np.frombuffer(blob, np.uint8, offset=4 + HEAD * n).reshape(-1, step)
         wide = np.zeros((len(body), 8), np.uint8)
         wide[:, :step] = body
-        sigs.append(wide.view("<u8").ravel())
-        keys.append(np.repeat(key, size))
-        owns.append(np.repeat((count & 1).astype(bool), size))
-    return np.concatenate(sigs), np.concatenate(keys), np.concatenate(owns)
+        for k, column in enumerate((wide.view("<u8").ravel(), np.repeat(key, size), np.repeat((count & 1).astype(bool), size), np.repeat(least, size))):
+            out[k].append(column)
+    return tuple(np.concatenate(columns) for columns in out)
 
 
 def groups_of(bucket: DataFrame, s: Settings) -> DataFrame:
-    """kind 0: candidate pairs (a, b, n signatures); kind 1: members (a: group, b: key) of groups of four or more."""
+    """Rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more;
+    2, sets a with n signatures in groups of two or more, of b // 2 that a linked set shares at least (b odd: own band)."""
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], ["kind", "a", "b", "n"])
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = int(key[0].as_py())
-        sig, member, own = unpacked([d for b in batches for d in b.column(1).to_pylist()])
-        order = np.lexsort((member, sig))
-        sig, member, own = sig[order], member[order], own[order]
+        sig, member, own, least = unpacked([d for b in batches for d in b.column(1).to_pylist()])
+        order = np.argsort(sig)
+        ranked = sig[order]
+        again = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        order = order[again[1:] | again[:-1]]  # most signatures occur once
+        if not len(order):
+            return
+        order = order[np.lexsort((member[order], sig[order]))]
+        sig, member, own, least = sig[order], member[order], own[order], least[order]
         # a set met in several tasks is one member; it is its own band's if any record says so
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])]))
         own = np.add.reduceat(own, first) > 0
-        sig, member = sig[first], member[first]
+        sig, member, least = sig[first], member[first], least[first]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(start, len(sig)))
         good = (size > 1) & (np.add.reduceat(own, start) > 0)
-        if not good.any():
-            yield pa.RecordBatch.from_arrays([pa.array([], pa.int32()), *(pa.array([], pa.int64()) for _ in range(3))], ["kind", "a", "b", "n"])
-            return
         group = np.repeat(np.arange(len(start)), size)
-        inside = good[group]
-        later = inside & (np.arange(len(sig)) != start[group])
-        at = np.flatnonzero(later)
-        pairs = np.unique(np.stack([np.concatenate([member[start[group[at]]], member[at - 1]]), np.concatenate([member[at], member[at]])], axis=1), axis=0, return_counts=True)
-        big = good & (size > 3)
+        inside = np.flatnonzero(good[group])
+        if not len(inside):
+            return
+        asked, n = np.unique(np.stack([member[inside], 2 * least[inside].astype(np.int64) + own[inside]], axis=1), axis=0, return_counts=True)
+        yield rows(2, asked[:, 0], asked[:, 1], n)
+        at = inside[inside != start[group[inside]]]
+        pairs, n = np.unique(np.stack([np.concatenate([member[start[group[at]]], member[at - 1]]), np.concatenate([member[at], member[at]])], axis=1), axis=0, return_counts=True)
+        yield rows(0, pairs[:, 0], pairs[:, 1], n)
         seen: set[bytes] = set()
         keep = []
-        for k in np.flatnonzero(big).tolist():  # equal memberships are kept once
-            mark = member[start[k] : start[k] + size[k]].tobytes()
-            mark = xxhash.xxh3_128_digest(mark)
+        for k in np.flatnonzero(good & (size > 3)).tolist():  # equal memberships are kept once
+            mark = xxhash.xxh3_128_digest(member[start[k] : start[k] + size[k]].tobytes())
             if mark not in seen:
                 seen.add(mark)
                 keep.append(k)
-        keep = np.array(keep, dtype=np.int64)
-        n_of = size[keep] if len(keep) else np.empty(0, np.int64)
-        rows = np.repeat(start[keep], n_of) + np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) if len(keep) else np.empty(0, np.int64)
-        gid = np.repeat((number << 36) + keep, n_of) if len(keep) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs[1]), np.int32)), pa.array(pairs[0][:, 0]), pa.array(pairs[0][:, 1]), pa.array(pairs[1])], ["kind", "a", "b", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), np.int32)), pa.array(gid), pa.array(member[rows]), pa.array(np.ones(len(rows), np.int64))], ["kind", "a", "b", "n"])
+        if keep:
+            chosen = np.array(keep, dtype=np.int64)
+            of = size[chosen]
+            place = np.repeat(start[chosen] - (np.cumsum(of) - of), of) + np.arange(of.sum())
+            yield rows(1, np.repeat((number << 36) + chosen, of), member[place], np.ones(len(place)))
 
     return bucket.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
 
 
+def able(found: DataFrame) -> DataFrame:
+    """key of the sets that share enough signatures with others to have a link at all."""
+    shared = found.where("kind = 2").groupBy("a", F.expr("b % 2").alias("own")).agg(F.sum("n").alias("n"), F.max(F.expr("b div 2")).alias("least"))
+    return shared.where("n >= least").select(F.col("a").alias("key")).distinct()
+
+
 def sketched(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b, n) that the sketches don't rule out."""
     one = classes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
@@ -419,25 +474,109 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, n) between members of a group in different components whose sketches allow a link; blocks of members, never a join of the group with itself."""
+def forest(pairs: np.ndarray, apart: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Rows of ``pairs`` (positions) that join components for the first time, nearest pairs first."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    left = len(set(labels[pairs.ravel()].tolist())) - 1
+    taken = []
+    for k in np.argsort(apart, kind="stable").tolist():
+        x, y = top(int(labels[pairs[k, 0]])), top(int(labels[pairs[k, 1]]))
+        if x != y:
+            parent[x] = y
+            taken.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(taken, dtype=np.int64)
+
+
+def cross_pairs(members: DataFrame, s: Settings, parts: int, every: bool) -> DataFrame:
+    """(a, b, n) between members (group, key, label, n_shingles, sketch, tested) of a group in different components whose sizes and sketches allow a link.
+
+    Groups are read in order, blocks of members against the rest of their
+    group; no pair inside a component or that was tested. Of a group's pairs
+    those of a spanning forest over its components leave the task, fewer than
+    it has members, or ``every`` pair.
+    """
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({r["key"]: r for b in batches for r in b.to_pylist()}.values(), key=lambda r: (len(r["sketch"]), r["n_shingles"], r["key"]))
-        n = np.array([r["n_shingles"] for r in rows])
-        label, ids = np.array([r["label"] for r in rows]), np.array([r["key"] for r in rows])
-        small = len(rows[0]["sketch"])
-        bits = np.stack([folded(r["sketch"], small) for r in rows])
-        for at in range(len(rows)):
-            j = np.arange(at + 1, len(rows))
-            j = j[(label[j] != label[at]) & (100 * np.minimum(n[j], n[at]) >= s.percent * np.maximum(n[j], n[at]))]
-            if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[at]).sum(axis=1)
-                j = j[(100 + s.percent) * apart <= (100 - s.percent) * (n[j] + n[at])]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[at])), pa.array(ids[j]), pa.array(np.ones(len(j), np.int64))], ["a", "b", "n"])
-
-    return members.groupBy("group").applyInArrow(run, "a long, b long, n long").distinct()
+    def of_group(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], tested: list) -> np.ndarray | None:
+        size = min(map(len, sketches))
+        bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
+        g = len(keys)
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        known = np.array(sorted({min(i, j) * g + max(i, j) for i, others in enumerate(tested) if others for j in map(place.get, others) if j is not None}), dtype=np.int64)
+        step = max(1, min(s.block, s.cells // (g * bits.shape[1])))
+        found, far = [], []
+        for lo in range(0, g, step):
+            hi = min(lo + step, g)
+            fit = (labels[lo:hi, None] != labels[None, lo:]) & (100 * np.minimum(n[lo:hi, None], n[None, lo:]) >= s.percent * np.maximum(n[lo:hi, None], n[None, lo:]))
+            i, j = np.nonzero(np.triu(fit, 1))
+            i, j = i + lo, j + lo
+            if len(known) and len(i):
+                new = ~np.isin(i * g + j, known)
+                i, j = i[new], j[new]
+            for at in range(0, len(i), max(1, s.cells // bits.shape[1])):
+                a, b = i[at : at + s.cells // bits.shape[1]], j[at : at + s.cells // bits.shape[1]]
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                near = (100 + s.percent) * apart <= (100 - s.percent) * (n[a] + n[b])
+                found.append(np.stack([a[near], b[near]], axis=1))
+                far.append(apart[near] / (n[a[near]] + n[b[near]]))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        if not len(pairs):
+            return None
+        if not every:
+            pairs = pairs[forest(pairs, np.concatenate(far), labels)]
+        return np.sort(keys[pairs], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = []
+        out: list[np.ndarray] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), np.int64))], ["a", "b", "n"])
+
+        def complete() -> Iterator[list]:
+            """Whole groups: (group, key, label, n_shingles, sketch) columns; the last one waits for the next batch."""
+            nonlocal rest
+            for batch in [*batches, None]:
+                if batch is not None:
+                    objects = [np.empty(len(batch), dtype=object) for _ in range(2)]
+                    for column, k in zip(objects, (4, 5)):
+                        column[:] = batch.column(k).to_pylist()
+                    got = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]), *objects]
+                    rest = got if not rest else [np.concatenate(pair) for pair in zip(rest, got)]
+                if not rest or not len(rest[0]):
+                    continue
+                edge = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
+                ends = np.append(edge[1:], len(rest[0])).tolist()
+                done = len(edge) if batch is None else len(edge) - 1
+                for lo, hi in zip(edge[:done].tolist(), ends[:done]):
+                    yield [c[lo:hi] for c in rest[1:]]
+                rest = [c[edge[done] :] for c in rest] if done < len(edge) else []
+
+        for keys, labels, n, sketches, tested in complete():
+            pairs = of_group(keys, labels, n, list(sketches), list(tested))
+            if pairs is not None:
+                out.append(pairs)
+                held += len(pairs)
+                if held > 500_000:
+                    yield made()
+                    held = 0
+        if out:
+            yield made()
+
+    in_order = members.select("group", "key", "label", "n_shingles", "sketch", "tested").repartition(parts, "group").sortWithinPartitions("group", "key")
+    return in_order.mapInArrow(run, "a long, b long, n long").distinct()
 
 
 def free_finished(spark: SparkSession) -> None:
@@ -448,37 +587,41 @@ def free_finished(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def text_key(text: str = "text"):
+    """A 64-bit hash of the text, by which rows and classes find texts again: ids may repeat or be null."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text) but text, then n_shingles, component_id, key."""
+    """doc_id, n_shingles, component_id, key (null for the empty set), text_key of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    info = stored(describe(docs.select("doc_id", "text"), s), spark, "jaccard-info")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    info = stored(describe(docs.withColumn("text_key", text_key()), s), spark, "jaccard-info")
     classes = stored(
-        info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
+        info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
         spark,
         "jaccard-classes",
     )
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(groups_of(packed_signatures(docs, s, buckets, frequent_shingles(docs, s), sets_by_band(classes, s)), s), spark, "jaccard-groups")
     free_finished(spark)
-    candidates = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sets = stored(able(found), spark, "jaccard-able")
+    of_a, of_b = sets.select(F.col("key").alias("a")), sets.select(F.col("key").alias("b"))
+    candidates = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(of_a, "a", "left_semi").join(of_b, "b", "left_semi")
     near = stored(sketched(candidates, classes, s), spark, "jaccard-near")
-    if near.isEmpty() and found.where("kind = 1").isEmpty():
-        labels = None
-    else:
-        labels = link_up(spark, docs, classes, near, found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")), s)
-    if labels is None:
-        named = classes.select("key", F.col("least").alias("component_id"))
-    else:
-        of = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-        named = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
-    return info.drop("sketch").join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
-
-
-def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame | None:
+    free_finished(spark)
+    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")).join(sets, "key", "left_semi")
+    labels = link_up(spark, docs, classes, near, groups, s)
+    of = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
+    named = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
+    return info.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "text_key")
+
+
+def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Labels (node, label) after verifying what is needed to join the components."""
     asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
     texts = stored(texts_of(docs, classes, asked), spark, "jaccard-texts")
+    free_finished(spark)
     # first one pair for each set, the one with most signatures; most components are whole then
     best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     first = near.withColumn("r", F.row_number().over(best)).where("r = 1")
@@ -487,20 +630,31 @@ def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: Data
     labels = stored(connected(spark, links), spark, "jaccard-labels")
     rest = apart(near, labels)
     more = stored(verified(rest, texts, s), spark, "jaccard-links")
+    free_finished(spark)
     if not more.isEmpty():
         links = links.union(more)
         labels = stored(connected(spark, links), spark, "jaccard-labels")
-    # groups that still hold several components are compared in full
-    of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = of_group.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
-    open_rows = of_group.join(split, "group").join(classes.select("key", "n_shingles", "sketch"), "key")
-    crossed = cross_pairs(open_rows.select("group", "key", "label", "n_shingles", "sketch"), s)
-    crossed = stored(crossed.join(near.select("a", "b"), ["a", "b"], "left_anti"), spark, "jaccard-cross")
-    if not crossed.isEmpty():
+    # groups that still hold several components: a forest of untested pairs a round, in the end all that are left
+    tested = near.select("a", "b")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(s.turns):
+        of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        split = of_group.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
+        known = tested.groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("tested"))
+        open_rows = of_group.join(split, "group").join(classes.select("key", "n_shingles", "sketch"), "key").join(known, "key", "left")
+        crossed = stored(cross_pairs(open_rows, s, parts, turn == s.turns - 1), spark, "jaccard-cross")
+        free_finished(spark)
+        if crossed.isEmpty():
+            break
         asked = crossed.select(F.col("a").alias("key")).union(crossed.select(F.col("b").alias("key"))).distinct()
-        found = stored(verified(crossed, texts_of(docs, classes, asked), s), spark, "jaccard-links")
+        lacking = asked.join(texts.select("key"), "key", "left_anti")
+        if not lacking.isEmpty():
+            texts = texts.union(stored(texts_of(docs, classes, lacking), spark, "jaccard-texts"))
+        found = stored(verified(crossed, texts, s), spark, "jaccard-links")
+        tested = tested.union(crossed.select("a", "b"))
         if not found.isEmpty():
-            labels = stored(connected(spark, links.union(found)), spark, "jaccard-labels")
+            links = links.union(found)
+            labels = stored(connected(spark, links), spark, "jaccard-labels")
     return labels
 
 
@@ -512,6 +666,24 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text): the text of one document of each class asked for."""
-    asked = classes.join(keys, "key").select("key", F.col("least").alias("doc_id"))
-    return docs.select("doc_id", "text").join(asked, "doc_id").groupBy("key").agg(F.first("text").alias("text"))
+    """(key, text): one text of each class asked for."""
+    asked = classes.join(keys, "key").select("key", "text_key")
+    return docs.select("text", text_key().alias("text_key")).join(asked, "text_key").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def representatives(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row of the least doc_id (null last, then by text); rows with the empty set all stay.
+
+    Ids and keys are ranked by a map-side minimum; texts move in one semi-join.
+    """
+    spark = docs.sparkSession
+    labelled = components(docs, s)
+    least = labelled.where("key is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("one"))
+    chosen = least.select("one.doc_id", "one.text_key").union(labelled.where("key is null").select("doc_id", "text_key"))
+    chosen = stored(chosen.distinct(), spark, "jaccard-chosen")
+    rows = docs.withColumn("__text_key", text_key())
+    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["__text_key"] == chosen["text_key"]), "left_semi")
+    again = labelled.where("key is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not again.isEmpty():  # rows that repeat in full
+        kept = kept.dropDuplicates(["doc_id", "__text_key"])
+    return kept.select(*docs.columns)
