@@ -176,3 +176,19 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} {k}" for n, k in FIELDS) + (", cleaned_text string" if with_text else "")
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """All columns of ``docs`` but text, then ``kept`` and ``cleaned_text``; one narrow pass. Other columns may have any names but these two."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [judge(t.as_py(), rules) for t in batch.column(len(others))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(others)], pa.array([g[6] for g in got], pa.bool_()), pa.array([g[10] for g in got], pa.string())],
+                [*others, "kept", "cleaned_text"],
+            )
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", kept boolean, cleaned_text string"
+    return docs.select(*others, docs["text"].cast("string").alias("text")).mapInArrow(run, schema)

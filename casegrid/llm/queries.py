@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, suffix_dedup, token_files
+from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files
 from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
@@ -52,7 +52,7 @@ def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text")).drop("key")
+    return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text")).drop("key", "text_key")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE

@@ -439,3 +439,13 @@ def dedup(docs: DataFrame, s: Settings = Settings(), with_text: bool = False) ->
     joined = rows.join(find_spans(docs, s), "key", "left").select(*others, "text", "spans")
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
     return joined.mapInArrow(run, f"{kept}, n_bytes long, n_removed long, n_spans long, {name} {'binary' if with_text else 'string'}")
+
+
+def as_text(column: str):
+    """The bytes as text; parts of characters that a cut left over are dropped."""
+
+    @F.pandas_udf("string")
+    def decode(data):
+        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decode(F.col(column))
