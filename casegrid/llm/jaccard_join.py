@@ -224,7 +224,7 @@ def signatures(shingles: np.ndarray, band: int, bands: Bands, often: np.ndarray
 
 def sketch(shingles: np.ndarray) -> bytes:
     """Parities of the hashes by their low bits: two sets differ in at least as many hashes as sketches in bits."""
-    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
