@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import tidy
+
 #: Contracts one pair of each piece a round: its leftmost of least rank. ``best`` packs rank and place, so one minimum finds both.
 ENCODE = """
 WITH RECURSIVE rows(piece, pos, tok, done) AS (
@@ -214,4 +216,4 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = True) -> Da
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     out = "string" if digests else "binary"
     schema = f"doc_id {kind}, n_tokens long, {names[2]} {out}, {names[3]} {out}"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

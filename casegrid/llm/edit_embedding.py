@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import tidy
+
 NULL_ID = -(2**63)
 
 
@@ -186,7 +188,7 @@ def fingerprint_edits(docs: DataFrame, settings: Settings = Settings()) -> DataF
                     size = 2 * len(texts[0])
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_descending_ranges(docs).select("ghost", "doc_id", "text").mapInArrow(run, schema)
+    return in_descending_ranges(docs).select("ghost", "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -199,7 +201,7 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(walker.written(walker.prints(texts)), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fingerprint string")
 
 
 def likeness(a: Column, b: Column, settings: Settings = Settings()) -> Column:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored
+from casegrid.llm.common import stored, tidy
 from casegrid.llm.components import connected
 
 
@@ -263,7 +263,7 @@ def describe(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], [*others, "n_shingles", "key", "sketch"])
 
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept}, n_shingles long, key long, sketch binary")
+    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"{kept}, n_shingles long, key long, sketch binary")
 
 
 def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
@@ -282,7 +282,7 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
                 value, times = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], ["h", "n"])
 
-    counted = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.0002 * share * total)))
+    counted = drawn.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.0002 * share * total)))
     got = counted.orderBy(F.desc("n"), "h").limit(s.frequent).select("h").toArrow().column("h").to_numpy()
     return np.sort(got.astype(np.int64).view(np.uint64))
 
@@ -363,7 +363,7 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
         if keys and held:
             yield made()
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -452,7 +452,7 @@ def sketched(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
             yield batch.select([0, 1, 2]).filter(pa.array([may_link(a, b, na, nb, s.percent) for a, na, b, nb in zip(*cols)], pa.bool_()))
 
     near = pairs.join(one, "a").join(two, "b").where((100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")))
-    return near.select("a", "b", "n", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long, n long")
+    return near.select("a", "b", "n", "sa", "na", "sb", "nb").mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -471,7 +471,7 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     with_b = pairs.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def forest(pairs: np.ndarray, apart: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -576,7 +576,7 @@ def cross_pairs(members: DataFrame, s: Settings, parts: int, every: bool) -> Dat
             yield made()
 
     in_order = members.select("group", "key", "label", "n_shingles", "sketch", "tested").repartition(parts, "group").sortWithinPartitions("group", "key")
-    return in_order.mapInArrow(run, "a long, b long, n long").distinct()
+    return in_order.mapInArrow(tidy(run), "a long, b long, n long").distinct()
 
 
 def free_finished(spark: SparkSession) -> None:

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import tidy
+
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -74,7 +76,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["lang", "key", "piece"])
 
     drawn: dict[str, dict[bytes, bytes]] = defaultdict(dict)
-    for r in rows.mapInArrow(pieces, "lang string, key binary, piece binary").collect():
+    for r in rows.mapInArrow(tidy(pieces), "lang string, key binary, piece binary").collect():
         drawn[r["lang"]][bytes(r["key"])] = bytes(r["piece"])
     return {lang: b" ".join(piece for _, piece in sorted(found.items()))[: settings.dictionary_bytes] for lang, found in sorted(drawn.items())}
 
@@ -128,4 +130,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
             )
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", lang_pred string, score double, rejected boolean"
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -22,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import tidy
 from casegrid.llm.line_rules import NOISY, SYMBOLS
 
 N_BASE = 14
 N_FEATURES = 3 * N_BASE + 3
+#: documents whose lines are scored together
+SLICE = 1000
 
 
 @dataclass(frozen=True)
@@ -196,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["label", "n", "x", "sizes"])
 
-    got = sorted(rows.mapInArrow(extract, "label int, n int, x binary, sizes binary").collect(), key=lambda r: (r["label"], bytes(r["x"])))
+    got = sorted(rows.mapInArrow(tidy(extract), "label int, n int, x binary, sizes binary").collect(), key=lambda r: (r["label"], bytes(r["x"])))
     if not got:
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 1.0, 0.0)
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got])
@@ -210,15 +213,15 @@ def score(docs: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [line_features(t.as_py()) for t in batch.column(len(others))]
-            if got:
+            parts = []
+            for at in range(0, len(batch), SLICE):  # features of some documents at a time
+                got = [line_features(t.as_py()) for t in batch.column(len(others)).slice(at, SLICE)]
                 lengths = np.array([len(s) for _, s in got])
-                out = model.scores(np.concatenate([x for x, _ in got]), lengths, np.concatenate([s for _, s in got]))
-            else:
-                out = np.empty(0)
+                parts.append(model.scores(np.concatenate([x for x, _ in got]), lengths, np.concatenate([s for _, s in got])))
+            out = np.concatenate(parts) if parts else np.empty(0)
             columns = batch.columns if with_text else batch.columns[: len(others)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], [*others, *["text"] * with_text, "quality_score"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", text string" * with_text + ", quality_score double"
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

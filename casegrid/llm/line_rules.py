@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from casegrid.llm.common import WHITE, words
+from casegrid.llm.common import WHITE, tidy, words
 
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
@@ -46,6 +46,10 @@ NAVIGATION = (
 SYMBOLS = b"#*$%&|<>"
 
 
+#: documents that leave together
+SLICE = 1000
+
+
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 10
@@ -175,7 +179,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True)
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} {k}" for n, k in FIELDS) + (", cleaned_text string" if with_text else "")
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -183,7 +187,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             got = [judge(t.as_py(), rules) for t in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(others)], pa.array([g[6] for g in got], pa.bool_()), pa.array([g[10] for g in got], pa.string())],
@@ -191,4 +195,4 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             )
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", kept boolean, cleaned_text string"
-    return docs.select(*others, docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*others, docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import shared_dir
+from casegrid.llm.common import shared_dir, tidy
 from casegrid.llm.tokens import word_encoder
 
 
@@ -87,12 +87,12 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 SCHEMA = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
-def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity, remember: int) -> DataFrame:
     """First level: every input partition cuts and packs its own documents."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(vocabulary)
+        encoder = word_encoder(vocabulary, remember)
         tail = np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity.tokens
         ids, rows, piece, start, length, crc = [], [], [], [], [], []
@@ -121,7 +121,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity) -> Da
             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"],
         )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA.format(kind=kind))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA.format(kind=kind))
 
 
 def refill(rest: DataFrame, capacity: Capacity) -> DataFrame:
@@ -143,7 +143,7 @@ def refill(rest: DataFrame, capacity: Capacity) -> DataFrame:
     return grouped.groupBy("part").applyInArrow(run, SCHEMA.format(kind=kind))
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: Capacity = Capacity()) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: Capacity = Capacity(), remember: int = 700_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece.
 
     The first level is written once to the shared folder, so the tokenizing is
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: Capacity =
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "packing")
-    cut(docs, vocabulary, end_id, capacity).write.parquet(path)
+    cut(docs, vocabulary, end_id, capacity, remember).write.parquet(path)
     first = spark.read.parquet(path)
     open_below = int(capacity.refill_below * capacity.tokens)
     done = first.where(F.col("fill") >= open_below)

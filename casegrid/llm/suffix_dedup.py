@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored
+from casegrid.llm.common import stored, tidy
 from casegrid.llm.jaccard_join import free_finished
 
 GRAM = 64
@@ -227,7 +227,7 @@ def splitters(rows: DataFrame, s: Settings, buckets: int) -> tuple[np.ndarray, n
                 a = anchors(texts, s)
                 yield pa.RecordBatch.from_arrays([pa.array(order_key(a.lead, a.gram).view(np.int64)), pa.array(a.gram.view(np.int64))], ["k", "g"])
 
-    got = rows.select("key", "text").where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(share * 1_000_003)).mapInArrow(run, "k long, g long").toArrow()
+    got = rows.select("key", "text").where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(share * 1_000_003)).mapInArrow(tidy(run), "k long, g long").toArrow()
     k, g = got.column("k").to_numpy().view(np.uint64), got.column("g").to_numpy().view(np.uint64)
     if not len(k):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -291,7 +291,7 @@ def dealt_suffixes(rows: DataFrame, s: Settings, buckets: int) -> DataFrame:
         if size:
             yield made()
 
-    return rows.select("key", "text").mapInArrow(run, "bucket int, data binary")
+    return rows.select("key", "text").mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def decided(buckets: DataFrame, s: Settings) -> DataFrame:
@@ -349,7 +349,7 @@ def context_bytes(rows: DataFrame, looks: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int64()), pa.array(datas, pa.binary())], ["part", "key", "lo", "data"])
 
     spots = looks.groupBy("key").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spots"))
-    return rows.select("key", "text").join(spots, "key").select("key", "text", "spots").mapInArrow(run, "part long, key long, lo long, data binary")
+    return rows.select("key", "text").join(spots, "key").select("key", "text", "spots").mapInArrow(tidy(run), "part long, key long, lo long, data binary")
 
 
 def repeats(contexts: DataFrame, s: Settings, parts: int) -> DataFrame:
@@ -379,7 +379,7 @@ def repeats(contexts: DataFrame, s: Settings, parts: int) -> DataFrame:
         lo = np.array(los)[who]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys)[who]), pa.array(lo + inside[same[first]]), pa.array(lo + inside[same[last]])], ["key", "lo", "hi"])
 
-    return contexts.repartition(parts, "part").mapInArrow(run, "key long, lo long, hi long")
+    return contexts.repartition(parts, "part").mapInArrow(tidy(run), "key long, lo long, hi long")
 
 
 def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -419,9 +419,9 @@ def find_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), with_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` but text, then n_bytes, n_removed, n_spans, and kept_sha256 or (``with_text``) kept: the remaining bytes."""
+    """The columns of ``docs`` but text, then n_bytes, n_removed, n_spans, and kept_sha256 or (``with_text``) left_text: the remaining bytes as text, without parts of characters that a cut left over."""
     others = [c for c in docs.columns if c != "text"]
-    name = "kept" if with_text else "kept_sha256"
+    name = "left_text" if with_text else "kept_sha256"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,20 +432,11 @@ def dedup(docs: DataFrame, s: Settings = Settings(), with_text: bool = False) ->
                 size.append(len(data))
                 gone.append(a)
                 runs.append(b)
-                kept.append(left if with_text else hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string())], [*others, "n_bytes", "n_removed", "n_spans", name])
+                kept.append(left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], [*others, "n_bytes", "n_removed", "n_spans", name])
 
     rows = keyed(docs)
     joined = rows.join(find_spans(docs, s), "key", "left").select(*others, "text", "spans")
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return joined.mapInArrow(run, f"{kept}, n_bytes long, n_removed long, n_spans long, {name} {'binary' if with_text else 'string'}")
+    return joined.mapInArrow(tidy(run), f"{kept}, n_bytes long, n_removed long, n_spans long, {name} string")
 
-
-def as_text(column: str):
-    """The bytes as text; parts of characters that a cut left over are dropped."""
-
-    @F.pandas_udf("string")
-    def decode(data):
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(F.col(column))

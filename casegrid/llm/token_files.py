@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import shared_dir
+from casegrid.llm.common import shared_dir, tidy
 from casegrid.llm.tokens import word_encoder
 
 NULL_ID = -(2**63)
@@ -98,7 +98,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> list[Sh
             put(folder, f"{name}.doc", np.asarray(ids, "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([dtype])], ["name", "n_docs", "n_ids", "dtype"])
 
-    made = sorted(rows.mapInArrow(run, "name string, n_docs long, n_ids long, dtype string").collect(), key=lambda r: r["name"])
+    made = sorted(rows.mapInArrow(tidy(run), "name string, n_docs long, n_ids long, dtype string").collect(), key=lambda r: r["name"])
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in made])]).astype(int).tolist()
     shards = [Shard(r["name"], r["n_docs"], r["n_ids"], base) for r, base in zip(made, bases)]
     put(folder, "manifest.json", json.dumps({"dtype": made[0]["dtype"] if made else "<u2", "shards": [vars(s) for s in shards]}).encode())
@@ -122,7 +122,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:

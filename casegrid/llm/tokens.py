@@ -20,15 +20,16 @@ def vocabulary_path(name: str) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> "WordEncoder":
-    return WordEncoder(path)
+def word_encoder(path: str, remember: int = 700_000) -> "WordEncoder":
+    """One encoder a worker; ``remember`` bounds each of its two generations of words (about 200 bytes a word)."""
+    return WordEncoder(path, remember)
 
 
 class WordEncoder:
-    #: words of a generation; when one is full the one before it is forgotten
-    LIMIT = 700_000
+    """When a generation of words is full, the one before it is forgotten."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = 700_000):
+        self.limit = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +49,7 @@ class WordEncoder:
             return b"".join([known[w] for w in ws])
         except KeyError:
             pass
-        if len(known) > self.LIMIT:
+        if len(known) > self.limit:
             self.known, self.older = known, older = {}, known
         else:
             older = self.older

@@ -38,13 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of passages that repeat; what is left of a character that was cut goes too."""
-    cut = suffix_dedup.dedup(docs, with_text=True)
-    return _with_text(docs, cut.withColumn("left", suffix_dedup.as_text("kept")), "left")
+    return _with_text(docs, suffix_dedup.dedup(docs, with_text=True), "left_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
-    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=0)
+    """Pieces of all documents, packed into sequences; workers that have run the other stages remember fewer words."""
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=0, remember=120_000)
 
 
 STAGES = [

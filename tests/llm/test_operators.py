@@ -175,7 +175,7 @@ def test_op5_equals_brute_force(docs, none):
     got = suffix_dedup.dedup(docs.select("doc_id", "text", "key")).drop("key").collect()
     assert sorted((r[0] if r[0] is not None else -1, *tuple(r)[1:]) for r in got) == brute_spans(fixture_rows())
     assert suffix_dedup.dedup(none.select("doc_id", "text")).count() == 0
-    back = {r["doc_id"]: r["t"] for r in suffix_dedup.dedup(docs.select("doc_id", "text"), with_text=True).select("doc_id", suffix_dedup.as_text("kept").alias("t")).collect()}
+    back = {r["doc_id"]: r["left_text"] for r in suffix_dedup.dedup(docs.select("doc_id", "text"), with_text=True).collect()}
     assert back[66] == "" and back[75] == "one"
 
 
