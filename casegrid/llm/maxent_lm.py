@@ -5,7 +5,8 @@ a class. The most frequent words (``head``) are in classes of equal size by
 frequency; every other word falls into a class by its ending, and has its
 smoothed count share in that class, so unseen words have a probability too and
 all outcomes sum to one. Features are the preceding word, the pair of preceding
-words and a skip over one word, hashed into the rows of one weight table.
+words and two skips, over one word and over two, hashed into the rows of one
+weight table.
 
 Training makes one pass over all training text in synchronous rounds: each
 round deals with its own share of the documents, every task sums observed minus
@@ -38,7 +39,7 @@ from casegrid.llm.common import stored, tidy
 
 END = b""
 #: class features of a token
-N_FEATURES = 3
+N_FEATURES = 4
 
 
 @dataclass(frozen=True)
@@ -225,12 +226,12 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.nd
     """(N_FEATURES x tokens rows of the class table, the two preceding symbols): 0 stands before the first word."""
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     back = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         b = np.zeros(len(symbols), dtype=np.uint64)
         b[k:] = symbols[:-k] + 1
         b[place < k] = 0
         back.append(b)
-    a, b = back
+    a, b, c = back
 
     def row(kind: int, *values: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -240,7 +241,7 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.nd
                 x ^= x >> np.uint64(33)
             return (x % np.uint64(s.class_rows)).astype(np.int64)
 
-    return np.stack([row(0, a), row(1, a, b), row(2, b)]), a, b
+    return np.stack([row(0, a), row(1, a, b), row(2, b), row(3, c)]), a, b
 
 
 def word_features(a: np.ndarray, b: np.ndarray, of: np.ndarray, s: Settings) -> np.ndarray:
