@@ -28,6 +28,8 @@ from casegrid.llm.common import tidy
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: pieces that a task remembers to drop their copies before the shuffle
+SEEN = 200_000
 
 
 @dataclass(frozen=True)
@@ -53,30 +55,41 @@ def normal(text: str) -> bytes:
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """A dictionary for each language of ``labelled`` (text, lang).
 
-    One pass counts bytes per language (map-side combined); from that each
-    language gets the share of its pieces that fills its dictionary, and only
-    those pieces, about 1.3 dictionaries a language, reach the driver.
+    One pass cuts the texts into pieces and keeps each different piece of a
+    language once, by its hash; copies are dropped on the executors. From the
+    bytes of different pieces each language gets the share that fills its
+    dictionary, and only those pieces, about 1.3 dictionaries a language, reach
+    the driver, each once.
     """
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
-    share = {r["lang"]: min(1.0, 1.3 * settings.dictionary_bytes / max(1, r["n"])) for r in sizes}
-    if not share:
-        return {}
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], share: dict[str, float] | None) -> Iterator[pa.RecordBatch]:
+        """lang, key, and the length of each piece, or the piece itself where the key is within the language's share."""
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             out: list[tuple] = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                most = share.get(lang, 0.0) * 2.0**64
+                most = (share.get(lang, 0.0) if share is not None else 1.0) * 2.0**64
                 data = normal(text.as_py())
                 for at in range(0, len(data), settings.piece_bytes):
                     piece = data[at : at + settings.piece_bytes]
-                    if (key := xxhash.xxh64_intdigest(piece)) < most:
-                        out.append((lang, key.to_bytes(8, "big"), piece))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["lang", "key", "piece"])
+                    key = xxhash.xxh64_intdigest(piece)
+                    if key < most and (lang, key) not in seen:
+                        seen.add((lang, key))
+                        out.append((lang, key.to_bytes(8, "big"), len(piece) if share is None else piece))
+            if len(seen) > SEEN:
+                seen.clear()
+            what = pa.int32() if share is None else pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], what)], ["lang", "key", "piece"])
+
+    keyed = rows.mapInArrow(tidy(lambda batches: cut(batches, None)), "lang string, key binary, piece int")
+    sizes = keyed.groupBy("lang", "key").agg(F.max("piece").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
+    share = {r["lang"]: min(1.0, 1.3 * settings.dictionary_bytes / max(1, r["n"])) for r in sizes}
+    if not share:
+        return {}
 
     drawn: dict[str, dict[bytes, bytes]] = defaultdict(dict)
-    for r in rows.mapInArrow(tidy(pieces), "lang string, key binary, piece binary").collect():
+    for r in rows.mapInArrow(tidy(lambda batches: cut(batches, share)), "lang string, key binary, piece binary").groupBy("lang", "key").agg(F.min("piece").alias("piece")).collect():
         drawn[r["lang"]][bytes(r["key"])] = bytes(r["piece"])
     return {lang: b" ".join(piece for _, piece in sorted(found.items()))[: settings.dictionary_bytes] for lang, found in sorted(drawn.items())}
 

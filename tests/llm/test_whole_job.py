@@ -1,8 +1,10 @@
 """Places where an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 
-from casegrid.llm import maxent_lm
+from casegrid.llm import language, maxent_lm
 
 
 def test_op1_third_word_back_counts():
@@ -10,3 +12,18 @@ def test_op1_third_word_back_counts():
     one, two = (maxent_lm.contexts(np.array([first, 1, 2, 3]), np.array([4]), s)[0] for first in (4, 5))
     assert len(one) == maxent_lm.N_FEATURES == 4
     assert (one[:, 3] != two[:, 3]).tolist() == [False, False, False, True]
+
+
+def made_text(seed, size, letters="abcdefghijklmnopqrst"):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(size // 6))
+
+
+def test_op2_copies_leave_the_dictionary_full(spark):
+    s = language.Settings(dictionary_bytes=8192, piece_bytes=128)
+    hot = [("aa", made_text(1, 5000))] * 2000
+    cold = [("bb", made_text(k, 5000)) for k in range(2, 6)] + [("bb", made_text(2, 5000))] * 500
+    got = language.learn(spark.createDataFrame(hot + cold, "lang string, text string").repartition(4), s)
+    once = language.learn(spark.createDataFrame(list(dict.fromkeys(hot + cold)), "lang string, text string"), s)
+    assert got == once
+    assert len(got["aa"]) > 4000 and len(got["bb"]) == s.dictionary_bytes
