@@ -211,22 +211,52 @@ def likeness(a: Column, b: Column, settings: Settings = Settings()) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(settings.slots)) - F.lit(chance)) / F.lit(1 - chance))
 
 
+#: a bucket of more fingerprints than this is dealt over pairs of parts, of at most so many parts
+NEAR_PART, NEAR_PARTS = 2000, 64
+
+
+def links(codes: np.ndarray, least: float, walker: Walk) -> list[tuple[int, int, float]]:
+    """A spanning forest of the fingerprints whose likeness is at least ``least``: what is reached is compared with all that is not reached yet."""
+    found = []
+    away = np.arange(len(codes))
+    reached: list[int] = []
+    while len(away):
+        if not reached:
+            reached, away = [int(away[0])], away[1:]
+        at = reached.pop()
+        like = walker.likeness(codes[at][None], codes[away])
+        near = like >= least
+        found += [(at, int(k), float(x)) for k, x in zip(away[near], like[near])]
+        reached += away[near].tolist()
+        away = away[~near]
+    return found
+
+
 def near_classes(prints: DataFrame, bands: int = 32, slots_per_band: int = 6, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
-    """fingerprint pairs (a, b, likeness) of at least ``least`` found by bands of sampled slots, between different fingerprints.
+    """fingerprint pairs (a, b, likeness) of at least ``least`` that link the classes which bands of sampled slots find.
 
-    Rows with equal fingerprints are one class and are compared once. In a
-    bucket each fingerprint meets the bucket's first and its own neighbour in
-    order, so the candidates grow with the bucket, not with its square.
+    Rows with equal fingerprints are one class and are compared once. Two
+    fingerprints of a bucket are compared until they are linked or known to be
+    unlike, so all near pairs of a bucket are in one class. The pairs grow with
+    the bucket; the comparisons do so with the square of its classes alone, and a
+    large bucket is dealt over pairs of parts.
     """
     rng = np.random.default_rng(settings.seed + 1)
     chosen = [sorted(rng.choice(settings.slots, slots_per_band, replace=False).tolist()) for _ in range(bands)]
     keys = [F.concat(F.lit(f"{k}:"), *(F.substring("fingerprint", p + 1, 1) for p in picks)) for k, picks in enumerate(chosen)]
-    from pyspark.sql import Window
-
     rows = prints.where("fingerprint is not null").select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*keys)).alias("band"))
-    in_order = Window.partitionBy("band").orderBy("fingerprint")
-    first = rows.groupBy("band").agg(F.min("fingerprint").alias("a"))
-    star = rows.join(first, "band").select("a", F.col("fingerprint").alias("b"))
-    chain = rows.select(F.lag("fingerprint").over(in_order).alias("a"), F.col("fingerprint").alias("b"))
-    pairs = star.unionByName(chain).where("a < b").distinct()
-    return pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"), settings)).where(F.col("likeness") >= least)
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int")
+    placed = rows.join(sizes, "band").select("band", "fingerprint", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
+    dealt = placed.select("band", "fingerprint", F.explode(cells).alias("cell")).select("band", "cell.lo", "cell.hi", "fingerprint")
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = sorted(table.column("fingerprint").to_pylist())
+        codes = np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), -1)
+        found = [(*sorted((texts[p], texts[q])), x) for p, q, x in links(codes, least, walk(settings))]
+        a, b, x = list(zip(*found)) or ((), (), ())
+        return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(x, pa.float64())], ["a", "b", "likeness"])
+
+    found = dealt.groupBy("band", "lo", "hi").applyInArrow(run, "a string, b string, likeness double")
+    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))

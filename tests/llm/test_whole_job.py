@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from casegrid.llm import language, maxent_lm
+from casegrid.llm import edit_embedding, language, maxent_lm
 
 
 def test_op1_third_word_back_counts():
@@ -27,3 +28,35 @@ def test_op2_copies_leave_the_dictionary_full(spark):
     once = language.learn(spark.createDataFrame(list(dict.fromkeys(hot + cold)), "lang string, text string"), s)
     assert got == once
     assert len(got["aa"]) > 4000 and len(got["bb"]) == s.dictionary_bytes
+
+
+def classes(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        old, new = of[b], of[a]
+        of = [new if x == old else x for x in of]
+    return {frozenset(k for k in range(n) if of[k] == x) for x in of}
+
+
+@pytest.mark.parametrize("part", [2000, 50])
+def test_op6_large_bucket_loses_no_class(spark, monkeypatch, part):
+    """60 groups of fingerprints in one bucket; the order in it says nothing about the groups."""
+    monkeypatch.setattr(edit_embedding, "NEAR_PART", part)
+    rng = np.random.default_rng(5)
+    groups = rng.integers(0, 16, (60, 128))
+    codes = np.repeat(groups, 5, axis=0)
+    change = rng.random(codes.shape) < 0.15
+    codes = np.where(change, rng.integers(0, 16, codes.shape), codes)
+    shared = np.broadcast_to(rng.integers(0, 16, 128), codes.shape)
+    prints = np.concatenate([shared, codes], axis=1)
+    prints[:, 128] = rng.integers(0, 16, len(prints))
+    w = edit_embedding.walk(edit_embedding.Settings())
+    picks = sorted(np.random.default_rng(edit_embedding.Settings().seed + 1).choice(256, 6, replace=False).tolist())
+    prints[:, picks] = prints[0, picks]
+    prints[:, 0] = rng.integers(0, 16, len(prints)) if 0 not in picks else prints[:, 0]
+    texts = w.written(prints)
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if w.likeness(prints[i], prints[j]) >= 0.75]
+    got = edit_embedding.near_classes(spark.createDataFrame([(t,) for t in texts], "fingerprint string"), bands=1).collect()
+    at = {t: k for k, t in enumerate(texts)}
+    assert want and classes(len(texts), want) == classes(len(texts), [(at[r["a"]], at[r["b"]]) for r in got])
+    assert all(abs(r["likeness"] - w.likeness(prints[at[r["a"]]], prints[at[r["b"]]])) < 1e-12 and r["likeness"] >= 0.75 for r in got)
