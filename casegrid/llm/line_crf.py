@@ -35,8 +35,6 @@ SLICE = 1000
 class Settings:
     #: labelled documents that training gathers at most: its documented bound
     sample_documents: int = 4000
-    #: lines of a document that training looks at, at most, evenly spread over the document
-    sample_lines: int = 200
     steps: int = 250
     rate: float = 0.08
     ridge: float = 1e-3
@@ -175,8 +173,8 @@ def fit(x: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, labels: np.ndarra
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on a bounded sample of labelled documents; ``labels`` (doc_id, quality) holds training rows only.
 
-    Sampled ids (at most about ``sample_documents``) go to every task; features,
-    not texts, come back.
+    Sampled ids (at most about ``sample_documents``) go to every task; features
+    of all lines of these documents, not texts, come back.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     total = known.count()
@@ -192,9 +190,6 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             out = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x, sizes = line_features(text.as_py())
-                if len(x) > settings.sample_lines:
-                    keep = np.linspace(0, len(x) - 1, settings.sample_lines).astype(int)
-                    x, sizes = x[keep], sizes[keep]
                 out.append((label, len(x), x.tobytes(), sizes.tobytes()))
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["label", "n", "x", "sizes"])

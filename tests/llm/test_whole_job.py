@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from casegrid.llm import edit_embedding, language, maxent_lm
+from casegrid.llm import edit_embedding, language, line_crf, maxent_lm
 
 
 def test_op1_third_word_back_counts():
@@ -60,3 +60,14 @@ def test_op6_large_bucket_loses_no_class(spark, monkeypatch, part):
     at = {t: k for k, t in enumerate(texts)}
     assert want and classes(len(texts), want) == classes(len(texts), [(at[r["a"]], at[r["b"]]) for r in got])
     assert all(abs(r["likeness"] - w.likeness(prints[at[r["a"]]], prints[at[r["b"]]])) < 1e-12 and r["likeness"] >= 0.75 for r in got)
+
+
+def test_op4_trains_on_all_lines(spark, monkeypatch):
+    """A run of lines between two evenly spaced places of a long text counts too."""
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda x, lengths, sizes, labels, settings: seen.append((x, lengths.tolist())))
+    text = "\n".join("$$$ ###" if k in range(2, 5) else f"This is line number {k} of a long text." for k in range(1001))
+    line_crf.learn(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 0)], "doc_id long, quality int"))
+    (x, lengths), = seen
+    assert lengths == [1001]
+    assert np.array_equal(x, line_crf.line_features(text)[0])
