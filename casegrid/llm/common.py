@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: the only characters that separate words (space, \t, \n, \v, \f, \r).
 #: ``bytes.split()`` splits on exactly these.
@@ -36,6 +37,29 @@ def lower_ascii(data: bytes) -> bytes:
     return data.lower()
 
 
+#: the one column in which an operator carries its input's other columns
+CARRIED = "carried_row"
+
+
+def carry(docs: DataFrame, *more: Column) -> DataFrame:
+    """(carried_row, text, *more): all columns but text travel as one struct, so none of their names can clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    return docs.select(packed.alias(CARRIED), F.col("text").cast("string").alias("text"), *more)
+
+
+def opened(made: DataFrame, docs: DataFrame, new: list[str]) -> DataFrame:
+    """The columns of ``docs`` out of carried_row, then ``new``. A column of the input that has a new one's name gives way to it."""
+    taken = {"text", *(c.lower() for c in new)}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    return made.select(*[F.col(CARRIED).getField(c).alias(c) for c in kept], *new)
+
+
+def widened(df: DataFrame, drop: tuple[str, ...], added: str) -> StructType:
+    """Schema of ``df`` without ``drop``, then the fields of the DDL text ``added``."""
+    return StructType([f for f in df.schema.fields if f.name not in drop] + StructType.fromDDL(added).fields)
+
+
 def release() -> None:
     """Give memory that is no longer used back to the system: Python workers live on from task to task."""
     gc.collect()
@@ -58,8 +82,9 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder (URI) that the driver and every executor can see.
 
-    Lies under ``spark.checkpoint.dir``; only where that is unset (tests, local
-    sessions) a local folder is chosen and set on the context.
+    Lies under ``spark.checkpoint.dir``; where that is unset a local session
+    (tests) gets a folder of its own, and a cluster an error: executors couldn't
+    see a folder of the driver's machine.
     """
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/casegrid-{name}-{uuid.uuid4().hex[:12]}"
@@ -70,6 +95,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if root is None:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='casegrid-')}"
         if not current.isDefined():
             sc.setCheckpointDir(root)
@@ -85,6 +112,19 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_finished(spark: SparkSession) -> None:
+    """Let the context drop shuffle files of stages whose result is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of ``stored`` tables that nothing reads any more."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            remove_dir(table.sparkSession, file.rsplit("/", 1)[0])
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder written by ``stored`` or an operator."""
     jvm = spark.sparkContext._jvm

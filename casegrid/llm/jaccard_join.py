@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored, tidy
+from casegrid.llm.common import free_finished, stored, tidy
 from casegrid.llm.components import connected
 
 
@@ -579,14 +579,6 @@ def cross_pairs(members: DataFrame, s: Settings, parts: int, every: bool) -> Dat
     return in_order.mapInArrow(tidy(run), "a long, b long, n long").distinct()
 
 
-def free_finished(spark: SparkSession) -> None:
-    """Let the context drop shuffle files of stages whose result is written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_key(text: str = "text"):
     """A 64-bit hash of the text, by which rows and classes find texts again: ids may repeat or be null."""
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))

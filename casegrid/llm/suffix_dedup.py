@@ -6,41 +6,46 @@ has an anchor, its leftmost gram of least hash, and two equal strings have it at
 the same place. So only the suffixes at anchors (about one in seventy) are
 sorted, each with its context: the bytes of all strings that it anchors.
 
+0. Equal texts are one class (128-bit key), whose text is written once. Classes
+   of several rows lose all their bytes; every class takes part with one copy.
 1. Suffixes at anchors are range-partitioned by their leading bytes, with
    splitters from a sample; a bucket sorts them by multikey quicksort (leading
    bytes, then gram, then context). Equal contexts decide all their strings at
-   once. Grams that the sample shows to be frequent are spread over buckets by
-   context and count as shared, so no boundary needs a second look; contexts
-   that already repeat in a task are decided there.
-2. What is left has a gram that occurs elsewhere in another context: near the
-   ends of repeated passages. The bytes of these contexts are dealt by the
-   hundred bytes to the right (or left) of the anchor, which equal strings
-   share, and all strings of a bucket are sorted by multikey quicksort over
-   their 8-byte symbols; neighbours equal over ``span`` bytes are repeats.
-
-Equal texts are one class: all of them go if they have ``span`` bytes. Texts
-are told apart by a 64-bit hash, contexts likewise; the sorting of step 2
-compares bytes.
-
-Edge cases: null texts are empty; texts shorter than ``span`` lose nothing;
+   once. A context whose gram stands beside it in another context is open. Where
+   a splitter cuts the run of a gram, the last suffix of the one bucket and the
+   first of the next tell so, and the contexts at that boundary are open too.
+2. The strings of open contexts share the hundred bytes right (or left) of the
+   anchor: a suffix again. These are range-partitioned by sampled splitters, and
+   the strings of a bucket sorted by multikey quicksort over 8-byte symbols;
+   neighbours equal over ``span`` bytes are repeats. Strings beside bytes so
+   frequent that they would fill a bucket are dealt singly by a 128-bit hash,
+   after those that repeat inside a task have been decided there.
+
+Defined results: null texts are empty; texts shorter than ``span`` lose nothing;
 runs of one character are handled like any other text; a passage that repeats
-inside one document counts; extra columns are ignored.
+inside one document counts; texts of any length are read in slices, so memory
+grows with the text's own bytes alone; repeated rows lose all their bytes if they
+have ``span``; ties don't arise (a byte is covered or not); an empty table gives
+no rows; extra columns are carried along whatever their names, but one that is
+named like a result column gives way to it.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored, tidy
-from casegrid.llm.jaccard_join import free_finished
+from casegrid.llm.common import carry, forget, free_finished, opened, stored, tidy
 
 GRAM = 64
 
@@ -50,9 +55,7 @@ class Settings:
     span: int = 200
     #: documents that set the splitters: a bound on balance, not on results
     sample: int = 2000
-    #: frequent grams that are broadcast at most
-    frequent: int = 50_000
-    #: bytes that numpy handles at a time; a longer text stays whole
+    #: bytes that numpy handles at a time; longer texts are read in slices of so many string starts
     chunk: int = 1_000_000
 
     @property
@@ -82,15 +85,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """Columns of one row an anchor: number of the text, place of the anchor, first and last string start, gram, context, leading bytes."""
+    """Columns of one row an anchor: number of the slice, place of the anchor, first and last string start, leading bytes, gram, context (two words)."""
 
     text: np.ndarray
     at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
+    lead: np.ndarray
     gram: np.ndarray
     context: np.ndarray
-    lead: np.ndarray
+    second: np.ndarray
 
 
 def anchors(texts: list[bytes], s: Settings) -> Anchors:
@@ -101,7 +105,8 @@ def anchors(texts: list[bytes], s: Settings) -> Anchors:
     n = len(data)
     if n < s.span:
         none = np.empty(0, np.int64)
-        return Anchors(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64))
+        word = none.astype(np.uint64)
+        return Anchors(none, none, none, none, word, word, word, word)
     values, powers, back = constants(1 << max(21, int(n + 1).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * powers[:n], dtype=np.uint64)])
@@ -125,17 +130,21 @@ def anchors(texts: list[bytes], s: Settings) -> Anchors:
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
     at, lo, hi = place[first], start[first], start[last]
     with np.errstate(over="ignore"):
+        shape = ((at - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
         around = (sums[hi + s.span] - sums[lo]) * back[lo]
-        context = mixed(around ^ (((at - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        context = mixed(around ^ shape * np.uint64(0xC2B2AE3D27D4EB4F))
+        # a second word of the same bytes, summed with other values
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values)[data] * powers[:n], dtype=np.uint64)])
+        second = mixed((other[hi + s.span] - other[lo]) * back[lo] + shape)
     wide = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
     lead = np.ascontiguousarray(wide).view(">u8").ravel().astype(np.uint64)
     base = begin[text[first]]
-    return Anchors(text[first], at - base, lo - base, hi - base, gram[at], context, lead)
+    return Anchors(text[first], at - base, lo - base, hi - base, lead, gram[at], context, second)
 
 
-def order_key(lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Five leading bytes, then bits of the gram: what the splitters cut."""
-    return (lead >> np.uint64(24) << np.uint64(24)) | (gram >> np.uint64(40))
+def order_key(lead: np.ndarray, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The place of a suffix in the whole order as 24 bytes that compare like it: what the splitters cut."""
+    return np.stack([lead, gram, context], axis=1).astype(">u8").view("S24").ravel()
 
 
 def multikey_sort(columns: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
@@ -184,202 +193,291 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray
     return out
 
 
-PACKED = np.dtype([("key", "<i8"), ("gram", "<u8"), ("context", "<u8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("flag", "u1")])
-REPEATED, SHARED, DECIDED = 1, 2, 4  # flags: context repeats in its task; gram is frequent; repeats and another row stands for it
+PACKED = np.dtype([("tid", "<i8"), ("lead", "<u8"), ("gram", "<u8"), ("context", "<u8"), ("second", "<u8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("flag", "u1")])
+REPEATED, DECIDED = 1, 2  # flags: context repeats in its task; repeats and another row stands for it
+REPEAT, OPEN, EDGE, BOUND = range(4)  # kinds of judged rows: all strings repeat; to be compared; open if its gram's run was cut; a gram at the end of a bucket
+HOT = np.dtype([("a", "<u8"), ("b", "<u8"), ("tid", "<i8"), ("at", "<u4"), ("again", "u1")])
+
+
+def text_keys(text: str = "text") -> tuple[Column, Column]:
+    """128 bits of the text, as two columns."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), F.col(text)).alias("k2")
 
 
-def text_chunks(rows: Iterator[tuple[int, str]], s: Settings) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Different texts of at least ``span`` bytes, about ``chunk`` bytes at a time."""
-    met: set[int] = set()
-    keys: list[int] = []
+def text_classes(docs: DataFrame) -> DataFrame:
+    """k1, k2, copies, n (bytes), text: one row for each different text; copies meet in a map-side aggregate."""
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.groupBy(*text_keys()).agg(F.count("*").alias("copies"), F.first("text").alias("text")).withColumn("n", F.octet_length("text").cast("long"))
+
+
+def slices(rows: Iterator[tuple[int, str]], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(text ids, offsets, bytes) of about ``chunk`` bytes at a time; slices of a long text overlap by ``span`` - 1 bytes, so each string starts in one."""
+    tids: list[int] = []
+    offsets: list[int] = []
     texts: list[bytes] = []
     size = 0
-    for key, text in rows:
-        if key in met:
-            continue
-        met.add(key)
+    for tid, text in rows:
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) < s.span:
-            continue
-        keys.append(key)
-        texts.append(data)
-        size += len(data)
-        if size >= s.chunk:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+        for at in range(0, max(1, len(data) - s.span + 1), s.chunk):
+            part = data[at : at + s.chunk + s.span - 1]
+            tids.append(tid)
+            offsets.append(at)
+            texts.append(part)
+            size += len(part)
+            if size >= s.chunk:
+                yield np.array(tids, np.int64), np.array(offsets, np.int64), texts
+                tids, offsets, texts, size = [], [], [], 0
+    if tids:
+        yield np.array(tids, np.int64), np.array(offsets, np.int64), texts
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*[c for c in docs.columns if c != "text"], text.alias("text")).withColumn("key", F.xxhash64("text"))
+def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+    for batch in batches:
+        for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield tid, text.as_py()
 
 
-def splitters(rows: DataFrame, s: Settings, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds of the ranges, frequent grams), from the anchors of a bounded sample of documents."""
-    total = rows.count()
-    share = min(1.0, s.sample / max(1, total))
+def splitters(texts: DataFrame, s: Settings, buckets: int) -> np.ndarray:
+    """Bounds of the ranges in the order of suffixes, from the anchors of a bounded sample of texts."""
+    share = min(1.0, s.sample / max(1, texts.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in text_chunks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), s):
-                a = anchors(texts, s)
-                yield pa.RecordBatch.from_arrays([pa.array(order_key(a.lead, a.gram).view(np.int64)), pa.array(a.gram.view(np.int64))], ["k", "g"])
-
-    got = rows.select("key", "text").where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(share * 1_000_003)).mapInArrow(tidy(run), "k long, g long").toArrow()
-    k, g = got.column("k").to_numpy().view(np.uint64), got.column("g").to_numpy().view(np.uint64)
-    if not len(k):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    grams, times = np.unique(g, return_counts=True)
-    often = grams[times >= max(3, 0.002 * s.sample)]
-    if len(often) > s.frequent:
-        often = np.sort(grams[np.argsort(-times)[: s.frequent]])
-    k = np.sort(k[~np.isin(g, often)])
-    cut = k[(np.arange(1, buckets) * len(k)) // buckets] if len(k) else k
-    return np.unique(cut), often
-
-
-def dealt_suffixes(rows: DataFrame, s: Settings, buckets: int) -> DataFrame:
+        for _, _, parts in slices(pairs_of(batches), s):
+            a = anchors(parts, s)
+            yield pa.RecordBatch.from_arrays([pa.array(order_key(a.lead, a.gram, a.context).tolist(), pa.binary())], ["k"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("tid"), F.lit(1_000_003)) < int(share * 1_000_003)).select("tid", "text")
+    got = np.sort(np.array(drawn.mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist(), dtype="S24"))
+    return np.unique(got[(np.arange(1, buckets) * len(got)) // buckets]) if len(got) else got
+
+
+def dealt_suffixes(texts: DataFrame, s: Settings, buckets: int) -> DataFrame:
     """bucket, data: packed records of the suffixes at anchors."""
-    shared = rows.sparkSession.sparkContext.broadcast(splitters(rows, s, buckets))
+    shared = texts.sparkSession.sparkContext.broadcast(splitters(texts, s, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, often = shared.value
+        bounds = shared.value
         held: list[np.ndarray] = []
-        leads: list[np.ndarray] = []
 
         def made() -> pa.RecordBatch:
-            rec, lead = np.concatenate(held), np.concatenate(leads)
-            held.clear(), leads.clear()
-            order = np.argsort(rec["context"], kind="stable")
-            ranked = rec["context"][order]
-            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            again = ~new
+            rec = np.concatenate(held)
+            held.clear()
+            order = np.lexsort((rec["second"], rec["context"]))
+            one, two = rec["context"][order], rec["second"][order]
+            again = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
             several = again | np.append(again[1:], False)
             flag = np.zeros(len(rec), np.uint8)
             flag[order[several]] |= REPEATED
             flag[order[again]] |= DECIDED
-            frequent = np.zeros(len(rec), bool)
-            if len(often):
-                frequent = often[np.minimum(np.searchsorted(often, rec["gram"]), len(often) - 1)] == rec["gram"]
-                flag[frequent] |= SHARED
             rec["flag"] = flag
-            bucket = np.searchsorted(bounds, order_key(lead, rec["gram"]), side="right")
-            bucket[frequent] = (rec["context"][frequent] % np.uint64(buckets)).astype(np.int64)
+            bucket = np.searchsorted(bounds, order_key(rec["lead"], rec["gram"], rec["context"]), side="right")
             spread = (flag & DECIDED) > 0
             bucket[spread] = np.arange(spread.sum()) % buckets
             order = np.argsort(bucket, kind="stable")
-            rec, bucket = rec[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = np.append(cut[1:], len(bucket))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([rec[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())], ["bucket", "data"])
+            return packed_by(bucket[order], rec[order])
 
-        pairs = ((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         size = 0
-        for keys, texts in text_chunks(pairs, s):
-            a = anchors(texts, s)
+        for tids, offsets, parts in slices(pairs_of(batches), s):
+            a = anchors(parts, s)
             rec = np.zeros(len(a.at), PACKED)
-            rec["key"], rec["gram"], rec["context"] = np.array(keys, np.int64)[a.text], a.gram, a.context
-            rec["at"], rec["lo"], rec["hi"] = a.at, a.at - a.lo, a.at - a.hi
+            rec["tid"], rec["lead"], rec["gram"], rec["context"], rec["second"] = tids[a.text], a.lead, a.gram, a.context, a.second
+            rec["at"], rec["lo"], rec["hi"] = a.at + offsets[a.text], a.at - a.lo, a.at - a.hi
             held.append(rec)
-            leads.append(a.lead)
             size += len(rec)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield made()
                 size = 0
         if size:
             yield made()
 
-    return rows.select("key", "text").mapInArrow(tidy(run), "bucket int, data binary")
+    return texts.select("tid", "text").mapInArrow(tidy(run), "bucket int, data binary")
+
 
+def packed_by(bucket: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket, from records in order of bucket."""
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(cut[1:], len(bucket))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([rec[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())], ["bucket", "data"])
 
-def decided(buckets: DataFrame, s: Settings) -> DataFrame:
-    """key, open, at, lo, hi: contexts that repeat (open false) and those to be compared byte by byte (open true); starts of strings, both included."""
 
-    def run(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec = np.concatenate([np.frombuffer(d, PACKED) for b in batches for d in b.column(1).to_pylist()])
+def judged_suffixes(dealt: DataFrame, buckets: int) -> DataFrame:
+    """kind, tid, at, lo, hi (starts of strings, both included), gram, bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, blobs = [], []
+        for b in batches:
+            numbers += b.column(0).to_pylist()
+            blobs += b.column(1).to_pylist()
+        if not blobs:
+            return
+        number = min(numbers)
+        rec = np.concatenate([np.frombuffer(d, PACKED) for d in blobs])
+        blobs.clear()
         passed = rec[(rec["flag"] & DECIDED) > 0]
         rec = rec[(rec["flag"] & DECIDED) == 0]
-        order = multikey_sort([rec["gram"], rec["context"]])
-        rec = rec[order]
+        rec = rec[multikey_sort([rec["lead"], rec["gram"], rec["context"], rec["second"]])]
+        kind = np.zeros(0, np.int64)
+        bounds = rec[:0]
         if len(rec):
             new_gram = np.concatenate([[True], rec["gram"][1:] != rec["gram"][:-1]])
-            new = new_gram | np.concatenate([[True], rec["context"][1:] != rec["context"][:-1]])
+            new = new_gram | np.concatenate([[True], (rec["context"][1:] != rec["context"][:-1]) | (rec["second"][1:] != rec["second"][:-1])])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(rec)))
             repeats = np.repeat((count > 1) | (np.bitwise_or.reduceat(rec["flag"], first) & REPEATED > 0), count)
             gram_first = np.flatnonzero(new_gram)
+            run_of = np.cumsum(new_gram) - 1
             kinds = np.add.reduceat(new.astype(np.int64), gram_first)
-            shared = np.repeat(kinds > 1, np.diff(np.append(gram_first, len(rec)))) | ((rec["flag"] & SHARED) > 0)
-            look = new & shared
-        else:
-            repeats = look = np.zeros(0, bool)
-        for part, is_open in ((passed, False), (rec[repeats], False), (rec[look], True)):
+            shared = kinds[run_of] > 1
+            edge = ((run_of == 0) | (run_of == len(gram_first) - 1)) & ~shared
+            # a repeated context's strings are known, but one row of it still speaks for it beside other contexts of its gram
+            look = np.where(shared, OPEN, np.where(edge, EDGE, -1))
+            kind = np.where(new, look, -1)
+            bounds = rec[[0, -1]] if rec["gram"][0] != rec["gram"][-1] else rec[:1]
+        for part, what in ((passed, REPEAT), (rec[repeats] if len(rec) else rec, REPEAT), (rec[kind == OPEN], OPEN), (rec[kind == EDGE], EDGE), (bounds, BOUND)):
             at = part["at"].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part["key"]), pa.array(np.full(len(part), is_open)), pa.array(at), pa.array(at - part["lo"]), pa.array(at - part["hi"]), pa.array(part["gram"].view(np.int64))],
-                ["key", "open", "at", "lo", "hi", "gram"],
+                [pa.array(np.full(len(part), what, np.int32)), pa.array(part["tid"]), pa.array(at), pa.array(at - part["lo"]), pa.array(at - part["hi"]), pa.array(part["gram"].view(np.int64)), pa.array(np.full(len(part), number, np.int32))],
+                ["kind", "tid", "at", "lo", "hi", "gram", "bucket"],
             )
 
-    return buckets.groupBy("bucket").applyInArrow(run, "key long, open boolean, at long, lo long, hi long, gram long")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), "kind int, tid long, at long, lo long, hi long, gram long, bucket int")
+
+
+def open_contexts(judged: DataFrame) -> DataFrame:
+    """tid, at, lo, hi: contexts to be compared, those at a boundary among them whose gram goes on in the next bucket."""
+    cut = judged.where(F.col("kind") == BOUND).groupBy("gram").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a < b")
+    edges = judged.where(F.col("kind") == EDGE).join(cut, "gram", "left_semi")
+    return judged.where(F.col("kind") == OPEN).select("tid", "at", "lo", "hi").union(edges.select("tid", "at", "lo", "hi"))
+
+
+def halves(data: bytes, spots: list[dict], s: Settings) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes that all strings share, first start, last start): the strings from side bytes before the anchor on hold as many from it on, those before hold what is ahead of it."""
+    for spot in spots:
+        at, lo, hi = spot["at"], spot["lo"], spot["hi"]
+        middle = max(lo, at - s.side)
+        if middle <= hi:
+            yield data[at : at + s.side], middle, hi
+        if lo < middle:
+            yield data[at - s.side : at], lo, min(hi, middle - 1)
 
 
-def context_bytes(rows: DataFrame, looks: DataFrame, s: Settings) -> DataFrame:
-    """part, key, lo, data: bytes of open contexts, dealt by what equal strings share beside the anchor."""
+def open_texts(texts: DataFrame, spots: DataFrame) -> DataFrame:
+    listed = spots.groupBy("tid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spots"))
+    return texts.select("tid", "text").join(listed, "tid").select("tid", "text", "spots")
+
+
+def shared_splitters(texts: DataFrame, spots: DataFrame, s: Settings, buckets: int) -> tuple[list[bytes], set[bytes]]:
+    """(bounds of ranges, frequent ones) of the bytes that the strings of open contexts share, from a bounded sample of texts."""
+    share = min(1.0, s.sample / max(1, spots.select("tid").distinct().count()))
+    drawn = spots.where(F.pmod(F.xxhash64("tid"), F.lit(1_000_003)) < int(share * 1_000_003))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
-            part, keys, los, datas = [], [], [], []
-            for key, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if key in met:
-                    continue
-                met.add(key)
+            got = [core for text, spots_ in zip(batch.column(1), batch.column(2).to_pylist()) for core, _, _ in halves(text.as_py().encode("utf-8", "surrogatepass"), spots_, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["k"])
+
+    got = sorted(open_texts(texts, drawn).mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist())
+    often = max(8, len(got) // (2 * buckets))
+    hot = {core for core, n in Counter(got).items() if n >= often}
+    rest = [core for core in got if core not in hot]
+    return sorted({rest[k * len(rest) // buckets] for k in range(1, buckets)}) if rest else [], hot
+
+
+def dealt_strings(texts: DataFrame, spots: DataFrame, s: Settings, buckets: int) -> DataFrame:
+    """bucket, tid, lo, data: the bytes of open contexts, in ranges of what their strings share; or, with tid null, packed hashes of the strings beside frequent bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(shared_splitters(texts, spots, s, buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, hot = shared.value
+        held: list[np.ndarray] = []
+
+        def made(everything: np.ndarray) -> pa.RecordBatch:
+            """Strings that repeat here are one row with a mark and, for the others, rows that are dealt anywhere."""
+            order = multikey_sort([everything["a"], everything["b"]])
+            rec = everything[order]
+            again = np.concatenate([[False], (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])])
+            rec["again"] = np.where(again, 2, np.append(again[1:], False))
+            bucket = np.where(again, np.arange(len(rec)) % buckets, rec["a"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            made_ = packed_by(bucket[order], rec[order])
+            n = len(made_)
+            return pa.RecordBatch.from_arrays([made_.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), made_.column(1)], ["bucket", "tid", "lo", "data"])
+
+        size = 0
+        for batch in batches:
+            bucket, tids, los, datas = [], [], [], []
+            for tid, text, spots_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                for spot in spots:
-                    at, lo, hi = spot["at"], spot["lo"], spot["hi"]
-                    middle = max(lo, at - s.side)  # strings from here on hold ``side`` bytes from the anchor on, those before as many ahead of it
-                    for a, b, side in ((middle, hi, data[at : at + s.side]), (lo, min(hi, middle - 1), data[at - s.side : at])):
-                        if a <= b:
-                            part.append(int.from_bytes(hashlib.blake2b(side, digest_size=7, person=b"R" if a == middle else b"L").digest(), "big"))
-                            keys.append(key)
-                            los.append(a)
-                            datas.append(data[a : b + s.span])
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int64()), pa.array(datas, pa.binary())], ["part", "key", "lo", "data"])
+                for core, lo, hi in halves(data, spots_, s):
+                    if core in hot:
+                        rec = np.zeros(hi - lo + 1, HOT)
+                        words = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[p : p + s.span]) for p in range(lo, hi + 1)]), ">u8").reshape(-1, 2)
+                        rec["a"], rec["b"], rec["tid"], rec["at"] = words[:, 0], words[:, 1], tid, np.arange(lo, hi + 1)
+                        held.append(rec)
+                        size += len(rec)
+                    else:
+                        bucket.append(bisect_right(bounds, core))
+                        tids.append(tid)
+                        los.append(lo)
+                        datas.append(data[lo : hi + s.span])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(tids, pa.int64()), pa.array(los, pa.int64()), pa.array(datas, pa.binary())], ["bucket", "tid", "lo", "data"])
+            if size > 2_000_000:
+                yield made(np.concatenate(held))
+                held.clear()
+                size = 0
+        if held:
+            yield made(np.concatenate(held))
+
+    return open_texts(texts, spots).mapInArrow(tidy(run), "bucket int, tid long, lo long, data binary")
+
 
-    spots = looks.groupBy("key").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spots"))
-    return rows.select("key", "text").join(spots, "key").select("key", "text", "spots").mapInArrow(tidy(run), "part long, key long, lo long, data binary")
+def runs_of(tid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """tid, lo, hi: runs of neighbouring starts."""
+    order = np.lexsort((at, tid))
+    tid, at = tid[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (at[1:] > at[:-1] + 1)])) if len(tid) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(tid)) - 1 if len(first) else first
+    return pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(at[first]), pa.array(at[last])], ["tid", "lo", "hi"])
 
 
-def repeats(contexts: DataFrame, s: Settings, parts: int) -> DataFrame:
-    """key, lo, hi: runs of string starts that repeat."""
+def repeats(dealt: DataFrame, s: Settings, buckets: int) -> DataFrame:
+    """tid, lo, hi: runs of string starts that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, los, datas = [], [], []
+        tids, los, datas, hashes = [], [], [], []
         for batch in batches:
-            keys += batch.column(1).to_pylist()
-            los += batch.column(2).to_pylist()
-            datas += batch.column(3).to_pylist()
-        if not keys:
+            for tid, lo, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if tid is None:
+                    hashes.append(np.frombuffer(data, HOT))
+                else:
+                    tids.append(tid)
+                    los.append(lo)
+                    datas.append(data)
+        if hashes:
+            rec = np.concatenate(hashes)
+            hashes.clear()
+            yield runs_of(rec["tid"][rec["again"] == 2], rec["at"][rec["again"] == 2].astype(np.int64))
+            rec = rec[rec["again"] < 2]
+            rec = rec[multikey_sort([rec["a"], rec["b"]])]
+            new = np.concatenate([[True], (rec["a"][1:] != rec["a"][:-1]) | (rec["b"][1:] != rec["b"][:-1])])[: len(rec)]
+            if len(rec):
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(rec)))
+                same = np.repeat((count > 1) | (np.bitwise_or.reduceat(rec["again"], first) > 0), count)
+                yield runs_of(rec["tid"][same], rec["at"][same].astype(np.int64))
+        if not tids:
             return
         data = np.frombuffer(b"".join(datas), np.uint8)
         sizes = np.array([len(d) for d in datas], dtype=np.int64)
+        datas.clear()
         count = sizes - s.span + 1
         begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(keys)), count)
+        owner = np.repeat(np.arange(len(tids)), count)
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         same = np.flatnonzero(equal_strings(data, begin[owner] + inside, s.span))
-        if not len(same):
-            return
-        new = np.concatenate([[True], (same[1:] != same[:-1] + 1) | (owner[same[1:]] != owner[same[:-1]])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(same)) - 1
-        who = owner[same[first]]
-        lo = np.array(los)[who]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys)[who]), pa.array(lo + inside[same[first]]), pa.array(lo + inside[same[last]])], ["key", "lo", "hi"])
+        yield runs_of(np.array(tids, np.int64)[owner[same]], np.array(los, np.int64)[owner[same]] + inside[same])
 
-    return contexts.repartition(parts, "part").mapInArrow(tidy(run), "key long, lo long, hi long")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), "tid long, lo long, hi long")
 
 
 def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -403,40 +501,50 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byte
     return removed, runs, b"".join(left)
 
 
-def find_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """key, spans: array of (lo, hi), half-open, unmerged, for the texts (by ``keyed``'s key) that lose bytes."""
-    spark = docs.sparkSession
-    rows = keyed(docs.select("text"))
+def judged_classes(texts: DataFrame, s: Settings, with_text: bool) -> DataFrame:
+    """k1, k2, n_bytes, n_removed, n_spans, left (hash or text) of each row of ``texts``, the stored classes with their number tid."""
+    spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = stored(decided(dealt_suffixes(rows, s, buckets), s), spark, "suffix-judged")
+    long = texts.where(F.col("n") >= s.span)
+    judged = stored(judged_suffixes(dealt_suffixes(long, s, buckets), buckets), spark, "suffix-judged")
     free_finished(spark)
-    found = stored(repeats(context_bytes(rows, judged.where("open"), s), s, buckets), spark, "suffix-found")
+    spots = open_contexts(judged)
+    found = stored(repeats(dealt_strings(long, spots, s, buckets), s, buckets), spark, "suffix-found")
     free_finished(spark)
-    copies = rows.select("key", F.octet_length("text").cast("long").alias("n")).groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= s.span))
-    spans = judged.where("not open").select("key", "lo", "hi").union(found).select("key", "lo", (F.col("hi") + s.span).alias("hi"))
-    spans = spans.union(copies.select("key", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    return spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def dedup(docs: DataFrame, s: Settings = Settings(), with_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` but text, then n_bytes, n_removed, n_spans, and kept_sha256 or (``with_text``) left_text: the remaining bytes as text, without parts of characters that a cut left over."""
-    others = [c for c in docs.columns if c != "text"]
-    name = "left_text" if with_text else "kept_sha256"
+    spans = judged.where(F.col("kind") == REPEAT).select("tid", "lo", "hi").union(found)
+    listed = spans.groupBy("tid").agg(F.collect_list(F.struct("lo", (F.col("hi") + s.span).alias("hi"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column(len(others)), batch.column(len(others) + 1).to_pylist()):
+            for copies, text, spans_ in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                a, b, left = cut_spans(data, [(x["lo"], x["hi"]) for x in spans or ()])
+                whole = [(0, len(data))] if copies > 1 and len(data) >= s.span else [(x["lo"], x["hi"]) for x in spans_ or ()]
+                a, b, left = cut_spans(data, whole)
                 size.append(len(data))
                 gone.append(a)
                 runs.append(b)
                 kept.append(left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], [*others, "n_bytes", "n_removed", "n_spans", name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "left"])
+
+    joined = texts.join(listed, "tid", "left").select("k1", "k2", "copies", "text", "spans")
+    out = stored(joined.mapInArrow(tidy(run), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, left string"), spark, "suffix-classes")
+    forget(judged, found)
+    free_finished(spark)
+    return out
 
-    rows = keyed(docs)
-    joined = rows.join(find_spans(docs, s), "key", "left").select(*others, "text", "spans")
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return joined.mapInArrow(tidy(run), f"{kept}, n_bytes long, n_removed long, n_spans long, {name} string")
 
+def dedup(docs: DataFrame, s: Settings = Settings(), with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` but text, then n_bytes, n_removed, n_spans, and kept_sha256 or (``with_text``) left_text: the remaining bytes as text, without parts of characters that a cut left over.
+
+    Texts move once a class, never with the rows: these join the classes'
+    results by their keys.
+    """
+    spark = docs.sparkSession
+    texts = stored(text_classes(docs).withColumn("tid", F.monotonically_increasing_id()), spark, "suffix-texts")
+    free_finished(spark)
+    done = judged_classes(texts, s, with_text)
+    forget(texts)
+    rows = carry(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), *text_keys()).drop("text")
+    name = "left_text" if with_text else "kept_sha256"
+    return opened(rows.join(done.withColumnRenamed("left", name), ["k1", "k2"]), docs, ["n_bytes", "n_removed", "n_spans", name])

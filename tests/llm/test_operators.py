@@ -172,13 +172,34 @@ def brute_spans(rows, span=200):
 
 
 def test_op5_equals_brute_force(docs, none):
-    got = suffix_dedup.dedup(docs.select("doc_id", "text", "key")).drop("key").collect()
-    assert sorted((r[0] if r[0] is not None else -1, *tuple(r)[1:]) for r in got) == brute_spans(fixture_rows())
+    got = suffix_dedup.dedup(docs.select("doc_id", "text", "key")).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))) for r in got) == brute_spans(fixture_rows())
+    assert {(r["doc_id"], r["key"]) for r in got} == {(r[0], r[4]) for r in fixture_rows()}
     assert suffix_dedup.dedup(none.select("doc_id", "text")).count() == 0
     back = {r["doc_id"]: r["left_text"] for r in suffix_dedup.dedup(docs.select("doc_id", "text"), with_text=True).collect()}
     assert back[66] == "" and back[75] == "one"
 
 
+def test_op5_column_names_that_clash(spark):
+    rows = [(k, "x" * 250 if k < 2 else f"text {k}", 10 * k, "s", -1, [k]) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, k1 string, N_Bytes long, spans array<long>")
+    got = sorted(tuple(r) for r in suffix_dedup.dedup(df).select("doc_id", "key", "k1", "spans", "n_bytes", "n_removed").collect())
+    assert got == [(k, 10 * k, "s", [k], 250 if k < 2 else 6, 250 if k < 2 else 0) for k in range(4)]
+    assert [r[0] for r in suffix_dedup.dedup(df.select("text"), with_text=True).select("left_text").sort("left_text").collect()] == ["", "", "text 2", "text 3"]
+
+
+@pytest.mark.parametrize("settings", [{}, {"chunk": 700, "sample": 5}])
+def test_op5_hot_passages_and_long_texts(spark, monkeypatch, settings):
+    """A passage in every second text, so frequent that its strings are dealt by hash; a text that is read in slices; boundaries inside runs."""
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, rare = made(330), made(260)
+    rows = [(k, made(rng.randrange(150, 400)) + (hot if k % 2 else rare if k % 9 == 0 else "") + made(rng.randrange(250))) for k in range(120)]
+    rows += [(200, made(900) + hot + made(3000) + hot[:220]), (201, made(10) + rows[0][1]), (202, "ab" * 400)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), suffix_dedup.Settings(**settings)).collect()
+    assert sorted(tuple(r) for r in got) == brute_spans(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_op5_random_passages(spark, seed):
     rng = random.Random(seed)
