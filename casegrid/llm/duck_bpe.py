@@ -3,13 +3,25 @@
 A text is split by the vocabulary's pattern; each different piece of a batch
 becomes rows (piece, position, token) that join the merge table. A recursive
 query contracts every piece's leftmost pair of least rank, again and again,
-until no pair can merge. Where nothing that the new token can merge with ranks
-below it, all its places in the piece are contracted at once: later steps could
-not have come between. Decoding joins tokens with the vocabulary and
+until no pair can merge. Decoding joins tokens with the vocabulary and
 concatenates their bytes in order of position.
 
-Edge cases: null and empty texts have no tokens and decode to no bytes; special
-tokens in a text are ordinary text; very long pieces only take more rounds.
+Pieces of more than ``WINDOW`` bytes are encoded as windows that overlap by
+half. A sequence of tokens is the encoding of its bytes if and only if each two
+neighbours are that of theirs (the first merge across the edge of a token would
+also happen in these two alone), and neighbours inside a window are. So two
+windows are joined at a token that both hold at the same place. Where they hold
+none, the piece goes to windows eight times as wide, and after the widest to a
+query over the whole piece, which contracts a pair at all its places at once
+where nothing that the new token can merge with ranks below it. So rounds are
+bounded by the window, and cost and memory grow in line with the piece.
+
+Defined results: null and empty texts have no tokens and decode to no bytes;
+special tokens in a text are ordinary text; a piece that is a token as a whole is
+that token; repeated rows are encoded once each; ties of rank go to the leftmost
+pair; an empty table gives no rows; columns other than doc_id and text are
+ignored, whatever their names. Long texts take memory in proportion to the
+longest text alone.
 """
 
 from __future__ import annotations
@@ -47,7 +59,7 @@ WITH RECURSIVE rows(piece, pos, tok, done) AS (
 SELECT piece, tok FROM rows WHERE done ORDER BY piece, pos
 """
 
-#: The same for long pieces, where a safe pair is contracted at all its places at once: every other one of a run that overlaps.
+#: The same for a whole long piece, where a safe pair is contracted at all its places at once: every other one of a run that overlaps.
 ENCODE_LONG = """
 WITH RECURSIVE rows(piece, pos, tok, done) AS (
     SELECT piece, pos, tok, false FROM start
@@ -111,8 +123,10 @@ class DuckBpe:
     GROUP = 4_000_000
     #: bytes of pieces that one query contracts
     BLOCK = 600_000
-    #: bytes from which a piece is contracted at many places a round
-    LONG = 64
+    #: bytes of the windows of long pieces, which overlap by half, narrowest first
+    WINDOWS = (64, 512, 4096)
+    #: bytes of pieces, ids and decoded texts that are remembered at most
+    HELD = 250_000_000
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -126,7 +140,11 @@ class DuckBpe:
         left, right, made, safe = merge_rows(ranks)
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), made=pa.array(made, pa.int32()), safe=pa.array(safe))
         self._table("vocabulary", tok=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([w.hex() for w in ranks]))
+        self.ranks = ranks
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.size[list(ranks.values())] = [len(w) for w in ranks]
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         rows = pa.table(columns)
@@ -134,43 +152,101 @@ class DuckBpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(piece number, token) in order of piece and position."""
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        number = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-        pos = np.arange(len(number), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-        self._table("start", piece=pa.array(number), pos=pa.array(pos), tok=pa.array(self.single[np.frombuffer(b"".join(pieces), np.uint8)]))
-        got = self.db.execute(ENCODE if sizes.max(initial=0) < self.LONG else ENCODE_LONG).fetchnumpy()
-        return np.asarray(got["piece"]), np.asarray(got["tok"])
+    def contracted(self, pieces: list[bytes], query: str = ENCODE) -> list[np.ndarray]:
+        """Tokens of each piece, ``BLOCK`` bytes a query."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(pieces):
+            size, end = 0, at
+            while end < len(pieces) and (size < self.BLOCK or end == at):
+                size += len(pieces[end])
+                end += 1
+            block = pieces[at:end]
+            sizes = np.array([len(p) for p in block], dtype=np.int64)
+            number = np.repeat(np.arange(len(block), dtype=np.int32), sizes)
+            pos = np.arange(len(number), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            self._table("start", piece=pa.array(number), pos=pa.array(pos), tok=pa.array(self.single[np.frombuffer(b"".join(block), np.uint8)]))
+            got = self.db.execute(query).fetchnumpy()
+            piece, tok = np.asarray(got["piece"]), np.asarray(got["tok"])
+            out += np.split(tok, np.searchsorted(piece, np.arange(1, len(block))))
+            at = end
+        return out
+
+    def encode_long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Tokens of long pieces, by windows; see the module's text."""
+        done: dict[int, np.ndarray] = {}
+        for width in self.WINDOWS:
+            left = [k for k in range(len(pieces)) if k not in done]
+            windows: dict[bytes, np.ndarray] = {}
+            for k in left:
+                for at in range(0, len(pieces[k]), width // 2):
+                    windows.setdefault(pieces[k][at : at + width])
+            listed = sorted(windows)
+            windows = dict(zip(listed, self.contracted(listed)))
+            for k in left:
+                joined = self.joined(pieces[k], width, windows)
+                if joined is not None:
+                    done[k] = joined
+        rest = [k for k in range(len(pieces)) if k not in done]
+        for k, tokens in zip(rest, self.contracted([pieces[k] for k in rest], ENCODE_LONG)):
+            done[k] = tokens
+        return [done[k] for k in range(len(pieces))]
 
-    def decode_pieces(self, number: np.ndarray, tokens: np.ndarray) -> dict[int, bytes]:
-        self._table("ids", piece=pa.array(number.astype(np.int32)), pos=pa.array(np.arange(len(number), dtype=np.int32)), tok=pa.array(tokens.astype(np.int32)))
-        got = self.db.execute(DECODE).fetchall()
-        return {k: bytes.fromhex(text) for k, text in got}
+    def joined(self, piece: bytes, width: int, windows: dict[bytes, np.ndarray]) -> np.ndarray | None:
+        tokens, ends = windows[piece[:width]].tolist(), []
+        at = 0
+        for t in tokens:
+            at += int(self.size[t])
+            ends.append(at)
+        for start in range(width // 2, len(piece), width // 2):
+            if ends[-1] >= len(piece):
+                break
+            new = windows[piece[start : start + width]]
+            stop = start + np.cumsum(self.size[new])
+            here = {(e - int(self.size[t]), e): k for k, (t, e) in enumerate(zip(new.tolist(), stop.tolist()))}
+            for k in range(len(tokens) - 1, -1, -1):
+                begin = ends[k] - int(self.size[tokens[k]])
+                if begin < start:
+                    return None
+                if (same := here.get((begin, ends[k]))) is not None:
+                    break
+            else:
+                return None
+            del tokens[k + 1 :], ends[k + 1 :]
+            tokens += new[same + 1 :].tolist()
+            ends += stop[same + 1 :].tolist()
+        return np.array(tokens, dtype=np.int32)
+
+    def decode_pieces(self, pieces: list[np.ndarray]) -> list[bytes]:
+        number = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) for p in pieces])
+        tokens = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+        self._table("ids", piece=pa.array(number), pos=pa.array(np.arange(len(number), dtype=np.int32)), tok=pa.array(tokens.astype(np.int32)))
+        got = dict(self.db.execute(DECODE).fetchall())
+        return [bytes.fromhex(got.get(k, "")) for k in range(len(pieces))]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode and decode pieces that are not yet known, ``BLOCK`` bytes a query."""
-        for far in (False, True):
-            block: list[bytes] = []
-            size = 0
-            for piece in pieces:
-                data = piece.encode("utf-8", "surrogatepass")
-                if (len(data) >= self.LONG) == far:
-                    block.append(data)
-                    size += len(data)
-                    if size >= self.BLOCK:
-                        self.remember(block)
-                        block, size = [], 0
-            if block:
-                self.remember(block)
-
-    def remember(self, block: list[bytes]) -> None:
-        number, tokens = self.encode_pieces(block)
-        back = self.decode_pieces(number, tokens)
-        edges = np.searchsorted(number, np.arange(len(block) + 1)).tolist()
-        flat = tokens.astype("<u4").tobytes()
-        for i, data in enumerate(block):
-            self.known[data.decode("utf-8", "surrogatepass")] = (flat[4 * edges[i] : 4 * edges[i + 1]], back.get(i, b""))
+        """Encode and decode pieces that are not yet known."""
+        kinds: tuple[list[bytes], list[bytes], list[bytes]] = [], [], []
+        for piece in pieces:
+            data = piece.encode("utf-8", "surrogatepass")
+            kinds[0 if data in self.ranks else 1 if len(data) <= self.WINDOWS[0] else 2].append(data)
+        self.remember(kinds[0], [np.array([self.ranks[d]], np.int32) for d in kinds[0]])
+        self.remember(kinds[1], self.contracted(kinds[1]))
+        long, size = [], 0
+        for data in kinds[2]:
+            long.append(data)
+            size += len(data)
+            if size > self.BLOCK:
+                self.remember(long, self.encode_long(long))
+                long, size = [], 0
+        self.remember(long, self.encode_long(long))
+
+    def remember(self, pieces: list[bytes], tokens: list[np.ndarray]) -> None:
+        for at in range(0, len(pieces), 100_000):
+            part = tokens[at : at + 100_000]
+            for data, ids, back in zip(pieces[at : at + 100_000], part, self.decode_pieces(part)):
+                self.known[data.decode("utf-8", "surrogatepass")] = (ids.astype("<u4").tobytes(), back)
+                self.held += 2 * len(data) + 4 * len(ids)
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from them) of each text, ``GROUP`` characters at a time."""
@@ -180,8 +256,9 @@ class DuckBpe:
             group.append(self.split(text))
             size += len(text)
             if size >= self.GROUP or k == len(texts) - 1:
-                if len(self.known) > self.LIMIT:
+                if len(self.known) > self.LIMIT or self.held > self.HELD:
                     self.known.clear()
+                    self.held = 0
                 known = self.known
                 self.learn(sorted({p for pieces in group for p in pieces if p not in known}))
                 for pieces in group:

@@ -270,6 +270,30 @@ def test_op8_equals_the_library(docs, none):
     assert [np.frombuffer(a, "<u4").tolist() for a, _ in coder.encode_texts(hard)] == [library.encode_ordinary(t) for t in hard]
 
 
+def test_op8_long_pieces():
+    """Pieces of up to 1 MB equal the library's; time grows in line with them."""
+    import time
+
+    import public_tokenizers
+    import tiktoken
+
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=duck_bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(4)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    coder = duck_bpe.DuckBpe(path, public_tokenizers.PATTERN)
+    hard = [made("ACGT", 5000), made("etaoinshrdlu", 5000), made("ab", 3000), "a" * 9999, "abc" * 2500, "-" * 3000, "=-" * 1500, " " * 5000, made("éàü", 2000), made("你好世界", 900), "the" * 2000]
+    assert [np.frombuffer(a, "<u4").tolist() for a, _ in coder.encode_texts(hard)] == [library.encode_ordinary(t) for t in hard]
+    took = []
+    for n in (100_000, 1_000_000):
+        text = made("abcdefghijklmnopqrstuvwxyz", n)
+        began = time.perf_counter()
+        (ids, back), = coder.encode_texts([text])
+        took.append(time.perf_counter() - began)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and back == text.encode()
+    assert took[1] < 25 * took[0]
+
+
 def brute_components(rows, percent=75):
     sets = [shingles(t) for t in texts(rows)]
     parent = list(range(len(rows)))
