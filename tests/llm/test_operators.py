@@ -252,6 +252,25 @@ def test_op7_round_trip(docs, none):
     assert token_files.round_trip(none, WORD_BPE).count() == 0
 
 
+def test_op7_shards_and_slices(spark, tmp_path):
+    """Null and repeated ids are spread over shards; shards roll; slices cut between documents."""
+    rows = [(None, f"no id {k % 5}") for k in range(40)] + [(7, "same text")] * 40 + [(k, "some words of text " * (k % 9)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    limits = token_files.Limits(ids=50, documents=9, slice_ids=20, slice_documents=4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        shards = token_files.write(df, WORD_BPE, 1, f"file://{tmp_path}/ids", limits)
+        got = sorted((tuple(r) for r in token_files.read(spark, f"file://{tmp_path}/ids", limits).collect()), key=lambda r: r[1])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(shards) > 10 and len({s.name.split("-")[1] for s in shards if s.n_docs}) == 4
+    encoder = word_encoder(WORD_BPE).tokenizer
+    want = sorted(((d if d is not None else -(2**63)), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in rows for ids in [[*encoder.encode(t, add_special_tokens=False).ids, 1]])
+    assert sorted((d if d is not None else -(2**63), n, c) for d, _, n, c in got) == want
+    assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])])[:-1].tolist()
+    assert [d if d is not None else -(2**63) for d, *_ in got] == sorted(d if d is not None else -(2**63) for d, _ in rows)
+
+
 def test_op8_equals_the_library(docs, none):
     import public_tokenizers
     import tiktoken
