@@ -1,32 +1,39 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-Outcomes are factored: a softmax over classes, then a softmax over the words of
-a class. The most frequent words (``head``) are in classes of equal size by
-frequency; every other word falls into a class by its ending, and has its
-smoothed count share in that class, so unseen words have a probability too and
-all outcomes sum to one. Features are the preceding word, the pair of preceding
-words and two skips, over one word and over two, hashed into the rows of one
-weight table.
-
-Training makes one pass over all training text in synchronous rounds: each
-round deals with its own share of the documents, every task sums observed minus
-expected feature counts under the current weights, the sums are added by block
-of the table, and the step is scaled by the damped expected counts. Counts of
-words cover all training text and are shuffled with map-side sums. Scoring is a
-narrow pass with sparse features in numpy batches; counts of rare words come
-from a join on the word's hash.
-
-Words are told apart by 64-bit hashes in that join. Edge cases: null and empty
-texts are the end token alone; with no training text every word is unseen and
-both scores stay finite; null ids are held by their own hash; repeated rows are
-scored one by one; extra columns are ignored.
+Outcomes are factored: a softmax over classes, then a softmax inside the class.
+The most frequent words (``head``) are in classes of equal size by frequency;
+every other word falls into a class by its ending and in it into a cell by its
+hash, in which it has its smoothed count share; so unseen words have a
+probability too and all outcomes sum to one. Features are the preceding word
+(by its own hash), the pair of preceding words, and two skips, over one word and
+over two, each hashed into its own region of one weight table; inside a class
+they are the preceding word and the one before it. The head and the tables grow
+with the training tokens, up to sizes that can be broadcast (``Settings.grown``).
+
+Training makes three passes over all training text, one or two feature kinds a
+pass. In a pass every task sums observed and expected feature counts under the
+current weights; the sums are added by rows of the table over the cluster, and
+the weights move by the gradient (observed less expected), divided by the mean
+of both counts and a damping, which bounds a step. Counts of words cover all
+training text and are shuffled with map-side sums.
+
+Texts are tokenized twice, for the counts and into symbols (16 bits a token),
+which are written once; training and scoring read these. Counts of rare words
+come from a join on the word's 64-bit hash.
+
+Defined results: null and empty texts are the end token alone; with no training
+text every word is unseen and both scores stay finite; null ids are held by
+their own hash; repeated rows and ties are scored one by one, alike; an empty
+table gives no rows; long texts take memory in proportion to the longest alone;
+extra columns are carried along whatever their names, but one that is named like
+a result column gives way to it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +42,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored, tidy
+from casegrid.llm.common import CARRIED, carry, opened, stored, tidy, widened
 
 END = b""
-#: class features of a token
-N_FEATURES = 4
+#: feature kinds of a token's class, and of the word or cell inside it
+N_FEATURES, N_INNER = 4, 2
+#: the class and inner kinds that each pass over the training text moves
+PASSES = (((0,), (0,)), ((1,), (1,)), ((2, 3), ()))
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: words of the softmax over words, the end token among them
+    #: words of the softmax over words, the end token among them; the least and the most
     head: int = 1024
-    #: words of a class
+    most_head: int = 4096
+    #: words, or cells, of a class
     width: int = 32
     #: classes of other words: the most frequent endings, and one for all other endings
-    endings: int = 48
-    #: rows of the hashed tables for classes and for words in a class
-    class_rows: int = 8192
-    word_rows: int = 8192
-    #: synchronous rounds; each training document belongs to one
-    rounds: int = 2
-    #: expected counts that are added to both sides of a step
+    endings: int = 16
+    #: hashes of other words of a class that features tell apart; a cell has an equal share of them
+    marks: int = 2048
+    #: rows of the hashed tables for classes and for what is inside a class; the least and the most
+    rows: int = 8192
+    most_rows: int = 131_072
+    #: training tokens for each row
+    tokens_per_row: int = 4096
+    #: counts that are added to those that divide a step
     damping: float = 8.0
     #: words whose counts are broadcast; the others' come by the join
     frequent: int = 200_000
@@ -63,6 +75,13 @@ class Settings:
     batch: int = 2048
     group: int = 200_000
 
+    def grown(self, tokens: int) -> "Settings":
+        """The head grows with the square root of the training tokens, the tables in line with them, both in powers of two."""
+        power = lambda x: 1 << max(0, int(x)).bit_length() >> 1
+        head = max(self.head, min(self.most_head, power(tokens**0.5 / 8)))
+        rows = max(self.rows, min(self.most_rows, power(2 * tokens / self.tokens_per_row)))
+        return replace(self, head=head, width=self.width if head < 4 * self.head else 2 * self.width, rows=rows)
+
 
 def split(text: str | None) -> list[bytes]:
     return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else ()), END]
@@ -108,7 +127,7 @@ class Vocabulary:
     head: dict[bytes, int]
     head_counts: np.ndarray
     endings: dict[bytes, int]
-    tail_total: np.ndarray  # by ending class: tokens outside the head
+    tail_total: np.ndarray  # by ending class and cell: tokens outside the head
     tail_kinds: np.ndarray
     frequent: np.ndarray  # sorted hashes
     frequent_counts: np.ndarray
@@ -121,63 +140,88 @@ class Vocabulary:
     def n_classes(self) -> int:
         return self.n_head_classes + self.settings.endings
 
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, place in the class, and coarse number of each symbol."""
+        s = self.settings
+        symbol = np.arange(s.head + s.endings * s.marks)
+        beyond = np.maximum(symbol - s.head, 0)
+        at_head = symbol < s.head
+        inside = np.where(at_head, symbol % s.width, beyond % s.marks % s.width)
+        of = np.where(at_head, symbol // s.width, self.n_head_classes + beyond // s.marks)
+        return of, inside, np.where(at_head, symbol, s.head + beyond // s.marks * s.width + inside)
+
+
+def mark(h: np.ndarray, s: Settings) -> np.ndarray:
+    """Which of its class's marks a word's hash is; the cell is the mark modulo the width."""
+    return (h.astype(np.int64).view(np.uint64) >> np.uint64(40)).astype(np.int64) % s.marks
+
 
 def gather_vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
-    """Totals, the head, sums by ending and the frequent words' counts: bounded by the settings and 65,793 endings."""
+    """Totals, the head, sums by ending and cell and the frequent words' counts: bounded by the settings and 65,793 endings."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    settings = settings.grown(int(total))
     top = counts.orderBy(F.desc("n"), "word")
     head_rows = top.limit(settings.head).collect()
     head = {bytes(r["word"]): k for k, r in enumerate(head_rows)}
 
-    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, list[int]] = {}
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in head:
-                    got = sums.setdefault(ending(word), [0, 0])
-                    got[0] += n
-                    got[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["e", "n", "v"])
-
-    sums = counts.select("word", "n").mapInArrow(tidy(by_ending), "e binary, n long, v long").groupBy("e").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    sums.sort(key=lambda r: (-r["n"], bytes(r["e"])))
-    endings = {bytes(r["e"]): k for k, r in enumerate(sums[: settings.endings - 1])}
-    tail_total, tail_kinds = np.zeros(settings.endings), np.zeros(settings.endings)
-    for r in sums:
-        k = endings.get(bytes(r["e"]), settings.endings - 1)
-        tail_total[k] += r["n"]
-        tail_kinds[k] += r["v"]
+    def sums_by(endings: dict[bytes, int] | None) -> DataFrame:
+        """Sums over words outside the head, by ending, or by class and cell as eight bytes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[bytes, list[int]] = {}
+            for batch in batches:
+                words = batch.column(0).to_pylist()
+                cells = (mark(np.array([hashed(w) for w in words], np.int64), settings) % settings.width).tolist() if endings is not None else words
+                for word, n, cell in zip(words, batch.column(1).to_pylist(), cells):
+                    if word not in head:
+                        key = ending(word)
+                        if endings is not None:
+                            key = (endings.get(key, settings.endings - 1) * settings.width + cell).to_bytes(8, "big")
+                        got = sums.setdefault(key, [0, 0])
+                        got[0] += n
+                        got[1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["e", "n", "v"])
+
+        return counts.select("word", "n").mapInArrow(tidy(run), "e binary, n long, v long").groupBy("e").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+    listed = sorted(sums_by(None).collect(), key=lambda r: (-r["n"], bytes(r["e"])))
+    endings = {bytes(r["e"]): k for k, r in enumerate(listed[: settings.endings - 1])}
+    tail_total, tail_kinds = np.zeros(settings.endings * settings.width), np.zeros(settings.endings * settings.width)
+    for r in sums_by(endings).collect():
+        k = int.from_bytes(bytes(r["e"]), "big")
+        tail_total[k], tail_kinds[k] = r["n"], r["v"]
     often = top.limit(settings.frequent).select(F.xxhash64("word").alias("h"), "n").toArrow()
     h, n = often.column("h").to_numpy(), often.column("n").to_numpy()
     order = np.argsort(h)
-    return Vocabulary(settings, int(total), int(kinds), head, np.array([r["n"] for r in head_rows], dtype=np.float64), endings, tail_total, tail_kinds, h[order], n[order])
+    shape = (settings.endings, settings.width)
+    return Vocabulary(settings, int(total), int(kinds), head, np.array([r["n"] for r in head_rows], dtype=np.float64), endings, tail_total.reshape(shape), tail_kinds.reshape(shape), h[order], n[order])
 
 
 @dataclass
 class Model:
     settings: Settings
     bias: np.ndarray  # log share of each class
-    inner: np.ndarray  # head classes x width: log share of a word in its class
-    classes: np.ndarray  # class_rows x n_classes
-    words: np.ndarray  # word_rows x width
+    inner: np.ndarray  # classes x width: log share of a word or cell in its class
+    classes: np.ndarray  # rows x n_classes
+    words: np.ndarray  # rows x width
 
     @classmethod
     def start(cls, v: Vocabulary) -> "Model":
         s = v.settings
         counts = np.full(v.n_head_classes * s.width, -1.0)
         counts[: len(v.head_counts)] = v.head_counts
-        grid = counts.reshape(v.n_head_classes, s.width)
+        grid = np.concatenate([counts.reshape(v.n_head_classes, s.width), v.tail_total])
         there = grid >= 0
         mass = np.where(there, grid + 0.5, 0.0)
-        by_class = np.concatenate([mass.sum(axis=1), v.tail_total + 1.0])
+        by_class = mass.sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            inner = np.where(there, np.log(mass / mass.sum(axis=1, keepdims=True)), -1e4)
+            inner = np.where(there, np.log(mass / by_class[:, None]), -1e4)
             bias = np.where(by_class > 0, np.log(by_class / by_class.sum()), -1e4)
-        return cls(s, bias.astype(np.float32), inner.astype(np.float32), np.zeros((s.class_rows, v.n_classes), np.float32), np.zeros((s.word_rows, s.width), np.float32))
+        return cls(s, bias.astype(np.float32), inner.astype(np.float32), np.zeros((s.rows, v.n_classes), np.float32), np.zeros((s.rows, s.width), np.float32))
 
 
 class Reader:
-    """Texts as numbers. Each different word is looked up once; its number keeps its symbol, hash and count."""
+    """Texts as symbols. Each different word is looked up once; its number keeps its symbol, hash and count."""
 
     LIMIT = 500_000
 
@@ -205,10 +249,11 @@ class Reader:
         return np.array(out, dtype=np.int64), np.array(sizes, dtype=np.int64)
 
     def extend(self, new: list[bytes]) -> None:
-        v, other = self.v, self.v.settings.endings - 1
-        symbol = np.array([v.head.get(w, -1) for w in new], dtype=np.int32)
-        symbol = np.where(symbol >= 0, symbol, v.settings.head + np.array([v.endings.get(ending(w), other) for w in new], dtype=np.int32))
+        v, s = self.v, self.v.settings
         h = np.array([hashed(w) for w in new], dtype=np.int64)
+        symbol = np.array([v.head.get(w, -1) for w in new], dtype=np.int64)
+        of = np.array([v.endings.get(ending(w), s.endings - 1) for w in new], dtype=np.int64)
+        symbol = np.where(symbol >= 0, symbol, s.head + of * s.marks + mark(h, s)).astype(np.int32)
         if len(v.frequent):
             at = np.minimum(np.searchsorted(v.frequent, h), len(v.frequent) - 1)
             listed = v.frequent[at] == h
@@ -219,41 +264,22 @@ class Reader:
         self.count, self.listed = np.concatenate([self.count, count]), np.concatenate([self.listed, listed])
 
 
-MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
-
+MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
-def contexts(symbols: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(N_FEATURES x tokens rows of the class table, the two preceding symbols): 0 stands before the first word."""
-    place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    back = []
-    for k in (1, 2, 3):
-        b = np.zeros(len(symbols), dtype=np.uint64)
-        b[k:] = symbols[:-k] + 1
-        b[place < k] = 0
-        back.append(b)
-    a, b, c = back
 
-    def row(kind: int, *values: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = np.full(len(symbols), 7 + 1000003 * kind, dtype=np.uint64)
-            for k, value in enumerate(values):
-                x = (x ^ (value * np.uint64(MIX[k + kind % 2]))) * np.uint64(0xFF51AFD7ED558CCD)
-                x ^= x >> np.uint64(33)
-            return (x % np.uint64(s.class_rows)).astype(np.int64)
-
-    return np.stack([row(0, a), row(1, a, b), row(2, b), row(3, c)]), a, b
-
-
-def word_features(a: np.ndarray, b: np.ndarray, of: np.ndarray, s: Settings) -> np.ndarray:
+def region(kind: int, kinds: int, size: int, *values: np.ndarray) -> np.ndarray:
+    """Rows of a feature kind's own region of a table of ``size`` rows."""
     with np.errstate(over="ignore"):
-        x = np.stack([a * np.uint64(2), b * np.uint64(2) + np.uint64(1)])
-        x = (x ^ (of.astype(np.uint64) * np.uint64(MIX[0]))) * np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(33)
-        return (x % np.uint64(s.word_rows)).astype(np.int64)
+        x = np.full(len(values[0]), 7 + 1000003 * kind, dtype=np.uint64)
+        for k, value in enumerate(values):
+            x = (x ^ (value * np.uint64(MIX[k]))) * np.uint64(0xFF51AFD7ED558CCD)
+            x ^= x >> np.uint64(33)
+    part = size // kinds
+    return (x % np.uint64(part)).astype(np.int64) + kind * part
 
 
-def powers(rows: np.ndarray, table: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores, their exponentials, sums of these): start plus the sum of the table's rows. Scores stay far from overflow: steps are damped logs of count ratios."""
+def powers(rows: list[np.ndarray], table: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, their exponentials, sums of these): start plus the sum of the table's rows. Scores stay far from overflow: a step moves a weight by two at most."""
     z = table.take(rows[0], axis=0)
     part = np.empty_like(z)
     for r in rows[1:]:
@@ -263,137 +289,149 @@ def powers(rows: np.ndarray, table: np.ndarray, start: np.ndarray) -> tuple[np.n
     return z, e, e.sum(axis=1)
 
 
-class Batch:
-    """The sparse features and outcomes of a run of tokens; small enough that its dense scores stay in the processor's cache."""
-
-    def __init__(self, rows: np.ndarray, of: np.ndarray, at_head: np.ndarray, inner_rows: np.ndarray, inner_word: np.ndarray):
-        self.rows, self.of, self.at_head, self.inner_rows, self.inner_word = rows, of, at_head, inner_rows, inner_word
-        self.inner_of = of[at_head]
-
-    def log_prob(self, m: Model) -> np.ndarray:
-        """Natural log of the class's and, for the head, the word's probability."""
-        z, _, total = powers(self.rows, m.classes, m.bias)
-        out = (z[np.arange(len(self.of)), self.of] - np.log(total)).astype(np.float64)
-        if len(self.at_head):
-            z, _, total = powers(self.inner_rows, m.words, m.inner[self.inner_of])
-            out[self.at_head] += z[np.arange(len(self.at_head)), self.inner_word] - np.log(total)
-        return out
-
-    def add_expected(self, m: Model, classes: np.ndarray, words: np.ndarray) -> None:
-        _, e, total = powers(self.rows, m.classes, m.bias)
-        e /= total[:, None]
-        _scatter(self.rows, e, classes)
-        if len(self.at_head):
-            _, e, total = powers(self.inner_rows, m.words, m.inner[self.inner_of])
-            e /= total[:, None]
-            _scatter(self.inner_rows, e, words)
-
-
 def _scatter(rows: np.ndarray, p: np.ndarray, due: np.ndarray) -> None:
-    """due[row of token] += p of the token, for each feature: the first few tokens of every row layer by layer, the rest of frequent rows by runs."""
-    for r in rows:
-        order = np.argsort(r.astype(np.uint16) if len(due) <= 2**16 else r, kind="stable")
-        ranked = r[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        count = np.diff(np.append(first, len(ranked)))
-        for layer in range(4):
-            at = first[count > layer] + layer
-            if len(at):
-                due[ranked[at]] += p.take(order[at], axis=0)
-        long = count > 4
-        if long.any():
-            size = count[long] - 4
-            starts = np.cumsum(size) - size
-            at = np.repeat(first[long] + 4 - starts, size) + np.arange(size.sum())
-            due[ranked[first[long]]] += np.add.reduceat(p.take(order[at], axis=0), starts, axis=0)
+    """due[row of token] += p of the token: the first few tokens of every row layer by layer, the rest of frequent rows by runs."""
+    order = np.argsort(rows.astype(np.uint16) if len(due) <= 2**16 else rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    count = np.diff(np.append(first, len(ranked)))
+    for layer in range(4):
+        at = first[count > layer] + layer
+        if len(at):
+            due[ranked[at]] += p.take(order[at], axis=0)
+    long = count > 4
+    if long.any():
+        size = count[long] - 4
+        starts = np.cumsum(size) - size
+        at = np.repeat(first[long] + 4 - starts, size) + np.arange(size.sum())
+        due[ranked[first[long]]] += np.add.reduceat(p.take(order[at], axis=0), starts, axis=0)
 
 
 class Features:
-    """Features and outcomes of a group of documents."""
+    """The sparse features and outcomes of a group of documents, from their symbols."""
 
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary):
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary, layout: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.s, self.v = v.settings, v
-        self.rows, a, b = contexts(symbols, sizes, self.s)
-        self.of = np.where(symbols < self.s.head, symbols // self.s.width, v.n_head_classes + symbols - self.s.head)
-        self.at_head = np.flatnonzero(symbols < self.s.head)
-        self.inner_word = symbols[self.at_head] % self.s.width
-        self.inner_rows = word_features(a[self.at_head], b[self.at_head], self.of[self.at_head], self.s)
-
-    def batches(self) -> Iterator[Batch]:
-        step = self.s.batch
-        for lo in range(0, len(self.of), step):
-            hi = min(lo + step, len(self.of))
-            c, d = np.searchsorted(self.at_head, (lo, hi))
-            yield Batch(self.rows[:, lo:hi], self.of[lo:hi], self.at_head[c:d] - lo, self.inner_rows[:, c:d], self.inner_word[c:d])
+        of, inside, coarse = layout or v.layout()
+        self.of, self.inside = of[symbols], inside[symbols]
+        place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+        def back(values: np.ndarray, k: int) -> np.ndarray:
+            """The value k tokens before, and 0 before the first."""
+            out = np.zeros(len(values), dtype=np.uint64)
+            out[k:] = values[: len(values) - k] + 1
+            out[place < k] = 0
+            return out
+
+        broad = coarse[symbols]
+        a, b, c = (back(broad, k) for k in (1, 2, 3))
+        near, own = back(symbols, 1), self.of.astype(np.uint64)
+        self.rows = [region(0, N_FEATURES, self.s.rows, near), region(1, N_FEATURES, self.s.rows, a, b), region(2, N_FEATURES, self.s.rows, b), region(3, N_FEATURES, self.s.rows, c)]
+        self.inner_rows = [region(0, N_INNER, self.s.rows, near, own), region(1, N_INNER, self.s.rows, b, own)]
+
+    def spans(self) -> Iterator[slice]:
+        """Runs of tokens so small that their dense scores stay in the processor's cache."""
+        for lo in range(0, len(self.of), self.s.batch):
+            yield slice(lo, lo + self.s.batch)
 
     def log_prob(self, m: Model) -> np.ndarray:
-        return np.concatenate([b.log_prob(m) for b in self.batches()])
-
-    def add_to(self, m: Model, first: bool, sums: list[np.ndarray]) -> None:
-        """Add observed and expected counts: sums = [class observed, class expected, word observed, word expected]."""
-        for seen, rows, outcome in ((sums[0], self.rows, self.of), (sums[2], self.inner_rows, self.inner_word)):
-            for r in rows:
-                seen += np.bincount(r * seen.shape[1] + outcome, minlength=seen.size).reshape(seen.shape)
-        if not first:
-            classes, words = (np.zeros(x.shape, np.float32) for x in (sums[1], sums[3]))
-            for b in self.batches():
-                b.add_expected(m, classes, words)
-            sums[1] += classes
-            sums[3] += words
+        """Natural log of the probability of each token's class, and in it of its word or cell."""
+        out = np.empty(len(self.of))
+        for part in self.spans():
+            of, inside = self.of[part], self.inside[part]
+            at = np.arange(len(of))
+            z, _, total = powers([r[part] for r in self.rows], m.classes, m.bias)
+            w, _, below = powers([r[part] for r in self.inner_rows], m.words, m.inner[of])
+            out[part] = z[at, of] - np.log(total) + w[at, inside] - np.log(below)
+        return out
+
+    def add_to(self, m: Model, number: int, sums: list[np.ndarray]) -> None:
+        """Add observed and expected counts of a pass: sums = [class observed, class expected, inner observed, inner expected]."""
+        moved, moved_inner = PASSES[number]
+        ready, ready_inner = ([k for done in PASSES[:number] for k in done[which]] for which in (0, 1))
+        for seen, rows, kinds, outcome in ((sums[0], self.rows, moved, self.of), (sums[2], self.inner_rows, moved_inner, self.inside)):
+            for k in kinds:
+                seen += np.bincount(rows[k] * seen.shape[1] + outcome, minlength=seen.size).reshape(seen.shape)
+        if ready:
+            for part in self.spans():
+                of = self.of[part]
+                _, e, total = powers([self.rows[k][part] for k in ready], m.classes, m.bias)
+                e /= total[:, None]
+                for k in moved:
+                    _scatter(self.rows[k][part], e, sums[1])
+                if moved_inner:
+                    _, e, total = powers([self.inner_rows[k][part] for k in ready_inner], m.words, m.inner[of])
+                    e /= total[:, None]
+                    for k in moved_inner:
+                        _scatter(self.inner_rows[k][part], e, sums[3])
             return
-        # without weights every token has the same class probabilities, and those of words depend on the class alone
-        for r in self.rows:
-            sums[1] += np.bincount(r, minlength=len(sums[1]))[:, None] * np.exp(m.bias)[None]
-        of, n = self.of[self.at_head], self.v.n_head_classes
-        for r in self.inner_rows:
-            times = np.bincount(r * n + of, minlength=len(sums[3]) * n).reshape(-1, n)
+        # without weights every token has the same class probabilities, and what is inside depends on the class alone
+        for k in moved:
+            sums[1] += np.bincount(self.rows[k], minlength=len(sums[1]))[:, None] * np.exp(m.bias)[None]
+        n = self.v.n_classes
+        for k in moved_inner:
+            times = np.bincount(self.inner_rows[k] * n + self.of, minlength=len(sums[3]) * n).reshape(-1, n)
             sums[3] += times @ np.exp(m.inner)
 
 
 #: rows of a table that travel together when sums are added up
-BLOCK = 128
+BLOCK = 64
 
 
-def gradient(texts: DataFrame, model: Model, v: Vocabulary, first: bool) -> list[np.ndarray]:
-    """Observed and expected counts of one round, summed over the cluster by block of the tables."""
-    spark = texts.sparkSession
+def table_sums(symbols: DataFrame, model: Model, v: Vocabulary, number: int) -> list[np.ndarray]:
+    """Observed and expected counts of one pass, summed over the cluster by block of the tables; a task sends the rows that it met."""
+    spark = symbols.sparkSession
     shared = spark.sparkContext.broadcast((model, v))
-    s = v.settings
     shapes = [model.classes.shape, model.classes.shape, model.words.shape, model.words.shape]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, vocabulary = shared.value
-        reader = Reader(vocabulary)
-        sums = [np.zeros(shape) for shape in shapes]
-        for texts_ in token_groups((t.as_py() for b in batches for t in b.column(0)), s.group):
-            numbers, sizes = reader.numbers(texts_)
-            Features(reader.symbol[numbers], sizes, vocabulary).add_to(m, first, sums)
-        keys, data = [], []
-        for k, total in enumerate(sums):
-            for at in range(0, len(total), BLOCK):
-                block = total[at : at + BLOCK]
-                if block.any():
-                    keys.append(k << 32 | at)
-                    data.append(block.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
+        layout = vocabulary.layout()
+        sums = [np.zeros(shape, np.float32) for shape in shapes]
+        total = [np.zeros(shape) for shape in shapes]
+        for codes, sizes in symbol_groups(batches, vocabulary.settings.group):
+            Features(codes, sizes, vocabulary, layout).add_to(m, number, sums)
+            for whole, part in zip(total, sums):
+                whole += part
+                part[:] = 0
+        keys, rows, data = [], [], []
+        for k, whole in enumerate(total):
+            met = np.flatnonzero(whole.any(axis=1))
+            for at in np.split(met, np.flatnonzero(np.diff(met // BLOCK)) + 1) if len(met) else ():
+                keys.append(k << 32 | int(at[0]) // BLOCK)
+                rows.append((at % BLOCK).astype(np.uint8).tobytes())
+                data.append(whole[at].astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary()), pa.array(data, pa.binary())], ["block", "rows", "data"])
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        number_ = key[0].as_py()
+        whole = np.zeros((BLOCK, shapes[number_ >> 32][1]))
         for batch in batches:
-            for data in batch.column(1).to_pylist():
-                got = np.frombuffer(data, np.float32).astype(np.float64)
-                total = got if total is None else total + got
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
-
-    # a task holds a whole table of sums: a few tasks a core, however many splits
-    few = texts.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
-    out = [np.zeros(shape) for shape in shapes]
-    for r in few.mapInArrow(tidy(run), "block long, data binary").groupBy("block").applyInArrow(added, "block long, data binary").collect():
-        k, at = r["block"] >> 32, r["block"] & (2**32 - 1)
-        got = np.frombuffer(r["data"], np.float32).reshape(-1, shapes[k][1])
-        out[k][at : at + len(got)] = got
+            for rows, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                whole[np.frombuffer(rows, np.uint8)] += np.frombuffer(data, np.float32).reshape(-1, whole.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array([number_], pa.int64()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
+
+    out = [np.zeros((-(-shape[0] // BLOCK) * BLOCK, shape[1])) for shape in shapes]
+    for r in symbols.mapInArrow(tidy(run), "block long, rows binary, data binary").groupBy("block").applyInArrow(added, "block long, data binary").collect():
+        k, at = r["block"] >> 32, (r["block"] & (2**32 - 1)) * BLOCK
+        out[k][at : at + BLOCK] = np.frombuffer(r["data"], np.float32).reshape(BLOCK, -1)
     shared.unpersist()
-    return out
+    return [whole[: shape[0]] for whole, shape in zip(out, shapes)]
+
+
+def symbol_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, lengths) of documents of about ``size`` tokens together, from one binary column."""
+    held, sizes, n = [], [], 0
+    for batch in batches:
+        for data in batch.column(0):
+            held.append(data.as_buffer())
+            sizes.append(len(held[-1]) // 2)
+            n += sizes[-1]
+            if n >= size:
+                yield np.concatenate([np.frombuffer(h, "<u2") for h in held]).astype(np.int64), np.array(sizes, np.int64)
+                held, sizes, n = [], [], 0
+    if held:
+        yield np.concatenate([np.frombuffer(h, "<u2") for h in held]).astype(np.int64), np.array(sizes, np.int64)
 
 
 def token_groups(texts: Iterator[str | None], size: int) -> Iterator[list[str | None]]:
@@ -409,91 +447,111 @@ def token_groups(texts: Iterator[str | None], size: int) -> Iterator[list[str |
         yield group
 
 
-def step(model: Model, sums: list[np.ndarray], s: Settings) -> Model:
-    """Observed against expected counts, in log form, damped; shared by the features that fire together."""
+def step(model: Model, sums: list[np.ndarray], number: int, s: Settings) -> Model:
+    """One gradient step of a pass's kinds, shared by kinds that move together."""
     share = np.maximum(np.exp(model.bias), 1e-9)[None]  # a class without words is never an outcome
-    moved = np.log((sums[0] + s.damping * share) / (sums[1] + s.damping * share)) / N_FEATURES
-    even = 1.0 / s.width
-    inner = np.log((sums[2] + s.damping * even) / (sums[3] + s.damping * even)) / 2
-    return Model(s, model.bias, model.inner, (model.classes + moved).astype(np.float32), (model.words + inner).astype(np.float32))
-
-
-def train(texts: DataFrame, settings: Settings) -> tuple[Model, Vocabulary, DataFrame]:
-    """``texts`` has the one column text, of training rows only."""
-    spark = texts.sparkSession
-    counts = stored(count_words(texts), spark, "lm-counts")
-    v = gather_vocabulary(counts, settings)
-    model = Model.start(v)
-    turn = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(settings.rounds))
-    for k in range(settings.rounds):
-        model = step(model, gradient(texts.where(turn == k), model, v, k == 0), settings)
-    return model, v, counts
+    moved, moved_inner = PASSES[number]
+    gradient = (sums[0] - sums[1]) / ((sums[0] + sums[1]) / 2 + s.damping * share)
+    inner = (sums[2] - sums[3]) / ((sums[2] + sums[3]) / 2 + s.damping / s.width)
+    return Model(s, model.bias, model.inner, (model.classes + gradient / max(1, len(moved))).astype(np.float32), (model.words + inner / max(1, len(moved_inner))).astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, v: Vocabulary, counts: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but text, then n_tokens, n_known, train_tokens, base_score, score.
+def in_symbols(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """carried_row, learn, row, symbols, n_tokens, n_known, base, tail (log10 shares of other words in their cells), and the words that are not among the broadcast counts, with their times.
 
-    The narrow pass is written once; of each document it keeps the words that
-    are not among the broadcast counts, which then join the counts by hash.
+    ``docs``: carried_row, text, learn (true: training text).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, v))
-    s = v.settings
-    others = [c for c in docs.columns if c != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, vocabulary = shared.value
+        vocabulary = shared.value
+        s = vocabulary.settings
         reader = Reader(vocabulary)
+        of, inside, _ = vocabulary.layout()
         log_base = np.log10(vocabulary.total + vocabulary.kinds + 1.0)
         log_tail = np.log10(vocabulary.tail_total + vocabulary.tail_kinds + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(len(others))
             done = 0
-            for group in token_groups((t.as_py() for t in texts), s.group):
+            for group in token_groups((t.as_py() for t in batch.column(1)), s.group):
                 numbers, sizes = reader.numbers(group)
                 starts = np.cumsum(sizes) - sizes
                 symbols, count, listed = reader.symbol[numbers], reader.count[numbers], reader.listed[numbers]
                 logs = np.log10(count + 1.0)
-                scores = Features(symbols, sizes, vocabulary).log_prob(m) / np.log(10)
-                tail = symbols >= s.head
-                scores += np.where(tail, logs - log_tail[np.where(tail, symbols - s.head, 0)], 0.0)
+                beyond = np.maximum(of[symbols] - vocabulary.n_head_classes, 0)
+                tail = np.where(symbols >= s.head, logs - log_tail[beyond, inside[symbols]], 0.0)
                 apart = np.flatnonzero(~listed)
                 pair = np.repeat(np.arange(len(group)), sizes)[apart] * (len(reader.hash) + 1) + numbers[apart]
                 pair, times = np.unique(pair, return_counts=True)
                 owner, number = pair // (len(reader.hash) + 1), pair % (len(reader.hash) + 1)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(group)))]).astype(np.int32)
-                columns = [c.slice(done, len(group)) for c in batch.columns[: len(others)]]
+                flat = symbols.astype("<u2").tobytes()
+                edges = (2 * np.append(starts, len(symbols))).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *columns, pa.array(row + np.arange(len(group))), pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(logs, starts) - sizes * log_base), pa.array(np.add.reduceat(scores, starts)),
+                        batch.column(0).slice(done, len(group)), batch.column(2).slice(done, len(group)), pa.array(row + np.arange(len(group))), pa.array([flat[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+                        pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts) - sizes * log_base), pa.array(np.add.reduceat(tail, starts)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(reader.hash[number])), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
                     ],
-                    [*others, "row", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                    [CARRIED, "learn", "row", "symbols", "n_tokens", "n_known", "base", "tail", "rare", "times"],
                 )
                 row += len(group)
                 done += len(group)
 
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    first = docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"{kept}, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
-    first = stored(first, spark, "lm-scores")
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
+    return docs.mapInArrow(tidy(run), widened(docs, ("text",), "row long, symbols binary, n_tokens long, n_known long, base double, tail double, rare array<long>, times array<int>"))
+
+
+def train(symbols: DataFrame, v: Vocabulary) -> Model:
+    """``symbols`` has the one column symbols, of training rows only."""
+    model = Model.start(v)
+    if v.total:
+        for number in range(len(PASSES)):
+            model = step(model, table_sums(symbols, model, v, number), number, v.settings)
+    return model
+
+
+def score(read: DataFrame, model: Model, v: Vocabulary, counts: DataFrame) -> DataFrame:
+    """carried_row, n_tokens, n_known, train_tokens, base_score, score; ``read`` is the stored table of ``in_symbols``.
+
+    One narrow pass; of each document the words that are not among the broadcast
+    counts join the counts by hash.
+    """
+    shared = read.sparkSession.sparkContext.broadcast((model, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, vocabulary = shared.value
+        layout = vocabulary.layout()
+        for batch in batches:
+            at = 0
+            for codes, sizes in symbol_groups(iter([batch.select(["symbols"])]), vocabulary.settings.group):
+                logs = Features(codes, sizes, vocabulary, layout).log_prob(m) / np.log(10)
+                part = batch.slice(at, len(sizes))
+                total = np.add.reduceat(logs, np.cumsum(sizes) - sizes) + part.column("tail").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (CARRIED, "row", "n_tokens", "n_known", "base")), pa.array(total)], [CARRIED, "row", "n_tokens", "n_known", "base", "all"])
+                at += len(sizes)
+
+    made = read.select(CARRIED, "row", "n_tokens", "n_known", "base", "tail", "symbols")
+    made = made.mapInArrow(tidy(run), widened(made, ("tail", "symbols"), "all double"))
+    rare = read.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     lookup = counts.select(F.xxhash64("word").alias("h"), "n")
     found = rare.join(lookup, "h").groupBy("row").agg(F.sum("times").alias("seen"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
-    joined = first.drop("rare", "times").join(found, "row", "left")
     zero = F.lit(0.0)
-    return joined.select(
-        *others,
+    return made.join(found, "row", "left").select(
+        CARRIED,
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more", zero)).alias("score"),
+        (F.col("base") + F.coalesce("more", zero)).alias("base_score"),
+        (F.col("all") + F.coalesce("more", zero)).alias("score"),
     )
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs``: text, held_out and any others; learns from the rows that are not held out and scores all."""
-    model, v, counts = train(docs.where("not held_out").select(F.col("text").cast("string").alias("text")), settings)
-    return score(docs, model, v, counts)
+    spark = docs.sparkSession
+    learn = ~F.coalesce("held_out", F.lit(False))
+    counts = stored(count_words(docs.where(learn).select(F.col("text").cast("string").alias("text"))), spark, "lm-counts")
+    v = gather_vocabulary(counts, settings)
+    read = stored(in_symbols(carry(docs, learn.alias("learn")), v), spark, "lm-symbols")
+    model = train(read.where("learn").select("symbols"), v)
+    return opened(score(read, model, v, counts), docs, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -64,7 +64,7 @@ def shingles(text):
 
 def test_op1_base_scores_and_gain(docs, none):
     held = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))).select("doc_id", "text", "key", "held_out")
-    got = maxent_lm.score_documents(held, maxent_lm.Settings(head=64, width=8, frequent=20, class_rows=512, word_rows=512)).collect()
+    got = maxent_lm.score_documents(held, maxent_lm.Settings(head=64, most_head=64, width=8, frequent=20, rows=2048)).collect()
     rows = [(r[0], r[1], bool(r[0] is not None and r[0] % 4 == 1)) for r in fixture_rows()]
     tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]
     counts = Counter(w for _, t, h in rows if not h for w in tokens(t))
@@ -79,14 +79,83 @@ def test_op1_base_scores_and_gain(docs, none):
     assert all(math.isfinite(r["score"]) and r["train_tokens"] == 0 for r in alone)
 
 
-def test_op1_outcomes_sum_to_one():
-    s = maxent_lm.Settings(head=8, width=4, endings=3, class_rows=64, word_rows=64)
-    v = maxent_lm.Vocabulary(s, 100, 20, {b"%d" % k: k for k in range(8)}, np.arange(8, 0, -1.0), {b"ab": 0, b"cd": 1}, np.array([5.0, 3, 2]), np.array([2.0, 2, 1]), np.empty(0, np.int64), np.empty(0, np.int64))
+def small_vocabulary(**more):
+    s = maxent_lm.Settings(head=8, width=4, endings=3, marks=16, rows=256, **more)
+    tail = np.arange(12.0).reshape(3, 4)
+    return maxent_lm.Vocabulary(s, 100, 20, {b"%d" % k: k for k in range(8)}, np.arange(8, 0, -1.0), {b"ab": 0, b"cd": 1}, tail, np.ones((3, 4)), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def brute_log_prob(m, v, symbols, at):
+    """Natural log probability of the token at a place, feature by feature."""
+    of, inside, coarse = v.layout()
+    one = lambda values, k: np.array([int(values[at - k]) + 1 if at >= k else 0], np.uint64)
+    near, a, b, c = one(symbols, 1), one(coarse[symbols], 1), one(coarse[symbols], 2), one(coarse[symbols], 3)
+    own = np.array([of[symbols[at]]], np.uint64)
+    n = v.settings.rows
+    z = m.bias.astype(float).copy()
+    for kind, values in enumerate(((near,), (a, b), (b,), (c,))):
+        z = z + m.classes[maxent_lm.region(kind, 4, n, *values)[0]]
+    w = m.inner[of[symbols[at]]].astype(float).copy()
+    for kind, values in enumerate(((near, own), (b, own))):
+        w = w + m.words[maxent_lm.region(kind, 2, n, *values)[0]]
+    return z[of[symbols[at]]] - np.log(np.exp(z).sum()) + w[inside[symbols[at]]] - np.log(np.exp(w).sum())
+
+
+def test_op1_outcomes_sum_to_one_and_equal_brute_force():
+    v = small_vocabulary()
+    m = maxent_lm.Model.start(v)
+    rng = np.random.default_rng(0)
+    m.classes[:], m.words[:] = rng.normal(size=m.classes.shape), rng.normal(size=m.words.shape)
+    first_of = {}
+    for symbol, cell in enumerate(zip(*v.layout()[:2])):
+        first_of.setdefault(cell, symbol)
+    total = sum(np.exp(maxent_lm.Features(np.array([3, 40, k]), np.array([3]), v).log_prob(m)[2]) for k in first_of.values())
+    assert len(first_of) == 8 + 3 * 4 and total == pytest.approx(1, abs=1e-5)
+    docs = [rng.integers(0, 8 + 3 * 16, n) for n in (1, 2, 3, 9)]
+    got = maxent_lm.Features(np.concatenate(docs), np.array([len(d) for d in docs]), v).log_prob(m)
+    assert np.allclose(got, [brute_log_prob(m, v, d, k) for d in docs for k in range(len(d))], atol=1e-4)
+
+
+def test_op1_passes_move_along_the_gradient(monkeypatch):
+    """Sums of a pass equal brute force, and a pass over the text makes it likelier."""
+    v = small_vocabulary(batch=7)
+    rng = np.random.default_rng(1)
+    docs = [np.resize(rng.integers(0, 56, 5), n) for n in (1, 4, 30, 60)]
+    symbols, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    f = maxent_lm.Features(symbols, sizes, v)
     m = maxent_lm.Model.start(v)
-    m.classes[:] = np.random.default_rng(0).normal(size=m.classes.shape)
-    m.words[:] = np.random.default_rng(1).normal(size=m.words.shape)
-    total = sum(np.exp(maxent_lm.Features(np.array([3, 1, k]), np.array([3]), v).log_prob(m)[2]) for k in range(8 + 3))
-    assert total == pytest.approx(1, abs=1e-5)
+    likely = [f.log_prob(m).sum()]
+    for number, (kinds, inner) in enumerate(maxent_lm.PASSES):
+        sums = [np.zeros(x.shape) for x in (m.classes, m.classes, m.words, m.words)]
+        f.add_to(m, number, sums)
+        z = m.bias + sum(m.classes[r] for r in f.rows)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        seen, expected = np.zeros(m.classes.shape), np.zeros(m.classes.shape)
+        for k in kinds:
+            np.add.at(seen, (f.rows[k], f.of), 1)
+            np.add.at(expected, f.rows[k], p)
+        assert np.allclose(sums[0], seen) and np.allclose(sums[1], expected, atol=1e-4)
+        w = m.inner[f.of] + sum(m.words[r] for r in f.inner_rows)
+        q = np.exp(w) / np.exp(w).sum(axis=1, keepdims=True)
+        expected = np.zeros(m.words.shape)
+        for k in inner:
+            np.add.at(expected, f.inner_rows[k], q)
+        assert np.allclose(sums[3], expected, atol=1e-4)
+        m = maxent_lm.step(m, sums, number, v.settings)
+        likely.append(f.log_prob(m).sum())
+    assert likely == sorted(likely) and likely[1] > likely[0] + 10
+
+
+def test_op1_sizes_grow():
+    sizes = [maxent_lm.Settings().grown(n) for n in (0, 10**6, 8 * 10**7, 5 * 10**9, 10**13)]
+    assert [x.rows for x in sizes] == [8192, 8192, 32768, 131072, 131072] and [x.head for x in sizes] == [1024, 1024, 1024, 4096, 4096]
+
+
+def test_op1_column_names_that_clash(spark):
+    df = spark.createDataFrame([(k, f"some words {k}", k % 3 == 1, -k, "x", [k]) for k in range(9)], "doc_id long, text string, held_out boolean, row long, carried_row string, SCORE array<long>")
+    got = maxent_lm.score_documents(df)
+    assert got.columns == ["doc_id", "held_out", "row", "carried_row", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r["doc_id"], r["row"], r["carried_row"], r["n_tokens"]) for r in got.collect()) == [(k, -k, "x", 4) for k in range(9)]
 
 
 def test_op2_languages(docs, none):

@@ -9,10 +9,11 @@ from casegrid.llm import edit_embedding, language, line_crf, maxent_lm
 
 
 def test_op1_third_word_back_counts():
-    s = maxent_lm.Settings(head=8, width=4, endings=3, class_rows=4096, word_rows=64)
-    one, two = (maxent_lm.contexts(np.array([first, 1, 2, 3]), np.array([4]), s)[0] for first in (4, 5))
-    assert len(one) == maxent_lm.N_FEATURES == 4
-    assert (one[:, 3] != two[:, 3]).tolist() == [False, False, False, True]
+    s = maxent_lm.Settings(head=8, width=4, endings=3, marks=16, rows=4096)
+    v = maxent_lm.Vocabulary(s, 0, 0, {}, np.empty(0), {}, np.zeros((3, 4)), np.zeros((3, 4)), np.empty(0, np.int64), np.empty(0, np.int64))
+    one, two = (maxent_lm.Features(np.array([first, 1, 2, 3]), np.array([4]), v).rows for first in (4, 5))
+    assert len(one) == maxent_lm.N_FEATURES == 4 == sum(len(kinds) for kinds, _ in maxent_lm.PASSES)
+    assert [bool(a[3] != b[3]) for a, b in zip(one, two)] == [False, False, False, True]
 
 
 def made_text(seed, size, letters="abcdefghijklmnopqrst"):
