@@ -5,16 +5,17 @@ The most frequent words (``head``) are in classes of equal size by frequency;
 every other word falls into a class by its ending and in it into a cell by its
 hash, in which it has its smoothed count share; so unseen words have a
 probability too and all outcomes sum to one. Features are the preceding word
-(by its own hash), the pair of preceding words, and two skips, over one word and
-over two, each hashed into its own region of one weight table; inside a class
-they are the preceding word and the one before it. The head and the tables grow
+(one outside the head by a mark of its hash), the pair of preceding words, and
+two skips, over one word and over two (words outside the head by their class),
+each hashed into its own region of one weight table; inside a class they are the
+preceding word and the one before it. The head and the tables grow
 with the training tokens, up to sizes that can be broadcast (``Settings.grown``).
 
 Training makes three passes over all training text, one or two feature kinds a
 pass. In a pass every task sums observed and expected feature counts under the
-current weights; the sums are added by rows of the table over the cluster, and
-the weights move by the gradient (observed less expected), divided by the mean
-of both counts and a damping, which bounds a step. Counts of words cover all
+current weights; the sums are added by rows of the table over the cluster, and the
+weights take a few steps along the gradient (observed less expected, scaled by
+the mean of both), expected counts being weighted anew after each. Counts of words cover all
 training text and are shuffled with map-side sums.
 
 Texts are tokenized twice, for the counts and into symbols (16 bits a token),
@@ -59,16 +60,17 @@ class Settings:
     #: words, or cells, of a class
     width: int = 32
     #: classes of other words: the most frequent endings, and one for all other endings
-    endings: int = 16
+    endings: int = 48
     #: hashes of other words of a class that features tell apart; a cell has an equal share of them
-    marks: int = 2048
+    marks: int = 32
     #: rows of the hashed tables for classes and for what is inside a class; the least and the most
-    rows: int = 8192
+    rows: int = 32_768
     most_rows: int = 131_072
     #: training tokens for each row
     tokens_per_row: int = 4096
-    #: counts that are added to those that divide a step
-    damping: float = 8.0
+    #: gradient steps on the sums of a pass, and counts that are added to both of its sums
+    steps: int = 6
+    damping: float = 30.0
     #: words whose counts are broadcast; the others' come by the join
     frequent: int = 200_000
     #: tokens of a numpy batch, and of the documents that are read together
@@ -76,11 +78,12 @@ class Settings:
     group: int = 200_000
 
     def grown(self, tokens: int) -> "Settings":
-        """The head grows with the square root of the training tokens, the tables in line with them, both in powers of two."""
+        """The head grows with the square root of the training tokens, the tables and the marks in line with them, all in powers of two."""
         power = lambda x: 1 << max(0, int(x)).bit_length() >> 1
         head = max(self.head, min(self.most_head, power(tokens**0.5 / 8)))
         rows = max(self.rows, min(self.most_rows, power(2 * tokens / self.tokens_per_row)))
-        return replace(self, head=head, width=self.width if head < 4 * self.head else 2 * self.width, rows=rows)
+        width = self.width if head < 4 * self.head else 2 * self.width
+        return replace(self, head=head, width=width, marks=self.marks * width // self.width * max(1, rows // self.rows), rows=rows)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -148,7 +151,7 @@ class Vocabulary:
         at_head = symbol < s.head
         inside = np.where(at_head, symbol % s.width, beyond % s.marks % s.width)
         of = np.where(at_head, symbol // s.width, self.n_head_classes + beyond // s.marks)
-        return of, inside, np.where(at_head, symbol, s.head + beyond // s.marks * s.width + inside)
+        return of, inside, np.where(at_head, symbol, s.head + beyond // s.marks)
 
 
 def mark(h: np.ndarray, s: Settings) -> np.ndarray:
@@ -447,13 +450,27 @@ def token_groups(texts: Iterator[str | None], size: int) -> Iterator[list[str |
         yield group
 
 
+def ascended(seen: np.ndarray, expected: np.ndarray, steps: int) -> np.ndarray:
+    """Moves of the weights of rows by gradient steps (observed less expected, over the mean of both); after each, expected counts are weighted anew by the moves so far."""
+    moved = np.zeros(seen.shape)
+    mass = seen.sum(axis=1, keepdims=True)
+    for _ in range(steps):
+        now = expected * np.exp(moved)
+        now *= mass / now.sum(axis=1, keepdims=True)
+        moved += (seen - now) / ((seen + now) / 2)
+    return moved
+
+
 def step(model: Model, sums: list[np.ndarray], number: int, s: Settings) -> Model:
-    """One gradient step of a pass's kinds, shared by kinds that move together."""
-    share = np.maximum(np.exp(model.bias), 1e-9)[None]  # a class without words is never an outcome
-    moved, moved_inner = PASSES[number]
-    gradient = (sums[0] - sums[1]) / ((sums[0] + sums[1]) / 2 + s.damping * share)
-    inner = (sums[2] - sums[3]) / ((sums[2] + sums[3]) / 2 + s.damping / s.width)
-    return Model(s, model.bias, model.inner, (model.classes + gradient / max(1, len(moved))).astype(np.float32), (model.words + inner / max(1, len(moved_inner))).astype(np.float32))
+    """The gradient steps of a pass's kinds, shared by kinds that move together."""
+    share = s.damping * np.maximum(np.exp(model.bias), 1e-9)[None]  # a class without words is never an outcome
+    classes, words = model.classes.astype(np.float64), model.words.astype(np.float64)
+    for table, kinds, n_kinds, seen, expected, prior in ((classes, PASSES[number][0], N_FEATURES, sums[0], sums[1], share), (words, PASSES[number][1], N_INNER, sums[2], sums[3], s.damping / s.width)):
+        part = s.rows // n_kinds
+        for k in kinds:
+            rows = slice(k * part, (k + 1) * part)
+            table[rows] += ascended(seen[rows] + prior, expected[rows] + prior, s.steps) / len(kinds)
+    return Model(s, model.bias, model.inner, classes.astype(np.float32), words.astype(np.float32))
 
 
 def in_symbols(docs: DataFrame, v: Vocabulary) -> DataFrame:

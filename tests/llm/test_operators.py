@@ -148,7 +148,7 @@ def test_op1_passes_move_along_the_gradient(monkeypatch):
 
 def test_op1_sizes_grow():
     sizes = [maxent_lm.Settings().grown(n) for n in (0, 10**6, 8 * 10**7, 5 * 10**9, 10**13)]
-    assert [x.rows for x in sizes] == [8192, 8192, 32768, 131072, 131072] and [x.head for x in sizes] == [1024, 1024, 1024, 4096, 4096]
+    assert [x.rows for x in sizes] == [32768, 32768, 32768, 131072, 131072] and [x.head for x in sizes] == [1024, 1024, 1024, 4096, 4096] and [x.marks for x in sizes] == [32, 32, 32, 256, 256]
 
 
 def test_op1_column_names_that_clash(spark):
