@@ -5,29 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import stored
+from casegrid.llm.common import forget, stored
+
+#: a key with more than this share of all rows is a hub; so there are fewer than its inverse
+HUB_SHARE = 0.001
+
+
+def hub_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values`` (one row a key; n: its rows in ``rows``, of ``total`` in all).
+
+    Keys with more than ``HUB_SHARE`` of the rows, fewer than a thousand, are
+    broadcast, so that no task gets all rows of a hub; the others join by shuffle.
+    """
+    most = int(HUB_SHARE * total)
+    hubs = F.broadcast(values.where(F.col("n") > most))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(values.where(F.col("n") <= most), key)
+    return rows.join(hubs, key).unionByName(rest).drop("n")
 
 
 def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, label): label is the least node of the component; ``links`` has a, b of one type.
+    """(node, label): label is the least node of the component; ``links`` has a, b of one type. The result is a stored table.
 
     Alternating star contraction: each round hangs every node's larger
     neighbours, then its smaller ones, under its least neighbour. Rounds grow
     with the logarithm of the largest component; each is written to the shared
-    folder, which cuts the lineage.
+    folder, which cuts the lineage, and the one before is removed.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), spark, "links")
+    n = edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_base = large.where("u <> v").distinct()
-        low = small_base.groupBy("u").agg(F.min("v").alias("m"))
-        small = small_base.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = hub_join(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        base = stored(large.where("u <> v").distinct(), spark, "links")
+        low = base.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hub_join(base, low, "u", max(n, 1))
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = stored(hung, spark, "links")
-        same = after.count() == edges.count() and not after.exceptAll(edges).take(1)
-        edges = after
+        count = after.count()
+        same = count == n and not after.exceptAll(edges).take(1)
+        forget(base, edges)
+        edges, n = after, count
         if same:
             break
-    return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = stored(labels, spark, "labels")
+    forget(edges)
+    return out

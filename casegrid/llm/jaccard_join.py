@@ -21,14 +21,17 @@ Signatures travel packed by bucket. In a group of equal signatures each set
 meets the group's first and its own predecessor; candidates pass a lower bound
 of their difference (parity sketches) and are verified exactly on their texts.
 Groups of four or more whose members are still in different components are
-compared by sketches in blocks, and untested pairs verified, a spanning forest
-of them a round, until none is left; only the component is asked for, so pairs
-inside one are never expanded.
+compared by sketches, in blocks, large groups over several tasks, and untested
+pairs verified, a growing number of spanning forests of them a round, until none
+is left; only the component is asked for, so pairs inside one are never expanded.
 
-Edge cases: a text with fewer words than n is one shingle of all its words;
+Defined results: a text with fewer words than n is one shingle of all its words;
 null texts, empty texts and texts without words have the empty set, link with
 nothing and are components of their own; equal sets are one class and are
-compared once; null ids never become a component's number unless all are null.
+compared once; repeated rows are in one component; null ids never become a
+component's number unless all are null; an empty table gives no rows; long texts
+take memory in proportion to the longest alone; other columns don't matter,
+whatever their names. Shingles and sets are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,11 +42,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from casegrid.llm.common import free_finished, stored, tidy
-from casegrid.llm.components import connected
+from casegrid.llm.common import CARRIED, carry, forget, free_finished, stored, tidy
+from casegrid.llm.components import connected, hub_join
 
 
 @dataclass(frozen=True)
@@ -59,8 +63,11 @@ class Settings:
     #: members of a group that are compared with all others at a time, and 64-bit words of sketches that are compared at a time
     block: int = 256
     cells: int = 4_000_000
-    #: rounds of forests over open groups; the last takes every pair that is left
-    turns: int = 2
+    #: members of a part of a group, and parts of a group at most; pairs of parts are dealt to tasks
+    part: int = 2000
+    parts: int = 64
+    #: bytes of a text that is broadcast when more than a hundredth of all pairs have it
+    hub_bytes: int = 1_000_000
 
 
 class WordNumbers(dict):
@@ -244,81 +251,66 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
-def describe(docs: DataFrame, s: Settings) -> DataFrame:
-    """The columns of ``docs`` but text, then n_shingles, key (null for the empty set), sketch. Sketches stand with the first of equal sets in a task."""
-    others = [c for c in docs.columns if c != "text"]
+@dataclass
+class Sample:
+    """What a bounded sample of different texts tells; it steers cost, not results."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(s.n)
-        met: set[int] = set()
-        for batch in batches:
-            sizes, keys, sketches = [], [], []
-            for text in batch.column(len(others)):
-                got = shingler(text.as_py())
-                key = class_key(got) if len(got) else None
-                sizes.append(len(got))
-                keys.append(key)
-                sketches.append(sketch(got) if key is not None and key not in met else None)
-                met.add(key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], [*others, "n_shingles", "key", "sketch"])
+    frequent: np.ndarray  # hashes of frequent shingles, sorted
+    sets: dict[int, int]  # sets of each size band, scaled to all documents
 
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"{kept}, n_shingles long, key long, sketch binary")
 
-
-def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Shingles in two hundredths of a percent of a bounded sample, three documents at least, the most frequent first; sorted."""
+def drawn_sample(docs: DataFrame, s: Settings) -> Sample:
+    """Shingles in two hundredths of a percent of the sample, three documents at least, the most frequent first; and sets by band."""
     total = docs.count()
     if not total:
-        return np.empty(0, np.uint64)
+        return Sample(np.empty(0, np.uint64), {})
     share = min(1.0, s.sample / total)
     drawn = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(s.n)
+        shingler, bands = Shingler(s.n), Bands(s, {})
         for batch in batches:
             sets = [shingler(t.as_py()) for t in batch.column(0)]
             if sets:
                 value, times = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], ["h", "n"])
+                band, n = np.unique([bands.band(len(x)) for x in sets if len(x)] or [0], return_counts=True)
+                kind = np.repeat(np.array([0, 1], np.int32), [len(value), len(band)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([value.view(np.int64), band.astype(np.int64)])), pa.array(np.concatenate([times, n]))], ["kind", "h", "n"])
 
-    counted = drawn.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.0002 * share * total)))
-    got = counted.orderBy(F.desc("n"), "h").limit(s.frequent).select("h").toArrow().column("h").to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
+    counted = stored(drawn.mapInArrow(tidy(run), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), docs.sparkSession, "jaccard-sample")
+    often = counted.where("kind = 0").where(F.col("n") >= max(3, int(0.0002 * share * total)))
+    got = often.orderBy(F.desc("n"), "h").limit(s.frequent).select("h").toArrow().column("h").to_numpy()
+    sets = {r["h"]: int(r["n"] / share) for r in counted.where("kind = 1").collect()}
+    forget(counted)
+    return Sample(np.sort(got.astype(np.int64).view(np.uint64)), sets)
 
 
 KEEP = 40  # bits of a signature inside its bucket
 HEAD = 16  # bytes of a record before its signatures
 
 
-def sets_by_band(classes: DataFrame, s: Settings) -> dict[int, int]:
-    """Sets of each band: a row for each of a few dozen bands reaches the driver."""
-    largest = classes.agg(F.max("n_shingles")).first()[0]
-    if largest is None:
-        return {}
-    bands = Bands(s, {})
-    bands.band(int(largest))
-    tops = F.array(*(F.lit(t) for t in bands.tops))
-    band = F.size(F.filter(tops, lambda t: t < F.col("n_shingles")))
-    return {r["band"]: r["n"] for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
-
-
-def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.ndarray, sets: dict[int, int]) -> DataFrame:
-    """bucket, data: the signatures of a task's different sets by bucket.
+def described(docs: DataFrame, s: Settings, buckets: int, sample: Sample) -> DataFrame:
+    """One pass over the texts, with two kinds of rows.
 
-    A record in ``data`` is a set: key (8 bytes), then 32-bit words for the
+    Of each document (bucket null): doc_id, text_key, n_shingles, key (null for
+    the empty set), sketch; sketches stand with the first of equal sets in a task.
+    And bucket, data: the signatures of a task's different sets by bucket. A
+    record in ``data`` is a set: key (8 bytes), then 32-bit words for the
     signatures here with the own-band flag, and for how many a linked set shares
     at least over all buckets; then 40 bits of each signature.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(sample)
+    id_type = docs.schema["doc_id"].dataType
+    names = ["doc_id", "text_key", "n_shingles", "key", "sketch", "bucket", "data"]
+    schema = StructType([StructField("doc_id", id_type), *StructType.fromDDL("text_key long, n_shingles long, key long, sketch binary, bucket int, data binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands, often = Shingler(s.n), Bands(s, sets), shared.value
+        shingler, bands, often = Shingler(s.n), Bands(s, shared.value.sets), shared.value.frequent
         met: set[int] = set()
         keys, counts, least, sigs = [], [], [], []
         held = 0
 
-        def made() -> pa.RecordBatch:
+        def made(kind: pa.DataType) -> pa.RecordBatch:
             nonlocal held
             sig = np.concatenate(sigs)
             owner = np.repeat(np.arange(len(keys)), np.array(counts) >> 1)
@@ -338,16 +330,26 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
             data = []
             for a, b in zip(cut.tolist(), ends.tolist()):
                 data.append(np.array([b - a], "<u4").tobytes() + head[a:b].tobytes() + body[sums[a] : sums[b]].tobytes())
-            out = pa.RecordBatch.from_arrays([pa.array(bucket[first][cut].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+            n = len(data)
+            empty = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+            out = pa.RecordBatch.from_arrays([*empty, pa.array(bucket[first][cut].astype(np.int32)), pa.array(data, pa.binary())], names)
             keys.clear(), counts.clear(), least.clear(), sigs.clear()
             held = 0
             return out
 
+        kind = pa.null()
         for batch in batches:
-            for text in batch.column(0):
+            kind = batch.column(0).type
+            sizes, own_keys, sketches = [], [], []
+            for text in batch.column(2):
                 got = shingler(text.as_py())
-                if not len(got) or (key := class_key(got)) in met:
+                key = class_key(got) if len(got) else None
+                sizes.append(len(got))
+                own_keys.append(key)
+                if key is None or key in met:
+                    sketches.append(None)
                     continue
+                sketches.append(sketch(got))
                 met.add(key)
                 band = bands.band(len(got))
                 sums = frequent_sums(got, often)
@@ -358,12 +360,14 @@ def packed_signatures(docs: DataFrame, s: Settings, buckets: int, frequent: np.n
                     counts.append(len(sig) << 1 | own)
                     sigs.append(sig)
                     held += len(sig)
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own_keys, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             if held > 4_000_000:
-                yield made()
+                yield made(kind)
         if keys and held:
-            yield made()
+            yield made(kind)
 
-    return docs.select("text").mapInArrow(tidy(run), "bucket int, data binary")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(tidy(run), schema)
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -456,7 +460,11 @@ def sketched(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) whose shingle sets link, from ``texts`` (key, text)."""
+    """Pairs (a, b) whose shingle sets link, from ``texts`` (key, text).
+
+    A text that more than a hundredth of the pairs have (fewer than a hundred
+    texts, of a bounded size) is broadcast instead of meeting its pairs in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(s.n)
@@ -470,7 +478,15 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    often = [r["a"] for r in pairs.groupBy("a").count().where(F.col("count") > max(100, pairs.count() // 100)).collect()]  # fewer than a hundred keys
+    if not often:
+        both = with_b.join(of_a, "a")
+    else:
+        hub = F.col("a").isin(often)
+        short = of_a.where(hub & (F.octet_length("ta") <= s.hub_bytes))
+        beyond = with_b.where(~hub).unionByName(with_b.where(hub).join(F.broadcast(short.select("a")), "a", "left_anti"))
+        both = with_b.where(hub).join(F.broadcast(short), "a").unionByName(beyond.join(of_a, "a"))
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
@@ -497,21 +513,34 @@ def forest(pairs: np.ndarray, apart: np.ndarray, labels: np.ndarray) -> np.ndarr
     return np.array(taken, dtype=np.int64)
 
 
-def cross_pairs(members: DataFrame, s: Settings, parts: int, every: bool) -> DataFrame:
-    """(a, b, n) between members (group, key, label, n_shingles, sketch, tested) of a group in different components whose sizes and sketches allow a link.
+def in_cells(members: DataFrame, s: Settings) -> DataFrame:
+    """``members`` (group, key, ...) with lo, hi: large groups are cut into parts, and every pair of parts is a cell; two members of a group meet in one cell at least."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).withColumn("parts", F.least(F.lit(s.parts), F.ceil(F.col("n") / F.lit(s.part))).cast("int"))
+    large = F.broadcast(sizes.where("parts > 1").select("group", "parts")) if sizes.where("parts > 1").count() < 100_000 else sizes.where("parts > 1").select("group", "parts")
+    placed = members.join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
+    return placed.withColumn("cell", F.explode(cells)).withColumn("lo", F.col("cell.lo")).withColumn("hi", F.col("cell.hi")).drop("cell", "parts", "own")
+
 
-    Groups are read in order, blocks of members against the rest of their
-    group; no pair inside a component or that was tested. Of a group's pairs
-    those of a spanning forest over its components leave the task, fewer than
-    it has members, or ``every`` pair.
+def cross_pairs(members: DataFrame, failed: DataFrame, s: Settings, parts: int, forests: int) -> DataFrame:
+    """(group, lo, hi, a, b) between members of a group in different components whose sizes and sketches allow a link, but for those that ``failed`` (the same columns).
+
+    ``members``: group, lo, hi, key, label, n_shingles, sketch. Cells are read in
+    order, blocks of members against the rest of their cell. Of a cell's pairs
+    those of some edge-disjoint spanning forests over its components leave the
+    task: fewer than ``forests`` times its members, never all pairs.
     """
 
-    def of_group(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], tested: list) -> np.ndarray | None:
+    def of_cell(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], bad: np.ndarray) -> np.ndarray | None:
         size = min(map(len, sketches))
         bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
         g = len(keys)
-        place = {k: i for i, k in enumerate(keys.tolist())}
-        known = np.array(sorted({min(i, j) * g + max(i, j) for i, others in enumerate(tested) if others for j in map(place.get, others) if j is not None}), dtype=np.int64)
+        order = np.argsort(keys)
+        known = np.empty(0, np.int64)
+        if len(bad):
+            i, j = (order[np.minimum(np.searchsorted(keys[order], bad[:, k]), g - 1)] for k in (0, 1))
+            known = np.unique(np.minimum(i, j) * g + np.maximum(i, j))
         step = max(1, min(s.block, s.cells // (g * bits.shape[1])))
         found, far = [], []
         for lo in range(0, g, step):
@@ -529,54 +558,55 @@ def cross_pairs(members: DataFrame, s: Settings, parts: int, every: bool) -> Dat
                 found.append(np.stack([a[near], b[near]], axis=1))
                 far.append(apart[near] / (n[a[near]] + n[b[near]]))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        if not len(pairs):
-            return None
-        if not every:
-            pairs = pairs[forest(pairs, np.concatenate(far), labels)]
-        return np.sort(keys[pairs], axis=1)
+        distance = np.concatenate(far) if far else np.empty(0)
+        taken = []
+        for _ in range(forests):
+            if not len(pairs):
+                break
+            rows = forest(pairs, distance, labels)
+            taken.append(pairs[rows])
+            left = np.ones(len(pairs), bool)
+            left[rows] = False
+            pairs, distance = pairs[left], distance[left]
+        return np.sort(keys[np.concatenate(taken)], axis=1) if taken else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list = []
-        out: list[np.ndarray] = []
-        held = 0
-
-        def made() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), np.int64))], ["a", "b", "n"])
-
-        def complete() -> Iterator[list]:
-            """Whole groups: (group, key, label, n_shingles, sketch) columns; the last one waits for the next batch."""
-            nonlocal rest
-            for batch in [*batches, None]:
-                if batch is not None:
-                    objects = [np.empty(len(batch), dtype=object) for _ in range(2)]
-                    for column, k in zip(objects, (4, 5)):
-                        column[:] = batch.column(k).to_pylist()
-                    got = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]), *objects]
-                    rest = got if not rest else [np.concatenate(pair) for pair in zip(rest, got)]
-                if not rest or not len(rest[0]):
+        rest: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                rest = table if rest is None else pa.concat_tables([rest, table])
+            if rest is None or not len(rest):
+                continue
+            cell = np.stack([rest.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            edge = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
+            ends = np.append(edge[1:], len(rest)).tolist()
+            done = len(edge) if batch is None else len(edge) - 1
+            for at, end in zip(edge[:done].tolist(), ends[:done]):
+                rows = rest.slice(at, end - at)
+                pair = ~np.isnan(rows.column("b").to_numpy(zero_copy_only=False).astype(np.float64)) if rows.column("b").null_count < len(rows) else np.zeros(len(rows), bool)
+                own = rows.filter(pa.array(~pair))
+                bad = rows.filter(pa.array(pair))
+                if len(own) < 2:
                     continue
-                edge = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
-                ends = np.append(edge[1:], len(rest[0])).tolist()
-                done = len(edge) if batch is None else len(edge) - 1
-                for lo, hi in zip(edge[:done].tolist(), ends[:done]):
-                    yield [c[lo:hi] for c in rest[1:]]
-                rest = [c[edge[done] :] for c in rest] if done < len(edge) else []
-
-        for keys, labels, n, sketches, tested in complete():
-            pairs = of_group(keys, labels, n, list(sketches), list(tested))
-            if pairs is not None:
-                out.append(pairs)
-                held += len(pairs)
-                if held > 500_000:
-                    yield made()
-                    held = 0
-        if out:
-            yield made()
-
-    in_order = members.select("group", "key", "label", "n_shingles", "sketch", "tested").repartition(parts, "group").sortWithinPartitions("group", "key")
-    return in_order.mapInArrow(tidy(run), "a long, b long, n long").distinct()
+                bad_pairs = np.stack([bad.column("key").to_numpy().astype(np.int64), bad.column("b").to_numpy().astype(np.int64)], axis=1) if len(bad) else np.empty((0, 2), np.int64)
+                got = of_cell(own.column("key").to_numpy(), own.column("label").to_numpy(), own.column("n_shingles").to_numpy(), own.column("sketch").to_pylist(), bad_pairs)
+                if got is not None and len(got):
+                    here = [int(x) for x in cell[:, at]]
+                    m = len(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, here[0], np.int64)), pa.array(np.full(m, here[1], np.int32)), pa.array(np.full(m, here[2], np.int32)), pa.array(got[:, 0]), pa.array(got[:, 1])], ["group", "lo", "hi", "a", "b"])
+            rest = rest.slice(int(edge[done])) if done < len(edge) else None
+
+    none = F.lit(None)
+    rows = members.select("group", "lo", "hi", "key", "label", "n_shingles", "sketch", none.cast("long").alias("b"))
+    bad = failed.select("group", "lo", "hi", F.col("a").alias("key"), none.cast("long").alias("label"), none.cast("long").alias("n_shingles"), none.cast("binary").alias("sketch"), "b")
+    in_order = rows.union(bad).repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    return in_order.mapInArrow(tidy(run), "group long, lo int, hi int, a long, b long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def text_key(text: str = "text"):
@@ -588,14 +618,15 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, key (null for the empty set), text_key of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    info = stored(describe(docs.withColumn("text_key", text_key()), s), spark, "jaccard-info")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = stored(described(docs, s, buckets, drawn_sample(docs, s)), spark, "jaccard-info")
+    info = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "key", "sketch")
     classes = stored(
         info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
         spark,
         "jaccard-classes",
     )
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(groups_of(packed_signatures(docs, s, buckets, frequent_shingles(docs, s), sets_by_band(classes, s)), s), spark, "jaccard-groups")
+    found = stored(groups_of(both.where("bucket is not null").select("bucket", "data"), s), spark, "jaccard-groups")
     free_finished(spark)
     sets = stored(able(found), spark, "jaccard-able")
     of_a, of_b = sets.select(F.col("key").alias("a")), sets.select(F.col("key").alias("b"))
@@ -604,49 +635,70 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     free_finished(spark)
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")).join(sets, "key", "left_semi")
     labels = link_up(spark, docs, classes, near, groups, s)
-    of = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    named = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
-    return info.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "text_key")
+    forget(found, sets, near)
+    # only linked classes have a label; the others are components of their own
+    of = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "least", "label")
+    least = of.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked_ = hub_join(of.where("label is not null").select("key", "label"), least, "label", labels.count())
+    named = stored(linked_.select("key", "component_id").union(of.where("label is null").select("key", F.col("least").alias("component_id"))), spark, "jaccard-named")
+    forget(classes, labels)
+    free_finished(spark)
+    return info.drop("sketch").join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "text_key")
 
 
 def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
-    """Labels (node, label) after verifying what is needed to join the components."""
+    """Labels (node, label), a stored table, after verifying what is needed to join the components."""
     asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
-    texts = stored(texts_of(docs, classes, asked), spark, "jaccard-texts")
+    texts = [stored(texts_of(docs, classes, asked), spark, "jaccard-texts")]
     free_finished(spark)
     # first one pair for each set, the one with most signatures; most components are whole then
-    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    first = near.withColumn("r", F.row_number().over(best)).where("r = 1")
-    links = stored(verified(first, texts, s), spark, "jaccard-links")
+    first = near.groupBy("b").agg(F.max(F.struct("n", -F.col("a"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = [stored(verified(first, texts[0], s), spark, "jaccard-links")]
     free_finished(spark)
-    labels = stored(connected(spark, links), spark, "jaccard-labels")
-    rest = apart(near, labels)
-    more = stored(verified(rest, texts, s), spark, "jaccard-links")
+    labels = connected(spark, links[0])
+
+    def joined(more: DataFrame) -> DataFrame:
+        nonlocal labels
+        links.append(more)
+        whole = links[0]
+        for part in links[1:]:
+            whole = whole.union(part)
+        old, labels = labels, connected(spark, whole)
+        forget(old)
+        free_finished(spark)
+        return labels
+
+    rest = stored(verified(apart(near, labels), texts[0], s), spark, "jaccard-links")
     free_finished(spark)
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = stored(connected(spark, links), spark, "jaccard-labels")
-    # groups that still hold several components: a forest of untested pairs a round, in the end all that are left
-    tested = near.select("a", "b")
+    if not rest.isEmpty():
+        joined(rest)
+    # groups that still hold several components: forests of untested pairs, twice as many each round, until no pair is left
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for turn in range(s.turns):
+    failed = near.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "a", "b").limit(0)
+    forests = 1
+    while True:
         of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        split = of_group.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
-        known = tested.groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("tested"))
-        open_rows = of_group.join(split, "group").join(classes.select("key", "n_shingles", "sketch"), "key").join(known, "key", "left")
-        crossed = stored(cross_pairs(open_rows, s, parts, turn == s.turns - 1), spark, "jaccard-cross")
+        split = of_group.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("group")
+        open_rows = in_cells(of_group.join(split, "group", "left_semi").join(classes.select("key", "n_shingles", "sketch"), "key"), s)
+        crossed = stored(cross_pairs(open_rows, failed, s, parts, forests), spark, "jaccard-cross")
         free_finished(spark)
         if crossed.isEmpty():
             break
         asked = crossed.select(F.col("a").alias("key")).union(crossed.select(F.col("b").alias("key"))).distinct()
-        lacking = asked.join(texts.select("key"), "key", "left_anti")
+        lacking = asked
+        for known in texts:
+            lacking = lacking.join(known.select("key"), "key", "left_anti")
         if not lacking.isEmpty():
-            texts = texts.union(stored(texts_of(docs, classes, lacking), spark, "jaccard-texts"))
-        found = stored(verified(crossed, texts, s), spark, "jaccard-links")
-        tested = tested.union(crossed.select("a", "b"))
+            texts.append(stored(texts_of(docs, classes, lacking), spark, "jaccard-texts"))
+        everything = texts[0]
+        for known in texts[1:]:
+            everything = everything.union(known)
+        found = stored(verified(crossed.select("a", "b").distinct(), everything, s), spark, "jaccard-links")
         if not found.isEmpty():
-            links = links.union(found)
-            labels = stored(connected(spark, links), spark, "jaccard-labels")
+            joined(found)
+        failed = failed.union(crossed.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b"))
+        forests *= 2
+    forget(*texts, *links)
     return labels
 
 
@@ -658,24 +710,27 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text): one text of each class asked for."""
+    """(key, text): one text of each class asked for; copies of a text are one before they move."""
     asked = classes.join(keys, "key").select("key", "text_key")
-    return docs.select("text", text_key().alias("text_key")).join(asked, "text_key").groupBy("key").agg(F.first("text").alias("text"))
+    return docs.groupBy(text_key().alias("text_key")).agg(F.first("text").alias("text")).join(asked, "text_key").select("key", "text")
 
 
 def representatives(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row of the least doc_id (null last, then by text); rows with the empty set all stay.
 
     Ids and keys are ranked by a map-side minimum; texts move in one semi-join.
+    Other columns are carried along, whatever their names.
     """
     spark = docs.sparkSession
-    labelled = components(docs, s)
+    labelled = stored(components(docs, s), spark, "jaccard-labelled")
     least = labelled.where("key is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("one"))
     chosen = least.select("one.doc_id", "one.text_key").union(labelled.where("key is null").select("doc_id", "text_key"))
     chosen = stored(chosen.distinct(), spark, "jaccard-chosen")
-    rows = docs.withColumn("__text_key", text_key())
-    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["__text_key"] == chosen["text_key"]), "left_semi")
-    again = labelled.where("key is not null").groupBy("doc_id", "text_key").count().where("count > 1")
-    if not again.isEmpty():  # rows that repeat in full
-        kept = kept.dropDuplicates(["doc_id", "__text_key"])
-    return kept.select(*docs.columns)
+    again = not labelled.where("key is not null").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    forget(labelled)
+    rows = carry(docs, F.col("doc_id"), text_key().alias("text_key"))
+    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["text_key"] == chosen["text_key"]), "left_semi")
+    if again:  # rows that repeat in full: of those with words one stays
+        has_words = F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+        kept = kept.where(has_words).dropDuplicates(["doc_id", "text_key"]).unionByName(kept.where(~F.coalesce(has_words, F.lit(False))))
+    return kept.select(*[F.col("text") if c == "text" else F.col(CARRIED).getField(c).alias(c) for c in docs.columns])

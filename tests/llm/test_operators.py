@@ -429,6 +429,37 @@ def test_op9_pairs_about_the_limit(spark, seed):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("settings", [{"part": 5, "parts": 4, "block": 4}, {}])
+def test_op9_open_groups(spark, settings):
+    """Groups of equal signatures whose members are in many components: dealt over pairs of parts, forests until no pair is left."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for family in range(9):
+        own = list(base)
+        for k in rng.sample(range(20, 160), 14):
+            own[k] = f"f{family}x{k}"
+        for copy in range(5):
+            ws = list(own)
+            for k in rng.sample(range(20, 160), rng.choice([0, 2, 4])):
+                ws[k] = f"c{family}x{copy}x{k}"
+            rows.append((family * 10 + copy, " ".join(ws)))
+    rng.shuffle(rows)
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), jaccard_join.Settings(**settings)).collect()
+    want = brute_components(rows)
+    assert 3 < len({w[2] for w in want}) < 45
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_op9_column_names_that_clash(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(40)) if k < 3 else f"text {k}", k, f"r{k}", 1.5) for k in range(5)] + [(2, " ".join(f"w{j}" for j in range(40)), 2, "r2", 1.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, text_key string, carried_row double")
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["key"], r["text_key"]) for r in kept.collect()) == [(0, 0, "r0"), (3, 3, "r3"), (4, 4, "r4")]
+    labelled = jaccard_join.components(df).collect()
+    assert len(labelled) == 6 and {r["component_id"] for r in labelled} == {0, 3, 4}
+
+
 @pytest.mark.parametrize("n_words", [1, 2, 7, 40, 300])
 def test_op9_signatures_lose_no_pair(n_words):
     """Any two sets that link share a signature in some band, whichever allocation the band takes."""
