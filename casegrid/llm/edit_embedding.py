@@ -8,9 +8,11 @@ fingerprint samples ``slots`` clocks, consistently over different lengths, and
 keeps a few bits of what stands there; bands of sampled slots find candidates,
 the likeness of whole fingerprints verifies them.
 
-Edge cases: null and empty texts are the empty text and have one common
-fingerprint; equal texts have equal fingerprints; null ids order last;
-repeated ids are ordered by text; an empty table gives no rows.
+Defined results: null and empty texts are the empty text and have one common
+fingerprint; equal texts have equal fingerprints; null ids order last; repeated
+ids are ordered by text; repeated rows follow each other; an empty table gives no
+rows; a long text takes memory and steps in proportion to itself; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import tidy
+from casegrid.llm.common import forget, free_finished, stored, tidy
+from casegrid.llm.components import connected, hub_join
 
 NULL_ID = -(2**63)
 
@@ -232,31 +235,69 @@ def links(codes: np.ndarray, least: float, walker: Walk) -> list[tuple[int, int,
     return found
 
 
-def near_classes(prints: DataFrame, bands: int = 32, slots_per_band: int = 6, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
-    """fingerprint pairs (a, b, likeness) of at least ``least`` that link the classes which bands of sampled slots find.
+def band_keys(settings: Settings, bands: int, bits_per_band: int) -> list[list[tuple[int, int]]]:
+    """(slot, bit) pairs that each band samples from the bits of a fingerprint."""
+    rng = np.random.default_rng(settings.seed + 1)
+    return [[divmod(int(p), settings.bits) for p in sorted(rng.choice(settings.slots * settings.bits, bits_per_band, replace=False))] for _ in range(bands)]
+
+
+def near_pairs(prints: DataFrame, bands: int = 20, bits_per_band: int = 16, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
+    """Pairs (a, b, likeness) of at least ``least``, by number, that link the fingerprints which bands of sampled bits find; ``prints``: number, fingerprint, each different.
 
-    Rows with equal fingerprints are one class and are compared once. Two
-    fingerprints of a bucket are compared until they are linked or known to be
-    unlike, so all near pairs of a bucket are in one class. The pairs grow with
-    the bucket; the comparisons do so with the square of its classes alone, and a
-    large bucket is dealt over pairs of parts.
+    Two fingerprints of a bucket are compared until they are linked or known to
+    be unlike, so all near pairs of a bucket are in one class. The pairs grow
+    with the bucket; the comparisons do so with the square of its classes alone,
+    and a large bucket is dealt over pairs of parts.
     """
-    rng = np.random.default_rng(settings.seed + 1)
-    chosen = [sorted(rng.choice(settings.slots, slots_per_band, replace=False).tolist()) for _ in range(bands)]
-    keys = [F.concat(F.lit(f"{k}:"), *(F.substring("fingerprint", p + 1, 1) for p in picks)) for k, picks in enumerate(chosen)]
-    rows = prints.where("fingerprint is not null").select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*keys)).alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int")
-    placed = rows.join(sizes, "band").select("band", "fingerprint", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
-    cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
-    dealt = placed.select("band", "fingerprint", F.explode(cells).alias("cell")).select("band", "cell.lo", "cell.hi", "fingerprint")
+    picks = band_keys(settings, bands, bits_per_band)
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = sorted(table.column("fingerprint").to_pylist())
-        codes = np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), -1)
-        found = [(*sorted((texts[p], texts[q])), x) for p, q, x in links(codes, least, walk(settings))]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = np.frombuffer("".join(batch.column(1).to_pylist()).encode(), np.uint8).reshape(len(batch), -1)
+            values = np.where(codes >= 97, codes - 87, codes - 48)
+            packed = np.ascontiguousarray((values[:, 0::2] << 4) | values[:, 1::2])
+            key = np.empty((len(batch), bands), np.int64)
+            for k, sampled in enumerate(picks):
+                key[:, k] = k
+                for slot, bit in sampled:
+                    key[:, k] = key[:, k] << 1 | (values[:, slot] >> bit & 1)
+            number = np.repeat(batch.column(0).to_numpy(), bands)
+            rows = [row.tobytes() for row in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(number), pa.array([r for r in rows for _ in range(bands)], pa.binary())], ["band", "number", "code"])
+
+    placed = prints.select("number", "fingerprint").mapInArrow(tidy(cut), "band long, number long, code binary")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int"))
+    dealt = placed.join(sizes.drop("n"), "band").withColumn("own", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+    cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
+    dealt = dealt.select("band", "number", "code", F.explode(cells).alias("cell")).select("band", "cell.lo", "cell.hi", "number", "code")
+
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("number")
+        number = table.column("number").to_numpy()
+        packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(number), -1)
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(number), -1)
+        found = links(codes, least, walk(settings))
         a, b, x = list(zip(*found)) or ((), (), ())
-        return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(x, pa.float64())], ["a", "b", "likeness"])
+        pair = np.sort(number[np.array([a, b], np.int64)], axis=0)
+        return pa.table([pa.array(pair[0]), pa.array(pair[1]), pa.array(x, pa.float64())], ["a", "b", "likeness"])
 
-    found = dealt.groupBy("band", "lo", "hi").applyInArrow(run, "a string, b string, likeness double")
+    found = dealt.groupBy("band", "lo", "hi").applyInArrow(run, "a long, b long, likeness double")
     return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def with_near_class(rows: DataFrame, id_column: str, settings: Settings = Settings()) -> DataFrame:
+    """``rows`` (a stored table with ``fingerprint``) and near_class: the least id among the rows whose fingerprints banding and verification link with the row's own."""
+    spark = rows.sparkSession
+    kinds = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(id_column).alias("least"))
+    kinds = stored(kinds.withColumn("number", F.monotonically_increasing_id()), spark, "prints")
+    pairs = stored(near_pairs(kinds, settings=settings), spark, "near-prints")
+    free_finished(spark)
+    labels = connected(spark, pairs)
+    labelled = kinds.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn("label", F.coalesce("label", "number"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("near_class"))
+    named = stored(labelled.select("fingerprint", "n", "label").join(least, "label").drop("label"), spark, "near-classes")
+    forget(kinds, pairs, labels)
+    free_finished(spark)
+    return hub_join(rows, named, "fingerprint", rows.count())

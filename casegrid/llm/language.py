@@ -3,39 +3,46 @@
 A raw-content zstandard dictionary is made for each language from a bounded
 sample of labelled text. A text is cut into blocks, each block is compressed
 with every dictionary, and the language with the smallest total wins; narrow
-margins are marked as rejected.
+margins are marked as rejected. Only letters and the marks that belong to them
+(vowel signs, accents) count.
 
-Edge cases: a null text and a text without a letter give ``und`` with score 0
-and ``rejected``; rows with a null language teach nothing; with nothing to
+Defined results: a null text and a text without a letter give ``und`` with score
+0 and ``rejected``; rows with a null language teach nothing; with nothing to
 learn from, every text is ``und``. Ties go to the first language in order.
+Repeated rows are predicted alike and teach once; an empty table gives no rows;
+long texts are compressed block by block and take memory in proportion to the
+longest alone; extra columns are carried along whatever their names, but one
+that is named like a result column gives way to it.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import tidy
+from casegrid.llm.common import CARRIED, carry, opened, tidy, widened
 
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 #: pieces that a task remembers to drop their copies before the shuffle
 SEEN = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: bytes of sample text per language: the bound of what training gathers
+    #: bytes of sample text per language, and of all languages together: the bound of what training gathers and broadcasts
     dictionary_bytes: int = 112_640
+    most_bytes: int = 33_554_432
     #: bytes of a training piece; pieces are drawn by the hash of their content
     piece_bytes: int = 1024
     #: bytes that are compressed at a time, so that a long text stays near the dictionary
@@ -48,8 +55,8 @@ class Settings:
 
 
 def normal(text: str) -> bytes:
-    """Lower-case letters, with one space for each run of anything else."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+    """Lower-case letters and marks, with one space for each run of anything else; nothing without a letter."""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") if _LETTER.search(text) else b""
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
@@ -84,14 +91,15 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
 
     keyed = rows.mapInArrow(tidy(lambda batches: cut(batches, None)), "lang string, key binary, piece int")
     sizes = keyed.groupBy("lang", "key").agg(F.max("piece").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    share = {r["lang"]: min(1.0, 1.3 * settings.dictionary_bytes / max(1, r["n"])) for r in sizes}
-    if not share:
+    if not sizes:
         return {}
+    most = min(settings.dictionary_bytes, settings.most_bytes // len(sizes))
+    share = {r["lang"]: min(1.0, 1.3 * most / max(1, r["n"])) for r in sizes}
 
     drawn: dict[str, dict[bytes, bytes]] = defaultdict(dict)
     for r in rows.mapInArrow(tidy(lambda batches: cut(batches, share)), "lang string, key binary, piece binary").groupBy("lang", "key").agg(F.min("piece").alias("piece")).collect():
         drawn[r["lang"]][bytes(r["key"])] = bytes(r["piece"])
-    return {lang: b" ".join(piece for _, piece in sorted(found.items()))[: settings.dictionary_bytes] for lang, found in sorted(drawn.items())}
+    return {lang: b" ".join(piece for _, piece in sorted(found.items()))[:most] for lang, found in sorted(drawn.items())}
 
 
 class Classifier:
@@ -127,20 +135,19 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings = Settings()) -> DataFrame:
     """The columns of ``docs`` but text, then lang_pred, score, rejected. One narrow pass, no shuffle.
 
-    The dictionaries (``dictionary_bytes`` a language) travel as a broadcast variable.
+    The dictionaries (``most_bytes`` in all at most) travel as a broadcast variable.
     """
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, settings)
         for batch in batches:
-            got = [classifier.predict(t.as_py()) for t in batch.column(len(others))]
+            got = [classifier.predict(t.as_py()) for t in batch.column(1)]
             columns = list(zip(*got)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())],
-                [*others, "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())],
+                [CARRIED, "lang_pred", "score", "rejected"],
             )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", lang_pred string, score double, rejected boolean"
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
+    rows = carry(docs)
+    return opened(rows.mapInArrow(tidy(run), widened(rows, ("text",), "lang_pred string, score double, rejected boolean")), docs, ["lang_pred", "score", "rejected"])

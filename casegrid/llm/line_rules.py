@@ -3,9 +3,13 @@
 Every line is judged by punctuation, navigation and boilerplate rules; failing
 lines are removed, and a document that loses too much of its text is rejected.
 
-Edge cases: a null or empty text has no words and is rejected (fewer than
+Defined results: a null or empty text has no words and is rejected (fewer than
 ``min_words`` words); blank lines are neither judged nor counted; a repeated
-row is judged by itself; extra columns of the input are ignored.
+row is judged by itself, equal texts alike; a line may fail by several rules and
+is removed once; an empty table gives no rows; long texts take memory in
+proportion to the longest alone; extra columns are ignored by ``clean_lines`` and
+carried along by ``clean_documents`` whatever their names, but one that is named
+like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from casegrid.llm.common import WHITE, tidy, words
+from casegrid.llm.common import CARRIED, WHITE, carry, opened, tidy, widened, words
 
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
@@ -183,16 +187,12 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True)
 
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All columns of ``docs`` but text, then ``kept`` and ``cleaned_text``; one narrow pass. Other columns may have any names but these two."""
-    others = [c for c in docs.columns if c != "text"]
+    """All columns of ``docs`` but text, then ``kept`` and ``cleaned_text``; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
-            got = [judge(t.as_py(), rules) for t in batch.column(len(others))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array([g[6] for g in got], pa.bool_()), pa.array([g[10] for g in got], pa.string())],
-                [*others, "kept", "cleaned_text"],
-            )
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", kept boolean, cleaned_text string"
-    return docs.select(*others, docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), schema)
+            got = [judge(t.as_py(), rules) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[6] for g in got], pa.bool_()), pa.array([g[10] for g in got], pa.string())], [CARRIED, "kept", "cleaned_text"])
+
+    rows = carry(docs)
+    return opened(rows.mapInArrow(tidy(run), widened(rows, ("text",), "kept boolean, cleaned_text string")), docs, ["kept", "cleaned_text"])

@@ -7,13 +7,21 @@ cost = length squared): the one that leaves the smallest weighted norm of
 residual capacity, or has the largest weighted dot product of demand and
 residual, among those that violate no capacity.
 
-Packing is two-level. Each input partition packs its own pieces without a
+Packing goes by levels. Each input partition packs its own pieces without a
 shuffle; sequences that stay under-filled are then opened again and packed
-together, ``regroup`` partitions at a time, so small partitions cost nothing.
-
-Edge cases: null and empty texts are one piece of the end id alone; a null
-doc_id is kept; repeated rows are packed as often as they occur; an empty table
-gives no rows; extra columns are ignored.
+together, ``regroup`` partitions at a time, and those that still are, ``regroup``
+of these groups at a time, until one group is left. Each level leaves a small
+share of its sequences to the next.
+
+The capacity for documents binds where a sequence would hold more than 512
+pieces (under four tokens each); the one for attention cost can't bind in
+sequences of 2,048 tokens at its default, and does with a lower one.
+
+Defined results: null and empty texts are one piece of the end id alone; a null
+doc_id is kept; repeated rows are packed as often as they occur; pieces of one
+length go in order of their rows; an empty table gives no rows; a long text is
+cut into pieces and takes memory in proportion to itself alone; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,21 +36,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import shared_dir, tidy
+from casegrid.llm.common import stored, tidy
 from casegrid.llm.tokens import word_encoder
 
 
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 2048
-    documents: int = 2048
+    documents: int = 512
     attention: int = 2048 * 2048
     #: weights of the three demands
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.01)
     rule: str = "norm"  # or "dot"
-    #: a sequence filled less than this is opened again in the second level
+    #: a sequence filled less than this is opened again in the next level
     refill_below: float = 0.98
-    #: first-level partitions whose rest is packed together
+    #: partitions, then groups, whose rest is packed together
     regroup: int = 64
 
 
@@ -124,8 +132,8 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity, remem
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA.format(kind=kind))
 
 
-def refill(rest: DataFrame, capacity: Capacity) -> DataFrame:
-    """Second level: pack again the pieces of under-filled sequences, ``regroup`` partitions at a time."""
+def refill(rest: DataFrame, capacity: Capacity, width: int, number: int) -> DataFrame:
+    """A further level: pack again the pieces of under-filled sequences, ``width`` partitions at a time."""
     kind = dict(rest.dtypes)["doc_id"]
 
     def run(_: tuple, table: pa.Table) -> pa.Table:
@@ -133,13 +141,14 @@ def refill(rest: DataFrame, capacity: Capacity) -> DataFrame:
         sizes = table.column("length").to_numpy().astype(np.int64)
         old = table.column("sequence_id").to_numpy()
         bins, offsets = best_fit(sizes, capacity)
-        # the group's own range of numbers: its lowest old number's partition, above all first-level numbers
-        base = ((int(old.min()) >> 33) << 33) + 2**32
+        # numbers of sequences that are opened here are free again; a group has no more new ones than old ones
+        free = np.unique(old)
+        more = ((int(old.min()) >> 33) << 33) + 2**32 + number * 2**26 + np.arange(max(0, bins.max(initial=-1) + 1 - len(free)))
         fill = np.bincount(bins, weights=sizes).astype(np.int64)[bins]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return pa.Table.from_arrays([*(table.column(c) for c in names), pa.array(base + bins), pa.array(offsets), pa.array(fill)], [*names, "sequence_id", "offset", "fill"])
+        return pa.Table.from_arrays([*(table.column(c) for c in names), pa.array(np.concatenate([free, more])[bins]), pa.array(offsets), pa.array(fill)], [*names, "sequence_id", "offset", "fill"])
 
-    grouped = rest.withColumn("part", F.floor(F.shiftright("sequence_id", 33) / F.lit(capacity.regroup)).cast("long"))
+    grouped = rest.withColumn("part", F.floor(F.shiftright("sequence_id", 33) / F.lit(width)).cast("long"))
     return grouped.groupBy("part").applyInArrow(run, SCHEMA.format(kind=kind))
 
 
@@ -147,12 +156,20 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: Capacity =
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece.
 
     The first level is written once to the shared folder, so the tokenizing is
-    done once and a lost executor costs a re-read.
+    done once and a lost executor costs a re-read; so is each further level but
+    the last, whose input is small.
     """
     spark = docs.sparkSession
-    path = shared_dir(spark, "packing")
-    cut(docs, vocabulary, end_id, capacity, remember).write.parquet(path)
-    first = spark.read.parquet(path)
-    open_below = int(capacity.refill_below * capacity.tokens)
-    done = first.where(F.col("fill") >= open_below)
-    return done.unionByName(refill(first.where(F.col("fill") < open_below), capacity)).drop("fill")
+    level = stored(cut(docs, vocabulary, end_id, capacity, remember), spark, "packing")
+    under = F.col("fill") < int(capacity.refill_below * capacity.tokens)
+    last = level.agg(F.max(F.shiftright("sequence_id", 33))).first()[0]
+    out = level.where(~under)
+    width, number = capacity.regroup, 0
+    while last is not None:
+        level, number = refill(level.where(under), capacity, width, number), number + 1
+        if width > last:  # one group
+            return out.unionByName(level).drop("fill")
+        level = stored(level, spark, "packing")
+        out = out.unionByName(level.where(~under))
+        width *= capacity.regroup
+    return out.drop("fill")
