@@ -1,4 +1,14 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Defined results, for all stages: a null or empty text has no words, so the first
+stage rejects it; stages that meet one later (a text of which nothing is left)
+keep it as an empty text, and packing gives it one piece of the end id. Null ids
+are ids like others and come last. Equal rows are judged alike, and of them, as
+of all near duplicates, the one of the least id stays (of rows that repeat in
+full, one). An empty table gives no rows in every stage. Long texts are read
+whole; memory grows with the longest. Further columns travel along unchanged,
+whatever their names, but for ``n_chars``, which follows the text.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +20,36 @@ from casegrid.llm.common import documents, fold, remove_dir, shared_dir
 from casegrid.llm.tokens import vocabulary_path
 
 
-def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
-    """``made``'s rows in the columns of ``docs``, with a new text and its length."""
-    out = made.withColumn("text", F.col(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def _whole(docs: DataFrame) -> DataFrame:
+    """row (all columns as one struct) and text: what operators get, so that no name of a column meets one of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def _columns(made: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` from ``made`` (row, ...), with a new text and its length."""
+
+    def column(name: str):
+        if name == "text":
+            return F.col(text)
+        if name == "n_chars":
+            return F.length(text).cast(docs.schema["n_chars"].dataType)
+        return F.col("row").getField(name)
+
+    return made.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line rules, without their failing lines."""
-    judged = line_rules.clean_documents(docs)
-    return _with_text(docs, judged.where("kept"), "cleaned_text")
+    judged = line_rules.clean_documents(_whole(docs))
+    return _columns(judged.where("kept"), docs, "cleaned_text")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF, learned on this input's labelled training rows, scores 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = line_crf.learn(docs, labels.where(fold(F.col("doc_id")) % 4 != 2))
-    return line_crf.score(docs, model, with_text=True).where(F.col("quality_score") >= 0.7).select(*docs.columns)
+    scored = line_crf.score(_whole(docs), model, with_text=True)
+    return _columns(scored.where(F.col("quality_score") >= 0.7), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of passages that repeat; what is left of a character that was cut goes too."""
-    return _with_text(docs, suffix_dedup.dedup(docs, with_text=True), "left_text")
+    return _columns(suffix_dedup.dedup(_whole(docs), with_text=True), docs, "left_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
