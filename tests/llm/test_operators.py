@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, suffix_dedup, token_files
@@ -128,14 +129,14 @@ def test_op1_passes_move_along_the_gradient(monkeypatch):
     for number, (kinds, inner) in enumerate(maxent_lm.PASSES):
         sums = [np.zeros(x.shape) for x in (m.classes, m.classes, m.words, m.words)]
         f.add_to(m, number, sums)
-        z = m.bias + sum(m.classes[r] for r in f.rows)
+        z = m.bias + sum(m.classes[f.rows[k]] for k in range(4))
         p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
         seen, expected = np.zeros(m.classes.shape), np.zeros(m.classes.shape)
         for k in kinds:
             np.add.at(seen, (f.rows[k], f.of), 1)
             np.add.at(expected, f.rows[k], p)
         assert np.allclose(sums[0], seen) and np.allclose(sums[1], expected, atol=1e-4)
-        w = m.inner[f.of] + sum(m.words[r] for r in f.inner_rows)
+        w = m.inner[f.of] + sum(m.words[f.inner_rows[k]] for k in range(2))
         q = np.exp(w) / np.exp(w).sum(axis=1, keepdims=True)
         expected = np.zeros(m.words.shape)
         for k in inner:
@@ -170,6 +171,32 @@ def test_op2_languages(docs, none):
     assert {r["lang_pred"] for r in language.identify(docs.select("doc_id", "text"), {}).collect()} == {"und"}
 
 
+def test_op2_marks_stay_and_scores_equal_brute_force(spark):
+    assert language.normal("हिन्दी भाषा में 12") == "हिन्दी भाषा में".encode() and language.normal("தமிழ், மொழி!") == "தமிழ் மொழி".encode()
+    assert language.normal("\u0301 12") == b"" and language.normal("Été_x 你好") == "été x 你好".encode()
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcde fgh", "klmno pqé") for n in (5, 300, 9000)] + [None, "123"]
+    dictionaries = {"one": b"abcde fgh abc def gha" * 40, "two": "klmno pqé nop".encode() * 40}
+    s = language.Settings()
+    df = spark.createDataFrame([(k, t, "x", 9) for k, t in enumerate(texts)], "doc_id long, text string, LANG_PRED string, rows int")
+    got = {r["doc_id"]: r for r in language.identify(df, dictionaries).collect()}
+    for k, text in enumerate(texts):
+        data = language.normal(text) if text else b""
+        if not data:
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, words in dictionaries.items():
+            coder = lambda: zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)  # noqa: E731, B023
+            sizes[lang] = sum(len(coder().compress(data[at : at + s.block_bytes])) for at in range(0, len(data), s.block_bytes))
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        want = 1 / sum(math.exp(-s.sharpness * min(500, n - sizes[best])) for n in sizes.values())
+        assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(want, abs=0.2 if len(data) < 50 else 1e-3)
+        assert got[k]["rows"] == 9
+    many = language.learn(spark.createDataFrame([(f"l{k}", "".join(rng.choice("abcdefgh ") for _ in range(4000))) for k in range(8)], "lang string, text string"), language.Settings(most_bytes=8000, piece_bytes=64))
+    assert len(many) == 8 and sum(map(len, many.values())) <= 8000
+
+
 def brute_rules(text):
     text = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -192,6 +219,9 @@ def test_op3_counts_and_verdicts(docs, none):
     assert by_id[78]["n_bad_lines"] == 1 and "Home |" not in by_id[78]["cleaned_text"]
     assert by_id[68]["base_failed"] and by_id[69]["cleaned_text"] == ""
     assert line_rules.clean_lines(none).count() == 0
+    wide = docs.select("doc_id", "text", F.lit(3).alias("kept"), F.lit("c").alias("carried_row"), "fill")
+    cleaned = {r["doc_id"]: r for r in line_rules.clean_documents(wide).collect()}
+    assert cleaned[78]["carried_row"] == "c" and cleaned[78]["cleaned_text"] == by_id[78]["cleaned_text"] and cleaned[77]["kept"] is False
     assert line_rules.repeated_words([b"x"] * 9) == 9 and line_rules.repeated_words([b"x"] * 5) == 0
 
 
@@ -213,6 +243,43 @@ def test_op4_marginals_equal_enumeration():
     assert np.allclose(pairs, all_pairs)
 
 
+def test_op4_scores_equal_brute_force(spark):
+    """The score from all labellings of the lines, weighted by length, and calibrated."""
+    rng = np.random.default_rng(5)
+    model = line_crf.Model(rng.normal(size=line_crf.N_FEATURES), rng.normal(size=(2, 2)), 0.7, 0.2)
+    texts = [None, "", "One line here.", "A | B | C\nA longer line, with words.\n\nTHE!! OF!!\nend", "x\nx\nx y z"]
+    df = spark.createDataFrame([(k, t, 5.0) for k, t in enumerate(texts)], "doc_id long, text string, QUALITY_SCORE double")
+    got = {r["doc_id"]: r["quality_score"] for r in line_crf.score(df, model).collect()}
+    for k, text in enumerate(texts):
+        x, sizes = line_crf.line_features(text)
+        z = x.astype(float) @ model.weights
+        n = len(sizes)
+        total, good = 0.0, np.zeros(n)
+        for path in range(2**n):
+            y = [path >> i & 1 for i in range(n)]
+            weight = math.exp(sum((z[i] if y[i] else -z[i]) / 2 for i in range(n)) + sum(model.trans[a, b] for a, b in zip(y, y[1:])))
+            total += weight
+            good += weight * np.array(y)
+        mean = min(max(float((good / total * sizes).sum() / sizes.sum()), 1e-4), 1 - 1e-4)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(0.7 * math.log(mean / (1 - mean)) + 0.2))))
+
+
+def test_op4_lines_differ_inside_a_document(spark):
+    """A bad line in every good document: its marginal is low though the document's label is good, and labels change between lines."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice("some plain words that make up a line of text".split()) for _ in range(rng.randint(6, 14))) + "."
+    bad = lambda: " ".join(rng.choice("$$$ ### THE!! | OF!! |||".split()) for _ in range(rng.randint(4, 9)))
+    rows = [(k, "\n".join(bad() if j == 4 else good() for j in range(9)), 1) for k in range(60)] + [(k, "\n".join(bad() for _ in range(9)), 0) for k in range(60, 120)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = line_crf.learn(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    x, sizes = line_crf.line_features(rows[0][1])
+    score = x.astype(float) @ model.weights
+    marginal = line_crf.forward_backward(np.stack([-score / 2, score / 2], axis=1), np.array([9]), model.trans)[0][:, 1]
+    assert marginal[4] < 0.5 < np.delete(marginal, 4).min()
+    got = {r["doc_id"]: r["quality_score"] for r in line_crf.score(df, model).collect()}
+    assert min(got[k] for k in range(60)) > 0.7 > max(got[k] for k in range(60, 120))
+
+
 def test_op4_learns_and_scores(spark, docs, none):
     rows = [(k, ("the of and to in. " * 8 + "\n") * 3, 1) for k in range(40)] + [(k, ("THE!! | OF!! $$$ | " * 8 + "\n") * 3, 0) for k in range(40, 80)]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -293,9 +360,57 @@ def test_op6_neighbours_and_likeness(docs, none):
         prints.setdefault(r["doc_id"], r["fingerprint"])
     assert prints[66] == prints[67] and prints[68] == prints[69]
     assert edit_embedding.fingerprint_edits(none).count() == 0
-    near = edit_embedding.near_classes(edit_embedding.fingerprints(docs.select("doc_id", "text"))).collect()
-    found = {frozenset((r["a"], r["b"])) for r in near}
-    assert any(frozenset((prints[66], prints[k])) in found for k in range(60, 66))
+    near = edit_embedding.with_near_class(edit_embedding.fingerprints(docs.select("doc_id", "text")), "doc_id").collect()
+    found = {r["doc_id"]: r["near_class"] for r in near}
+    assert len(near) == len(fixture_rows()) and found[68] == found[69] and sum(found[k] == found[66] for k in range(60, 66)) >= 5
+    walker = edit_embedding.walk(edit_embedding.Settings())
+    for r in got:  # likeness and fingerprints against a step-by-step walk
+        text = next(t[1] or "" for t in fixture_rows() if t[0] == r["doc_id"])
+        assert r["fingerprint"] == brute_print(walker, text)
+        a, b = (np.array([int(c, 16) for c in r[name]]) for name in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == pytest.approx(max(0.0, ((a == b).mean() - 1 / 16) / (1 - 1 / 16)))
+
+
+def brute_print(walker, text):
+    """The fingerprint of one text, clock by clock."""
+    codes = [ord(c) for c in text]
+    seen, at, clock = [], 0, 0
+    stay = walker.stay.reshape(walker.CLOCKS, 256)
+    while at < len(codes):
+        for _ in range(int(stay[clock % walker.CLOCKS, (codes[at] ^ (codes[at] >> 8)) & 255])):
+            seen.append(at)
+            clock += 1
+        at += 1
+    out = []
+    for slot in range(walker.settings.slots):
+        record = max(int(r) for r in walker.records[slot] if r < max(1, clock))
+        place = seen[record] if seen else 0
+        gram = [codes[place + k] + 1 if place + k < len(codes) else 1 for k in range(walker.settings.gram)]
+        value = sum((g * g + g) * int(m) for g, m in zip(gram, walker.mixers)) % 2**64
+        value = (value ^ (value >> 29)) * 0x9E3779B97F4A7C15 % 2**64
+        out.append("%x" % (value >> (64 - walker.settings.bits)))
+    return "".join(out)
+
+
+def test_op6_banding_recall(spark):
+    """At least nine tenths of all near pairs are in one class, against all pairs."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        base = [rng.choice("abcdefghij ") for _ in range(rng.choice([300, 800, 1500]))]
+        for _ in range(rng.choice([1, 3, 6])):
+            changed = list(base)
+            for at in rng.sample(range(len(base)), rng.choice([0, 3, 8, 15, 30])):
+                changed[at] = rng.choice(["", "zz", "y"])
+            rows.append((len(rows), "".join(changed)))
+    got = edit_embedding.with_near_class(edit_embedding.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id").collect()
+    class_of = {r["doc_id"]: r["near_class"] for r in got}
+    walker = edit_embedding.walk(edit_embedding.Settings())
+    prints = walker.prints([t for _, t in rows])
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if walker.likeness(prints[i], prints[j]) >= 0.75]
+    hit = sum(class_of[i] == class_of[j] for i, j in near)
+    assert len(near) > 50 and hit >= 0.9 * len(near)
+    assert all(class_of[k] <= k for k in class_of)
 
 
 def test_op6_edits_cost_little():
@@ -517,3 +632,25 @@ def test_op10_keeps_every_capacity(rule):
         assert own.sum() <= 100 and len(own) <= 4 and (own.astype(float) ** 2).sum() <= 6000
         order = np.argsort(offsets[bins == b])
         assert (np.cumsum(own[order]) - own[order] == offsets[bins == b][order]).all()
+
+
+def test_op10_capacities_and_levels_of_the_query_path(spark):
+    """Tiny pieces meet the capacity for documents at its default; many partitions take several levels."""
+    df = spark.createDataFrame([(k, None if k % 2 else "") for k in range(1400)], "doc_id long, text string").repartition(5)
+    held = Counter(r["sequence_id"] for r in packing.pack(df, WORD_BPE).collect())
+    assert max(held.values()) == packing.Capacity().documents == 512 and len(held) == 3
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["word", "other", "text"]) for _ in range(rng.choice([3, 40, 300, 900])))) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = packing.pack(df, WORD_BPE, capacity=packing.Capacity(regroup=2, documents=2048)).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    alone = packing.best_fit(np.array([r["length"] for r in got]), packing.Capacity(documents=2048))[0].max() + 1  # all in one group
+    assert max(fill.values()) <= 2048 and len(fill) <= alone + 2
+    for key in fill:
+        at = 0
+        for r in sorted((r for r in got if r["sequence_id"] == key), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+    assert sorted({r["doc_id"] for r in got}) == list(range(500))
