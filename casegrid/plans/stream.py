@@ -18,7 +18,10 @@ R = Registry()
 
 def _work(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors see; a local one only where no checkpoint folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='casegrid-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='casegrid-')}"
     return f"{root.rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:10]}"
 
 
@@ -30,7 +33,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Stateful ingest by subject; equals the window form on the same rows."""
     work = _work(spark, "ingest")
     schema = table(spark, d, "events").schema
-    got = store.replay(spark, f"{d.rstrip('/')}/events.parquet*", schema, lambda s: store.ingest(s, timedelta(days=2)), f"{work}/out", f"{work}/checkpoint")
+    got = store.replay(spark, f"{d.rstrip('/')}/events.parquet*", schema, lambda s: store.ingest(s, timedelta(days=2), lambda r: r["user_id"] % 7 == 0, lambda r: r["event_type"] == "error"), f"{work}/out", f"{work}/checkpoint")
     return got.select("event_id", "seen", "prior_id", "queue")
 
 
@@ -40,12 +43,8 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     work = _work(spark, "hourly")
     schema = table(spark, d, "events").schema
     build = lambda s: store.windowed_rate(s.select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour")
-    # append mode keeps the newest windows back until the watermark passes; complete mode writes all
-    stream = build(spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*"))
-    name = f"hourly_{uuid.uuid4().hex[:8]}"
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).format("memory").queryName(name).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    got = store.replay_updates(spark, f"{d.rstrip('/')}/events.parquet*", schema, build, f"{work}/out", f"{work}/checkpoint", ["start"])
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @R.add("stream_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
@@ -53,9 +52,5 @@ def stream_status(spark: SparkSession, d: str) -> DataFrame:
     """Newest status by key over the stream."""
     work = _work(spark, "status")
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*")
-    latest = stream.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
-    name = f"status_{uuid.uuid4().hex[:8]}"
-    query = latest.writeStream.outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).format("memory").queryName(name).start()
-    query.awaitTermination()
-    return spark.table(name)
+    build = lambda s: s.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    return store.replay_updates(spark, f"{d.rstrip('/')}/events.parquet*", schema, build, f"{work}/out", f"{work}/checkpoint", ["user_id"]).select("user_id", "status")

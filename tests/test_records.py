@@ -1,11 +1,12 @@
 """Records, traces, sinks and generators on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from casegrid.operators import generate, traces
+from casegrid.operators import conversations, generate, traces
 from casegrid.sources import cda, sinks
 
 XML = """<ClinicalDocument><code code="55751-2" codeSystem="2.16.840.1.113883.6.1" displayName="Report"/>
@@ -42,15 +43,56 @@ def test_tolerant_parse(spark):
 def test_trace_to_conversation(spark):
     trace = [
         {"tool_calls": [{"id": "c1", "function": {"name": "a", "arguments": '{"x": 1}'}}, {"function": {"name": "b"}}], "turn": 1},
-        {"tool_result": "a", "result": {"r": 1}}, {"tool_result": "b", "result": []}, {"tool_result": "z", "args": {"q": 2}, "result": 3},
+        {"tool_result": "a", "result": {"r": 1}}, {"tool_result": "b", "result": []}, {"tool_result": "z", "args": {"q": 2}, "result": 3}, {"tool_result": "z", "forced": True, "result": "text"},
     ]
-    turns = traces.conversation("s", "u", trace, {"k": []})
-    assert [t["role"] for t in turns] == ["system", "user", "assistant", "tool", "tool", "assistant", "tool", "assistant"]
-    assert [t["tool_call_id"] for t in turns if t["role"] == "tool"] == ["c1", "trace_turn_1_call_1", "synthetic_tool_call_0"]
-    assert traces.conversation("s", "u", [{"content": "x"}], {}) is None
-    df = spark.createDataFrame([("1", "s", "u", json.dumps(trace), "{}"), ("2", "s", "u", None, None), ("3", "s", "u", "[", "{}")], "case_id string, system string, user string, trace string, target string")
-    got = {r["case_id"]: r["conversations"] for r in traces.conversations(df).collect()}
-    assert json.loads(got["1"])[2]["tool_calls"][0]["function"]["arguments"] == '{"x":1}' and got["2"] is None and got["3"] is None
+    rows = [("1", "s", "u", json.dumps(trace), '{"k": []}'), ("2", "s", "u", None, None), ("3", "s", "u", "[", "{}"), ("4", "s", "u", '[{"content": "x"}]', "{}")]
+    df = spark.createDataFrame(rows, "case_id string, system string, user string, trace string, target string")
+    got = {r["case_id"]: r["conversations"] for r in conversations.conversations(df).collect()}
+    turns = json.loads(got["1"])
+    assert [t["role"] for t in turns] == ["system", "user", "assistant", "tool", "tool", "assistant", "tool", "assistant", "tool", "assistant"]
+    assert [t["tool_call_id"] for t in turns if t["role"] == "tool"] == ["c1", "trace_turn_1_call_1", "synthetic_tool_call_0", "forced_extract_0"]
+    assert turns[2]["tool_calls"][0] == {"id": "c1", "type": "function", "function": {"name": "a", "arguments": '{"x":1}'}} and turns[3]["content"] == '{"r":1}'
+    assert turns[5]["tool_calls"][0]["function"]["arguments"] == '{"q":2}' and turns[-1]["content"] == '{"k":[]}' and turns[8]["content"] == "text"
+    assert got["2"] is None and got["3"] is None and got["4"] is None
+
+
+def test_trace_pairs_equal_a_queue(spark):
+    """Random traces against a queue that is walked step by step."""
+    rng = random.Random(4)
+    rows, want = [], []
+    for case in range(30):
+        trace, waiting, made = [], [], 0
+        for pos in range(rng.randrange(1, 14)):
+            if rng.random() < 0.5:
+                trace.append({"tool_result": "t", "result": 1})
+                if not waiting:
+                    waiting.append(f"synthetic_tool_call_{made}")
+                    made += 1
+                want.append((case, pos, waiting.pop(0)))
+            else:
+                ids = [f"{pos}-{k}" for k in range(rng.randrange(3))]
+                trace.append({"content": "m", "tool_calls": [{"id": i, "function": {"name": "n"}} for i in ids]})
+                waiting += ids
+        rows.append((case, json.dumps(trace)))
+    got = conversations.trace_turns(spark.createDataFrame(rows, "case_id int, trace string"), "case_id", "trace")
+    assert sorted((r["case_id"], r["pos"], r["call_id"]) for r in got.where("role = 'tool'").collect()) == sorted(want)
+
+
+def test_gold_conversation(spark):
+    rows = spark.createDataFrame(
+        [(1, "s", "the text", (["a"], [], None), (["a", "b", "c"], ["1-2"], ["9"]), '{"valid": true}'), (2, None, "u", ([], [], []), ([], [], []), None)],
+        "case_id int, system string, user string, candidate struct<conditions:array<string>,loincs:array<string>,rxnorms:array<string>>, target struct<conditions:array<string>,loincs:array<string>,rxnorms:array<string>>, validation string",
+    )
+    names = spark.createDataFrame([("conditions", "c", "Cold", '[{"code": "c"}]'), ("loincs", "1-2", "Lab", "{}")], "axis string, code string, query string, result string")
+    got = {r["case_id"]: r for r in conversations.gold_conversations(rows, names).collect()}
+    turns = json.loads(got[1]["conversations"])
+    calls = [t["tool_calls"][0] for t in turns if t.get("tool_calls")]
+    assert [c["id"] for c in calls] == ["gold_extract_0", "gold_lookup_0", "gold_lookup_1", "gold_validate_0"]
+    assert [json.loads(c["function"]["arguments"]) for c in calls] == [{"text": "the text"}, {"query": "Cold", "top_k": 3}, {"name": "Lab", "codeset": "loinc"}, {"extraction": {"conditions": ["a", "b", "c"], "loincs": ["1-2"], "rxnorms": ["9"]}}]
+    assert (got[1]["lookup_calls"], got[1]["missing_lookup_queries"]) == (2, ["conditions:b", "rxnorms:9"])
+    assert json.loads(turns[-1]["content"])["rxnorms"] == ["9"] and len(json.loads(got[2]["conversations"])) == 7 and got[2]["lookup_calls"] == 0
+    o8 = spark.createDataFrame([(["a", "b"], ["b", "x"]), ([], ["x", "x"])], "g array<string>, m array<string>")
+    assert [r[0] for r in o8.select(conversations.grounded_union(F.col("g"), F.col("m"))).collect()] == [["a", "b"], ["x"]]
 
 
 def test_decisions(spark):
