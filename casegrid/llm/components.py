@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import forget, stored
 
-#: a key with more than this share of all rows is a hub; so there are fewer than its inverse
-HUB_SHARE = 0.001
+#: a key with more rows than this, and than this share of all, is a hub; so there are fewer hubs than the share's inverse
+HUB_ROWS, HUB_SHARE = 10_000, 0.001
 
 
 def hub_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``values`` (one row a key; n: its rows in ``rows``, of ``total`` in all).
 
-    Keys with more than ``HUB_SHARE`` of the rows, fewer than a thousand, are
-    broadcast, so that no task gets all rows of a hub; the others join by shuffle.
+    Hubs, fewer than a thousand, are broadcast, so that no task gets all rows of
+    one; the other keys join by shuffle.
     """
-    most = int(HUB_SHARE * total)
+    most = max(HUB_ROWS, int(HUB_SHARE * total))
+    if total <= most:
+        return rows.join(values.drop("n"), key)
     hubs = F.broadcast(values.where(F.col("n") > most))
     rest = rows.join(hubs.select(key), key, "left_anti").join(values.where(F.col("n") <= most), key)
     return rows.join(hubs, key).unionByName(rest).drop("n")
@@ -31,22 +33,24 @@ def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
     with the logarithm of the largest component; each is written to the shared
     folder, which cuts the lineage, and the one before is removed.
     """
+
+    def summed(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), spark, "links")
-    n = edges.count()
+    sums = summed(edges)
     while True:
+        n = sums[0]
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = hub_join(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        base = stored(large.where("u <> v").distinct(), spark, "links")
+        base = hub_join(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = base.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hub_join(base, low, "u", max(n, 1))
+        small = hub_join(base, low, "u", 2 * n)
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = stored(hung, spark, "links")
-        count = after.count()
-        same = count == n and not after.exceptAll(edges).take(1)
-        forget(base, edges)
-        edges, n = after, count
-        if same:
+        forget(edges)
+        edges, before, sums = after, sums, summed(after)
+        if sums == before:
             break
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
     out = stored(labels, spark, "labels")

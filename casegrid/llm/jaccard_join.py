@@ -648,12 +648,12 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Labels (node, label), a stored table, after verifying what is needed to join the components."""
-    asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
-    texts = [stored(texts_of(docs, classes, asked), spark, "jaccard-texts")]
+    asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).union(groups.select("key")).distinct()
+    texts = stored(texts_of(docs, classes, asked), spark, "jaccard-texts")
     free_finished(spark)
     # first one pair for each set, the one with most signatures; most components are whole then
     first = near.groupBy("b").agg(F.max(F.struct("n", -F.col("a"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = [stored(verified(first, texts[0], s), spark, "jaccard-links")]
+    links = [stored(verified(first, texts, s), spark, "jaccard-links")]
     free_finished(spark)
     labels = connected(spark, links[0])
 
@@ -668,14 +668,14 @@ def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: Data
         free_finished(spark)
         return labels
 
-    rest = stored(verified(apart(near, labels), texts[0], s), spark, "jaccard-links")
+    rest = stored(verified(apart(near, labels), texts, s), spark, "jaccard-links")
     free_finished(spark)
     if not rest.isEmpty():
         joined(rest)
-    # groups that still hold several components: forests of untested pairs, twice as many each round, until no pair is left
+    # groups that still hold several components: forests of untested pairs, eight times as many each round, until no pair is left
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     failed = near.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "a", "b").limit(0)
-    forests = 1
+    forests = 8
     while True:
         of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         split = of_group.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("group")
@@ -684,21 +684,12 @@ def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: Data
         free_finished(spark)
         if crossed.isEmpty():
             break
-        asked = crossed.select(F.col("a").alias("key")).union(crossed.select(F.col("b").alias("key"))).distinct()
-        lacking = asked
-        for known in texts:
-            lacking = lacking.join(known.select("key"), "key", "left_anti")
-        if not lacking.isEmpty():
-            texts.append(stored(texts_of(docs, classes, lacking), spark, "jaccard-texts"))
-        everything = texts[0]
-        for known in texts[1:]:
-            everything = everything.union(known)
-        found = stored(verified(crossed.select("a", "b").distinct(), everything, s), spark, "jaccard-links")
+        found = stored(verified(crossed.select("a", "b").distinct(), texts, s), spark, "jaccard-links")
         if not found.isEmpty():
             joined(found)
         failed = failed.union(crossed.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b"))
-        forests *= 2
-    forget(*texts, *links)
+        forests *= 8
+    forget(texts, *links)
     return labels
 
 
