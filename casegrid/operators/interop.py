@@ -16,58 +16,106 @@ VITAL_DATE = "2026-01-01"
 #: HL7 names and codes of vital signs, in order.
 HL7_VITALS = [("temp", "8310-5", "Body temperature", "Cel"), ("hr", "8867-4", "Heart rate", "/min"), ("rr", "9279-1", "Respiratory rate", "/min"), ("spo2", "2708-6", "Oxygen saturation", "%"), ("sbp", "8480-6", "Systolic blood pressure", "mm[Hg]")]
 
-_ABSENT = '{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/data-absent-reason","code":"unknown"}]}'
-_VITAL_CATEGORY = '[{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/observation-category","code":"vital-signs","display":"Vital Signs"}]}]'
-_ACTIVE = '{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/condition-clinical","code":"active"}]}'
+#: Coded answers of the interchange format.
+ABSENT = ("http://terminology.hl7.org/CodeSystem/data-absent-reason", "unknown")
+VITAL_CATEGORY = ("http://terminology.hl7.org/CodeSystem/observation-category", "vital-signs", "Vital Signs")
+ACTIVE = ("http://terminology.hl7.org/CodeSystem/condition-clinical", "active")
+
+_CODING = "struct<system:string,code:string,display:string>"
+_CONCEPT = f"struct<coding:array<{_CODING}>>"
+#: one shape for all resources: fields that a resource doesn't have are null, and ``to_json`` leaves them out
+RESOURCE = {
+    "resourceType": "string", "id": "string", "meta": "struct<source:string>", "status": "string", "title": "string", "subject": "struct<reference:string>",
+    "clinicalStatus": _CONCEPT, "category": f"array<{_CONCEPT}>", "code": _CONCEPT, "medicationCodeableConcept": _CONCEPT, "effectiveDateTime": "string",
+    "dataAbsentReason": _CONCEPT, "component": f"array<struct<code:{_CONCEPT},dataAbsentReason:{_CONCEPT}>>",
+}
 
 
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _coding(system: str, code: Column) -> Column:
-    return _text('{"system":"', SYSTEM_URI[system], '","code":"', code, '"}')
+def _concept(*codings: Column) -> Column:
+    return F.struct(F.array_compact(F.array(*codings)).alias("coding"))
+
+
+def _fixed(values: tuple[str, ...]) -> Column:
+    return F.struct(*[F.lit(v).cast("string").alias(name) for v, name in zip((*values, None), ("system", "code", "display"))])
+
+
+def _entry(kind: str, url: Column, **fields: Column) -> Column:
+    """An entry with the fields of the common shape, null where not given."""
+    fields["resourceType"] = F.lit(kind)
+    resource = F.struct(*[fields.get(name, F.lit(None)).cast(shape).alias(name) for name, shape in RESOURCE.items()])
+    return F.struct(url.alias("fullUrl"), resource.alias("resource"))
+
+
+class Entries:
+    """Entries of a case: the patient's id, and maps from "SYSTEM|code" to display and from code to source, either of which may be null."""
+
+    def __init__(self, patient: Column, displays: Column | None = None, sources: Column | None = None):
+        self.patient, self.displays, self.sources = patient, displays, sources
+
+    def coding(self, system: str, code: Column) -> Column:
+        shown = F.lit(None).cast("string") if self.displays is None else F.try_element_at(self.displays, _text(system, "|", code))
+        return F.struct(F.lit(SYSTEM_URI[system]).alias("system"), code.alias("code"), shown.alias("display"))
+
+    def of(self, kind: str, prefix: str, number: Column, **fields: Column) -> Column:
+        source = F.lit(None).cast("string") if self.sources is None else F.try_element_at(self.sources, number)
+        meta = F.when(F.coalesce(source, F.lit("")) != "", F.struct(source.alias("source")))
+        subject = F.struct(_text("urn:case:patient-", self.patient).alias("reference"))
+        return _entry(kind, _text("urn:case:", prefix, "-", number), id=_text(prefix, "-", number), subject=subject, meta=meta, **fields)
+
+    def person(self) -> Column:
+        return _entry("Patient", _text("urn:case:patient-", self.patient), id=self.patient)
 
+    def condition(self, code: Column) -> Column:
+        return self.of("Condition", "condition", code, code=_concept(self.coding("SNOMED", code)), clinicalStatus=_concept(_fixed(ACTIVE)))
 
-def _entry(kind: str, code: Column, patient: Column, body: Column) -> Column:
-    kinds = {"condition": "Condition", "observation": "Observation", "medication": "MedicationStatement"}
-    return _text('{"fullUrl":"urn:case:', kind, "-", code, '","resource":{"resourceType":"', kinds[kind], '","id":"', kind, "-", code, '","subject":{"reference":"urn:case:patient-', patient, '"},', body, "}}")
+    def medication(self, code: Column) -> Column:
+        return self.of("MedicationStatement", "medication", code, status=F.lit("unknown"), medicationCodeableConcept=_concept(self.coding("RXNORM", code)))
 
+    def observation(self, code: Column) -> Column:
+        """A code alone, or, where the standard asks for it, as the component of a panel; vital signs have a category, a date and no value."""
+        pressure, panel_part, vital = code.isin(PRESSURE), code.isin(PANEL_PARTS), code.isin(VITALS)
+        part = lambda c: F.struct(_concept(self.coding("LOINC", c)).alias("code"), _concept(_fixed(ABSENT)).alias("dataAbsentReason"))
+        second = F.try_element_at(F.create_map(*[F.lit(x) for pair in SECOND_CODE.items() for x in pair]), code)
+        own = F.when(pressure, F.lit(PRESSURE_PANEL)).when(panel_part, F.lit(VITAL_PANEL)).otherwise(code)
+        in_panel = pressure | panel_part
+        return self.of(
+            "Observation",
+            "observation",
+            code,
+            **{
+                "status": F.lit("final"),
+                "code": _concept(self.coding("LOINC", own), F.when(~in_panel & second.isNotNull(), self.coding("LOINC", second))),
+                "category": F.when(in_panel | vital, F.array(_concept(_fixed(VITAL_CATEGORY)))),
+                "effectiveDateTime": F.when(in_panel | vital, F.lit(VITAL_DATE)),
+                "dataAbsentReason": F.when(vital & ~in_panel, _concept(_fixed(ABSENT))),
+                "component": F.when(pressure, F.array(*[part(F.lit(c)) for c in PRESSURE])).when(panel_part, F.array(part(code))),
+            },
+        )
 
-def _observation(code: Column, patient: Column) -> Column:
-    part = lambda c: _text('{"code":{"coding":[', _coding("LOINC", c), ']},"dataAbsentReason":', _ABSENT, "}")
-    panel = lambda panel_code, parts: _text('"status":"final","category":', _VITAL_CATEGORY, ',"code":{"coding":[', _coding("LOINC", F.lit(panel_code)), ']},"effectiveDateTime":"', VITAL_DATE, '","component":[', parts, "]")
-    second = F.lit(None).cast("string")
-    for k, v in SECOND_CODE.items():
-        second = F.when(code == k, v).otherwise(second)
-    both = F.concat_ws(",", _coding("LOINC", code), F.when(second.isNotNull(), _coding("LOINC", second)))
-    plain = _text('"status":"final","code":{"coding":[', both, "]}", F.when(code.isin(VITALS), _text(',"category":', _VITAL_CATEGORY, ',"effectiveDateTime":"', VITAL_DATE, '","dataAbsentReason":', _ABSENT)).otherwise(""))
-    body = (
-        F.when(code.isin(PRESSURE), panel(PRESSURE_PANEL, F.concat_ws(",", *[part(F.lit(c)) for c in PRESSURE])))
-        .when(code.isin(PANEL_PARTS), panel(VITAL_PANEL, part(code)))
-        .otherwise(plain)
-    )
-    return _entry("observation", code, patient, body)
+    def all(self, conditions: Column, loincs: Column, rxnorms: Column) -> Column:
+        """The patient, then conditions, observations and drugs in order; null codes are left out."""
+        there = lambda codes: F.array_compact(codes)
+        return F.concat(F.array(self.person()), F.transform(there(conditions), self.condition), F.transform(there(loincs), self.observation), F.transform(there(rxnorms), self.medication))
 
 
-def bundle(patient: Column, conditions: Column, loincs: Column, rxnorms: Column) -> Column:
-    """A collection Bundle as JSON text: the patient, then conditions, observations and drugs in order; no displays."""
-    first = F.array(_text('{"fullUrl":"urn:case:patient-', patient, '","resource":{"resourceType":"Patient","id":"', patient, '"}}'))
-    rows = F.concat(
-        first,
-        F.transform(conditions, lambda c: _entry("condition", c, patient, _text('"code":{"coding":[', _coding("SNOMED", c), ']},"clinicalStatus":', _ACTIVE))),
-        F.transform(loincs, lambda c: _observation(c, patient)),
-        F.transform(rxnorms, lambda c: _entry("medication", c, patient, _text('"status":"unknown","medicationCodeableConcept":{"coding":[', _coding("RXNORM", c), "]}"))),
-    )
-    return _text('{"resourceType":"Bundle","type":"collection","entry":[', F.array_join(rows, ","), "]}")
+def bundle(patient: Column, conditions: Column, loincs: Column, rxnorms: Column, displays: Column | None = None, sources: Column | None = None) -> Column:
+    """A collection Bundle as JSON text."""
+    entries = Entries(patient, displays, sources).all(conditions, loincs, rxnorms)
+    return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("collection").alias("type"), entries.alias("entry")))
 
 
-def document_bundle(case_id: Column, inner: Column) -> Column:
-    """A document Bundle around a collection's entries: composition, encounter and organization first, ids derived from the case."""
+def document_bundle(case_id: Column, entries: Column) -> Column:
+    """A document Bundle: composition, encounter and organization, with ids derived from the case, then the entries."""
     make = lambda kind: F.substring(F.sha2(_text(kind, ":", case_id), 256), 1, 32)
-    head = F.concat_ws(",", *[_text('{"fullUrl":"urn:uuid:', make(k), '","resource":{"resourceType":"', k, '","id":"', make(k), '"', extra, "}}") for k, extra in (("Composition", ',"status":"final","title":"Case report"'), ("Encounter", ',"status":"finished"'), ("Organization", ""))])
-    body = F.regexp_extract(inner, r'(?s)"entry":\[(.*)\]\}$', 1)
-    return _text('{"resourceType":"Bundle","type":"document","entry":[', F.concat_ws(",", head, F.when(body != "", body)), "]}")
+    head = [
+        _entry(kind, _text("urn:uuid:", make(kind)), id=make(kind), **{name: F.lit(v) for name, v in more.items()})
+        for kind, more in (("Composition", {"status": "final", "title": "Case report"}), ("Encounter", {"status": "finished"}), ("Organization", {}))
+    ]
+    return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("document").alias("type"), F.concat(F.array(*head), entries).alias("entry")))
 
 
 def bundle_entities(rows: DataFrame, id_column: str, json: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,15 +36,35 @@ def seed_if_empty(table: DataFrame, seed: DataFrame) -> DataFrame:
     return seed if table.isEmpty() else table
 
 
+def split_updates(updates: DataFrame, table: DataFrame, key: str, status: str, allowed: list[str]) -> DataFrame:
+    """``updates`` with ``reject``: why a row can't be applied (unknown status, no such key), null where it can."""
+    known = table.select(key).distinct().withColumn("__known", F.lit(True))
+    joined = updates.join(known, key, "left")
+    reason = F.when(~F.coalesce(F.col(status).isin(allowed), F.lit(False)), "invalid status").when(F.col("__known").isNull(), "not found")
+    return joined.withColumn("reject", reason).drop("__known")
+
+
+def apply_statuses(table: DataFrame, updates: DataFrame, key: str, status: str, order: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the table after the newest good update of each key, one row of counts: updated keys, and rejected rows by reason)."""
+    judged = split_updates(updates, table, key, status, allowed)
+    after = set_status(table, judged.where("reject is null"), key, status, order)
+    counts = judged.agg(
+        F.count_distinct(F.when(F.col("reject").isNull(), F.col(key))).alias("updated"),
+        F.count_if(F.col("reject") == "invalid status").alias("invalid"),
+        F.count_if(F.col("reject") == "not found").alias("missing"),
+    )
+    return after, counts
+
+
 def union_checked(parts: list[DataFrame], key: str) -> DataFrame:
-    """Union without repeats; the query fails if a key has different rows."""
+    """Union without repeats; the query fails if a key has different rows. Rows meet by a group, so that a key that repeats shrinks before the shuffle."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    out = out.distinct()
-    n = F.count("*").over(Window.partitionBy(key))
+    row = F.struct(*out.columns)
+    one = out.groupBy(key).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
     clash = F.raise_error(F.concat(F.lit(f"different rows for {key} "), F.col(key).cast("string")))
-    return out.withColumn("__n", n).where(F.when(F.col("__n") > 1, clash.cast("boolean")).otherwise(F.lit(True))).drop("__n")
+    return one.where(F.when(F.col("lo").eqNullSafe(F.col("hi")), F.lit(True)).otherwise(clash.cast("boolean"))).select(*[F.col("lo").getField(c).alias(c) for c in out.columns])
 
 
 def migrate(old: DataFrame, columns: dict[str, str]) -> DataFrame:

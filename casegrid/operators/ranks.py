@@ -10,6 +10,7 @@ MODES = {
     "half_even": lambda x: F.bround(x, 0),
     "half_away": lambda x: F.round(x, 0),
     "floor": F.floor,
+    "ceil": F.ceil,
 }
 
 
@@ -37,6 +38,16 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, wanted: dict[str,
     return found.groupBy(*group).agg(*[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in wanted])
 
 
+def interpolated(df: DataFrame, group: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``group`` columns and a percentile for each entry of ``wanted`` (name -> fraction), between the two nearest ranks."""
+    ends = {f"{name}_{mode}": (q, mode) for name, q in wanted.items() for mode in ("floor", "ceil")}
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"))
+    found = nearest_rank(df, group, value, ends)
+    joined = found.join(counts, group) if group else found.crossJoin(F.broadcast(counts))
+    between = lambda name, q: F.col(f"{name}_floor") + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)))
+    return joined.select(*group, *[between(name, q).alias(name) for name, q in wanted.items()])
+
+
 def pick(values: Column, n: Column, fraction: float, mode: str) -> Column:
     """The same on a sorted array column of known small size."""
     return F.element_at(values, (MODES[mode](F.lit(fraction) * (n - 1)) + 1).cast("int"))

@@ -42,10 +42,10 @@ def k16(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("k17_missing_lookups", """
 WITH c AS (SELECT l_orderkey AS case_id, p_brand AS code, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
-t AS (SELECT case_id, code, min(n) AS at FROM c GROUP BY 1, 2), have AS (SELECT DISTINCT case_id, code FROM c WHERE n % 2 = 0),
+t AS (SELECT case_id, code, min(n) AS place FROM c GROUP BY 1, 2), have AS (SELECT DISTINCT case_id, code FROM c WHERE n % 2 = 0),
 names AS (SELECT p_brand AS code, min(p_name) AS query FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1),
-m AS (SELECT t.case_id, t.code, t.at, query FROM t LEFT JOIN names USING (code) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.case_id = t.case_id AND h.code = t.code))
-SELECT case_id, code, query, CASE WHEN query IS NOT NULL THEN row_number() OVER (PARTITION BY case_id, query IS NOT NULL ORDER BY at) - 1 END::INTEGER AS nth FROM m""")
+m AS (SELECT t.case_id, t.code, t.place, query FROM t LEFT JOIN names USING (code) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.case_id = t.case_id AND h.code = t.code))
+SELECT case_id, code, query, (CASE WHEN query IS NOT NULL THEN row_number() OVER (PARTITION BY case_id, (query IS NOT NULL) ORDER BY place, code) - 1 END)::INTEGER AS nth FROM m""")
 def k17(spark: SparkSession, d: str) -> DataFrame:
     """Codes that the first extraction lacks, numbered in order where they have a name to look up."""
     brands = table(spark, d, "part").select("p_partkey", "p_brand")

@@ -34,6 +34,28 @@ def k12(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@R.add("t44_bundle_fields", """
+WITH c AS (SELECT s_suppkey, 'con "' || s_suppkey || '"' AS con, CASE s_suppkey % 4 WHEN 0 THEN '8480-6' WHEN 1 THEN '39156-5' WHEN 2 THEN '2710-2' ELSE s_suppkey || '-1' END AS lab, s_name FROM supplier)
+SELECT s_suppkey, 1 AS pos, 'condition' AS axis, 'condition-' || con AS id, con AS code, s_name AS display, NULL AS second, 'urn:case:patient-p' || s_suppkey AS subject, 0 AS parts FROM c
+UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey % 4 = 3 THEN 'lab' ELSE 'vital' END, 'observation-' || lab, CASE s_suppkey % 4 WHEN 0 THEN '85354-9' WHEN 1 THEN '85353-3' ELSE lab END, NULL, CASE WHEN s_suppkey % 4 = 2 THEN '2708-6' END, 'urn:case:patient-p' || s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END FROM c
+UNION ALL SELECT s_suppkey, 3, 'medication', 'medication-7', '7', 'Drug', NULL, 'urn:case:patient-p' || s_suppkey, 0 FROM c""")
+def t44(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the entries, displays among them, read back from the JSON text; quotes in codes are escaped."""
+    c = table(spark, d, "supplier").withColumn("con", F.concat(F.lit('con "'), F.col("s_suppkey").cast("string"), F.lit('"')))
+    n = F.col("s_suppkey") % 4
+    lab = F.when(n == 0, "8480-6").when(n == 1, "39156-5").when(n == 2, "2710-2").otherwise(F.concat(F.col("s_suppkey").cast("string"), F.lit("-1")))
+    shown = F.create_map(F.concat(F.lit("SNOMED|"), "con"), F.col("s_name"), F.lit("RXNORM|7"), F.lit("Drug"))
+    patient = F.concat(F.lit("p"), F.col("s_suppkey").cast("string"))
+    json = interop.bundle(patient, F.array("con", F.lit(None)), F.array(lab), F.array(F.lit("7")), shown)
+    coding = "array<struct<code:string,display:string>>"
+    concept = f"struct<coding:{coding}>"
+    shape = f"struct<entry:array<struct<resource:struct<resourceType:string,id:string,subject:struct<reference:string>,code:{concept},medicationCodeableConcept:{concept},category:array<{concept}>,component:array<struct<code:{concept}>>>>>>"
+    rows = c.select("s_suppkey", F.posexplode(F.from_json(json, shape)["entry"]).alias("pos", "e")).where("pos > 0").select("s_suppkey", "pos", "e.resource.*")
+    codings = F.coalesce(F.col("code.coding"), F.col("medicationCodeableConcept.coding"))
+    axis = F.when(F.col("resourceType") == "Condition", "condition").when(F.col("resourceType") == "MedicationStatement", "medication").when(F.col("category").isNotNull(), "vital").otherwise("lab")
+    return rows.select("s_suppkey", "pos", axis.alias("axis"), "id", codings[0]["code"].alias("code"), codings[0]["display"].alias("display"), F.get(codings, F.lit(1))["code"].alias("second"), F.col("subject.reference").alias("subject"), F.greatest(F.lit(0), F.size(F.coalesce("component", F.array()))).alias("parts"))
+
+
 @R.add("k13_hl7_segments", """
 SELECT l_orderkey, count(*)::INTEGER AS dg1, (3 + count(*))::INTEGER AS segments FROM lineitem GROUP BY 1""")
 def k13(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +107,7 @@ def o5(spark: SparkSession, d: str) -> DataFrame:
 def t45(spark: SparkSession, d: str) -> DataFrame:
     """A document Bundle with composition, encounter and organization."""
     rows = _lists(spark, d)
-    inner = interop.bundle(F.col("l_orderkey").cast("string"), F.col("conditions"), F.array().cast("array<string>"), F.array().cast("array<string>"))
-    json = interop.document_bundle(F.col("l_orderkey").cast("string"), inner)
+    none = F.array().cast("array<string>")
+    entries = interop.Entries(F.col("l_orderkey").cast("string")).all(F.col("conditions"), none, none)
+    json = interop.document_bundle(F.col("l_orderkey").cast("string"), entries)
     return rows.select("l_orderkey", F.size(F.from_json(json, "struct<entry:array<struct<fullUrl:string>>>")["entry"]).alias("entries"))

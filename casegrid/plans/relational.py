@@ -20,11 +20,9 @@ FROM events GROUP BY event_type""")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     """A1-A3: count, mean, success rate, exact interpolated percentiles."""
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"),
-        F.round(F.avg((F.col("value") > 50).cast("double")), 4).alias("share_over_50"),
-        F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"),
-    )
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.avg((F.col("value") > 50).cast("double")), 4).alias("share_over_50"))
+    middle = ranks.interpolated(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return means.join(middle, "event_type").select("event_type", "n", "mean_value", "share_over_50", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @R.add("a8_status_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
@@ -103,10 +101,9 @@ FROM orders WHERE o_totalprice > 0 GROUP BY 1""")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     """Profile of the positive values."""
     o = table(spark, d, "orders").where("o_totalprice > 0")
-    return o.groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.round(F.min("o_totalprice"), 2).alias("least"), F.round(F.avg("o_totalprice"), 2).alias("mean"),
-        F.round(F.median("o_totalprice"), 2).alias("median"), F.round(F.max("o_totalprice"), 2).alias("most"),
-    )
+    sums = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.min("o_totalprice"), 2).alias("least"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.max("o_totalprice"), 2).alias("most"))
+    middle = ranks.interpolated(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 2))
+    return sums.join(middle, "o_orderpriority")
 
 
 @R.add("a23_distinct_sorted", "SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1")
@@ -129,7 +126,8 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
 def a29(spark: SparkSession, d: str) -> DataFrame:
     """Two medians by variant."""
     lines = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("variant"), "l_quantity", "l_extendedprice")
-    return lines.groupBy("variant").agg(F.round(F.median("l_quantity"), 4).alias("median_quantity"), F.round(F.median("l_extendedprice"), 4).alias("median_price"))
+    middle = lambda value, name: ranks.interpolated(lines, ["variant"], value, {name: 0.5}).withColumn(name, F.round(name, 4))
+    return middle("l_quantity", "median_quantity").join(middle("l_extendedprice", "median_price"), "variant")
 
 
 def _rank_sql(kind: str) -> str:
