@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The three inline code shapes, by bucket.
-INLINE = {"snomed": r"(?i)SNOMED[ \t\n:]+([0-9]{6,9})", "loinc": r"(?i)LOINC[ \t\n:]+([0-9]{1,7}-[0-9])", "rxnorm": r"(?i)RxNorm[ \t\n:]+([0-9]{2,9})"}
+INLINE = {"snomed": r"\bSNOMED[\s:]+(\d{6,9})\b", "loinc": r"\bLOINC[\s:]+(\d{1,7}-\d)\b", "rxnorm": r"\bRxNorm[\s:]+(\d{2,9})\b"}
 
 
 def inline_codes(text: Column, bucket: str) -> Column:
     """All codes of a kind, in order of their places, without context rules."""
-    return F.regexp_extract_all(text, F.lit(INLINE[bucket]), F.lit(1))
+    return F.regexp_extract_all(text, F.lit("(?i)" + INLINE[bucket]), F.lit(1))
 
 
 def _present(c: Column) -> Column:

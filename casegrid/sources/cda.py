@@ -55,9 +55,11 @@ def records(reports: DataFrame, id_column: str, xml: str) -> DataFrame:
         F.filter(_coded(x, "code", LOINC), lambda r: ~r["code"].isin(SKIP_SECTIONS)),
         lambda r: F.struct(r["code"].alias("code"), r["name"].alias("name"), F.regexp_extract(after(r["code"]), r'<value[^>]*displayName="([^"]+)"', 1).alias("result")),
     )
-    pattern = r'<code code="[^"]+"[^>]*displayName="[^"]+"[^/]*/>\s*<statusCode[^/]*/>\s*<effectiveTime[^/]*/>\s*<value[^>]*value="[^"]+"[^>]*unit="[^"]+"'
-    part = lambda v, name, nth: F.regexp_extract(v, rf'(?s)^.*?\b{name}="([^"]+)"' if nth == 1 else rf'(?s)<value[^>]*\b{name}="([^"]+)"', 1)
-    vitals = F.transform(F.regexp_extract_all(x, F.lit("(?s)" + pattern), F.lit(0)), lambda v: F.struct(part(v, "code", 1).alias("code"), part(v, "displayName", 1).alias("name"), part(v, "value", 2).alias("value"), part(v, "unit", 2).alias("unit")))
+    # a vital sign is a code, its status and time, and a measured value, one behind the other
+    runs = F.regexp_extract_all(x, F.lit(r"(?s)<code\b[^>]*>\s*<statusCode\b[^>]*>\s*<effectiveTime\b[^>]*>\s*<value\b[^>]*>"), F.lit(0))
+    tags = lambda run: F.regexp_extract_all(run, F.lit("<[^>]*>"), F.lit(0))
+    measured = lambda t: F.struct(tag_attribute(t[0], "code").alias("code"), tag_attribute(t[0], "displayName").alias("name"), tag_attribute(t[3], "value").alias("value"), tag_attribute(t[3], "unit").alias("unit"))
+    vitals = F.filter(F.transform(F.transform(runs, tags), measured), lambda v: v["code"].isNotNull() & v["name"].isNotNull() & v["value"].isNotNull() & v["unit"].isNotNull())
     return reports.select(id_column, *single, _first(x, *FACILITY).alias("facility"), F.substring(_first(x, *REASON), 1, 150).alias("reason"), conditions.alias("conditions"), labs.alias("labs"), vitals.alias("vitals"), _coded(x, r"\w+", RXNORM).alias("medications"))
 
 

@@ -65,13 +65,13 @@ def experiments(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(k) for k in keys) for r in rows], ", ".join(f"`{k}` string" for k in keys) or "empty string")
 
 
-def ticket(table: DataFrame, wanted: str, status: str = "queue_status", hidden: str = "Graylist"):
-    """``cases`` or ``cases?status=X`` as an Arrow table; without a status the hidden one is left out."""
+def ticket(table: DataFrame, wanted: str, status: str = "queue_status", hidden: str = "Graylist") -> DataFrame:
+    """The rows of ``cases`` or ``cases?status=X``; without a status the hidden one is left out. A server streams them with ``toLocalIterator`` or writes them as Arrow files."""
     name, _, query = wanted.partition("?")
     if name != "cases" or (query and not query.startswith("status=")):
         raise ValueError(f"unknown ticket {wanted!r}")
     chosen = F.col(status) == query.removeprefix("status=") if query else F.coalesce(F.col(status) != hidden, F.lit(True))
-    return table.where(chosen).toArrow()
+    return table.where(chosen)
 
 
 def sniff(text: Column) -> Column:

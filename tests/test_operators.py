@@ -132,7 +132,7 @@ def test_batches_and_tickets(spark):
     items = spark.createDataFrame([(1, '{"a":1}'), (2, "x"), (3, None)], "id int, t string")
     assert values(readers.safe_batch(items, "id", "t", "a int").select("id", "ok", "error"), "id") == [(1, True, None), (2, False, "not JSON"), (3, False, "empty")]
     cases = spark.createDataFrame([(1, "Graylist"), (2, "Processed"), (3, None)], "id int, queue_status string")
-    assert readers.ticket(cases, "cases").num_rows == 2 and readers.ticket(cases, "cases?status=Graylist").num_rows == 1
+    assert readers.ticket(cases, "cases").count() == 2 and readers.ticket(cases, "cases?status=Graylist").count() == 1
     with pytest.raises(ValueError):
         readers.ticket(cases, "other")
 
