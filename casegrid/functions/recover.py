@@ -86,14 +86,15 @@ def coded_pairs(text: str | None, around: int = 80) -> list[tuple[str, str | Non
 
 
 def recover(column: Column, repair: bool = True) -> Column:
-    """T24 or, with ``repair``, T25, as an Arrow batch function."""
+    """T24 or, with ``repair``, T25, as an Arrow batch function over the texts that aren't an object as they are."""
     fn = repaired if repair else balanced
 
     @F.pandas_udf("string")
     def apply(texts):
-        return texts.map(fn)
+        return texts.map(fn, na_action="ignore")
 
-    return apply(column)
+    whole = F.startswith(column, F.lit("{")) & F.endswith(column, F.lit("}")) & F.try_parse_json(column).isNotNull()
+    return F.when(whole, column).otherwise(apply(F.when(~F.coalesce(whole, F.lit(False)), column)))
 
 
 def outer_object(text: Column) -> Column:
