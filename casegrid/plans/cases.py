@@ -132,7 +132,7 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     meds = F.when(F.col("c_custkey") % 2 == 0, tag("manufacturedMaterial", F.concat(F.lit("M"), n), cda.RXNORM, F.lit("Drug"))).otherwise("")
     xml = F.concat(
         tag("code", F.lit("55751-2"), cda.LOINC, F.lit("Report")), F.lit("<given>Given"), n, F.lit("</given><family>"), F.regexp_replace("c_name", "#", " "), F.lit("</family>"), born, city,
-        tag("value", F.concat(F.lit("C"), n), cda.SNOMED, F.lit("Cond")), tag("code", F.concat(F.lit("L"), n, F.lit("-1")), cda.LOINC, F.lit("Test")), tag("value", F.lit("1"), cda.SNOMED, F.lit("Detected")).substr(F.lit(1), F.lit(0)),
+        tag("value", F.concat(F.lit("C"), n), cda.SNOMED, F.lit("Cond")), tag("value", F.lit("1"), cda.SNOMED, F.lit("Detected")), tag("code", F.concat(F.lit("L"), n, F.lit("-1")), cda.LOINC, F.lit("Test")),
         F.lit('<value xsi:type="CD" displayName="Found"/>'), vital, meds,
     )
     got = cda.records(table(spark, d, "customer").select("c_custkey", xml.alias("xml")), "c_custkey", "xml")
