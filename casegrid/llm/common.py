@@ -105,10 +105,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, spark: SparkSession, name: str, block_size: int | None = None) -> DataFrame:
+    """Write a table once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``block_size``: bytes that a writer holds before it writes them, for tables of large values.
+    """
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    writer = df.write if block_size is None else df.write.option("parquet.block.size", str(block_size))
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -89,7 +89,7 @@ class Shingler:
     """Texts as shingle hashes; a word is hashed once and then known by its number."""
 
     #: words remembered at most
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, n: int):
         self.n = n
@@ -360,10 +360,10 @@ def described(docs: DataFrame, s: Settings, buckets: int, sample: Sample) -> Dat
                     counts.append(len(sig) << 1 | own)
                     sigs.append(sig)
                     held += len(sig)
+                if held > 500_000:
+                    yield made(kind)
             n = len(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own_keys, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            if held > 4_000_000:
-                yield made(kind)
         if keys and held:
             yield made(kind)
 
@@ -389,16 +389,23 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(columns) for columns in out)
 
 
-def groups_of(bucket: DataFrame, s: Settings) -> DataFrame:
+def groups_of(bucket: DataFrame, s: Settings, buckets: int) -> DataFrame:
     """Rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more;
     2, sets a with n signatures in groups of two or more, of b // 2 that a linked set shares at least (b odd: own band)."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], ["kind", "a", "b", "n"])
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = int(key[0].as_py())
-        sig, member, own, least = unpacked([d for b in batches for d in b.column(1).to_pylist()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, blobs = [], []
+        for b in batches:
+            numbers += b.column(0).to_pylist()
+            blobs += b.column(1).to_pylist()
+        if not blobs:
+            return
+        number = min(numbers)
+        sig, member, own, least = unpacked(blobs)
+        blobs.clear()
         order = np.argsort(sig)
         ranked = sig[order]
         again = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
@@ -436,7 +443,7 @@ def groups_of(bucket: DataFrame, s: Settings) -> DataFrame:
             place = np.repeat(start[chosen] - (np.cumsum(of) - of), of) + np.arange(of.sum())
             yield rows(1, np.repeat((number << 36) + chosen, of), member[place], np.ones(len(place)))
 
-    return bucket.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
+    return bucket.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), "kind int, a long, b long, n long")
 
 
 def able(found: DataFrame) -> DataFrame:
@@ -619,14 +626,14 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = stored(described(docs, s, buckets, drawn_sample(docs, s)), spark, "jaccard-info")
+    both = stored(described(docs, s, buckets, drawn_sample(docs, s)), spark, "jaccard-info", block_size=16 << 20)
     info = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "key", "sketch")
     classes = stored(
         info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
         spark,
         "jaccard-classes",
     )
-    found = stored(groups_of(both.where("bucket is not null").select("bucket", "data"), s), spark, "jaccard-groups")
+    found = stored(groups_of(both.where("bucket is not null").select("bucket", "data"), s, buckets), spark, "jaccard-groups")
     free_finished(spark)
     sets = stored(able(found), spark, "jaccard-able")
     of_a, of_b = sets.select(F.col("key").alias("a")), sets.select(F.col("key").alias("b"))
