@@ -66,6 +66,8 @@ class Settings:
     #: members of a part of a group, and parts of a group at most; pairs of parts are dealt to tasks
     part: int = 2000
     parts: int = 64
+    #: pairs of numbers (16 bytes each) that are broadcast at most
+    small: int = 1_000_000
     #: bytes of a text that is broadcast when more than a hundredth of all pairs have it
     hub_bytes: int = 1_000_000
 
@@ -231,7 +233,7 @@ def signatures(shingles: np.ndarray, band: int, bands: Bands, often: np.ndarray
 
 def sketch(shingles: np.ndarray) -> bytes:
     """Parities of the hashes by their low bits: two sets differ in at least as many hashes as sketches in bits."""
-    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << int(8 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -484,9 +486,11 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 keep.append(linked(hub, shingler(tb.as_py()), s.percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    total = pairs.count()
+    numbers = pairs.select("a", "b")
+    with_b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).join(F.broadcast(numbers) if total <= s.small else numbers, "b").select("a", "b", "tb")
     of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    often = [r["a"] for r in pairs.groupBy("a").count().where(F.col("count") > max(100, pairs.count() // 100)).collect()]  # fewer than a hundred keys
+    often = [r["a"] for r in pairs.groupBy("a").count().where(F.col("count") > max(100, total // 100)).collect()]  # fewer than a hundred keys
     if not often:
         both = with_b.join(of_a, "a")
     else:
@@ -634,6 +638,8 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         "jaccard-classes",
     )
     found = stored(groups_of(both.where("bucket is not null").select("bucket", "data"), s, buckets), spark, "jaccard-groups")
+    info = stored(info.drop("sketch"), spark, "jaccard-info")
+    forget(both)
     free_finished(spark)
     sets = stored(able(found), spark, "jaccard-able")
     of_a, of_b = sets.select(F.col("key").alias("a")), sets.select(F.col("key").alias("b"))
@@ -650,7 +656,7 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     named = stored(linked_.select("key", "component_id").union(of.where("label is null").select("key", F.col("least").alias("component_id"))), spark, "jaccard-named")
     forget(classes, labels)
     free_finished(spark)
-    return info.drop("sketch").join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "text_key")
+    return info.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "text_key")
 
 
 def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
