@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,61 +237,82 @@ def links(codes: np.ndarray, least: float, walker: Walk) -> list[tuple[int, int,
     return found
 
 
-def band_keys(settings: Settings, bands: int, bits_per_band: int) -> list[list[tuple[int, int]]]:
-    """(slot, bit) pairs that each band samples from the bits of a fingerprint."""
+def layout(fingerprints: int, settings: Settings, least: float) -> tuple[int, int]:
+    """(bands, slots of a band): so many sampled slots that chance seldom fills a bucket, and so many bands that one of 25 pairs of the least likeness is missed."""
+    bits = max(1, fingerprints).bit_length() + 4
+    slots = min(settings.slots, max(6, -(-bits // settings.bits)))
+    same = (least + (1 - least) / 2**settings.bits) ** slots
+    return math.ceil(math.log(0.04) / math.log(1 - same)), slots
+
+
+def band_slots(settings: Settings, bands: int, slots: int) -> list[list[int]]:
+    """The slots whose bits each band samples."""
     rng = np.random.default_rng(settings.seed + 1)
-    return [[divmod(int(p), settings.bits) for p in sorted(rng.choice(settings.slots * settings.bits, bits_per_band, replace=False))] for _ in range(bands)]
+    return [sorted(rng.choice(settings.slots, slots, replace=False).tolist()) for _ in range(bands)]
 
 
-def near_pairs(prints: DataFrame, bands: int = 20, bits_per_band: int = 16, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
-    """Pairs (a, b, likeness) of at least ``least``, by number, that link the fingerprints which bands of sampled bits find; ``prints``: number, fingerprint, each different.
+def near_pairs(prints: DataFrame, bands: int | None = None, slots: int | None = None, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
+    """Pairs (a, b, likeness) of at least ``least``, by number, that link the fingerprints which bands of sampled slots find; ``prints``: number, fingerprint, each different, a stored table.
 
-    Two fingerprints of a bucket are compared until they are linked or known to
-    be unlike, so all near pairs of a bucket are in one class. The pairs grow
-    with the bucket; the comparisons do so with the square of its classes alone,
-    and a large bucket is dealt over pairs of parts.
+    First numbers alone meet by band; buckets with the same members become one,
+    and only their fingerprints travel. Two fingerprints of a bucket are compared
+    until they are linked or known to be unlike, so all near pairs of a bucket are
+    in one class. The pairs grow with the bucket; the comparisons do so with the
+    square of its classes alone, and a large bucket is dealt over pairs of parts.
     """
-    picks = band_keys(settings, bands, bits_per_band)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            codes = np.frombuffer("".join(batch.column(1).to_pylist()).encode(), np.uint8).reshape(len(batch), -1)
-            values = np.where(codes >= 97, codes - 87, codes - 48)
-            packed = np.ascontiguousarray((values[:, 0::2] << 4) | values[:, 1::2])
-            key = np.empty((len(batch), bands), np.int64)
-            for k, sampled in enumerate(picks):
-                key[:, k] = k
-                for slot, bit in sampled:
-                    key[:, k] = key[:, k] << 1 | (values[:, slot] >> bit & 1)
-            number = np.repeat(batch.column(0).to_numpy(), bands)
-            rows = [row.tobytes() for row in packed]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(number), pa.array([r for r in rows for _ in range(bands)], pa.binary())], ["band", "number", "code"])
-
-    placed = prints.select("number", "fingerprint").mapInArrow(tidy(cut), "band long, number long, code binary")
-    sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int"))
-    dealt = placed.join(sizes.drop("n"), "band").withColumn("own", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+    total = prints.count()
+    n_bands, n_slots = layout(total, settings, least)
+    picks = band_slots(settings, bands or n_bands, slots or n_slots)
+    keys = [F.xxhash64(F.lit(k), *(F.substring("fingerprint", p + 1, 1) for p in sampled)) for k, sampled in enumerate(picks)]
+    placed = prints.select("number", F.explode(F.array(*keys)).alias("band"))
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int")
+    dealt = hub_join(placed, sizes.withColumn("parts", parts), "band", total * len(picks)).withColumn("own", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
     cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
-    dealt = dealt.select("band", "number", "code", F.explode(cells).alias("cell")).select("band", "cell.lo", "cell.hi", "number", "code")
+    dealt = dealt.select("band", "number", F.explode(cells).alias("cell")).select("band", "cell.lo", "cell.hi", "number")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate([x.astype(np.int64) for x in part]) for part in zip(*([c.to_numpy() for c in b.columns] for b in batches))]
+        if not columns:
+            return
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        band, lo, hi, number = (c[order] for c in columns)
+        first = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        found: dict[bytes, bytes] = {}
+        for at, end in zip(first.tolist(), np.append(first[1:], len(band)).tolist()):
+            members = number[at:end].tobytes()
+            found.setdefault(xxhash.xxh3_128_digest(members), members)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["bucket", "members"])
+
+    count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = dealt.repartition(count, "band", "lo", "hi").mapInArrow(tidy(pack), "bucket binary, members binary")
+    buckets = packed.groupBy("bucket").agg(F.first("members").alias("members"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(members)), [len(m) for m in members])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(members) if members else np.empty(0, np.int64))], ["bucket", "number"])
+
+    rows = buckets.mapInArrow(tidy(unpack), "bucket binary, number long").join(prints.select("number", F.unhex("fingerprint").alias("code")), "number")
 
-    def run(_: tuple, table: pa.Table) -> pa.Table:
+    def compare(_: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
         number = table.column("number").to_numpy()
-        packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(number), -1)
-        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(number), -1)
-        found = links(codes, least, walk(settings))
-        a, b, x = list(zip(*found)) or ((), (), ())
+        two = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(number), -1)
+        codes = np.stack([two >> 4, two & 15], axis=2).reshape(len(number), -1)
+        a, b, x = list(zip(*links(codes, least, walk(settings)))) or ((), (), ())
         pair = np.sort(number[np.array([a, b], np.int64)], axis=0)
         return pa.table([pa.array(pair[0]), pa.array(pair[1]), pa.array(x, pa.float64())], ["a", "b", "likeness"])
 
-    found = dealt.groupBy("band", "lo", "hi").applyInArrow(run, "a long, b long, likeness double")
+    found = rows.select("bucket", "number", "code").groupBy("bucket").applyInArrow(compare, "a long, b long, likeness double")
     return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def with_near_class(rows: DataFrame, id_column: str, settings: Settings = Settings()) -> DataFrame:
     """``rows`` (a stored table with ``fingerprint``) and near_class: the least id among the rows whose fingerprints banding and verification link with the row's own."""
     spark = rows.sparkSession
+    free_finished(spark)
     kinds = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(id_column).alias("least"))
     kinds = stored(kinds.withColumn("number", F.monotonically_increasing_id()), spark, "prints")
     pairs = stored(near_pairs(kinds, settings=settings), spark, "near-prints")

@@ -57,11 +57,11 @@ def test_op6_large_bucket_loses_no_class(spark, monkeypatch, part):
     shared = np.broadcast_to(rng.integers(0, 16, 128), codes.shape)
     prints = np.concatenate([shared, codes], axis=1)
     w = edit_embedding.walk(edit_embedding.Settings())
-    for slot, _ in edit_embedding.band_keys(edit_embedding.Settings(), 1, 16)[0]:
+    for slot in edit_embedding.band_slots(edit_embedding.Settings(), 1, 6)[0]:
         prints[:, slot] = prints[0, slot]
     texts = w.written(prints)
     want = [(i, j) for i in range(len(texts)) for j in range(i) if w.likeness(prints[i], prints[j]) >= 0.75]
-    got = edit_embedding.near_pairs(spark.createDataFrame(list(enumerate(texts)), "number long, fingerprint string"), bands=1).collect()
+    got = edit_embedding.near_pairs(spark.createDataFrame(list(enumerate(texts)), "number long, fingerprint string"), bands=1, slots=6).collect()
     assert want and classes(len(texts), want) == classes(len(texts), [(r["a"], r["b"]) for r in got])
     assert all(abs(r["likeness"] - w.likeness(prints[r["a"]], prints[r["b"]])) < 1e-12 and r["likeness"] >= 0.75 for r in got)
 
