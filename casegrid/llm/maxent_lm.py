@@ -32,8 +32,9 @@ a result column gives way to it.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -223,6 +224,14 @@ class Model:
         return cls(s, bias.astype(np.float32), inner.astype(np.float32), np.zeros((s.rows, v.n_classes), np.float32), np.zeros((s.rows, s.width), np.float32))
 
 
+class Numbers(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        k = self[key] = len(self)
+        return k
+
+
 class Reader:
     """Texts as symbols. Each different word is looked up once; its number keeps its symbol, hash and count."""
 
@@ -233,7 +242,7 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.known = 0
         self.symbol, self.hash, self.count, self.listed = (np.empty(0, t) for t in (np.int32, np.int64, np.int64, bool))
 
@@ -245,7 +254,7 @@ class Reader:
         for text in texts:
             tokens = split(text)
             sizes.append(len(tokens))
-            out += [index.setdefault(w, len(index)) for w in tokens]
+            out += map(index.__getitem__, tokens)
         if len(index) > self.known:
             self.extend(list(index)[self.known :])
             self.known = len(index)
@@ -267,18 +276,21 @@ class Reader:
         self.count, self.listed = np.concatenate([self.count, count]), np.concatenate([self.listed, listed])
 
 
-MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def region(kind: int, kinds: int, size: int, *values: np.ndarray) -> np.ndarray:
-    """Rows of a feature kind's own region of a table of ``size`` rows."""
-    with np.errstate(over="ignore"):
-        x = np.full(len(values[0]), 7 + 1000003 * kind, dtype=np.uint64)
-        for k, value in enumerate(values):
-            x = (x ^ (value * np.uint64(MIX[k]))) * np.uint64(0xFF51AFD7ED558CCD)
-            x ^= x >> np.uint64(33)
+    """Rows of a feature kind's own region of a table of ``size`` rows; both are powers of two."""
     part = size // kinds
-    return (x % np.uint64(part)).astype(np.int64) + kind * part
+    with np.errstate(over="ignore"):
+        x = (values[0] + np.uint64(1)) * np.uint64(MIX[0])
+        for value in values[1:]:
+            x ^= x >> np.uint64(31)
+            x += value * np.uint64(MIX[1])
+            x *= np.uint64(MIX[0])
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(65 - part.bit_length())).astype(np.int64) + kind * part
 
 
 def powers(rows: list[np.ndarray], table: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,6 +322,18 @@ def _scatter(rows: np.ndarray, p: np.ndarray, due: np.ndarray) -> None:
         due[ranked[first[long]]] += np.add.reduceat(p.take(order[at], axis=0), starts, axis=0)
 
 
+class Rows(dict):
+    """Table rows of each feature kind, found when they are first asked for."""
+
+    def __init__(self, find: Callable[[int], np.ndarray]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, kind: int) -> np.ndarray:
+        self[kind] = self.find(kind)
+        return self[kind]
+
+
 class Features:
     """The sparse features and outcomes of a group of documents, from their symbols."""
 
@@ -319,18 +343,18 @@ class Features:
         self.of, self.inside = of[symbols], inside[symbols]
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-        def back(values: np.ndarray, k: int) -> np.ndarray:
-            """The value k tokens before, and 0 before the first."""
-            out = np.zeros(len(values), dtype=np.uint64)
-            out[k:] = values[: len(values) - k] + 1
+        @functools.cache
+        def back(k: int, fine: bool = False) -> np.ndarray:
+            """The symbol, fine or coarse, k tokens before, and 0 before the first."""
+            out = np.zeros(len(symbols), dtype=np.uint64)
+            out[k:] = (symbols if fine else coarse[symbols])[: len(symbols) - k] + 1
             out[place < k] = 0
             return out
 
-        broad = coarse[symbols]
-        a, b, c = (back(broad, k) for k in (1, 2, 3))
-        near, own = back(symbols, 1), self.of.astype(np.uint64)
-        self.rows = [region(0, N_FEATURES, self.s.rows, near), region(1, N_FEATURES, self.s.rows, a, b), region(2, N_FEATURES, self.s.rows, b), region(3, N_FEATURES, self.s.rows, c)]
-        self.inner_rows = [region(0, N_INNER, self.s.rows, near, own), region(1, N_INNER, self.s.rows, b, own)]
+        values = (lambda: (back(1, True),), lambda: (back(1), back(2)), lambda: (back(2),), lambda: (back(3),))
+        inner = (lambda: (back(1, True), self.of.astype(np.uint64)), lambda: (back(2), self.of.astype(np.uint64)))
+        self.rows = Rows(lambda k: region(k, N_FEATURES, self.s.rows, *values[k]()))
+        self.inner_rows = Rows(lambda k: region(k, N_INNER, self.s.rows, *inner[k]()))
 
     def spans(self) -> Iterator[slice]:
         """Runs of tokens so small that their dense scores stay in the processor's cache."""
@@ -343,8 +367,8 @@ class Features:
         for part in self.spans():
             of, inside = self.of[part], self.inside[part]
             at = np.arange(len(of))
-            z, _, total = powers([r[part] for r in self.rows], m.classes, m.bias)
-            w, _, below = powers([r[part] for r in self.inner_rows], m.words, m.inner[of])
+            z, _, total = powers([self.rows[k][part] for k in range(N_FEATURES)], m.classes, m.bias)
+            w, _, below = powers([self.inner_rows[k][part] for k in range(N_INNER)], m.words, m.inner[of])
             out[part] = z[at, of] - np.log(total) + w[at, inside] - np.log(below)
         return out
 
