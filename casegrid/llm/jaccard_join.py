@@ -91,7 +91,7 @@ class Shingler:
     """Texts as shingle hashes; a word is hashed once and then known by its number."""
 
     #: words remembered at most
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, n: int):
         self.n = n
@@ -629,7 +629,7 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, key (null for the empty set), text_key of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task unpacks all signatures of its bucket
     both = stored(described(docs, s, buckets, drawn_sample(docs, s)), spark, "jaccard-info", block_size=16 << 20)
     info = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "key", "sketch")
     classes = stored(
