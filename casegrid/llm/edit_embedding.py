@@ -251,6 +251,11 @@ def band_slots(settings: Settings, bands: int, slots: int) -> list[list[int]]:
     return [sorted(rng.choice(settings.slots, slots, replace=False).tolist()) for _ in range(bands)]
 
 
+def _binary(df: DataFrame, name: str) -> Column:
+    """A column of hexadecimal text as bytes, half as long; bytes as they are."""
+    return F.unhex(name) if dict(df.dtypes)[name] == "string" else F.col(name)
+
+
 def near_pairs(prints: DataFrame, bands: int | None = None, slots: int | None = None, least: float = 0.75, settings: Settings = Settings()) -> DataFrame:
     """Pairs (a, b, likeness) of at least ``least``, by number, that link the fingerprints which bands of sampled slots find; ``prints``: number, fingerprint, each different, a stored table.
 
@@ -263,8 +268,9 @@ def near_pairs(prints: DataFrame, bands: int | None = None, slots: int | None =
     total = prints.count()
     n_bands, n_slots = layout(total, settings, least)
     picks = band_slots(settings, bands or n_bands, slots or n_slots)
-    keys = [F.xxhash64(F.lit(k), *(F.substring("fingerprint", p + 1, 1) for p in sampled)) for k, sampled in enumerate(picks)]
-    placed = prints.select("number", F.explode(F.array(*keys)).alias("band"))
+    prints = prints.select("number", _binary(prints, "fingerprint").alias("code"))
+    keys = [F.xxhash64(F.lit(k), *(F.substring("hexed", p + 1, 1) for p in sampled)) for k, sampled in enumerate(picks)]
+    placed = prints.select("number", F.hex("code").alias("hexed")).select("number", F.explode(F.array(*keys)).alias("band"))
     sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.least(F.lit(NEAR_PARTS), F.ceil(F.col("n") / F.lit(NEAR_PART))).cast("int")
     dealt = hub_join(placed, sizes.withColumn("parts", parts), "band", total * len(picks)).withColumn("own", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
@@ -294,7 +300,7 @@ def near_pairs(prints: DataFrame, bands: int | None = None, slots: int | None =
             at = np.repeat(np.arange(len(members)), [len(m) for m in members])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(members) if members else np.empty(0, np.int64))], ["bucket", "number"])
 
-    rows = buckets.mapInArrow(tidy(unpack), "bucket binary, number long").join(prints.select("number", F.unhex("fingerprint").alias("code")), "number")
+    rows = buckets.mapInArrow(tidy(unpack), "bucket binary, number long").join(prints, "number")
 
     def compare(_: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
@@ -310,11 +316,17 @@ def near_pairs(prints: DataFrame, bands: int | None = None, slots: int | None =
 
 
 def with_near_class(rows: DataFrame, id_column: str, settings: Settings = Settings()) -> DataFrame:
-    """``rows`` (a stored table with ``fingerprint``) and near_class: the least id among the rows whose fingerprints banding and verification link with the row's own."""
+    """``rows`` (with ``fingerprint``) and near_class: the least id among the rows whose fingerprints banding and verification link with the row's own.
+
+    Rows are written once, hexadecimal columns as bytes, and join their class by fingerprint.
+    """
     spark = rows.sparkSession
+    hexed = [c for c in ("fingerprint", "edited_fingerprint", "edited_sha256") if c in rows.columns]
+    rows = stored(rows.select(*[_binary(rows, c).alias(c) if c in hexed else F.col(c) for c in rows.columns]), spark, "prints")
     free_finished(spark)
     kinds = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(id_column).alias("least"))
-    kinds = stored(kinds.withColumn("number", F.monotonically_increasing_id()), spark, "prints")
+    kinds = stored(kinds.withColumn("number", F.monotonically_increasing_id()), spark, "kinds")
+    free_finished(spark)
     pairs = stored(near_pairs(kinds, settings=settings), spark, "near-prints")
     free_finished(spark)
     labels = connected(spark, pairs)
@@ -323,4 +335,5 @@ def with_near_class(rows: DataFrame, id_column: str, settings: Settings = Settin
     named = stored(labelled.select("fingerprint", "n", "label").join(least, "label").drop("label"), spark, "near-classes")
     forget(kinds, pairs, labels)
     free_finished(spark)
-    return hub_join(rows, named, "fingerprint", rows.count())
+    joined = hub_join(rows, named, "fingerprint", rows.count())
+    return joined.select(*[F.lower(F.hex(c)).alias(c) if c in hexed else F.col(c) for c in joined.columns])

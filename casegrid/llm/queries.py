@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files
-from casegrid.llm.common import documents, fold, stored
+from casegrid.llm.common import documents, fold
 from casegrid.llm.tokens import vocabulary_path
 
 
@@ -38,8 +38,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = stored(edit_embedding.fingerprint_edits(documents(spark, sf_dir)), spark, "fingerprints")
-    return edit_embedding.with_near_class(prints, "doc_id")
+    return edit_embedding.with_near_class(edit_embedding.fingerprint_edits(documents(spark, sf_dir)), "doc_id")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
