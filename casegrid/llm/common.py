@@ -22,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than the six ASCII white-space ones, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

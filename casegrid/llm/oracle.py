@@ -50,4 +50,28 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(seen) AS m FROM r GROUP BY 1) c ON c.node = w.doc_id
 """
 
-ORACLE = {"op3_line_rules": OP3, "op9_jaccard_join": OP9}
+_LETTERS = ", ".join(f"('{c}', {k})" for k, c in enumerate("ABCDE"))
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY 1),
+v AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+   [len(ws) < 50, 100 * list_unique(ws) < 65 * len(ws), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > first OR (d.doc_id IS NULL AND first IS NOT NULL), false)] AS fails
+   FROM d JOIN f USING (text) LEFT JOIN k ON k.doc_id = d.doc_id),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM v GROUP BY ALL),
+l(letter, i) AS (VALUES {_LETTERS}),
+orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o
+   FROM l a JOIN l b ON b.i <> a.i JOIN l c ON c.i NOT IN (a.i, b.i) JOIN l d ON d.i NOT IN (a.i, b.i, c.i) JOIN l e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+steps AS (SELECT filter_order, o, unnest(range(1, 6))::INT AS step FROM orders),
+counted AS (SELECT part, filter_order, step, o[step] AS filter,
+   sum(n) FILTER (NOT gone AND NOT f) AS kept, sum(n) FILTER (NOT gone AND f) AS removed, sum(n) FILTER (gone AND f) AS redundant,
+   sum(n) FILTER (f AND fs = 1) AS unique_fails, sum(n) FILTER (NOT gone AND f AND good = 1) AS good_lost, sum(n) FILTER (NOT gone AND f AND toxic = 1) AS toxic_lost
+   FROM (SELECT part, n, good, toxic, filter_order, step, o, fails[o[step] + 1] AS f, len(list_filter(fails, lambda x: x)) AS fs,
+      len(list_filter(o[1:step - 1], lambda i: fails[i + 1])) > 0 AS gone FROM c, steps) GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+   coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+   coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM counted
+"""
+
+ORACLE = {"op11_filter_audit": OP11, "op3_line_rules": OP3, "op9_jaccard_join": OP9}

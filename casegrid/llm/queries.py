@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files
-from casegrid.llm.common import documents, fold
+from casegrid.llm import duck_bpe, edit_embedding, filter_audit, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files, whitening
+from casegrid.llm.common import documents, fold, labelled
 from casegrid.llm.tokens import vocabulary_path
 
 
@@ -27,8 +27,7 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) % 4 == 2)
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    model = line_crf.learn(docs, labels.where(fold(F.col("doc_id")) % 4 != 2))
+    model = line_crf.learn(docs, labelled(spark, sf_dir).where(fold(F.col("doc_id")) % 4 != 2))
     scored = line_crf.score(docs, model)
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
@@ -59,6 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labelled(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_language": op2_language,
@@ -70,5 +77,7 @@ QUERIES = {
     "op8_duck_bpe": op8_duck_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 ORACLE = oracle.ORACLE
