@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import duck_bpe, edit_embedding, filter_audit, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files, whitening
+from casegrid.llm import duck_bpe, edit_embedding, filter_audit, jaccard_join, language, line_crf, line_rules, maxent_lm, oracle, packing, suffix_dedup, token_files, toxicity, whitening
 from casegrid.llm.common import documents, fold, labelled
 from casegrid.llm.tokens import vocabulary_path
 
@@ -62,6 +62,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), labelled(spark, sf_dir))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) % 5 == 0)
+    model = toxicity.learn(docs, labelled(spark, sf_dir).where(fold(F.col("doc_id")) % 5 != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
 ORACLE = oracle.ORACLE
