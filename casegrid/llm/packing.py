@@ -13,9 +13,9 @@ together, ``regroup`` partitions at a time, and those that still are, ``regroup`
 of these groups at a time, until one group is left. Each level leaves a small
 share of its sequences to the next.
 
-The capacity for documents binds where a sequence would hold more than 512
-pieces (under four tokens each); the one for attention cost can't bind in
-sequences of 2,048 tokens at its default, and does with a lower one.
+At their defaults the capacities for documents (a piece has a token at least) and
+for attention cost can't bind in sequences of 2,048 tokens, so as few sequences are
+made as tokens allow; with lower ones they do.
 
 Defined results: null and empty texts are one piece of the end id alone; a null
 doc_id is kept; repeated rows are packed as often as they occur; pieces of one
@@ -43,7 +43,7 @@ from casegrid.llm.tokens import word_encoder
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 2048
-    documents: int = 512
+    documents: int = 2048
     attention: int = 2048 * 2048
     #: weights of the three demands
     weights: tuple[float, float, float] = (1.0, 0.05, 0.01)

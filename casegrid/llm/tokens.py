@@ -2,7 +2,8 @@
 
 The tokenizer's own splitter never joins text across white space, so the ids of
 a text are those of its white-space separated words in turn; each different
-word is encoded by the library once.
+word is encoded by the library once. Strings of special tokens hold no white space, so
+they too get the library's ids, alone or inside a word.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
