@@ -4,7 +4,8 @@ A document's verdict by each filter doesn't depend on the order, so each is foun
 once: one pass over the texts, then a join that finds copies. Documents alike in
 part, verdicts and labels survive alike, and a survivor DataFrame holds one row
 for each such class with its number of documents; that is the only time rows of
-documents are shuffled.
+documents are shuffled. Classes are then dealt out by part (at most 128 of them each),
+and nothing in the walk is shuffled again.
 
 Orders that begin with the same letters share a path of the trie, and paths whose
 letters are the same set have the same survivors. The walk goes depth first, keeps
@@ -162,7 +163,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source", rules: Rules
     spark = docs.sparkSession
     root = classes(docs, labels, part, rules)
     path = shared_dir(spark, "audit-edges")
-    walk(root, len(LETTERS), path)
+    walk(root.repartition("part"), len(LETTERS), path)
     forget(root)
     edges = spark.read.schema(EDGE).parquet(path)
     made = stored(edges.coalesce(8), spark, "audit-report")  # 31 appends are small files
