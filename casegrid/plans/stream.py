@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.plans.registry import Registry
-from casegrid.session import table
+from casegrid.session import table, work_folder
 from casegrid.streaming import store
 
 R = Registry()
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see; a local one only where no checkpoint folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or f"file://{tempfile.mkdtemp(prefix='casegrid-')}"
-    return f"{root.rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:10]}"
-
-
 @R.add("stream_ingest", """
 SELECT event_id, coalesce(seen, false) AS seen, prior_id, CASE WHEN seen THEN 'Graylist' WHEN user_id % 7 = 0 THEN 'OutOfState' WHEN event_type = 'error' THEN 'Flagged' ELSE 'Processed' END AS queue
 FROM (SELECT event_id, user_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior_id,
  count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) > 0 AS seen FROM events)""")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Stateful ingest by subject; equals the window form on the same rows."""
-    work = _work(spark, "ingest")
+    work = work_folder(spark, "ingest")
     schema = table(spark, d, "events").schema
     got = store.replay(spark, f"{d.rstrip('/')}/events.parquet*", schema, lambda s: store.ingest(s, timedelta(days=2), lambda r: r["user_id"] % 7 == 0, lambda r: r["event_type"] == "error"), f"{work}/out", f"{work}/checkpoint")
     return got.select("event_id", "seen", "prior_id", "queue")
@@ -40,7 +29,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 @R.add("stream_hourly", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows over the stream."""
-    work = _work(spark, "hourly")
+    work = work_folder(spark, "hourly")
     schema = table(spark, d, "events").schema
     build = lambda s: store.windowed_rate(s.select(F.col("ts").cast("timestamp").alias("ts")), "ts", "1 hour")
     got = store.replay_updates(spark, f"{d.rstrip('/')}/events.parquet*", schema, build, f"{work}/out", f"{work}/checkpoint", ["start"])
@@ -50,7 +39,7 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
 @R.add("stream_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
 def stream_status(spark: SparkSession, d: str) -> DataFrame:
     """Newest status by key over the stream."""
-    work = _work(spark, "status")
+    work = work_folder(spark, "status")
     schema = table(spark, d, "events").schema
     build = lambda s: s.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
     return store.replay_updates(spark, f"{d.rstrip('/')}/events.parquet*", schema, build, f"{work}/out", f"{work}/checkpoint", ["user_id"]).select("user_id", "status")

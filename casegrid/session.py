@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +32,12 @@ def get_session(app: str = "casegrid", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see; a local one only where no checkpoint folder is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='casegrid-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
