@@ -1,75 +1,11 @@
-"""Streaming case store: stateful ingest with duplicate flags, status updates, outbox drain, windowed rates."""
+"""Streaming forms of the case store: windowed rates, newest status, replay of files."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import timedelta
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: Fixed value: days in which a repeat of a key is a duplicate.
-DUPLICATE_DAYS = 30
-
-INGESTED = "event_id long, user_id long, event_type string, ts timestamp, seen boolean, prior_id long, queue string"
-STATE = "times array<struct<kind:string,at:timestamp>>, prior_id long, prior_at timestamp"
-
-
-def ingest(
-    stream: DataFrame,
-    window: timedelta = timedelta(days=DUPLICATE_DAYS),
-    out_of_state: Callable[[pd.DataFrame], pd.Series] | None = None,
-    flagged: Callable[[pd.DataFrame], pd.Series] | None = None,
-    expire: bool = False,
-) -> DataFrame:
-    """Each case of a subject is flagged if its kind came within ``window`` before, linked to the subject's newest case before, and queued by the first that applies: Graylist, OutOfState, Flagged, Processed.
-
-    ``stream``: event_id, user_id, event_type, ts. Rows of one trigger are taken
-    in order of time. State is kept by subject: the different times of each kind
-    inside the window before the newest row, and the newest case. So rows of one
-    time don't hide what came before them, and a row that comes late, by less than
-    the window, is judged by the earlier times that are still kept (its link goes
-    to the newest case unless that is later than the row). With ``expire`` (streams
-    that never end: timeouts keep a stream busy) state goes when the subject is
-    idle for longer than the window. ``out_of_state`` and ``flagged`` judge rows.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        columns = ["event_type", "ts", "event_id"]
-        old = pd.DataFrame({"event_type": pd.Series(dtype=object), "ts": pd.Series(dtype="datetime64[ns]"), "event_id": pd.Series(dtype="Int64")})
-        newest: tuple | None = None
-        if state.exists:
-            listed, prior_id, prior_at = state.get
-            kept = [x.asDict() if hasattr(x, "asDict") else x for x in listed]
-            old = pd.DataFrame({"event_type": [x["kind"] for x in kept], "ts": pd.to_datetime([x["at"] for x in kept]).astype("datetime64[ns]"), "event_id": pd.array([None] * len(kept), dtype="Int64")})
-            newest = (pd.Timestamp(prior_at), prior_id)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]).reset_index(drop=True)
-        times = pd.concat([old, rows[columns].astype({"ts": "datetime64[ns]"})], ignore_index=True)[["event_type", "ts"]].drop_duplicates().sort_values("ts")
-        # the different time of the kind just before the row's own
-        before = times.groupby("event_type", dropna=False)["ts"].shift(1)
-        last = times.assign(before=before)
-        rows["ts"] = rows["ts"].astype("datetime64[ns]")
-        rows = rows.merge(last, on=["event_type", "ts"], how="left").sort_values(["ts", "event_id"]).reset_index(drop=True)
-        seen = (rows["ts"] - rows["before"] <= window).fillna(False).astype(bool)
-        prior = rows["event_id"].astype("Int64").shift(1)
-        if newest is not None and len(rows) and newest[0] <= rows["ts"].iloc[0]:
-            prior.iloc[0] = newest[1]
-        no = pd.Series(False, index=rows.index)
-        queue = pd.Series("Processed", index=rows.index).mask(flagged(rows) if flagged else no, "Flagged").mask(out_of_state(rows) if out_of_state else no, "OutOfState").mask(seen, "Graylist")
-        top = (rows["ts"].iloc[-1], int(rows["event_id"].iloc[-1]))
-        newest = top if newest is None or newest[0] <= top[0] else newest
-        keep = times[times["ts"] >= newest[0] - window]
-        state.update(([{"kind": k, "at": t.to_pydatetime()} for k, t in zip(keep["event_type"], keep["ts"])], newest[1], newest[0].to_pydatetime()))
-        if expire:
-            state.setTimeoutDuration(int(window.total_seconds() * 1000))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "event_type": rows["event_type"], "ts": rows["ts"], "seen": seen, "prior_id": prior, "queue": queue})
-
-    return stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(step, INGESTED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def windowed_rate(stream: DataFrame, at: str, width: str = "1 second", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -77,21 +13,6 @@ def windowed_rate(stream: DataFrame, at: str, width: str = "1 second", slide: st
     return stream.withWatermark(at, late).groupBy(F.window(at, width, slide or width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def drain(outbox: DataFrame, send: Callable[[DataFrame], DataFrame], log: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: pending rows, oldest first, are sent and logged as submitted or failed.
-
-    ``send`` returns the batch with a boolean ``ok``. A batch is written under
-    its number, so a repeated batch replaces itself.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        pending = batch.where(F.col("status") == "pending").orderBy("created_at")
-        done = send(pending).withColumn("status", F.when(F.col("ok"), "submitted").otherwise("failed"))
-        done.write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    return run
-
-
 def status_stream(updates: DataFrame, late: str = "1 day") -> DataFrame:
     """Newest status of each key so far (update mode)."""
     return updates.withWatermark("at", late).groupBy("case_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
@@ -105,13 +26,14 @@ def replay(spark: SparkSession, path: str, schema, build: Callable[[DataFrame],
     return spark.read.parquet(out)
 
 
-def replay_updates(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str]) -> DataFrame:
-    """The same for a stream that updates rows by ``key``: every batch's changed rows go to a folder of its number, and the newest row of a key counts."""
+def replay_updates(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str], max_files: int | None = None) -> DataFrame:
+    """The same for a stream that updates rows by ``key``: every batch's changed rows go to a folder of its number, and the newest row of a key counts. ``max_files``: files a batch takes at most."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = build(spark.readStream.schema(schema).parquet(path))
+    reader = spark.readStream.schema(schema)
+    stream = build((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path))
     query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     log = spark.read.parquet(out)

@@ -11,7 +11,6 @@ from casegrid.functions import codes, keys, recover
 from casegrid.operators import interop, merge, pareto, ranks, routing, scores, visits
 from casegrid.plans.corpus import keep_first, round_robin
 from casegrid.sources import readers
-from casegrid.streaming import store
 
 
 def values(df, *order):
@@ -149,49 +148,3 @@ def test_selection(spark):
     assert [r[0] for r in values(round_robin(rows, "id", "b", 10).select("id", "turn"), "turn")] == [1, 2, 3, 4]
     kept = keep_first(spark.createDataFrame([("k", 2, "x"), ("k", 1, "y")], "k string, o int, v string"), "k", "o")
     assert values(kept, "k") == [("k", 1, "y")]
-
-
-def test_stream_flags_and_links(spark, tmp_path):
-    t0 = datetime(2024, 1, 1)
-    rows = [(1, 5, "a", t0), (2, 5, "a", t0 + timedelta(days=1)), (3, 5, "a", t0 + timedelta(days=5)), (4, 7, "error", t0), (5, 8, "error", t0)]
-    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp")
-    df.write.parquet(str(tmp_path / "in"))
-    got = store.replay(spark, str(tmp_path / "in"), df.schema, lambda s: store.ingest(s, timedelta(days=2), lambda r: r["user_id"] == 7, lambda r: r["event_type"] == "error"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert values(got.select("event_id", "seen", "prior_id", "queue"), "event_id") == [
-        (1, False, None, "Processed"), (2, True, 1, "Graylist"), (3, False, 2, "Processed"), (4, False, None, "OutOfState"), (5, False, None, "Flagged"),
-    ]
-
-
-def test_stream_ties_and_late_files(spark, tmp_path):
-    """Several files, some out of order, with rows of one time: equals a window over all rows, where nothing is later than the window."""
-    rng = random.Random(2)
-    t0 = datetime(2024, 1, 1)
-    rows = [(k, k % 3, rng.choice("ab"), t0 + timedelta(hours=rng.choice([0, 1, 1, 2, 30, 60, 61, 61, 200]))) for k in range(60)]
-    rows += [(100, 9, "a", t0), (101, 9, "a", t0 + timedelta(hours=1)), (102, 9, "a", t0 + timedelta(hours=1))]
-    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp")
-    cut = [lambda r: r[3] < t0 + timedelta(hours=1), lambda r: t0 + timedelta(hours=1) <= r[3] < t0 + timedelta(hours=60), lambda r: r[3] >= t0 + timedelta(hours=60)]
-    for k, part in enumerate(cut):
-        spark.createDataFrame([r for r in rows if part(r)], df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    query = store.ingest(stream, timedelta(days=2)).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
-    query.awaitTermination()
-    got = {r["event_id"]: (r["seen"], r["prior_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {}
-    for e, u, kind, ts in rows:
-        before = [x for x in rows if x[1] == u and (x[3], x[0]) < (ts, e)]
-        want[e] = (any(x[2] == kind and timedelta(0) < ts - x[3] <= timedelta(days=2) for x in before), max(before, key=lambda x: (x[3], x[0]))[0] if before else None)
-    assert got == want and got[102] == (True, 101) and got[101][0]
-    late = [(1, 1, "a", t0 + timedelta(hours=9)), (2, 1, "a", t0 + timedelta(hours=3)), (3, 1, "b", t0 + timedelta(hours=4)), (4, 1, "a", t0 + timedelta(hours=9))]
-    for r in late:
-        spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(str(tmp_path / f"late/part={r[0]}"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "late/*"))
-    query = store.ingest(stream, timedelta(days=2)).writeStream.option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out2"))
-    query.awaitTermination()
-    seen = {r["event_id"]: (r["seen"], r["prior_id"]) for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
-    assert seen[1] == (False, None) and seen[2] == (False, None) and seen[4] == (True, 1)
-
-
-def test_outbox(spark, tmp_path):
-    df = spark.createDataFrame([(1, "pending", 2), (2, "pending", 1), (3, "failed", 0)], "case_id int, status string, created_at int")
-    store.drain(df, lambda b: b.withColumn("ok", F.col("case_id") == 1), str(tmp_path))(df, 0)
-    assert values(spark.read.parquet(str(tmp_path)).select("case_id", "status"), "case_id") == [(1, "submitted"), (2, "failed")]
