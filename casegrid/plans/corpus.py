@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions import keys
+from casegrid.operators.selection import round_robin
 from casegrid.plans.registry import Registry
 from casegrid.session import table
 
@@ -102,40 +103,6 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
     return keep_first(free, "text_key", "doc_id").select("doc_id", F.substring("text_key", 1, 16).alias("stable_id"), "lang", "source")
 
 
-def round_robin(rows: DataFrame, row_id: str, bucket: str, limit: int) -> DataFrame:
-    """One row of each bucket in turn, rare buckets first, until ``limit``; a row of several buckets is taken once.
-
-    Only the ``limit`` first rows of a bucket can ever be taken, so no more than
-    buckets x limit keys meet in the last step; ``limit`` is the feature here.
-    """
-    head = Window.partitionBy(bucket).orderBy(row_id)
-    sizes = rows.groupBy(bucket).agg(F.count("*").alias("n"))
-    ranked = rows.select(row_id, bucket).withColumn("pos", F.row_number().over(head)).where(F.col("pos") <= limit).join(sizes, bucket)
-
-    def pick(pdf):
-        import pandas as pd
-
-        order = sorted(set(zip(pdf["n"], pdf[bucket])))
-        queues = {b: list(g.sort_values("pos")[row_id]) for b, g in pdf.groupby(bucket)}
-        at = dict.fromkeys(queues, 0)
-        seen: list = []
-        taken: set = set()
-        moved = True
-        while moved and len(seen) < limit:
-            moved = False
-            for _, b in order:
-                while at[b] < len(queues[b]) and queues[b][at[b]] in taken:
-                    at[b] += 1
-                if at[b] < len(queues[b]) and len(seen) < limit:
-                    taken.add(queues[b][at[b]])
-                    seen.append(queues[b][at[b]])
-                    moved = True
-        return pd.DataFrame({row_id: seen, "turn": range(1, len(seen) + 1)})
-
-    kind = dict(rows.dtypes)[row_id]
-    return ranked.withColumn("all_rows", F.lit(0)).groupBy("all_rows").applyInPandas(pick, f"{row_id} {kind}, turn int")
-
-
 @R.add("w11_round_robin", """
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY pos, n, source) AS turn FROM r JOIN s USING (source)) SELECT doc_id, turn::INTEGER AS turn FROM o WHERE turn <= 50""")
@@ -144,6 +111,19 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
     return round_robin(table(spark, d, "documents"), "doc_id", "source", 50)
 
 
+@R.add("w11_shared_rows", """
+WITH RECURSIVE c AS (SELECT doc_id, source AS bucket FROM documents UNION SELECT doc_id, 'lang ' || lang FROM documents),
+o AS (SELECT row_number() OVER (ORDER BY count(*), bucket) AS k, bucket, list(doc_id ORDER BY doc_id)[1:40] AS ids FROM c GROUP BY bucket),
+g(step, taken) AS (SELECT 0, []::BIGINT[] UNION ALL
+ SELECT step + 1, list_append(taken, list_filter(ids, lambda x: NOT list_contains(taken, x))[1]) FROM g JOIN o ON k = step % (SELECT count(*) FROM o) + 1 WHERE step < 40)
+SELECT unnest(taken) AS doc_id, unnest(range(1, 41))::INTEGER AS turn FROM g WHERE step = 40""")
+def w11_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Forty documents in turn over all sources and all languages; each document is in two buckets."""
+    docs = table(spark, d, "documents")
+    pairs = docs.select("doc_id", F.col("source").alias("bucket")).unionByName(docs.select("doc_id", F.concat(F.lit("lang "), "lang").alias("bucket")))
+    return round_robin(pairs, "doc_id", "bucket", 40)
+
+
 @R.add("e4_gate", f"""
 SELECT 'duplicate_id' AS check_name, count(*)::BIGINT AS errors FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'duplicate_text', count(*) FROM (SELECT {_KEY} FROM documents GROUP BY 1 HAVING count(*) > 1)

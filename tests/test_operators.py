@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from casegrid.functions import codes, keys, recover
 from casegrid.operators import interop, merge, pareto, ranks, routing, scores, visits
-from casegrid.plans.corpus import keep_first, round_robin
+from casegrid.operators.selection import round_robin
+from casegrid.plans.corpus import keep_first
 from casegrid.sources import readers
 
 
@@ -146,5 +147,14 @@ def test_selection(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (1, "b"), (4, "a")], "id long, b string")
     # rare bucket b first: 1; then a: 1 is taken, so 2; then b: 3; then a: 4
     assert [r[0] for r in values(round_robin(rows, "id", "b", 10).select("id", "turn"), "turn")] == [1, 2, 3, 4]
+    rng = random.Random(9)
+    pairs = {(rng.randrange(30), rng.choice("abcdef")) for _ in range(90)}
+    turns, taken = sorted((sum(b == x for _, x in pairs), b) for b in "abcdef"), []
+    for _, b in turns * 12:
+        taken += sorted({i for i, x in pairs if x == b} - set(taken))[:1]
+    df = spark.createDataFrame([*pairs, (None, "a"), (5, None)], "id long, b string")
+    for limit in (7, 60):
+        assert [r[0] for r in values(round_robin(df, "id", "b", limit), "turn")] == taken[:limit]
+    assert round_robin(df.limit(0), "id", "b", 5).count() == 0
     kept = keep_first(spark.createDataFrame([("k", 2, "x"), ("k", 1, "y")], "k string, o int, v string"), "k", "o")
     assert values(kept, "k") == [("k", 1, "y")]
