@@ -78,7 +78,7 @@ class Settings:
     #: times that a word must be likelier in toxic documents
     min_ratio: float = 8.0
     #: different neighbours of a term for each document that holds it
-    min_contexts: float = 0.3
+    min_contexts: float = 0.6
     longest_word: int = 40
     #: words of a window on each side
     window: int = 6
@@ -206,12 +206,20 @@ class Lookup:
         self.weights, self.stems, self.innocents, self.remember = weights, stems, innocents, remember
         self.stem_sizes = sorted({len(t) for t in stems})
         self.trie = Trie(sorted(weights))
-        self.longest = max(map(len, weights), default=0) + 2
-        # an exact test that spares most words the automaton: of a term's first half and second half (two errors: first two letters,
-        # next three, rest) one part is free of errors
-        self.heads = {t[:2] for t in weights if allowed(t)}
-        self.tails = {t[-2:] for t in weights if allowed(t)}
-        self.middles = {t[2:5] for t in weights if allowed(t) == 2}
+        # an exact test that spares most words the automaton: cut a term into one part more than it may have errors; then one part is in the
+        # word as it is, at its beginning, at its end or (of three parts, the middle one) anywhere. By length of word:
+        parts: dict[int, tuple[set[str], set[str], set[str]]] = {}
+        for term in weights:
+            errors, n = allowed(term), len(term)
+            if errors:
+                first, last = n // (errors + 1), n - n // (errors + 1)
+                for size in range(n - errors, n + errors + 1):
+                    of_size = parts.setdefault(size, (set(), set(), set()))
+                    of_size[0].add(term[:first])
+                    of_size[1].add(term[first if errors == 1 else last :])
+                    if errors == 2:
+                        of_size[2].add(term[first:last])
+        self.parts = {size: (tuple(a), tuple(b), tuple(c)) for size, (a, b, c) in parts.items()}
         self.known: dict[bytes, tuple[str, int] | None] = {}
 
     def of(self, raw: bytes) -> tuple[str, int] | None:
@@ -236,9 +244,8 @@ class Lookup:
         letters = word if word.isalpha() else joined(word)
         if letters != word and letters in self.weights:
             return letters, 1
-        if len(word) > self.longest or word in self.innocents:
-            return None
-        if not (word[:2] in self.heads or word[-2:] in self.tails or word[1:4] in self.middles or word[2:5] in self.middles or word[3:6] in self.middles or word[4:7] in self.middles):
+        starts, ends, middles = self.parts.get(len(word), ((), (), ()))
+        if not (word.startswith(starts) or word.endswith(ends) or any(m in word for m in middles)) or word in self.innocents:
             return None
         got = nearest(word, self.trie)
         return (got[1], got[0]) if got else None
