@@ -2,8 +2,9 @@
 
 ``learn`` finds the lexicon in labelled documents: words, and stems of several words,
 that occur in toxic documents far more than in others (a likelihood ratio above what
-chance gives one word of the vocabulary) and in many different contexts, so that
-words of one passage that is copied around don't count. Words close to a term that
+chance gives one word of the vocabulary). A word counts no more often than it has
+different neighbours on either side, so that words of one passage that is copied around
+aren't terms. Words close to a term that
 clean documents use are spelt right, not misspelt terms, and are set apart.
 
 ``score`` looks each different word up once: by itself, by its stem, or by a
@@ -30,6 +31,7 @@ like a result column gives way to it.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -77,8 +79,6 @@ class Settings:
     margin: float = 4.0
     #: times that a word must be likelier in toxic documents
     min_ratio: float = 8.0
-    #: different neighbours of a term for each document that holds it
-    min_contexts: float = 0.6
     longest_word: int = 40
     #: words of a window on each side
     window: int = 6
@@ -373,7 +373,7 @@ def word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
 
 
 def context_counts(sample: DataFrame, words: set[str], stems: set[str]) -> dict[str, int]:
-    """Different pairs of neighbours that each word or stem has in toxic documents."""
+    """Different neighbours that each word or stem has in toxic documents, on the side where they are fewer."""
     sizes = sorted({len(t) for t in stems})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,25 +384,32 @@ def context_counts(sample: DataFrame, words: set[str], stems: set[str]) -> dict[
                 for k, w in enumerate(core(w.decode("utf-8", "replace")) for w in ws):
                     of = {w[:n] for n in sizes if w[:n] in stems} | {w} & words
                     if of:
-                        near = zlib.crc32(b" ".join([*ws[max(0, k - 1) : k], b"\n", *ws[k + 1 : k + 2]]))
-                        found.update((t, near) for t in of)
-            columns = list(zip(*found)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["word", "context"])
+                        sides = [(s, zlib.crc32(b"".join(ws[max(0, k + s) : k + s + 1]))) for s in (-1, 1)]
+                        found.update((t, *side) for t in of for side in sides)
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["word", "side", "neighbour"])
 
-    pairs = sample.where("toxic = 1").mapInArrow(tidy(run), "word string, context long").distinct()
-    return {r["word"]: r["count"] for r in pairs.groupBy("word").count().collect()}
+    pairs = sample.where("toxic = 1").mapInArrow(tidy(run), "word string, side int, neighbour long").distinct()
+    sides = pairs.groupBy("word").agg(*[F.count_if(F.col("side") == s).alias(name) for s, name in ((-1, "before"), (1, "after"))])
+    return {r["word"]: min(r["before"], r["after"]) for r in sides.collect()}
+
+
+def surprise(toxic: float, clean: float, share: float) -> float:
+    """Likelihood ratio of counts against the share of toxic documents."""
+    seen = toxic + clean
+    return 2 * sum(k * math.log(k / (seen * q)) for k, q in ((toxic, share), (clean, 1 - share)) if k > 0)
 
 
 def marked(counts: DataFrame, totals: dict[int, int], least: float, settings: Settings) -> list:
-    """(word, toxic, weight) of the words or stems that mark toxic documents, the strongest first."""
+    """(word, toxic, clean, weight) of the words or stems that mark toxic documents, the strongest first."""
     t, c = F.col("toxic"), F.col("clean")
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     share = F.lit(n1 / (n1 + n0))
     seen = t + c
     xlogx = lambda k, q: F.when(k > 0, k * F.log(k / q)).otherwise(0.0)
-    surprise = 2 * (xlogx(t, seen * share) + xlogx(c, seen * (1 - share)))
+    ratio = 2 * (xlogx(t, seen * share) + xlogx(c, seen * (1 - share)))
     weight = F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
-    found = counts.where((t >= settings.min_documents) & (surprise >= least)).select("word", "toxic", weight.alias("weight")).where(F.col("weight") >= float(np.log(settings.min_ratio)))
+    found = counts.where((t >= settings.min_documents) & (ratio >= least)).select("word", "toxic", "clean", weight.alias("weight")).where(F.col("weight") >= float(np.log(settings.min_ratio)))
     return found.orderBy(F.desc(F.col("toxic") * F.col("weight")), "word").limit(settings.candidates).collect()
 
 
@@ -416,6 +423,7 @@ def lexicon(counts: DataFrame, sample: DataFrame, totals: dict[int, int], settin
     )
     families = families.where((F.col("members") >= settings.stem_words) & (F.col("largest") <= settings.stem_share * F.col("toxic")))
     rows = [(r, False) for r in marked(counts, totals, least, settings)] + [(r, True) for r in marked(families, totals, least, settings)]
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
     words, stems = {r["word"] for r, stem in rows if not stem}, {r["word"] for r, stem in rows if stem}
     contexts = context_counts(sample, words, stems) if rows else {}
     held: tuple[dict[str, float], dict[str, float]] = {}, {}
@@ -423,7 +431,9 @@ def lexicon(counts: DataFrame, sample: DataFrame, totals: dict[int, int], settin
     for r, stem in sorted(rows, key=lambda x: (-x[0]["toxic"] * x[0]["weight"], x[0]["word"], x[1])):
         word = r["word"]
         covered = any(word[:n] in held[1] for n in range(shortest, len(word) + 1)) or (stem and word in prefixes)
-        if not covered and contexts.get(word, 0) >= max(settings.min_documents, settings.min_contexts * r["toxic"]) and len(held[0]) + len(held[1]) < settings.terms:
+        seen = min(contexts.get(word, 0), r["toxic"])
+        telling = seen >= settings.min_documents and surprise(seen, r["clean"], share) >= least
+        if telling and not covered and len(held[0]) + len(held[1]) < settings.terms:
             held[stem][word] = float(r["weight"])
             if stem:
                 prefixes.update(word[:n] for n in range(shortest, len(word)))

@@ -1,4 +1,4 @@
-"""The ten training-data operators against brute force, on a fixture with nulls, empty and long texts, ties and repeated rows."""
+"""Training-data operators 1 to 10 against brute force, on a fixture with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
 import math
@@ -13,7 +13,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, suffix_dedup, token_files
-from casegrid.llm.tokens import vocabulary_path, word_encoder
+from casegrid.llm.tokens import vocabulary_path
+from tokenizers import Tokenizer
 
 WORD_BPE = vocabulary_path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, key long, row long, fill long"
@@ -424,7 +425,7 @@ def test_op6_edits_cost_little():
 
 
 def test_op7_round_trip(docs, none):
-    encoder = word_encoder(WORD_BPE).tokenizer
+    encoder = Tokenizer.from_file(WORD_BPE)
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.round_trip(docs, WORD_BPE).collect()), key=lambda r: r[1])
     rows = sorted(fixture_rows(), key=lambda r: (r[0] if r[0] is not None else -(2**63), r[1] or ""))
     start, want = 0, []
@@ -436,6 +437,21 @@ def test_op7_round_trip(docs, none):
     assert token_files.round_trip(none, WORD_BPE).count() == 0
 
 
+#: strings of the tokenizer's special tokens: alone, among words, glued to words and to each other
+SPECIAL = ["say <|endoftext|> now", "<|endoftext|>", "a<|endoftext|>b<|startoftext|>", "<|startoftext|><|endoftext|>\t<|ENDOFTEXT|> <|endoftext|", " <|endoftext|>\n\n<|startoftext|> x"]
+
+
+def test_op7_and_op10_ids_of_special_strings(spark):
+    library = Tokenizer.from_file(WORD_BPE)
+    rows = list(enumerate([*SPECIAL, " ".join(SPECIAL * 50)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in rows}
+    assert 49407 in ids[0] and len(ids[0]) == 3
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.round_trip(df, WORD_BPE, end_id=1).collect()} == {d: (len(x) + 1, crc([*x, 1])) for d, x in ids.items()}
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(df, WORD_BPE).collect()} == {d: (len(x) + 1, crc([*x, 0])) for d, x in ids.items()}
+
+
 def test_op7_shards_and_slices(spark, tmp_path):
     """Null and repeated ids are spread over shards; shards roll; slices cut between documents."""
     rows = [(None, f"no id {k % 5}") for k in range(40)] + [(7, "same text")] * 40 + [(k, "some words of text " * (k % 9)) for k in range(60)]
@@ -448,7 +464,7 @@ def test_op7_shards_and_slices(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(shards) > 10 and len({s.name.split("-")[1] for s in shards if s.n_docs}) == 4
-    encoder = word_encoder(WORD_BPE).tokenizer
+    encoder = Tokenizer.from_file(WORD_BPE)
     want = sorted(((d if d is not None else -(2**63)), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in rows for ids in [[*encoder.encode(t, add_special_tokens=False).ids, 1]])
     assert sorted((d if d is not None else -(2**63), n, c) for d, _, n, c in got) == want
     assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])])[:-1].tolist()
@@ -601,7 +617,7 @@ def test_op9_signatures_lose_no_pair(n_words):
 
 def test_op10_packs_all_pieces(docs, none):
     got = packing.pack(docs.select("doc_id", "text", "fill"), WORD_BPE).collect()
-    encoder = word_encoder(WORD_BPE).tokenizer
+    encoder = Tokenizer.from_file(WORD_BPE)
     want = []
     for r in fixture_rows():
         ids = [*encoder.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -635,18 +651,21 @@ def test_op10_keeps_every_capacity(rule):
 
 
 def test_op10_capacities_and_levels_of_the_query_path(spark):
-    """Tiny pieces meet the capacity for documents at its default; many partitions take several levels."""
+    """Tiny pieces fill their sequences at the defaults, and a lower capacity for documents binds; many partitions take several levels."""
     df = spark.createDataFrame([(k, None if k % 2 else "") for k in range(1400)], "doc_id long, text string").repartition(5)
-    held = Counter(r["sequence_id"] for r in packing.pack(df, WORD_BPE).collect())
-    assert max(held.values()) == packing.Capacity().documents == 512 and len(held) == 3
+    held = Counter(r["sequence_id"] for r in packing.pack(df, WORD_BPE, capacity=packing.Capacity(documents=512)).collect())
+    assert max(held.values()) == 512 and len(held) == 3
+    tiny = spark.range(10_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("a")).repartition(6)
+    fill = packing.pack(tiny, WORD_BPE).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("length").alias("least")).collect()
+    assert len(fill) == 10 and sum(r["n"] for r in fill) == 20_000 and {r["least"] for r in fill} == {2}
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choice(["word", "other", "text"]) for _ in range(rng.choice([3, 40, 300, 900])))) for k in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    got = packing.pack(df, WORD_BPE, capacity=packing.Capacity(regroup=2, documents=2048)).collect()
+    got = packing.pack(df, WORD_BPE, capacity=packing.Capacity(regroup=2)).collect()
     fill = Counter()
     for r in got:
         fill[r["sequence_id"]] += r["length"]
-    alone = packing.best_fit(np.array([r["length"] for r in got]), packing.Capacity(documents=2048))[0].max() + 1  # all in one group
+    alone = packing.best_fit(np.array([r["length"] for r in got]), packing.Capacity())[0].max() + 1  # all in one group
     assert max(fill.values()) <= 2048 and len(fill) <= alone + 2
     for key in fill:
         at = 0

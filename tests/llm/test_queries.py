@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from casegrid.llm import line_crf, line_rules, queries
 from casegrid.llm.common import documents
-from casegrid.llm.tokens import word_encoder
+from tokenizers import Tokenizer
 from tests.llm.test_operators import WORD_BPE, brute_components, fixture_rows
 
 
@@ -16,7 +16,7 @@ def test_registered(spark):
 
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_columns(spark, sf_dir):
@@ -27,6 +27,7 @@ def test_columns(spark, sf_dir):
         "op4_line_crf": {"doc_id", "held_out", "score", "predicted"},
         "op7_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
         "op9_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+        "op12_toxicity": {"doc_id", "held_out", "score", "predicted"},
     }
     for name, columns in want.items():
         got = queries.QUERIES[name](spark, sf_dir)
@@ -107,7 +108,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         elif number == 3:
             want = list(zip([d for d, _ in before], left_after_spans([t.encode() for _, t in before])))
         else:
-            encoder = word_encoder(WORD_BPE).tokenizer
+            encoder = Tokenizer.from_file(WORD_BPE)
             want = Counter()
             for d, t in before:
                 ids = [*encoder.encode(t, add_special_tokens=False).ids, 0]

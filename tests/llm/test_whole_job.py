@@ -11,7 +11,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from casegrid.llm import duck_bpe, edit_embedding, jaccard_join, language, line_crf, line_rules, maxent_lm, packing, suffix_dedup, token_files
-from casegrid.llm.tokens import vocabulary_path, word_encoder
+from casegrid.llm.tokens import vocabulary_path
+from tokenizers import Tokenizer
 
 
 def test_op1_third_word_back_counts():
@@ -99,7 +100,7 @@ def test_texts_above_a_megabyte(spark):
     prints = by_id(edit_embedding.fingerprint_edits(df), "n_chars", "near_edited")
     assert prints[1][0] == len(long) and prints[3] == (0, 1.0)
     vocabulary = vocabulary_path("word_bpe_49k.json")
-    tokenizer = word_encoder(vocabulary).tokenizer
+    tokenizer = Tokenizer.from_file(vocabulary)
     ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t, _ in rows}
     assert {d: (n, c) for d, (n, c) in by_id(token_files.round_trip(df, vocabulary), "n_tokens", "ids_crc32").items()} == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids.items()}
     packed = packing.pack(df, vocabulary).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
