@@ -59,6 +59,23 @@ def opened(made: DataFrame, docs: DataFrame, new: list[str]) -> DataFrame:
     return made.select(*[F.col(CARRIED).getField(c).alias(c) for c in kept], *new)
 
 
+def drawn(key: Column | str, share: float) -> Column:
+    """True for about a share of different keys, the same ones every time; fine enough for any number of them (a step is 2**-64)."""
+    return F.lit(True) if share >= 1 else F.xxhash64(F.lit("drawn"), key) < F.lit(int(share * 2**64) - 2**63)
+
+
+def sample_share(rows: DataFrame, size: Column, rows_at_most: int, bytes_at_most: int) -> float:
+    """The share of rows that keeps a sample within both bounds (as expected); 0 for an empty table."""
+    n, size = rows.agg(F.count("*"), F.sum(size)).first()
+    return min(1.0, rows_at_most / n, bytes_at_most / max(1, size or 0)) if n else 0.0
+
+
+def refuse_empty(found: int, share: float, what: str) -> None:
+    """A sample of a part that came out empty would leave all rows to one task."""
+    if not found and 0 < share < 1:
+        raise ValueError(f"the sample of {what} is empty at a share of {share:.3g}: raise its bounds")
+
+
 def widened(df: DataFrame, drop: tuple[str, ...], added: str) -> StructType:
     """Schema of ``df`` without ``drop``, then the fields of the DDL text ``added``."""
     return StructType([f for f in df.schema.fields if f.name not in drop] + StructType.fromDDL(added).fields)

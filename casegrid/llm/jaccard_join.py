@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from casegrid.llm.common import CARRIED, carry, forget, free_finished, stored, tidy
+from casegrid.llm.common import CARRIED, carry, drawn, forget, free_finished, refuse_empty, stored, tidy
 from casegrid.llm.components import connected, hub_join
 
 
@@ -267,7 +267,7 @@ def drawn_sample(docs: DataFrame, s: Settings) -> Sample:
     if not total:
         return Sample(np.empty(0, np.uint64), {})
     share = min(1.0, s.sample / total)
-    drawn = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003))
+    texts = docs.select("text").where(drawn("text", share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(s.n), Bands(s, {})
@@ -279,10 +279,11 @@ def drawn_sample(docs: DataFrame, s: Settings) -> Sample:
                 kind = np.repeat(np.array([0, 1], np.int32), [len(value), len(band)])
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([value.view(np.int64), band.astype(np.int64)])), pa.array(np.concatenate([times, n]))], ["kind", "h", "n"])
 
-    counted = stored(drawn.mapInArrow(tidy(run), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), docs.sparkSession, "jaccard-sample")
+    counted = stored(texts.mapInArrow(tidy(run), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), docs.sparkSession, "jaccard-sample")
     often = counted.where("kind = 0").where(F.col("n") >= max(3, int(0.0002 * share * total)))
     got = often.orderBy(F.desc("n"), "h").limit(s.frequent).select("h").toArrow().column("h").to_numpy()
     sets = {r["h"]: int(r["n"] / share) for r in counted.where("kind = 1").collect()}
+    refuse_empty(len(sets), share, "documents")
     forget(counted)
     return Sample(np.sort(got.astype(np.int64).view(np.uint64)), sets)
 

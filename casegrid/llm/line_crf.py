@@ -43,6 +43,8 @@ SLICE = 1000
 class Settings:
     #: labelled documents that training gathers at most: its documented bound
     sample_documents: int = 4000
+    #: bytes of their texts at most (as expected): fewer documents are drawn where they are long
+    sample_bytes: int = 32_000_000
     #: gradient steps with every line labelled like its document, and then with the lines' own chances
     steps: int = 100
     own_steps: int = 150
@@ -201,9 +203,16 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if not total:
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 1.0, 0.0)
     share = min(1.0, settings.sample_documents / total)
-    most = int(share * 2**32)
-    drawn = known.where(F.crc32(F.concat_ws(":", F.lit("crf"), F.col("doc_id").cast("string")).cast("binary")) < most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("label", "text")
+
+    def labelled_rows(share: float) -> DataFrame:
+        most = int(share * 2**32)
+        taken = known.where(F.crc32(F.concat_ws(":", F.lit("crf"), F.col("doc_id").cast("string")).cast("binary")) < most)
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id").select("label", "text")
+
+    rows = labelled_rows(share)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > settings.sample_bytes:
+        rows = labelled_rows(share * settings.sample_bytes / size)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

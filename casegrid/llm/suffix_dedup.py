@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import carry, forget, free_finished, opened, stored, tidy
+from casegrid.llm.common import carry, drawn, forget, free_finished, opened, refuse_empty, sample_share, stored, tidy
 
 GRAM = 64
 
@@ -55,6 +55,8 @@ class Settings:
     span: int = 200
     #: documents that set the splitters: a bound on balance, not on results
     sample: int = 2000
+    #: bytes of these texts at most (as expected): long texts are drawn less often then
+    sample_bytes: int = 64_000_000
     #: bytes that numpy handles at a time; longer texts are read in slices of so many string starts
     chunk: int = 1_000_000
 
@@ -239,15 +241,16 @@ def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
 
 def splitters(texts: DataFrame, s: Settings, buckets: int) -> np.ndarray:
     """Bounds of the ranges in the order of suffixes, from the anchors of a bounded sample of texts."""
-    share = min(1.0, s.sample / max(1, texts.count()))
+    share = sample_share(texts, F.col("n"), s.sample, s.sample_bytes)
+    sample = texts.where(drawn("tid", share)).select("tid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, parts in slices(pairs_of(batches), s):
             a = anchors(parts, s)
             yield pa.RecordBatch.from_arrays([pa.array(order_key(a.lead, a.gram, a.context).tolist(), pa.binary())], ["k"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("tid"), F.lit(1_000_003)) < int(share * 1_000_003)).select("tid", "text")
-    got = np.sort(np.array(drawn.mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist(), dtype="S24"))
+    got = np.sort(np.array(sample.mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist(), dtype="S24"))
+    refuse_empty(len(got) or sample.count(), share, "texts")
     return np.unique(got[(np.arange(1, buckets) * len(got)) // buckets]) if len(got) else got
 
 
@@ -368,15 +371,17 @@ def open_texts(texts: DataFrame, spots: DataFrame) -> DataFrame:
 
 def shared_splitters(texts: DataFrame, spots: DataFrame, s: Settings, buckets: int) -> tuple[list[bytes], set[bytes]]:
     """(bounds of ranges, frequent ones) of the bytes that the strings of open contexts share, from a bounded sample of texts."""
-    share = min(1.0, s.sample / max(1, spots.select("tid").distinct().count()))
-    drawn = spots.where(F.pmod(F.xxhash64("tid"), F.lit(1_000_003)) < int(share * 1_000_003))
+    held = texts.select("tid", "n").join(spots.select("tid").distinct(), "tid", "left_semi")
+    share = sample_share(held, F.col("n"), s.sample, s.sample_bytes)
+    sample = spots.where(drawn("tid", share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [core for text, spots_ in zip(batch.column(1), batch.column(2).to_pylist()) for core, _, _ in halves(text.as_py().encode("utf-8", "surrogatepass"), spots_, s)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["k"])
 
-    got = sorted(open_texts(texts, drawn).mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist())
+    got = sorted(open_texts(texts, sample).mapInArrow(tidy(run), "k binary").toArrow().column("k").to_pylist())
+    refuse_empty(len(got), share, "texts with open contexts")
     often = max(8, len(got) // (2 * buckets))
     hot = {core for core, n in Counter(got).items() if n >= often}
     rest = [core for core in got if core not in hot]
