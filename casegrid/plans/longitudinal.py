@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegrid.operators import scores, visits
+from casegrid.operators import scores, segments, visits
 from casegrid.plans.registry import Registry
 from casegrid.session import table
 
@@ -17,7 +17,8 @@ SELECT event_id, lag(event_id) OVER w AS prior_id, lag(event_type) OVER w AS pri
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def j8(spark: SparkSession, d: str) -> DataFrame:
     """The newest earlier case of the same subject and the days between."""
-    e = visits.with_prior(table(spark, d, "events"), "user_id", "ts", "event_id", {"prior_id": "event_id", "prior_type": "event_type", "prior_ts": "ts"})
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    e = segments.with_prior(e, "user_id", "ts", "event_id", {"prior_id": "event_id", "prior_type": "event_type", "prior_ts": "ts"})
     return e.select("event_id", "prior_id", "prior_type", F.datediff("ts", "prior_ts").alias("days"))
 
 
@@ -26,9 +27,9 @@ SELECT e.event_id, count(p.event_id)::BIGINT AS n_prior, round(coalesce(sum(p.va
 FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.ts < e.ts GROUP BY e.event_id""")
 def j9(spark: SparkSession, d: str) -> DataFrame:
     """All cases strictly before, summed by a range frame instead of a self-join."""
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     e = table(spark, d, "events").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return e.select("event_id", F.count("*").over(w).alias("n_prior"), F.round(F.coalesce(F.sum("value").over(w), F.lit(0.0)), 4).alias("prior_value"))
+    e = segments.running(e, "user_id", "at", None, {"n_prior": ("count", "*"), "before": ("sum", "value")})
+    return e.select("event_id", "n_prior", F.round(F.coalesce("before", F.lit(0.0)), 4).alias("prior_value"))
 
 
 @R.add("j10_graylist", """
@@ -78,8 +79,9 @@ def o3(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, round(max(value) OVER w, 2) AS peak, round(sum(value) OVER w, 2) AS running_sum, (count(*) OVER w)::BIGINT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w5(spark: SparkSession, d: str) -> DataFrame:
     """Running maximum, sum and count (the mean is their ratio)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.max("value").over(w), 2).alias("peak"), F.round(F.sum("value").over(w), 2).alias("running_sum"), F.count("*").over(w).alias("n"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    e = segments.running(e, "user_id", "ts", "event_id", {"peak": ("max", "value"), "running_sum": ("sum", "value"), "n": ("count", "*")})
+    return e.select("event_id", F.round("peak", 2).alias("peak"), F.round("running_sum", 2).alias("running_sum"), "n")
 
 
 @R.add("w6_trailing_rate", """
@@ -89,16 +91,17 @@ SELECT event_id, round(n / greatest(0.05, span), 6) AS rate FROM (
 def w6(spark: SparkSession, d: str) -> DataFrame:
     """Rate in a trailing time window, with a floor of the span."""
     e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
-    span = (F.col("at") - F.min("at").over(w)) / F.lit(1e6)
-    return e.select("event_id", F.round(F.count("*").over(w) / F.greatest(F.lit(0.05), span), 6).alias("rate"))
+    e = segments.trailing_time(e, "user_id", "at", 3_600_000_000, {"n": F.count("*"), "first": F.min("at")})
+    span = (F.col("at") - F.col("first")) / F.lit(1e6)
+    return e.select("event_id", F.round(F.col("n") / F.greatest(F.lit(0.05), span), 6).alias("rate"))
 
 
 @R.add("w7_last60", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 59 PRECEDING), 2) AS sum60, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 59 PRECEDING)::BIGINT AS n FROM events")
 def w7(spark: SparkSession, d: str) -> DataFrame:
     """The last sixty values."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-59, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("sum60"), F.count("*").over(w).alias("n"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    e = segments.trailing_rows(e, "user_id", "ts", "event_id", 60, {"s": F.sum("value"), "n": F.count("*")})
+    return e.select("event_id", F.round("s", 2).alias("sum60"), "n")
 
 
 @R.add("a17_majority_vote", """
@@ -120,8 +123,9 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p21_history", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS visit FROM events WHERE user_id IS NOT NULL")
 def p21(spark: SparkSession, d: str) -> DataFrame:
     """A subject's history, oldest first; no subject, no history."""
-    e = table(spark, d, "events").where("user_id is not null")
-    return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("visit"))
+    e = table(spark, d, "events").where("user_id is not null").select("user_id", "event_id", "ts")
+    e = segments.running(e, "user_id", "ts", "event_id", {"visit": ("count", "*")})
+    return e.select("user_id", "event_id", F.col("visit").cast("int").alias("visit"))
 
 
 @R.add("a20_trace_rollup", """
