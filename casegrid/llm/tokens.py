@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -36,6 +37,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        #: words that may hold a special token's string, in any case: the library looks for these strings in every word, which costs a quarter of its time
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -60,6 +64,11 @@ class WordEncoder:
                     known[w] = older[w]
                 else:
                     new.append(w)
-        for w, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            known[w] = np.asarray(got.ids, dtype="<u4").tobytes()
+        odd = [w for w in new if self.special.search(w.lower())] if self.special else []
+        if odd:
+            new = [w for w in new if w not in set(odd)]
+        for words, plain in ((new, True), (odd, False)):
+            self.tokenizer.encode_special_tokens = plain  # True: such strings, of which these words hold none, would be ordinary text
+            for w, got in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+                known[w] = np.asarray(got.ids, dtype="<u4").tobytes()
         return b"".join([known[w] for w in ws])
