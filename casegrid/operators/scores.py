@@ -44,3 +44,104 @@ def majority(votes: DataFrame, case: str, run: str, value: list[str]) -> DataFra
     runs = votes.groupBy(case).agg(F.countDistinct(run).alias("runs"))
     counted = votes.groupBy(case, *value).agg(F.count("*").alias("votes"))
     return counted.join(runs, case).where(F.col("votes") >= F.floor(F.col("runs") / 2) + 1)
+
+
+# --- scoring variants of an extraction against its case ----------
+
+#: Code systems of an item, lists of a record that hold items, and the sections of a complete record.
+SYSTEMS = ("snomed", "icd10", "loinc", "rxnorm")
+CODED = ("conditions", "labs", "meds")
+SECTIONS = ("patient", "conditions", "labs", "meds", "vitals")
+
+
+def _list(codes: Column) -> Column:
+    return F.coalesce(codes.cast("array<string>"), F.array().cast("array<string>"))
+
+
+def flat_score(expected: dict[str, Column], got: dict[str, Column]) -> dict[str, Column]:
+    """V2: matched, expected and fp counts over all buckets together; a code found in another bucket counts as found. Codes of a bucket are stripped, and each counts once."""
+    tidy = lambda c: F.array_distinct(F.filter(F.transform(_list(c), lambda x: F.trim(x)), lambda x: x != ""))
+    want, have = (F.concat(*[tidy(c) for c in side.values()]) for side in (expected, got))
+    return {
+        "matched": F.size(F.filter(want, lambda x: F.array_contains(have, x))),
+        "expected": F.size(want),
+        "fp": F.size(F.filter(have, lambda x: ~F.array_contains(want, x))),
+    }
+
+
+def _named(bucket: str, codes: Column) -> Column:
+    return F.transform(codes, lambda x: F.concat(F.lit(f"{bucket}:"), x))
+
+
+def bucket_score(expected: dict[str, Column], got: dict[str, Column]) -> dict[str, Column]:
+    """V3: lists matched, missing and spurious of ``bucket:code`` by sets, and ``perfect``: as many matched as the expected lists are long, and none spurious."""
+    out: dict[str, list[Column]] = {"matched": [], "missing": [], "spurious": []}
+    length = F.lit(0)
+    for bucket, codes in expected.items():
+        want, have = _list(codes), _list(got[bucket])
+        length = length + F.size(want)
+        for name, c in (("matched", F.array_intersect(have, want)), ("missing", F.array_except(want, have)), ("spurious", F.array_except(have, want))):
+            out[name].append(_named(bucket, c))
+    joined = {name: F.array_sort(F.concat(*parts)) for name, parts in out.items()}
+    return {**joined, "perfect": (F.size(joined["matched"]) == length) & (F.size(joined["spurious"]) == 0)}
+
+
+def record_codes(record: Column) -> Column:
+    """V4: the different ``system|code`` of a record (a variant): codes of its items, and ``vital|name`` for each vital sign that has a value. Parts of another shape hold none."""
+    string = lambda v, path: F.try_variant_get(v, path, "string")
+    coded = [
+        F.transform(
+            F.coalesce(F.try_variant_get(record, f"$.{part}", "array<variant>"), F.array().cast("array<variant>")),
+            lambda item: F.array(*[F.concat(F.lit(f"{s}|"), F.when(string(item, f"$.{s}") != "", string(item, f"$.{s}"))) for s in SYSTEMS]),
+        )
+        for part in CODED
+    ]
+    vitals = F.try_variant_get(record, "$.vitals", "map<string,variant>")
+    present = F.map_keys(F.map_filter(vitals, lambda _, v: v.isNotNull() & ~F.is_variant_null(v) & F.coalesce(string(v, "$") != "", F.lit(True))))
+    named = F.transform(F.coalesce(present, F.array().cast("array<string>")), lambda k: F.concat(F.lit("vital|"), k))
+    return F.array_distinct(F.filter(F.concat(F.flatten(F.concat(*coded)), named), lambda x: x.isNotNull()))
+
+
+def record_score(gold_text: Column, pred_text: Column) -> dict[str, Column]:
+    """V4: tp, fp, fn over the codes of two records given as JSON text, json_valid, schema_complete (all sections there). Text that is no JSON has no codes."""
+    gold, pred = F.try_parse_json(gold_text), F.try_parse_json(pred_text)
+    want, have = record_codes(gold), record_codes(pred)
+    sections = F.map_keys(F.try_variant_get(pred, "$", "map<string,variant>"))
+    none = F.array().cast("array<string>")
+    want, have = F.coalesce(want, none), F.coalesce(have, none)
+    return {
+        "tp": F.size(F.array_intersect(want, have)), "fp": F.size(F.array_except(have, want)), "fn": F.size(F.array_except(want, have)),
+        "json_valid": pred.isNotNull(),
+        "schema_complete": F.coalesce(F.size(F.array_intersect(sections, F.array(*map(F.lit, SECTIONS)))) == len(SECTIONS), F.lit(False)),
+    }
+
+
+def verbatim_score(expected: dict[str, Column], text: Column) -> dict[str, Column]:
+    """V5: codes of each bucket that stand anywhere in the text, their number, and the share found (0 for nothing expected)."""
+    held = {f"matched_{b}": F.filter(_list(c), lambda x: F.coalesce(text, F.lit("")).contains(x)) for b, c in expected.items()}
+    total = sum((F.size(_list(c)) for c in expected.values()), F.lit(0))
+    found = sum((F.size(c) for c in held.values()), F.lit(0))
+    return {**held, "total_expected": total, "total_matched": found, "extraction_score": ratio(found, total)}
+
+
+def summary(cases: DataFrame, group: list[str]) -> DataFrame:
+    """Micro and macro precision, recall and F1 of cases with tp, fp, fn, json_valid and schema_complete, and the rates of the last two, by group."""
+    per_case = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
+    rows = cases.select("*", *[c.alias(f"case_{k}") for k, c in per_case.items()])
+    sums = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), *[F.sum(k).alias(k) for k in ("tp", "fp", "fn")], *[F.round(F.avg(f"case_{k}"), 4).alias(f"macro_{k}") for k in per_case],
+        *[F.round(F.avg(F.col(k).cast("int")), 4).alias(f"{k}_rate") for k in ("json_valid", "schema_complete")],
+    )
+    return sums.select("*", *[F.round(c, 4).alias(f"micro_{k}") for k, c in precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+
+
+def sweep(cases: DataFrame, group: list[str]) -> DataFrame:
+    """V6: totals of cases with matched, expected, fp and error by group; cases with an error count as errors alone, and a case without expected codes isn't perfect."""
+    ok = F.col("error").isNull()
+    of = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(0))
+    perfect = ok & (F.col("expected") > 0) & (F.col("matched") == F.col("expected")) & (F.col("fp") == 0)
+    sums = cases.groupBy(*group).agg(
+        F.count_if(ok).alias("n_cases"), F.count_if(~ok).alias("errors"), F.count_if(perfect).alias("perfect"), of("matched").alias("matched"), of("expected").alias("expected"), of("fp").alias("false_positives")
+    )
+    p, r = ratio(F.col("matched"), F.col("matched") + F.col("false_positives")), ratio(F.col("matched"), F.col("expected"))
+    return sums.select("*", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1(p, r), 4).alias("f1"))

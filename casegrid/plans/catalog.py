@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions import keys
-from casegrid.plans import cases, corpus, dialogue, evaluation, interop, longitudinal, relational, sources, stream, text
+from casegrid.plans import cases, corpus, dialogue, evaluation, interop, longitudinal, relational, sources, stream, text, variants
 from casegrid.session import table
 
-MODULES = (relational, longitudinal, evaluation, corpus, text, cases, dialogue, interop, sources, stream)
+MODULES = (relational, longitudinal, evaluation, corpus, text, cases, dialogue, interop, sources, stream, variants)
 QUERIES = {name: q for m in MODULES for name, q in m.R.queries.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.R.oracle.items()}
 
