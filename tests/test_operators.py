@@ -158,3 +158,25 @@ def test_selection(spark):
     assert round_robin(df.limit(0), "id", "b", 5).count() == 0
     kept = keep_first(spark.createDataFrame([("k", 2, "x"), ("k", 1, "y")], "k string, o int, v string"), "k", "o")
     assert values(kept, "k") == [("k", 1, "y")]
+
+
+def test_scoring_variants_of_odd_records(spark):
+    """Texts that are no JSON, parts of another shape, empty codes and null lists."""
+    gold = '{"conditions":[{"snomed":"1","icd10":"A1"},{"snomed":"1"}],"labs":[{"loinc":"2-1"}],"meds":[],"vitals":{"hr":80,"temp":"","bp":null},"patient":{}}'
+    rows = [
+        (1, gold), (2, None), (3, "not json"), (4, '[{"snomed":"1"}]'), (5, '{"conditions":"1","labs":[7,null,{"loinc":21}],"meds":[{"rxnorm":""}],"vitals":[1]}'),
+        (6, '{"conditions":[{"snomed":1,"icd10":"A1"}],"labs":[{"loinc":"2-1"}],"meds":null,"vitals":{"hr":0,"o2":{"v":1}},"patient":null}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r["id"]: tuple(r)[1:] for r in df.select("id", *[c.alias(k) for k, c in scores.record_score(F.lit(gold), F.col("text")).items()]).collect()}
+    assert got == {1: (4, 0, 0, True, True), 2: (0, 0, 4, False, False), 3: (0, 0, 4, False, False), 4: (0, 0, 4, True, False), 5: (0, 1, 4, True, False), 6: (4, 1, 0, True, True)}
+    lists = spark.createDataFrame([(1, ["1", " 2", "2"], ["3"], ["2", "3", "9", ""], None), (2, None, None, None, None), (3, [], ["5"], ["5"], [])], "id int, a array<string>, b array<string>, x array<string>, y array<string>")
+    want, have = {"c": F.col("a"), "l": F.col("b")}, {"c": F.col("x"), "l": F.col("y")}
+    row = lambda cols: {r["id"]: tuple(r)[1:] for r in lists.select("id", *[c.alias(k) for k, c in cols.items()]).collect()}
+    assert row(scores.flat_score(want, have)) == {1: (2, 3, 1), 2: (0, 0, 0), 3: (1, 1, 0)}
+    assert row(scores.bucket_score(want, have)) == {
+        1: (["c:2"], ["c: 2", "c:1", "l:3"], ["c:", "c:3", "c:9"], False), 2: ([], [], [], True), 3: ([], ["l:5"], ["c:5"], False),
+    }
+    assert row(scores.verbatim_score(want, F.lit("x1 (2)[3"))) == {1: (["1", "2"], ["3"], 4, 3, 0.75), 2: ([], [], 0, 0, 0.0), 3: ([], [], 1, 0, 0.0)}
+    none = scores.summary(df.select(F.lit("g").alias("g"), *[c.alias(k) for k, c in scores.record_score(F.lit("{}"), F.lit("{}")).items()]).limit(1), ["g"]).first()
+    assert (none["micro_f1"], none["macro_f1"], none["json_valid_rate"], none["schema_complete_rate"]) == (0.0, 0.0, 1.0, 0.0)
