@@ -135,22 +135,58 @@ def bundle_entities(rows: DataFrame, id_column: str, json: str) -> DataFrame:
     return out.select(id_column, "pos", "axis", F.col("c.system").alias("code_system"), F.col("c.code").alias("code"))
 
 
+def bundle_codings(rows: DataFrame, id_column: str, json: str) -> DataFrame:
+    """Id, pos, coding, kind, code_system, code, display: every coding of conditions, observations and medication statements, in order.
+
+    An observation's kind is by the first coding of its first category. What a coding
+    lacks is the empty text; a text that is no bundle has no codings.
+    """
+    concept = "struct<coding:array<struct<system:string,code:string,display:string>>>"
+    schema = f"struct<entry:array<struct<resource:struct<resourceType:string,code:{concept},medicationCodeableConcept:{concept},category:array<{concept}>>>>>"
+    r = rows.select(id_column, F.posexplode(F.from_json(F.col(json), schema)["entry"]).alias("pos", "e")).select(id_column, "pos", F.col("e.resource").alias("r"))
+    category = F.get(F.get("r.category", F.lit(0))["coding"], F.lit(0))["code"]
+    of = F.col("r.resourceType")
+    kind = F.when(of == "Observation", F.when(category == "laboratory", "Observation (Lab)").when(category == "vital-signs", "Observation (Vital)").otherwise("Observation")).otherwise(of)
+    codings = F.when(of.isin("Condition", "Observation"), F.col("r.code.coding")).when(of == "MedicationStatement", F.col("r.medicationCodeableConcept.coding"))
+    out = r.select(id_column, "pos", kind.alias("kind"), F.posexplode(codings).alias("coding", "c"))
+    return out.select(id_column, "pos", "coding", "kind", *[F.coalesce(f"c.{f}", F.lit("")).alias(name) for f, name in (("system", "code_system"), ("code", "code"), ("display", "display"))])
+
+
+#: Characters of a message that have a meaning of their own, and how they are written in a value.
+HL7_ESCAPES = (("\\", "\\E\\"), ("|", "\\F\\"), ("^", "\\S\\"), ("&", "\\T\\"), ("~", "\\R\\"), ("\r", "\\X0D\\"), ("\n", "\\X0A\\"))
+
+
+def hl7_escaped(value: Column) -> Column:
+    """A value that can't add fields, components or segments."""
+    for plain, written in HL7_ESCAPES:
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return value
+
+
+def hl7_unescaped(value: Column) -> Column:
+    """The value again: between the escape characters stand plain text and codes in turn."""
+    codes = F.create_map(*[F.lit(x) for plain, written in HL7_ESCAPES for x in (written.strip("\\"), plain)])
+    parts = F.transform(F.split(value, "\\\\"), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.coalesce(F.try_element_at(codes, x), x)))
+    return F.array_join(parts, "")
+
+
 def hl7_report(header: dict[str, Column], conditions: Column, labs: Column, vitals: dict[str, Column], meds: Column) -> Column:
     """Segments joined by carriage returns: MSH, PID, PV1, DG1..., OBX of labs then vitals, RXA.
 
     header: facility, at, message_id, patient_id, family, given, birth, sex, race, city, state, zip, phone, ethnicity, visit_date (compact dates).
-    conditions: array of struct(code, name); labs: struct(code, name, result_code, result, date); meds: struct(code, name).
+    conditions: array of struct(code, name); labs: struct(code, name, result_code, result, date); meds: struct(code, name). Values are escaped.
     """
-    h = {k: F.coalesce(v, F.lit("")) for k, v in header.items()}
+    h = {k: hl7_escaped(F.coalesce(v, F.lit(""))) for k, v in header.items()}
+    e = hl7_escaped
     msh = _text("MSH|^~\\&|CASEGRID|", h["facility"], "|SURVEILLANCE|LHD|", h["at"], "||ORU^R01^ORU_R01|", h["message_id"], "|P|2.5.1")
     pid = _text("PID|1||", h["patient_id"], "||", h["family"], "^", h["given"], "||", h["birth"], "|", h["sex"], "||", h["race"], "|^^^^^", h["city"], "^", h["state"], "^", h["zip"], "^US||", h["phone"], "||||||||", h["ethnicity"])
     pv1 = _text("PV1|1|O|||||||||||||||||V|", h["visit_date"])
     number = lambda i, base=0: (i + 1 + base).cast("string")
-    dg1 = F.transform(conditions, lambda c, i: _text("DG1|", number(i), "||", c["code"], "^", c["name"], "^SCT||", h["visit_date"], "|A"))
-    obx = F.transform(labs, lambda x, i: _text("OBX|", number(i), "|CWE|", x["code"], "^", x["name"], "^LN||", x["result_code"], "^", F.when(x["result"] == "", "N/A").otherwise(x["result"]), "^SCT||||||F|||", F.regexp_replace(x["date"], "-", "")))
+    dg1 = F.transform(conditions, lambda c, i: _text("DG1|", number(i), "||", e(c["code"]), "^", e(c["name"]), "^SCT||", h["visit_date"], "|A"))
+    obx = F.transform(labs, lambda x, i: _text("OBX|", number(i), "|CWE|", e(x["code"]), "^", e(x["name"]), "^LN||", e(x["result_code"]), "^", F.when(x["result"] == "", "N/A").otherwise(e(x["result"])), "^SCT||||||F|||", F.regexp_replace(x["date"], "-", "")))
     listed = F.array_compact(F.array(*[F.when(vitals[k].isNotNull(), F.struct(F.lit(code).alias("code"), F.lit(name).alias("name"), vitals[k].cast("string").alias("value"), F.lit(unit).alias("unit"))) for k, code, name, unit in HL7_VITALS if k in vitals])) if vitals else F.array().cast("array<struct<code:string,name:string,value:string,unit:string>>")
-    more = F.transform(listed, lambda v, i: _text("OBX|", (i + 1 + F.size(labs)).cast("string"), "|NM|", v["code"], "^", v["name"], "^LN||", v["value"], "|", v["unit"], "|||||F|||", h["visit_date"]))
-    rxa = F.transform(meds, lambda m: _text("RXA|0|1|", h["visit_date"], "||", m["code"], "^", m["name"], "^RxNorm|1||"))
+    more = F.transform(listed, lambda v, i: _text("OBX|", (i + 1 + F.size(labs)).cast("string"), "|NM|", v["code"], "^", v["name"], "^LN||", e(v["value"]), "|", v["unit"], "|||||F|||", h["visit_date"]))
+    rxa = F.transform(meds, lambda m: _text("RXA|0|1|", h["visit_date"], "||", e(m["code"]), "^", e(m["name"]), "^RxNorm|1||"))
     return F.array_join(F.concat(F.array(msh, pid, pv1), dg1, obx, more, rxa), "\r")
 
 

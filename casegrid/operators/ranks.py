@@ -14,8 +14,8 @@ MODES = {
 }
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, wanted: dict[str, tuple[float, str]], cuts: int = 64) -> DataFrame:
-    """``group`` columns and one column for each entry of ``wanted``: name -> (fraction, mode).
+def nearest_rank(df: DataFrame, group: list[str], value: str, wanted: dict[str, tuple[float, str]], cuts: int = 64, count: str | None = None) -> DataFrame:
+    """``group`` columns and one column for each entry of ``wanted``: name -> (fraction, mode); under ``count``, if named, how many values there are.
 
     Rows of a group are cut into about ``cuts`` value ranges by a mergeable
     sketch; counts by range tell which ranges hold the wanted ranks, and only
@@ -30,20 +30,18 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, wanted: dict[str,
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), MODES[mode](F.lit(q) * (F.col("n") - 1)).cast("long").alias("rank")) for name, (q, mode) in wanted.items()])
-    hit = counts.select(*group, "part", "before", "c", F.explode(ranks).alias("w")).where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c")))
-    parts = hit.groupBy(*group, "part").agg(F.first("before").alias("before"), F.collect_list("w").alias("w"))
+    hit = counts.select(*group, "part", "before", "c", "n", F.explode(ranks).alias("w")).where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c")))
+    parts = hit.groupBy(*group, "part").agg(F.first("before").alias("before"), F.first("n").alias("all"), F.collect_list("w").alias("w"))
     inside = Window.partitionBy(*group, "part").orderBy("v")
-    found = ranged.join(parts, [*group, "part"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("before"))
-    found = found.select(*group, "v", "rank", F.explode("w").alias("w")).where("rank = w.rank")
-    return found.groupBy(*group).agg(*[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in wanted])
+    found = ranged.drop("n").join(parts, [*group, "part"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("before"))
+    found = found.select(*group, "v", "all", "rank", F.explode("w").alias("w")).where("rank = w.rank")
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in wanted], *([F.first("all").alias(count)] if count else []))
 
 
 def interpolated(df: DataFrame, group: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """``group`` columns and a percentile for each entry of ``wanted`` (name -> fraction), between the two nearest ranks."""
     ends = {f"{name}_{mode}": (q, mode) for name, q in wanted.items() for mode in ("floor", "ceil")}
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"))
-    found = nearest_rank(df, group, value, ends)
-    joined = found.join(counts, group) if group else found.crossJoin(F.broadcast(counts))
+    joined = nearest_rank(df, group, value, ends, count="n")
     between = lambda name, q: F.col(f"{name}_floor") + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)))
     return joined.select(*group, *[between(name, q).alias(name) for name, q in wanted.items()])
 

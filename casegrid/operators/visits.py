@@ -40,3 +40,24 @@ def flat_changes(visits: DataFrame, subject: str, visit: str, codes: str, prior:
 
     listed = F.concat(*[F.transform(c, named(kind)) for kind, c in parts.items()])
     return visits.select(subject, visit, F.explode(listed).alias("c")).select(subject, visit, "c.code", "c.change_type")
+
+
+def entity_changes(visits: DataFrame, subject: str, visit: str, entities: str, prior: str) -> DataFrame:
+    """One row a (subject, visit, axis, code_system, code): display and change_type; added and unchanged show the visit's own display, removed ones the prior's.
+
+    ``entities`` and ``prior`` are arrays of struct(axis, code_system, code, display); of
+    entities with one key in a visit the first counts. Without a prior all are unchanged.
+    """
+    none = F.array().cast("array<struct<axis:string,code_system:string,code:string,display:string>>")
+    key = lambda x: F.struct(x["axis"], x["code_system"], x["code"])
+    keys = lambda c: F.transform(c, key)
+    first = lambda c: F.filter(c, lambda x, i: F.array_position(keys(c), key(x)) == i + 1)
+    now = F.coalesce(first(F.col(entities)), none)
+    before = F.coalesce(first(F.col(prior)), now)
+    named = lambda c, kind: F.transform(c, lambda x: F.struct(x["axis"].alias("axis"), x["code_system"].alias("code_system"), x["code"].alias("code"), x["display"].alias("display"), F.lit(kind).alias("change_type")))
+    parts = [
+        named(F.filter(now, lambda x: ~F.array_contains(keys(before), key(x))), "added"),
+        named(F.filter(before, lambda x: ~F.array_contains(keys(now), key(x))), "removed"),
+        named(F.filter(now, lambda x: F.array_contains(keys(before), key(x))), "unchanged"),
+    ]
+    return visits.select(subject, visit, F.explode(F.concat(*parts)).alias("c")).select(subject, visit, "c.*")

@@ -170,6 +170,26 @@ def t43(spark: SparkSession, d: str) -> DataFrame:
     return interop.bundle_entities(table(spark, d, "supplier").select("s_suppkey", json.alias("json")), "s_suppkey", "json")
 
 
+@R.add("t43_codings", """
+SELECT s_suppkey, 0 AS pos, k::INTEGER AS coding, 'Condition' AS kind, CASE k WHEN 0 THEN 'http://snomed.info/sct' ELSE '' END AS code_system, CASE k WHEN 0 THEN s_suppkey::VARCHAR ELSE 'A' || s_nationkey END AS code, CASE k WHEN 0 THEN s_name ELSE '' END AS display
+FROM supplier, range(2) t(k)
+UNION ALL SELECT s_suppkey, 1, k::INTEGER, CASE s_suppkey % 3 WHEN 0 THEN 'Observation (Lab)' WHEN 1 THEN 'Observation (Vital)' ELSE 'Observation' END, 'http://loinc.org', k || '-' || s_nationkey, '' FROM supplier, range(3) t(k) WHERE k < s_suppkey % 4
+UNION ALL SELECT s_suppkey, 2, 0, 'MedicationStatement', '', '7', s_name FROM supplier""")
+def t43_codings(spark: SparkSession, d: str) -> DataFrame:
+    """Every coding of each resource; other resources have none."""
+    text = lambda c: F.col(c).cast("string")
+    coding = lambda **f: F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in f.items()])
+    condition = F.array(F.to_json(coding(system="http://snomed.info/sct", code=text("s_suppkey"), display=F.col("s_name"))), F.to_json(coding(code=F.concat(F.lit("A"), text("s_nationkey")))))
+    loincs = F.filter(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.when(k < F.col("s_suppkey") % 4, F.to_json(F.struct(F.lit("http://loinc.org").alias("system"), F.concat(k.cast("string"), F.lit("-"), text("s_nationkey")).alias("code"))))), lambda x: x.isNotNull())
+    category = F.when(F.col("s_suppkey") % 3 == 0, "laboratory").when(F.col("s_suppkey") % 3 == 1, "vital-signs").otherwise("exam")
+    json = F.concat(
+        F.lit('{"entry":[{"resource":{"resourceType":"Condition","code":{"coding":['), F.array_join(condition, ","),
+        F.lit(']}}},{"resource":{"resourceType":"Observation","category":[{"coding":[{"code":"'), category, F.lit('"}]}],"code":{"coding":['), F.array_join(loincs, ","),
+        F.lit(']}}},{"resource":{"resourceType":"MedicationStatement","medicationCodeableConcept":{"coding":['), F.to_json(coding(code="7", display=F.col("s_name"))), F.lit(']}}},{"resource":{"resourceType":"Patient","code":{"coding":[{"code":"no"}]}}}]}'),
+    )
+    return interop.bundle_codings(table(spark, d, "supplier").select("s_suppkey", json.alias("json")), "s_suppkey", "json")
+
+
 @R.add("k20_status_rejects", """
 WITH u AS (SELECT o_orderkey + (o_orderkey % 5 = 0)::INT * 1000000000 AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Odd' ELSE 'F' END AS s FROM orders)
 SELECT count(DISTINCT k) FILTER (WHERE s = 'F' AND k < 1000000000)::BIGINT AS updated, count(*) FILTER (WHERE s = 'Odd')::BIGINT AS invalid, count(*) FILTER (WHERE s = 'F' AND k >= 1000000000)::BIGINT AS missing FROM u""")

@@ -75,6 +75,21 @@ def o3(spark: SparkSession, d: str) -> DataFrame:
     return visits.flat_changes(_visit_rows(spark, d), "user_id", "day", "codes", "prior")
 
 
+@R.add("o4_display_changes", """
+WITH e AS (SELECT user_id, ts::DATE AS day, event_type AS code, min(props) AS display, CASE WHEN event_type = 'error' THEN 'lab' ELSE 'condition' END AS axis FROM events GROUP BY 1, 2, 3),
+v AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM (SELECT DISTINCT user_id, day FROM e))
+SELECT v.user_id, v.day, e.axis, 'urn:type' AS code_system, e.code, e.display, CASE WHEN v.before IS NULL OR p.code IS NOT NULL THEN 'unchanged' ELSE 'added' END AS change_type
+FROM v JOIN e ON e.user_id = v.user_id AND e.day = v.day LEFT JOIN e p ON p.user_id = v.user_id AND p.day = v.before AND p.code = e.code
+UNION ALL SELECT v.user_id, v.day, p.axis, 'urn:type', p.code, p.display, 'removed' FROM v JOIN e p ON p.user_id = v.user_id AND p.day = v.before LEFT JOIN e ON e.user_id = v.user_id AND e.day = v.day AND e.code = p.code WHERE e.code IS NULL""")
+def o4(spark: SparkSession, d: str) -> DataFrame:
+    """Changes with axis, system and display; removed codes keep the prior visit's display."""
+    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), F.col("event_type").alias("code")).agg(F.min("props").alias("display"))
+    entity = F.struct(F.when(F.col("code") == "error", "lab").otherwise("condition").alias("axis"), F.lit("urn:type").alias("code_system"), "code", "display")
+    seen = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(entity)).alias("entities"))  # a day has few codes
+    seen = seen.withColumn("prior", F.lag("entities").over(Window.partitionBy("user_id").orderBy("day")))
+    return visits.entity_changes(seen, "user_id", "day", "entities", "prior")
+
+
 @R.add("w5_running_peak", """
 SELECT event_id, round(max(value) OVER w, 2) AS peak, round(sum(value) OVER w, 2) AS running_sum, (count(*) OVER w)::BIGINT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w5(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casegrid.operators import conversations, generate, traces
+from casegrid.operators import conversations, generate, interop, traces
 from casegrid.sources import cda, sinks
 
 XML = """<ClinicalDocument><code code="55751-2" codeSystem="2.16.840.1.113883.6.1" displayName="Report"/>
@@ -141,3 +141,22 @@ def test_generator_is_stable(spark):
     assert a == b and len({r["user"] for r in a}) > 3
     v = spark.createDataFrame([(["a", "b"], ["b", "c"], ["a"], ["c"]), (["a"], None, None, ["x"])], "c array<string>, p array<string>, ea array<string>, er array<string>")
     assert [r["ok"] for r in generate.check_visits(v, "c", "p", {"added": "ea", "removed": "er"}).collect()] == [True, False]
+
+
+def test_message_values_are_escaped(spark):
+    """A value with separators, escapes and line ends adds no field, component or segment, and comes back."""
+    odd = ["a|b^c&d~e\\f", "\\F\\", "one\rtwo\nthree", "", "plain", "\\X0D\\|"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "id int, v string")
+    back = df.select("id", interop.hl7_unescaped(interop.hl7_escaped(F.col("v"))).alias("b")).orderBy("id").collect()
+    assert [r["b"] for r in back] == odd
+    empty = F.array().cast("array<struct<code:string,name:string,result_code:string,result:string,date:string>>")
+    report = interop.hl7_report({k: F.col("v") for k in "facility at message_id patient_id family given birth sex race city state zip phone ethnicity visit_date".split()}, F.array(F.struct(F.lit("1").alias("code"), F.col("v").alias("name"))), empty, {}, F.array(F.struct(F.lit("2").alias("code"), F.col("v").alias("name"))))
+    for r in df.select("v", report.alias("m")).collect():
+        lines = r["m"].split("\r")
+        assert [x[:3] for x in lines] == ["MSH", "PID", "PV1", "DG1", "RXA"] and len(lines[3].split("|")) == 7 and len(lines[3].split("|")[3].split("^")) == 3
+
+
+def test_all_codings_of_odd_bundles(spark):
+    rows = [(1, None), (2, "no json"), (3, "{}"), (4, '{"entry":[{"resource":{"resourceType":"Condition"}},{"resource":{"resourceType":"Observation","category":[],"code":{"coding":[{"code":"x"},{}]}}},{}]}')]
+    got = interop.bundle_codings(spark.createDataFrame(rows, "id int, j string"), "id", "j").orderBy("coding").collect()
+    assert [tuple(r) for r in got] == [(4, 1, 0, "Observation", "", "x", ""), (4, 1, 1, "Observation", "", "", "")]
