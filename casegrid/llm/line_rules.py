@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from casegrid.llm.common import CARRIED, WHITE, carry, opened, tidy, widened, words
 
-#: Phrases that mark a line as boilerplate.
+#: Phrases that mark a line as boilerplate, in English, French, German and Spanish.
 BOILERPLATE = (
     "javascript is disabled",
     "enable javascript",
@@ -40,12 +40,55 @@ BOILERPLATE = (
     "click here to",
     "powered by wordpress",
     "skip to content",
+    "activer javascript",
+    "javascript est désactivé",
+    "politique de cookies",
+    "accepter les cookies",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "conditions générales",
+    "mentions légales",
+    "tous droits réservés",
+    "abonnez-vous à notre newsletter",
+    "inscrivez-vous à notre newsletter",
+    "cliquez ici pour",
+    "propulsé par wordpress",
+    "aller au contenu",
+    "javascript ist deaktiviert",
+    "javascript aktivieren",
+    "cookie-richtlinie",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "allgemeine geschäftsbedingungen",
+    "alle rechte vorbehalten",
+    "newsletter abonnieren",
+    "klicken sie hier",
+    "hier klicken, um",
+    "zum inhalt springen",
+    "javascript está desactivado",
+    "active javascript",
+    "política de cookies",
+    "aceptar cookies",
+    "política de privacidad",
+    "términos de uso",
+    "condiciones de uso",
+    "aviso legal",
+    "todos los derechos reservados",
+    "suscríbete a nuestro boletín",
+    "suscríbase a nuestro boletín",
+    "haz clic aquí",
+    "haga clic aquí",
+    "saltar al contenido",
 )
-#: Words that make up navigation lines.
+#: Words that make up navigation lines, in the same languages.
 NAVIGATION = (
-    b"home", b"about", b"contact", b"login", b"logout", b"menu", b"search",
-    b"next", b"previous", b"share", b"tweet", b"sitemap", b"faq", b"help",
+    "home", "about", "contact", "login", "logout", "menu", "search", "next", "previous", "share", "tweet", "sitemap", "faq", "help",
+    "accueil", "propos", "connexion", "déconnexion", "recherche", "rechercher", "suivant", "précédent", "partager", "aide", "plan", "panier",
+    "startseite", "über", "kontakt", "anmelden", "abmelden", "menü", "suche", "weiter", "zurück", "teilen", "hilfe", "impressum", "warenkorb",
+    "inicio", "acerca", "contacto", "entrar", "salir", "menú", "buscar", "siguiente", "anterior", "compartir", "ayuda", "mapa", "carrito",
 )
+_NAVIGATION = frozenset(w.encode() for w in NAVIGATION)
 #: Fixed value: the symbol characters that the base counts look for.
 SYMBOLS = b"#*$%&|<>"
 
@@ -76,12 +119,16 @@ PUNCTUATION = re.compile(rb"[.!?;:,\x22\x27)]|\xe2\x80\xa6|\xc2\xbb|\xe3\x80\x82
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 
 
+def lowered(data: bytes) -> bytes:
+    return data.lower() if data.isascii() else data.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
+
+
 def failing_rule(line: bytes, ws: list[bytes], rules: Rules) -> str | None:
     """Name of the first rule that a line with words breaks, or None."""
     n = len(ws)
     if sum(w in SEPARATORS for w in ws) >= max(2, rules.max_separators * n):
         return "navigation"
-    if n <= 12 and sum(w.strip(b"|>:,.").lower() in NAVIGATION for w in ws) * 2 > n:
+    if n <= 12 and sum(lowered(w.strip(b"|>:,.")) in _NAVIGATION for w in ws) * 2 > n:
         return "navigation"
     if (b"!" in line or len(line.translate(None, SYMBOLS)) != len(line)) and sum(NOISY.search(w) is not None for w in ws) > rules.max_noisy * n:
         return "punctuation"
@@ -89,7 +136,7 @@ def failing_rule(line: bytes, ws: list[bytes], rules: Rules) -> str | None:
         return "punctuation"
     if n >= 8 and sum(a == b for a, b in zip(ws, ws[1:])) > rules.max_stutter * n:
         return "boilerplate"
-    if _BOILER.search(line.lower()):
+    if _BOILER.search(lowered(line)):
         return "boilerplate"
     return None
 

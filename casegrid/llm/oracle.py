@@ -8,8 +8,9 @@ from casegrid.llm.line_rules import BOILERPLATE, NAVIGATION, Rules
 WORDS = r"'[^ \t\n\x0B\f\r]+'"
 
 _R = Rules()
-_NAV = ", ".join(f"'{w.decode()}'" for w in NAVIGATION)
-_BOILER = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_NAV = ", ".join(map(_QUOTED, NAVIGATION))
+_BOILER = " OR ".join(f"contains(lower(line), {_QUOTED(p)})" for p in BOILERPLATE)
 
 OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),

@@ -673,3 +673,17 @@ def test_op10_capacities_and_levels_of_the_query_path(spark):
             assert r["offset"] == at
             at += r["length"]
     assert sorted({r["doc_id"] for r in got}) == list(range(500))
+
+
+@pytest.mark.parametrize(
+    ("rule", "line"),
+    [
+        ("navigation", "Accueil À propos Contact Aide"), ("navigation", "Startseite Über Kontakt Impressum"), ("navigation", "Inicio Acerca Contacto MENÚ"), ("navigation", "Home About Login now"),
+        ("boilerplate", "© 2020 Tous droits réservés."), ("boilerplate", "POLITIQUE DE CONFIDENTIALITÉ du site"), ("boilerplate", "Unsere Datenschutzerklärung gilt."), ("boilerplate", "Todos los derechos reservados"),
+        ("boilerplate", "Consulta la POLÍTICA de cookies"), ("boilerplate", "Klicken Sie hier, um mehr zu lesen"), ("boilerplate", "J'accepte les conditions d'utilisation"), (None, "Le plan de la ville est affiché près de la gare."),
+        (None, "Er geht weiter über die Brücke nach Hause."), (None, "La casa anterior era grande y bonita."),
+    ],
+)
+def test_op3_rules_of_four_languages(rule, line):
+    data = line.encode()
+    assert line_rules.failing_rule(data, data.split(), line_rules.Rules()) == rule
