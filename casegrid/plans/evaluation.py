@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.operators import scores
+from casegrid.operators import backend, scores
 from casegrid.plans.registry import Registry
 from casegrid.session import table
 
@@ -132,3 +132,25 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     has = lambda r: F.bool_or(F.col("role") == r)
     c = table(spark, d, "conversations").groupBy("conv_id").agg(has("system").alias("s"), has("user").alias("u"), has("assistant").alias("a"))
     return c.agg(F.count("*").alias("n"), F.count_if("s").alias("with_system"), F.count_if("u").alias("with_user"), F.round(F.avg((F.col("s") & F.col("u") & F.col("a")).cast("int")), 4).alias("complete"))
+
+
+def rule_validator(texts: list[str]) -> list[str]:
+    """Stands for an outside validator: a log for each ``key:priority``; it can't take a batch that holds a text with ``!``."""
+    if any("!" in t for t in texts):
+        raise ValueError("unreadable")
+    parts = [t.split(":") for t in texts]
+    return [f"Validate order-{key}.json\n  {len(priority) % 3} errors, {int(key) % 2} warnings" for key, priority in parts]
+
+
+@R.add("a30_validator", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 211 = 0 THEN 'ValueError: unreadable' END AS error,
+ CASE WHEN o_orderkey % 211 <> 0 THEN length(o_orderpriority) % 3 END::BIGINT AS errors, CASE WHEN o_orderkey % 211 <> 0 THEN o_orderkey % 2 END::BIGINT AS warnings,
+ o_orderkey % 211 <> 0 AND length(o_orderpriority) % 3 = 0 AS valid FROM orders""")
+def a30(spark: SparkSession, d: str) -> DataFrame:
+    """Every order sent to a validator in batches; what it can't take is a row with an error, and costs no other row its answer."""
+    text = F.concat_ws(":", F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 211 == 0, "!").otherwise("")))
+    sent = backend.called(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text", rule_validator, backend.Policy(retries=0))
+    # one answer holds one file's block
+    counts = F.regexp_extract_all("answer", F.lit(r"(\d+) (?:errors|warnings)"), F.lit(1))
+    row = sent.select("o_orderkey", "error", F.get(counts, F.lit(0)).cast("long").alias("errors"), F.get(counts, F.lit(1)).cast("long").alias("warnings"))
+    return row.withColumn("valid", F.coalesce(F.col("errors") == 0, F.lit(False)))
