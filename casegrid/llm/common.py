@@ -134,7 +134,9 @@ def stored(df: DataFrame, spark: SparkSession, name: str, block_size: int | None
     path = shared_dir(spark, name)
     writer = df.write if block_size is None else df.write.option("parquet.block.size", str(block_size))
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path  # for ``forget``: an empty table has no files to tell by
+    return table
 
 
 def free_finished(spark: SparkSession) -> None:
@@ -146,8 +148,9 @@ def free_finished(spark: SparkSession) -> None:
 def forget(*tables: DataFrame) -> None:
     """Delete the folders of ``stored`` tables that nothing reads any more."""
     for table in tables:
-        for file in table.inputFiles()[:1]:
-            remove_dir(table.sparkSession, file.rsplit("/", 1)[0])
+        at = vars(table).get("stored_at")
+        for path in [at] if at else [file.rsplit("/", 1)[0] for file in table.inputFiles()[:1]]:
+            remove_dir(table.sparkSession, path)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

@@ -289,7 +289,8 @@ def drawn_sample(docs: DataFrame, s: Settings) -> Sample:
 
 
 KEEP = 40  # bits of a signature inside its bucket
-HEAD = 16  # bytes of a record before its signatures
+HEAD = 12  # bytes of a record before its signatures
+MANY = 2**15 - 1  # signatures of one record; a set with more in a bucket has several records there
 
 
 def described(docs: DataFrame, s: Settings, buckets: int, sample: Sample) -> DataFrame:
@@ -298,9 +299,10 @@ def described(docs: DataFrame, s: Settings, buckets: int, sample: Sample) -> Dat
     Of each document (bucket null): doc_id, text_key, n_shingles, key (null for
     the empty set), sketch; sketches stand with the first of equal sets in a task.
     And bucket, data: the signatures of a task's different sets by bucket. A
-    record in ``data`` is a set: key (8 bytes), then 32-bit words for the
+    record in ``data`` is a set: key (8 bytes), then 16-bit words for the
     signatures here with the own-band flag, and for how many a linked set shares
-    at least over all buckets; then 40 bits of each signature.
+    at least over all buckets (65,535 where it is more: a lower bound loses no pair);
+    then 40 bits of each signature.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sample)
     id_type = docs.schema["doc_id"].dataType
@@ -320,12 +322,15 @@ def described(docs: DataFrame, s: Settings, buckets: int, sample: Sample) -> Dat
             bucket = ((sig >> np.uint64(KEEP)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 2**16 else bucket, kind="stable")  # owners stay in order
             sig, owner, bucket = sig[order] & np.uint64(2**KEEP - 1), owner[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
+            begins = np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])
+            at = np.arange(len(sig))
+            begins |= (at - np.maximum.accumulate(np.where(begins, at, 0))) % MANY == 0
+            first = np.flatnonzero(begins)
             size = np.diff(np.append(first, len(sig)))
             head = np.zeros((len(first), HEAD), np.uint8)
             head[:, :8] = np.array(keys, np.int64)[owner[first]].astype("<i8").view(np.uint8).reshape(-1, 8)
-            head[:, 8:12] = ((size << 1) | (np.array(counts)[owner[first]] & 1)).astype("<u4").view(np.uint8).reshape(-1, 4)
-            head[:, 12:] = np.array(least)[owner[first]].astype("<u4").view(np.uint8).reshape(-1, 4)
+            head[:, 8:10] = ((size << 1) | (np.array(counts)[owner[first]] & 1)).astype("<u2").view(np.uint8).reshape(-1, 2)
+            head[:, 10:] = np.minimum(np.array(least)[owner[first]], 2**16 - 1).astype("<u2").view(np.uint8).reshape(-1, 2)
             body = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEEP // 8]
             cut = np.flatnonzero(np.concatenate([[True], bucket[first][1:] != bucket[first][:-1]]))
             ends = np.append(cut[1:], len(first))
@@ -381,8 +386,8 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         n = int(np.frombuffer(blob, "<u4", 1)[0])
         head = np.frombuffer(blob, np.uint8, HEAD * n, 4).reshape(n, HEAD)
         key = np.ascontiguousarray(head[:, :8]).view("<i8").ravel()
-        count = np.ascontiguousarray(head[:, 8:12]).view("<u4").ravel()
-        least = np.ascontiguousarray(head[:, 12:]).view("<u4").ravel()
+        count = np.ascontiguousarray(head[:, 8:10]).view("<u2").ravel()
+        least = np.ascontiguousarray(head[:, 10:]).view("<u2").ravel().astype(np.uint32)
         size = count >> 1
         body = np.frombuffer(blob, np.uint8, offset=4 + HEAD * n).reshape(-1, step)
         wide = np.zeros((len(body), 8), np.uint8)
@@ -684,26 +689,32 @@ def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: Data
 
     rest = stored(verified(apart(near, labels), texts, s), spark, "jaccard-links")
     free_finished(spark)
-    if not rest.isEmpty():
+    if rest.isEmpty():
+        forget(rest)
+    else:
         joined(rest)
     # groups that still hold several components: forests of untested pairs, eight times as many each round, until no pair is left
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     failed = near.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "a", "b").limit(0)
     forests = 8
+    rounds: list[DataFrame] = []  # tables of candidates, which ``failed`` reads until the end
     while True:
         of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         split = of_group.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("group")
         open_rows = in_cells(of_group.join(split, "group", "left_semi").join(classes.select("key", "n_shingles", "sketch"), "key"), s)
         crossed = stored(cross_pairs(open_rows, failed, s, parts, forests), spark, "jaccard-cross")
+        rounds.append(crossed)
         free_finished(spark)
         if crossed.isEmpty():
             break
         found = stored(verified(crossed.select("a", "b").distinct(), texts, s), spark, "jaccard-links")
-        if not found.isEmpty():
+        if found.isEmpty():
+            rounds.append(found)
+        else:
             joined(found)
         failed = failed.union(crossed.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b"))
         forests *= 8
-    forget(texts, *links)
+    forget(texts, *links, *rounds)
     return labels
 
 

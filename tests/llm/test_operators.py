@@ -687,3 +687,17 @@ def test_op10_capacities_and_levels_of_the_query_path(spark):
 def test_op3_rules_of_four_languages(rule, line):
     data = line.encode()
     assert line_rules.failing_rule(data, data.split(), line_rules.Rules()) == rule
+
+
+def test_op9_records_of_many_signatures(spark, monkeypatch):
+    """A set with more signatures in a bucket than a record holds has several records; results are the same, and no table is left behind."""
+    import os
+
+    rows = [(k, f"w{k} " + " ".join(f"t{i}" for i in range(120)) + f" e{k}") for k in range(12)] + [(50, "other words " * 3), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df).collect())
+    want = found()
+    monkeypatch.setattr(jaccard_join, "MANY", 1)
+    assert found() == want and {c for d, _, c in want if d < 12} == {0}
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:").rsplit("/", 1)[0]
+    assert not [f for f in os.listdir(root) if f.startswith(("casegrid-jaccard-cross", "casegrid-jaccard-links", "casegrid-jaccard-texts"))]
