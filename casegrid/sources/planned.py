@@ -129,12 +129,13 @@ def lines_of(system: fs.FileSystem, path: str, start: int, stop: int) -> Iterato
     with system.open_input_file(path) as raw:
         at = max(0, start - 1)
         raw.seek(at)
-        rest = raw.read(1 << 20)
+        block = min(1 << 20, max(1 << 12, stop - at))
+        rest = raw.read(block)
         if start:  # a line that began before belongs to the span before
             while b"\n" not in rest:
                 at += len(rest)
-                rest = raw.read(1 << 20)
-                if not rest:
+                rest = raw.read(block)
+                if not rest or at >= stop:  # the line goes on beyond this span: none begins here
                     return
             skipped = rest.index(b"\n") + 1
             rest, at = rest[skipped:], at + skipped

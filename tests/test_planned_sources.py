@@ -118,16 +118,22 @@ def test_strict_lines_by_ranges(formats, tmp_path):
     (tmp_path / "b.jsonl").write_text("\r\n".join(json.dumps(r, ensure_ascii=False) for r in rows[150:]) + "\n")
     (tmp_path / "empty.jsonl").write_text("")
     schema = "case_id string, description string, user string"
-    for size in (37, 1000, 1 << 20):
-        got = formats.read.format("case_lines").schema(schema).option("split_bytes", size if size > 100 else 997).load(str(tmp_path))
+    for size in (40_009, 1 << 20):
+        got = formats.read.format("case_lines").schema(schema).option("split_bytes", size).load(str(tmp_path))
         assert got.rdd.getNumPartitions() > 1
         assert sorted((r["case_id"], len(r["description"])) for r in got.collect()) == sorted((r["case_id"], len(r["description"])) for r in rows)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/x.jsonl").write_text("\n".join(json.dumps(r) for r in rows[:12]))
+    small = formats.read.format("case_lines").schema(schema).option("split_bytes", 61).load(str(tmp_path / "s"))
+    assert sorted(r["case_id"] for r in small.collect()) == sorted(r["case_id"] for r in rows[:12])
+    for f in (tmp_path / "s").iterdir():
+        f.unlink()
     some = got.where("user = 'u1' and length(description) > 10")
     assert "length" in filters(some) and "u1" not in filters(some)
     assert some.count() == sum(r["user"] == "u1" and len(r["description"]) > 10 for r in rows)
-    (tmp_path / "c.jsonl").write_text('{"case_id": "1"}\n\n{"case_id": \n')
+    (tmp_path / "s/c.jsonl").write_text('{"case_id": "1"}\n\n{"case_id": \n')
     with pytest.raises(Exception, match=r"c\.jsonl:3: "):
-        formats.read.format("case_lines").schema(schema).option("split_bytes", 5).load(str(tmp_path)).collect()
+        formats.read.format("case_lines").schema(schema).option("split_bytes", 5).load(str(tmp_path / "s")).collect()
 
 
 def test_whole_files(formats, tmp_path):
