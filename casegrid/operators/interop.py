@@ -51,10 +51,10 @@ def _entry(kind: str, url: Column, **fields: Column) -> Column:
 
 
 class Entries:
-    """Entries of a case: the patient's id, and maps from "SYSTEM|code" to display and from code to source, either of which may be null."""
+    """Entries of a case: the patient's id, maps from "SYSTEM|code" to display and from code to source, either of which may be null, and the codes that are vital signs."""
 
-    def __init__(self, patient: Column, displays: Column | None = None, sources: Column | None = None):
-        self.patient, self.displays, self.sources = patient, displays, sources
+    def __init__(self, patient: Column, displays: Column | None = None, sources: Column | None = None, vitals: list[str] = VITALS):
+        self.patient, self.displays, self.sources, self.vitals = patient, displays, sources, vitals
 
     def coding(self, system: str, code: Column) -> Column:
         shown = F.lit(None).cast("string") if self.displays is None else F.try_element_at(self.displays, _text(system, "|", code))
@@ -77,7 +77,7 @@ class Entries:
 
     def observation(self, code: Column) -> Column:
         """A code alone, or, where the standard asks for it, as the component of a panel; vital signs have a category, a date and no value."""
-        pressure, panel_part, vital = code.isin(PRESSURE), code.isin(PANEL_PARTS), code.isin(VITALS)
+        pressure, panel_part, vital = code.isin(PRESSURE), code.isin(PANEL_PARTS), code.isin(self.vitals)
         part = lambda c: F.struct(_concept(self.coding("LOINC", c)).alias("code"), _concept(_fixed(ABSENT)).alias("dataAbsentReason"))
         second = F.try_element_at(F.create_map(*[F.lit(x) for pair in SECOND_CODE.items() for x in pair]), code)
         own = F.when(pressure, F.lit(PRESSURE_PANEL)).when(panel_part, F.lit(VITAL_PANEL)).otherwise(code)
@@ -102,9 +102,9 @@ class Entries:
         return F.concat(F.array(self.person()), F.transform(there(conditions), self.condition), F.transform(there(loincs), self.observation), F.transform(there(rxnorms), self.medication))
 
 
-def bundle(patient: Column, conditions: Column, loincs: Column, rxnorms: Column, displays: Column | None = None, sources: Column | None = None) -> Column:
-    """A collection Bundle as JSON text."""
-    entries = Entries(patient, displays, sources).all(conditions, loincs, rxnorms)
+def bundle(patient: Column, conditions: Column, loincs: Column, rxnorms: Column, displays: Column | None = None, sources: Column | None = None, vitals: list[str] = VITALS) -> Column:
+    """A collection Bundle as JSON text; codes outside ``vitals`` are laboratory tests, unless they belong to a panel."""
+    entries = Entries(patient, displays, sources, vitals).all(conditions, loincs, rxnorms)
     return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("collection").alias("type"), entries.alias("entry")))
 
 
