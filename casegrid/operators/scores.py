@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,34 +88,46 @@ def bucket_score(expected: dict[str, Column], got: dict[str, Column]) -> dict[st
     return {**joined, "perfect": (F.size(joined["matched"]) == length) & (F.size(joined["spurious"]) == 0)}
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def record_codes(record: Column) -> Column:
     """V4: the different ``system|code`` of a record (a variant): codes of its items, and ``vital|name`` for each vital sign that has a value. Parts of another shape hold none."""
-    string = lambda v, path: F.try_variant_get(v, path, "string")
-    coded = [
-        F.transform(
-            F.coalesce(F.try_variant_get(record, f"$.{part}", "array<variant>"), F.array().cast("array<variant>")),
-            lambda item: F.array(*[F.concat(F.lit(f"{s}|"), F.when(string(item, f"$.{s}") != "", string(item, f"$.{s}"))) for s in SYSTEMS]),
-        )
-        for part in CODED
-    ]
-    vitals = F.try_variant_get(record, "$.vitals", "map<string,variant>")
-    present = F.map_keys(F.map_filter(vitals, lambda _, v: v.isNotNull() & ~F.is_variant_null(v) & F.coalesce(string(v, "$") != "", F.lit(True))))
-    named = F.transform(F.coalesce(present, F.array().cast("array<string>")), lambda k: F.concat(F.lit("vital|"), k))
-    return F.array_distinct(F.filter(F.concat(F.flatten(F.concat(*coded)), named), lambda x: x.isNotNull()))
+    texts = lambda v, path: F.try_variant_get(v, path, "map<string,string>")
+    none = F.array().cast("array<string>")
+    listed = [F.coalesce(F.try_variant_get(record, f"$.{part}", "array<variant>"), F.array().cast("array<variant>")) for part in CODED]
+    held = lambda m, kept: F.map_entries(F.map_filter(m, kept))
+    coded = F.transform(F.concat(*listed), lambda item: F.transform(held(texts(item, "$"), lambda k, v: k.isin(*SYSTEMS) & (v != "")), lambda e: F.concat(e["key"], F.lit("|"), e["value"])))
+    vitals = F.transform(held(texts(record, "$.vitals"), lambda _, v: v.isNotNull() & (v != "")), lambda e: F.concat(F.lit("vital|"), e["key"]))
+    return F.array_distinct(F.concat(F.flatten(F.filter(coded, lambda c: c.isNotNull())), F.coalesce(vitals, none)))
 
 
-def record_score(gold_text: Column, pred_text: Column) -> dict[str, Column]:
-    """V4: tp, fp, fn over the codes of two records given as JSON text, json_valid, schema_complete (all sections there). Text that is no JSON has no codes."""
-    gold, pred = F.try_parse_json(gold_text), F.try_parse_json(pred_text)
-    want, have = record_codes(gold), record_codes(pred)
-    sections = F.map_keys(F.try_variant_get(pred, "$", "map<string,variant>"))
+def record_scored(gold_text: Column, pred_text: Column) -> Column:
+    """V4: struct of tp, fp, fn over the codes of two records given as JSON text, json_valid, schema_complete (all sections there). Text that is no JSON has no codes. Each text is made and parsed once a row."""
     none = F.array().cast("array<string>")
-    want, have = F.coalesce(want, none), F.coalesce(have, none)
-    return {
-        "tp": F.size(F.array_intersect(want, have)), "fp": F.size(F.array_except(have, want)), "fn": F.size(F.array_except(want, have)),
-        "json_valid": pred.isNotNull(),
-        "schema_complete": F.coalesce(F.size(F.array_intersect(sections, F.array(*map(F.lit, SECTIONS)))) == len(SECTIONS), F.lit(False)),
-    }
+    codes = lambda record: F.coalesce(record_codes(record), none)
+
+    def parsed(pred: Column) -> Column:
+        sections = F.map_keys(F.try_variant_get(pred, "$", "map<string,variant>"))
+        complete = F.coalesce(F.size(F.array_intersect(sections, F.array(*map(F.lit, SECTIONS)))) == len(SECTIONS), F.lit(False))
+        return F.struct(codes(pred).alias("have"), pred.isNotNull().alias("json_valid"), complete.alias("schema_complete"))
+
+    def counted(both: Column) -> Column:
+        want, have = both["want"], both["pred"]["have"]
+        return F.struct(
+            F.size(F.array_intersect(want, have)).alias("tp"), F.size(F.array_except(have, want)).alias("fp"), F.size(F.array_except(want, have)).alias("fn"),
+            both["pred"]["json_valid"].alias("json_valid"), both["pred"]["schema_complete"].alias("schema_complete"),
+        )
+
+    return _once(F.struct(_once(F.try_parse_json(gold_text), codes).alias("want"), _once(F.try_parse_json(pred_text), parsed).alias("pred")), counted)
+
+
+def record_score(gold_text: Column, pred_text: Column) -> dict[str, Column]:
+    """The fields of ``record_scored``; over many rows, select the struct once and open it behind."""
+    scored = record_scored(gold_text, pred_text)
+    return {k: scored[k] for k in ("tp", "fp", "fn", "json_valid", "schema_complete")}
 
 
 def verbatim_score(expected: dict[str, Column], text: Column) -> dict[str, Column]:

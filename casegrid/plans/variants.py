@@ -105,8 +105,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     gold = _record("want", {"hr": F.when(F.col("id") % 2 == 0, F.lit(80)), "temp": F.lit("37.5"), "bp": F.lit("")})
     pred = _record("got", {"hr": F.when(F.col("id") % 3 == 0, F.lit(80)), "temp": F.when(F.col("id") % 3 != 0, F.lit("37.5")), "bp": F.when(F.col("id") % 3 != 0, F.lit("120/80"))})
     kind = F.col("id") % 13
-    text = F.when(kind == 1, F.concat(F.substring(pred, 1, 40), F.lit(" ..."))).when(kind == 2, F.regexp_replace(pred, ',"vitals":.*$', "}")).when(kind == 0, F.concat(F.lit("["), pred, F.lit("]"))).otherwise(pred)
-    return _cases(spark, d).select("id", *[c.alias(k) for k, c in scores.record_score(gold, text).items()])
+    p = F.col("pred")
+    text = F.when(kind == 1, F.concat(F.substring(p, 1, 40), F.lit(" ..."))).when(kind == 2, F.regexp_replace(p, ',"vitals":.*$', "}")).when(kind == 0, F.concat(F.lit("["), p, F.lit("]"))).otherwise(p)
+    made = _cases(spark, d).select("id", gold.alias("gold"), pred.alias("pred")).select("id", "gold", text.alias("pred"))
+    return made.select("id", scores.record_scored(F.col("gold"), F.col("pred")).alias("s")).select("id", "s.*")
 
 
 @R.add("v4_record_score", _RECORDS + " SELECT * FROM v4")
