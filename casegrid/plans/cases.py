@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casegrid.functions import extract
 from casegrid.operators import interop, merge
 from casegrid.plans.registry import Registry
-from casegrid.session import table
+from casegrid.session import spread, table
 from casegrid.sources import cda, readers
 
 R = Registry()
@@ -135,12 +135,13 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
         tag("value", F.concat(F.lit("C"), n), cda.SNOMED, F.lit("Cond")), tag("value", F.lit("1"), cda.SNOMED, F.lit("Detected")), tag("code", F.concat(F.lit("L"), n, F.lit("-1")), cda.LOINC, F.lit("Test")),
         F.lit('<value xsi:type="CD" displayName="Found"/>'), vital, meds,
     )
-    got = cda.records(table(spark, d, "customer").select("c_custkey", xml.alias("xml")), "c_custkey", "xml")
-    prompts = cda.record_prompt(got, "c_custkey").select("c_custkey", F.substring_index("prompt", "\n", 2).alias("first_lines"))
+    reports = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey").select("c_custkey", xml.alias("xml"))
+    got = cda.records(reports, "c_custkey", "xml")
+    first_lines = F.substring_index(cda.prompt_column(), "\n", 2)
     codes = lambda c: F.array_join(F.transform(c, lambda r: r["code"]), ",")
     labs = F.array_join(F.transform(F.filter("labs", lambda r: r["code"] != "8310-5"), lambda r: F.concat(r["code"], F.lit("="), r["result"])), ",")
     vitals = F.array_join(F.transform("vitals", lambda v: F.concat(v["code"], F.lit("="), v["value"], v["unit"])), ",")
-    return got.select("c_custkey", "given", "family", "dob", "city", codes("conditions").alias("conditions"), labs.alias("labs"), vitals.alias("vitals"), codes("medications").alias("meds")).join(prompts, "c_custkey")
+    return got.select("c_custkey", "given", "family", "dob", "city", codes("conditions").alias("conditions"), labs.alias("labs"), vitals.alias("vitals"), codes("medications").alias("meds"), first_lines.alias("first_lines"))
 
 
 @R.add("s7_t42_hl7_prompt", """
@@ -155,7 +156,7 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
         "MSH|^~\\&|APP|F", (n % 7).cast("string"), "|||20240304101112||ORU^R01|1|P|2.5.1\r\rPID|1||9||Lee", n.cast("string"), "^Ann||19900102|F\n",
         "OBX|1|CWE|600-7^Culture^LN||", F.when(n % 2 == 0, "10828004^Positive^SCT").otherwise("7"), "||||||F\rDG1|1||", (n + 1000).cast("string"), "^Flu^SCT||20240101|A\r", drugs,
     )
-    return readers.hl7_prompt(table(spark, d, "orders").select("o_orderkey", message.alias("m")), "o_orderkey", "m")
+    return readers.hl7_prompt(spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", message.alias("m")), "o_orderkey", "m")
 
 
 @R.add("t43_entities", """

@@ -63,8 +63,8 @@ def records(reports: DataFrame, id_column: str, xml: str) -> DataFrame:
     return reports.select(id_column, *single, _first(x, *FACILITY).alias("facility"), F.substring(_first(x, *REASON), 1, 150).alias("reason"), conditions.alias("conditions"), labs.alias("labs"), vitals.alias("vitals"), _coded(x, r"\w+", RXNORM).alias("medications"))
 
 
-def record_prompt(rows: DataFrame, id_column: str) -> DataFrame:
-    """Id, prompt: the record as labelled lines in a fixed order."""
+def prompt_column() -> Column:
+    """The record's columns as labelled lines in a fixed order."""
     coded = lambda c, system: F.array_join(F.transform(c, lambda r: F.concat(r["name"], F.lit(f" ({system} "), r["code"], F.lit(")"))), "; ")
     lines = [
         ("Patient", F.trim(F.concat_ws(" ", "given", "family"))), ("Gender", F.col("gender")), ("DOB", F.col("dob")), ("Race", F.col("race")),
@@ -73,7 +73,12 @@ def record_prompt(rows: DataFrame, id_column: str) -> DataFrame:
         ("Dx", coded(F.col("conditions"), "SNOMED")), ("Lab", coded(F.col("labs"), "LOINC")),
         ("Vitals", F.array_join(F.transform("vitals", lambda v: F.concat_ws(" ", v["name"], v["value"], v["unit"])), "; ")), ("Meds", coded(F.col("medications"), "RxNorm")),
     ]
-    return rows.select(id_column, prompt(lines).alias("prompt"))
+    return prompt(lines)
+
+
+def record_prompt(rows: DataFrame, id_column: str) -> DataFrame:
+    """Id, prompt."""
+    return rows.select(id_column, prompt_column().alias("prompt"))
 
 
 #: Synonyms of fields in model output, the best first.
