@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,7 +99,7 @@ def hl7_segments(messages: DataFrame, id_column: str, text: str) -> DataFrame:
 def component(field: Column, k: int) -> Column:
     """Component k (from 1) of an HL7 field; null where it is absent or empty."""
     value = F.get(F.split(field, "\\^"), F.lit(k - 1))
-    return F.when(value != "", value)
+    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
 
 
 def hl7_date(value: Column) -> Column:
@@ -105,22 +107,27 @@ def hl7_date(value: Column) -> Column:
 
 
 def hl7_prompt(messages: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Id, prompt: patient, visit, diagnoses, observations, then RXA or else RXE drugs, in segment order. MSH fields count from the separator, as the standard has it."""
-    s = hl7_segments(messages, id_column, text)
-    f = lambda k: F.get("fields", F.lit(k))
-    line = (
-        F.when(F.col("segment") == "PID", F.concat_ws("\n", F.concat(F.lit("Patient: "), F.concat_ws(" ", component(f(5), 2), component(f(5), 1))), F.concat(F.lit("DOB: "), hl7_date(f(7))), F.concat(F.lit("Gender: "), F.when(f(8) != "", f(8)))))
-        .when(F.col("segment") == "MSH", F.concat_ws("\n", F.concat(F.lit("Facility: "), component(f(3), 1)), F.concat(F.lit("Date: "), hl7_date(f(6)))))
-        .when(F.col("segment") == "DG1", F.concat(F.lit("Dx: "), F.coalesce(component(f(3), 2), F.lit("")), F.lit(" ("), F.coalesce(component(f(3), 1), F.lit("")), F.lit(")")))
-        .when(F.col("segment") == "OBX", F.concat(F.lit("Lab: "), F.coalesce(component(f(3), 2), F.lit("")), F.lit(" (LOINC "), F.coalesce(component(f(3), 1), F.lit("")), F.lit("): "), F.coalesce(component(f(5), 2), f(5), F.lit(""))))
-        .when(F.col("segment").isin("RXA", "RXE"), F.concat(F.lit("Meds: "), F.coalesce(component(F.when(F.col("segment") == "RXA", f(5)).otherwise(f(2)), 2), F.lit(""))))
-    )
-    order = F.when(F.col("segment") == "PID", 0).when(F.col("segment") == "MSH", 1).when(F.col("segment") == "DG1", 2).when(F.col("segment") == "OBX", 3).otherwise(4)
-    rows = s.select(id_column, "segment", "seq", order.alias("o"), line.alias("line")).where("line is not null and line <> ''")
-    grouped = rows.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("o", "seq", "segment", "line"))).alias("r"))
-    has_rxa = F.exists("r", lambda x: x["segment"] == "RXA")
-    kept = F.filter("r", lambda x: ~(has_rxa & (x["segment"] == "RXE")))
-    return grouped.select(id_column, F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("prompt"))
+    """Id, prompt: patient, visit, diagnoses, observations, then RXA or else RXE drugs, in segment order. MSH fields count from the separator, as the standard has it.
+
+    One row a message with any line, made within the row: no shuffle.
+    """
+    # patterns of one plain character are split without a regular expression; lines are made once, so no filter behind
+    segments = F.transform(F.filter(F.split(F.translate(F.col(text), "\r", "\n"), "\n"), lambda x: F.length(x) > 0), lambda x: F.split(x, "\\|"))
+    of = lambda *names: lambda s: F.get(s, F.lit(0)).isin(*names)
+    field = lambda s, k: F.get(s, F.lit(k))
+    part = lambda s, k, c: F.coalesce(component(field(s, k), c), F.lit(""))
+
+    def said(kept: Callable[[Column], Column], line: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(F.filter("s", kept), line), lambda x: x.isNotNull() & (x != ""))
+
+    patient = lambda s: F.concat_ws("\n", F.concat(F.lit("Patient: "), F.concat_ws(" ", component(field(s, 5), 2), component(field(s, 5), 1))), F.concat(F.lit("DOB: "), hl7_date(field(s, 7))), F.concat(F.lit("Gender: "), F.when(field(s, 8) != "", field(s, 8))))
+    visit = lambda s: F.concat_ws("\n", F.concat(F.lit("Facility: "), component(field(s, 3), 1)), F.concat(F.lit("Date: "), hl7_date(field(s, 6))))
+    diagnosis = lambda s: F.concat(F.lit("Dx: "), part(s, 3, 2), F.lit(" ("), part(s, 3, 1), F.lit(")"))
+    observation = lambda s: F.concat(F.lit("Lab: "), part(s, 3, 2), F.lit(" (LOINC "), part(s, 3, 1), F.lit("): "), F.coalesce(component(field(s, 5), 2), field(s, 5), F.lit("")))
+    drug = lambda k: lambda s: F.concat(F.lit("Meds: "), part(s, k, 2))
+    drugs = F.when(F.exists("s", of("RXA")), said(of("RXA"), drug(5))).otherwise(said(of("RXE"), drug(2)))
+    lines = F.concat(said(of("PID"), patient), said(of("MSH"), visit), said(of("DG1"), diagnosis), said(of("OBX"), observation), drugs)
+    return messages.select(id_column, segments.alias("s")).select(id_column, F.explode(F.filter(F.array(F.array_join(lines, "\n")), lambda p: p != "")).alias("prompt"))
 
 
 def safe_batch(items: DataFrame, id_column: str, text: str, schema: str) -> DataFrame:
