@@ -87,7 +87,7 @@ def _expected() -> str:
 def _chosen(spark: SparkSession, d: str) -> DataFrame:
     """event_id, text: each event has one of the texts."""
     texts = F.array(*[F.lit(text) for text, _ in CASES])
-    return table(spark, d, "events").select("event_id", F.get(texts, (F.col("event_id") % len(CASES)).cast("int")).alias("text"))
+    return spread(table(spark, d, "events").select("event_id"), "event_id").select("event_id", F.get(texts, (F.col("event_id") % len(CASES)).cast("int")).alias("text"))
 
 
 @R.add("t15_cascade_cases", f"""
@@ -113,7 +113,7 @@ def t37(spark: SparkSession, d: str) -> DataFrame:
     """A text in chunks, codes of each chunk, merged in order of chunks."""
     part = lambda k: CASES[k % len(CASES)][0].ljust(150) + "</section>"
     texts = F.array(*[F.lit(part(k) + part(7 * k + 3)) for k in range(len(CASES))])
-    rows = table(spark, d, "events").select("event_id", F.get(texts, (F.col("event_id") % len(CASES)).cast("int")).alias("text"))
+    rows = spread(table(spark, d, "events").select("event_id"), "event_id").select("event_id", F.get(texts, (F.col("event_id") % len(CASES)).cast("int")).alias("text"))
     got = extract.extract_chunked(rows, TERMS, ENTRIES, "event_id", "text", most=200)
     return got.select("event_id", F.array_join(F.transform("merged", lambda m: m["code"]), ",").alias("codes"))
 
