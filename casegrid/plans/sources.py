@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.plans.registry import Registry
-from casegrid.session import table, work_folder
+from casegrid.session import spread, table, work_folder
 from casegrid.sources import planned
 from casegrid.sources.transcripts import record_lines
 
@@ -26,8 +26,9 @@ def recorded(turns: DataFrame) -> DataFrame:
     end = F.when(F.col("conv_id") % 2 == 0, "data: [DONE]\n\n").otherwise("data: {\"choi")
     stream = F.concat(F.lit(_ROLE), F.lit(": keep-alive\n\ndata: {oops\r\n\r\n"), F.array_join(F.transform(pieces, delta), ""), usage, end)
     data = turns.select(F.concat_ws("-", "conv_id", "turn").alias("transcript"), F.encode(stream, "utf-8").alias("data"))
-    chunks = data.select("transcript", "data", F.explode(F.expr(f"sequence(0, int((length(data) - 1) / {CHUNK}))")).alias("k"))
-    return chunks.select("transcript", "k", F.expr(f"substring(data, k * {CHUNK} + 1, {CHUNK})").alias("chunk"))
+    # only the chunks leave the row: a copy of the whole stream beside each would grow with the square of its length
+    cut = F.expr(f"transform(sequence(0, int((length(data) - 1) / {CHUNK})), k -> substring(data, k * {CHUNK} + 1, {CHUNK}))")
+    return data.select("transcript", F.posexplode(cut).alias("k", "chunk"))
 
 
 @R.add("s13_transcripts", f"""
@@ -38,9 +39,9 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
     """Recorded event streams, cut anywhere and partly broken off, read back by the planned source."""
     planned.register(spark)
     folder = work_folder(spark, "transcripts")
-    chunks = recorded(table(spark, d, "conversations").where("role = 'assistant'"))
+    chunks = recorded(spread(table(spark, d, "conversations").where("role = 'assistant'"), "conv_id"))
     record_lines(chunks, F.col("transcript"), F.col("k"), GAP_MS * (F.col("k") + 1), F.col("chunk")).write.text(folder)
-    return spark.read.format("sse_transcripts").load(folder).select("transcript", "content", "ttft_ms", "prompt_tokens", "completion_tokens", "events", "malformed", "complete")
+    return spark.read.format("sse_transcripts").option("split_bytes", 8 << 20).load(folder).select("transcript", "content", "ttft_ms", "prompt_tokens", "completion_tokens", "events", "malformed", "complete")
 
 
 @R.add("s2_strict_lines", "SELECT doc_id, lang, n_chars::BIGINT AS n_chars, source FROM documents WHERE source = 'src3' AND lang IN ('en', 'fr')")
