@@ -35,8 +35,10 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _concept(*codings: Column) -> Column:
-    return F.struct(F.array_compact(F.array(*codings)).alias("coding"))
+def _concept(first: Column, *more: Column) -> Column:
+    """A concept of a coding and others, each of which may be null; without others it is a constant or plain structure, nothing to filter."""
+    codings = F.array(first)
+    return F.struct((F.concat(codings, F.array_compact(F.array(*more))) if more else codings).alias("coding"))
 
 
 def _fixed(values: tuple[str, ...]) -> Column:
@@ -46,7 +48,7 @@ def _fixed(values: tuple[str, ...]) -> Column:
 def _entry(kind: str, url: Column, **fields: Column) -> Column:
     """An entry with the fields of the common shape, null where not given."""
     fields["resourceType"] = F.lit(kind)
-    resource = F.struct(*[fields.get(name, F.lit(None)).cast(shape).alias(name) for name, shape in RESOURCE.items()])
+    resource = F.struct(*[(fields[name] if name in fields else F.lit(None).cast(shape)).alias(name) for name, shape in RESOURCE.items()])
     return F.struct(url.alias("fullUrl"), resource.alias("resource"))
 
 
@@ -118,21 +120,29 @@ def document_bundle(case_id: Column, entries: Column) -> Column:
     return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("document").alias("type"), F.concat(F.array(*head), entries).alias("entry")))
 
 
-def bundle_entities(rows: DataFrame, id_column: str, json: str) -> DataFrame:
-    """Id, pos, axis, code_system, code of the resources on the four axes; blood pressure goes back to its own component, an observation without a category is a lab."""
+def entities(json: Column) -> Column:
+    """Array of struct(pos, axis, c: struct(system, code, display)) of a bundle's resources on the four axes, in order; blood pressure goes back to its own component, an observation without a category is a lab."""
     coding = "struct<system:string,code:string,display:string>"
     concept = f"struct<coding:array<{coding}>>"
     schema = f"struct<entry:array<struct<resource:struct<resourceType:string,id:string,code:{concept},medicationCodeableConcept:{concept},category:array<{concept}>,component:array<struct<code:{concept}>>>>>>"
-    opened = rows.select(id_column, F.posexplode(F.from_json(F.col(json), schema)["entry"]).alias("pos", "e")).select(id_column, "pos", F.col("e.resource").alias("r"))
     first = lambda c: F.get(c["coding"], F.lit(0))
-    wanted = F.regexp_extract("r.id", "^observation-(.*)$", 1)
-    own = F.get(F.filter(F.transform(F.col("r.component"), lambda c: first(c["code"])), lambda c: c["code"] == wanted), F.lit(0))
-    categories = F.flatten(F.transform(F.coalesce("r.category", F.array()), lambda c: F.transform(c["coding"], lambda x: x["code"])))
-    kind = F.col("r.resourceType")
-    axis = F.when(kind == "Condition", "condition").when(kind == "Observation", F.when(F.array_contains(categories, "vital-signs"), "vital").otherwise("lab")).when(kind.isin("MedicationStatement", "MedicationRequest"), "medication")
-    picked = F.when(kind == "Observation", F.coalesce(own, first(F.col("r.code")))).when(kind == "Condition", first(F.col("r.code"))).otherwise(first(F.col("r.medicationCodeableConcept")))
-    out = opened.select(id_column, "pos", axis.alias("axis"), picked.alias("c")).where("axis is not null and c.code is not null")
-    return out.select(id_column, "pos", "axis", F.col("c.system").alias("code_system"), F.col("c.code").alias("code"))
+
+    def entity(e: Column, pos: Column) -> Column:
+        r = e["resource"]
+        kind = r["resourceType"]
+        vital = F.exists(r["category"], lambda c: F.exists(c["coding"], lambda x: x["code"] == "vital-signs"))
+        axis = F.when(kind == "Condition", "condition").when(kind == "Observation", F.when(vital, "vital").otherwise("lab")).when(kind.isin("MedicationStatement", "MedicationRequest"), "medication")
+        own = F.get(F.filter(F.transform(r["component"], lambda c: first(c["code"])), lambda c: F.concat(F.lit("observation-"), c["code"]) == r["id"]), F.lit(0))
+        picked = F.when(kind == "Observation", F.coalesce(own, first(r["code"]))).when(kind == "Condition", first(r["code"])).otherwise(first(r["medicationCodeableConcept"]))
+        return F.struct(pos.alias("pos"), axis.alias("axis"), picked.alias("c"))
+
+    return F.filter(F.transform(F.from_json(json, schema)["entry"], entity), lambda e: e["axis"].isNotNull() & e["c"]["code"].isNotNull())
+
+
+def bundle_entities(rows: DataFrame, id_column: str, json: str) -> DataFrame:
+    """Id, pos, axis, code_system, code of the ``entities`` of each bundle."""
+    opened = rows.select(id_column, F.explode(entities(F.col(json))).alias("e"))
+    return opened.select(id_column, "e.pos", "e.axis", F.col("e.c.system").alias("code_system"), F.col("e.c.code").alias("code"))
 
 
 def bundle_codings(rows: DataFrame, id_column: str, json: str) -> DataFrame:
