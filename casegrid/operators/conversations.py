@@ -43,14 +43,17 @@ def call(number: Column, name: Column, arguments: Column, kind: Column | None =
     return F.struct(number.alias("id"), F.coalesce(kind if kind is not None else F.lit(None), F.lit("function")).alias("type"), function.alias("function"))
 
 
-def trace_turns(rows: DataFrame, id_column: str, trace: str) -> DataFrame:
+def trace_turns(rows: DataFrame, id_column: str, trace: str, tasks: int | None = None) -> DataFrame:
     """id, pos, part, role, call_id, name, json: the tool turns of each trace (JSON array of steps), in order of pos and part.
 
     A step with a result is a tool turn (part 1), behind a call made up for it
     (part 0) where none was open; a step with named calls is one assistant turn
-    (call_id and name: its first call's). Other steps are left out.
+    (call_id and name: its first call's). Other steps are left out. ``tasks``: tasks
+    that results and calls are paired in, by default as many as a shuffle has.
     """
     steps = rows.select(id_column, F.posexplode(F.from_json(trace, STEPS)).alias("pos", "s"))
+    # columns of their own, so that what a query doesn't ask for isn't sorted with the rest
+    fields = [F.col(f"s.{k}").alias(f"step_{k}") for k in ("content", "tool_result", "forced", "args", "result")]
     listed = F.transform(
         F.coalesce("s.tool_calls", F.array().cast(f"array<{CALL}>")),
         lambda c, k: call(
@@ -61,7 +64,7 @@ def trace_turns(rows: DataFrame, id_column: str, trace: str) -> DataFrame:
         ),
     )
     told = F.coalesce(F.col("s.tool_result") != "", F.lit(False))
-    steps = steps.select(id_column, "pos", "s", told.alias("told"), F.when(told, F.array().cast(f"array<{CALL}>")).otherwise(F.filter(listed, lambda c: F.coalesce(c["function"]["name"] != "", F.lit(False)))).alias("calls"))
+    steps = steps.select(id_column, "pos", *fields, told.alias("told"), F.when(told, F.array().cast(f"array<{CALL}>")).otherwise(F.filter(listed, lambda c: F.coalesce(c["function"]["name"] != "", F.lit(False)))).alias("calls"))
     so_far = Window.partitionBy(id_column).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     counted = steps.withColumn("asked", F.sum(F.size("calls")).over(so_far)).withColumn("ahead", F.sum(F.col("told").cast("int")).over(so_far))
     counted = counted.withColumn("made_up", F.greatest(F.lit(0), F.max(F.col("ahead") - F.col("asked")).over(so_far)))
@@ -70,17 +73,20 @@ def trace_turns(rows: DataFrame, id_column: str, trace: str) -> DataFrame:
     asked = counted.where(F.size("calls") > 0)
     open_calls = asked.select(F.col(id_column).alias("of"), F.posexplode("calls").alias("k", "c"), (F.col("asked") - F.size("calls")).alias("base"))
     open_calls = open_calls.select("of", (F.col("base") + F.col("k") + 1).alias("nth"), F.col("c.id").alias("open_id"), F.col("c.function.name").alias("open_name"))
-    results = counted.where("told").join(open_calls, (F.col(id_column) == F.col("of")) & (F.col("number") == F.col("nth")), "left")
-    own_id = F.when(F.coalesce("s.forced", F.lit(False)), FORCED_ID).otherwise(F.concat(F.lit(MADE_UP_ID), (F.col("made_up") - 1).cast("string")))
-    results = results.withColumn("call_id", F.coalesce("open_id", own_id)).withColumn("name", F.coalesce("open_name", "s.tool_result"))
+    told_steps = counted.where("told")
+    if tasks:
+        told_steps, open_calls = told_steps.repartition(tasks, id_column, "number"), open_calls.repartition(tasks, "of", "nth")
+    results = told_steps.join(open_calls, (F.col(id_column) == F.col("of")) & (F.col("number") == F.col("nth")), "left")
+    own_id = F.when(F.coalesce("step_forced", F.lit(False)), FORCED_ID).otherwise(F.concat(F.lit(MADE_UP_ID), (F.col("made_up") - 1).cast("string")))
+    results = results.withColumn("call_id", F.coalesce("open_id", own_id)).withColumn("name", F.coalesce("open_name", "step_tool_result"))
 
     def shaped(df: DataFrame, part: int, role: str, call_id: Column, name: Column, json: Column) -> DataFrame:
         return df.select(id_column, "pos", F.lit(part).alias("part"), F.lit(role).alias("role"), call_id.alias("call_id"), name.alias("name"), json.alias("json"))
 
-    said = shaped(asked, 0, "assistant", F.col("calls")[0]["id"], F.col("calls")[0]["function"]["name"], turn("assistant", F.coalesce("s.content", F.lit("")), tool_calls=F.col("calls")))
-    own_call = F.array(call(F.col("call_id"), F.col("name"), compact(F.col("s.args"), "{}")))
+    said = shaped(asked, 0, "assistant", F.col("calls")[0]["id"], F.col("calls")[0]["function"]["name"], turn("assistant", F.coalesce("step_content", F.lit("")), tool_calls=F.col("calls")))
+    own_call = F.array(call(F.col("call_id"), F.col("name"), compact(F.col("step_args"), "{}")))
     made = shaped(results.where("alone"), 0, "assistant", F.col("call_id"), F.col("name"), turn("assistant", F.lit(""), tool_calls=own_call))
-    answers = shaped(results, 1, "tool", F.col("call_id"), F.col("name"), turn("tool", compact(F.col("s.result"), "null"), tool_call_id=F.col("call_id"), name=F.col("name")))
+    answers = shaped(results, 1, "tool", F.col("call_id"), F.col("name"), turn("tool", compact(F.col("step_result"), "null"), tool_call_id=F.col("call_id"), name=F.col("name")))
     return said.union(made).union(answers)
 
 

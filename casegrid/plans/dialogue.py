@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from casegrid.operators import conversations
 from casegrid.plans.registry import Registry
-from casegrid.session import table
+from casegrid.session import spread, table, tasks_for
 
 R = Registry()
 
+#: steps of traces that a task puts in order
+STEPS_A_TASK = 100_000
+
 
 def _traces(spark: SparkSession, d: str) -> DataFrame:
     """user_id, trace: views and signups are messages with up to two calls, clicks and purchases are results, errors plain messages."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", STEPS_A_TASK)
     calls = F.when(F.col("event_type").isin("view", "signup") & (F.col("event_id") % 3 > 0), F.transform(F.sequence(F.lit(1), (F.col("event_id") % 3).cast("int")), lambda k: F.struct(F.concat(F.lit("c"), F.col("event_id").cast("string"), F.lit("_"), (k - 1).cast("string")).alias("id"), F.struct(F.lit("lookup").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
     told = F.when(F.col("event_type").isin("click", "purchase"), "lookup")
     step = F.struct(F.col("event_type").alias("content"), told.alias("tool_result"), F.struct(F.col("value")).alias("result"), calls.alias("tool_calls"))
@@ -37,7 +40,8 @@ UNION ALL SELECT q.user_id, q.pos, 1, 'tool', CASE WHEN q.alone THEN 'synthetic_
 FROM q JOIN e USING (user_id, pos) LEFT JOIN calls c ON c.user_id = q.user_id AND c.nth = q.answered WHERE e.told""")
 def k16(spark: SparkSession, d: str) -> DataFrame:
     """Results paired with calls first in, first out; calls made up where none waits."""
-    return conversations.trace_turns(_traces(spark, d), "user_id", "trace").select("user_id", "pos", "part", "role", "call_id")
+    tasks = tasks_for(table(spark, d, "events"), STEPS_A_TASK)
+    return conversations.trace_turns(_traces(spark, d), "user_id", "trace", tasks).select("user_id", "pos", "part", "role", "call_id")
 
 
 @R.add("k17_missing_lookups", """

@@ -34,10 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of few bytes and much work, by ``key`` over more tasks than their files have parts."""
+def tasks_for(rows: DataFrame, each: int | None = None) -> int:
+    """Tasks for every core; with ``each``, so many that a task has about that many rows at any size."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return max(tasks, rows.count() // each) if each else tasks
+
+
+def spread(rows: DataFrame, key: str, each: int | None = None) -> DataFrame:
+    """Rows of few bytes and much work, by ``key`` over more tasks than their files have parts, or over ``tasks_for`` rows of ``each``."""
+    return rows.repartition(tasks_for(rows, each), key)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
