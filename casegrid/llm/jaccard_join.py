@@ -233,7 +233,7 @@ def signatures(shingles: np.ndarray, band: int, bands: Bands, often: np.ndarray
 
 def sketch(shingles: np.ndarray) -> bytes:
     """Parities of the hashes by their low bits: two sets differ in at least as many hashes as sketches in bits."""
-    bits = max(64, 1 << int(8 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -397,22 +397,31 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(columns) for columns in out)
 
 
-def groups_of(bucket: DataFrame, s: Settings, buckets: int) -> DataFrame:
-    """Rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more;
+def groups_of(both: DataFrame, s: Settings, buckets: int) -> DataFrame:
+    """The rows of documents as they came (kind null), and rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more;
     2, sets a with n signatures in groups of two or more, of b // 2 that a linked set shares at least (b odd: own band)."""
 
+    of_documents = StructType([f for f in both.schema.fields if f.name not in ("bucket", "data")])
+    own, names = len(of_documents), [*of_documents.names, "kind", "a", "b", "n"]
+    kinds: list[pa.DataType] = []
+
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], ["kind", "a", "b", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(a), x) for x in kinds), pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, blobs = [], []
         for b in batches:
-            numbers += b.column(0).to_pylist()
-            blobs += b.column(1).to_pylist()
+            kinds[:] = [b.column(k).type for k in range(own)]
+            here = b.column(own).is_valid()
+            numbers += b.column(own).filter(here).to_pylist()
+            blobs += b.column(own + 1).filter(here).to_pylist()
+            rest = b.filter(b.column(own).is_null())
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([*rest.columns[:own], pa.nulls(len(rest), pa.int32()), *(pa.nulls(len(rest), pa.int64()) for _ in range(3))], names)
         if not blobs:
             return
         number = min(numbers)
-        sig, member, own, least = unpacked(blobs)
+        sig, member, of_band, least = unpacked(blobs)
         blobs.clear()
         order = np.argsort(sig)
         ranked = sig[order]
@@ -421,19 +430,19 @@ def groups_of(bucket: DataFrame, s: Settings, buckets: int) -> DataFrame:
         if not len(order):
             return
         order = order[np.lexsort((member[order], sig[order]))]
-        sig, member, own, least = sig[order], member[order], own[order], least[order]
+        sig, member, of_band, least = sig[order], member[order], of_band[order], least[order]
         # a set met in several tasks is one member; it is its own band's if any record says so
         first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])]))
-        own = np.add.reduceat(own, first) > 0
+        of_band = np.add.reduceat(of_band, first) > 0
         sig, member, least = sig[first], member[first], least[first]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(start, len(sig)))
-        good = (size > 1) & (np.add.reduceat(own, start) > 0)
+        good = (size > 1) & (np.add.reduceat(of_band, start) > 0)
         group = np.repeat(np.arange(len(start)), size)
         inside = np.flatnonzero(good[group])
         if not len(inside):
             return
-        asked, n = np.unique(np.stack([member[inside], 2 * least[inside].astype(np.int64) + own[inside]], axis=1), axis=0, return_counts=True)
+        asked, n = np.unique(np.stack([member[inside], 2 * least[inside].astype(np.int64) + of_band[inside]], axis=1), axis=0, return_counts=True)
         yield rows(2, asked[:, 0], asked[:, 1], n)
         at = inside[inside != start[group[inside]]]
         pairs, n = np.unique(np.stack([np.concatenate([member[start[group[at]]], member[at - 1]]), np.concatenate([member[at], member[at]])], axis=1), axis=0, return_counts=True)
@@ -451,7 +460,8 @@ def groups_of(bucket: DataFrame, s: Settings, buckets: int) -> DataFrame:
             place = np.repeat(start[chosen] - (np.cumsum(of) - of), of) + np.arange(of.sum())
             yield rows(1, np.repeat((number << 36) + chosen, of), member[place], np.ones(len(place)))
 
-    return bucket.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), "kind int, a long, b long, n long")
+    dealt = both.repartitionById(buckets, F.coalesce("bucket", F.pmod(F.hash("doc_id", "text_key"), F.lit(buckets))).cast("int"))
+    return dealt.mapInArrow(tidy(run), StructType([*of_documents.fields, *StructType.fromDDL("kind int, a long, b long, n long").fields]))
 
 
 def able(found: DataFrame) -> DataFrame:
@@ -496,6 +506,8 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     numbers = pairs.select("a", "b")
     with_b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).join(F.broadcast(numbers) if total <= s.small else numbers, "b").select("a", "b", "tb")
     of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    if total <= s.small:
+        of_a = of_a.join(F.broadcast(numbers.select("a").distinct()), "a", "left_semi")
     often = [r["a"] for r in pairs.groupBy("a").count().where(F.col("count") > max(100, total // 100)).collect()]  # fewer than a hundred keys
     if not often:
         both = with_b.join(of_a, "a")
@@ -546,10 +558,11 @@ def cross_pairs(members: DataFrame, failed: DataFrame, s: Settings, parts: int,
     ``members``: group, lo, hi, key, label, n_shingles, sketch. Cells are read in
     order, blocks of members against the rest of their cell. Of a cell's pairs
     those of some edge-disjoint spanning forests over its components leave the
-    task: fewer than ``forests`` times its members, never all pairs.
+    task: fewer than ``forests`` times its members, never all pairs. A cell that has
+    more pairs than it could give has one row with null a and b.
     """
 
-    def of_cell(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], bad: np.ndarray) -> np.ndarray | None:
+    def of_cell(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], bad: np.ndarray) -> tuple[np.ndarray | None, bool]:
         size = min(map(len, sketches))
         bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
         g = len(keys)
@@ -585,7 +598,7 @@ def cross_pairs(members: DataFrame, failed: DataFrame, s: Settings, parts: int,
             left = np.ones(len(pairs), bool)
             left[rows] = False
             pairs, distance = pairs[left], distance[left]
-        return np.sort(keys[np.concatenate(taken)], axis=1) if taken else None
+        return np.sort(keys[np.concatenate(taken)], axis=1) if taken else None, len(pairs) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -607,11 +620,12 @@ def cross_pairs(members: DataFrame, failed: DataFrame, s: Settings, parts: int,
                 if len(own) < 2:
                     continue
                 bad_pairs = np.stack([bad.column("key").to_numpy().astype(np.int64), bad.column("b").to_numpy().astype(np.int64)], axis=1) if len(bad) else np.empty((0, 2), np.int64)
-                got = of_cell(own.column("key").to_numpy(), own.column("label").to_numpy(), own.column("n_shingles").to_numpy(), own.column("sketch").to_pylist(), bad_pairs)
+                got, more = of_cell(own.column("key").to_numpy(), own.column("label").to_numpy(), own.column("n_shingles").to_numpy(), own.column("sketch").to_pylist(), bad_pairs)
                 if got is not None and len(got):
                     here = [int(x) for x in cell[:, at]]
-                    m = len(got)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, here[0], np.int64)), pa.array(np.full(m, here[1], np.int32)), pa.array(np.full(m, here[2], np.int32)), pa.array(got[:, 0]), pa.array(got[:, 1])], ["group", "lo", "hi", "a", "b"])
+                    m = len(got) + more
+                    ends_ = (pa.array([*got[:, k].tolist(), *[None] * more], pa.int64()) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, here[0], np.int64)), pa.array(np.full(m, here[1], np.int32)), pa.array(np.full(m, here[2], np.int32)), *ends_], ["group", "lo", "hi", "a", "b"])
             rest = rest.slice(int(edge[done])) if done < len(edge) else None
 
     none = F.lit(None)
@@ -636,16 +650,17 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task unpacks all signatures of its bucket
-    both = stored(described(docs, s, buckets, drawn_sample(docs, s)), spark, "jaccard-info", block_size=16 << 20)
-    info = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "key", "sketch")
+    # signatures go from the texts to their buckets without being stored on the way
+    both = stored(groups_of(described(docs, s, buckets, drawn_sample(docs, s)), s, buckets), spark, "jaccard-groups", block_size=16 << 20)
+    free_finished(spark)
+    info = both.where("kind is null").select("doc_id", "text_key", "n_shingles", "key", "sketch")
     classes = stored(
         info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
         spark,
         "jaccard-classes",
     )
-    found = stored(groups_of(both.where("bucket is not null").select("bucket", "data"), s, buckets), spark, "jaccard-groups")
     info = stored(info.drop("sketch"), spark, "jaccard-info")
-    forget(both)
+    found = both.where("kind is not null").select("kind", "a", "b", "n")
     free_finished(spark)
     sets = stored(able(found), spark, "jaccard-able")
     of_a, of_b = sets.select(F.col("key").alias("a")), sets.select(F.col("key").alias("b"))
@@ -654,7 +669,7 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     free_finished(spark)
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")).join(sets, "key", "left_semi")
     labels = link_up(spark, docs, classes, near, groups, s)
-    forget(found, sets, near)
+    forget(both, sets, near)
     # only linked classes have a label; the others are components of their own
     of = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "least", "label")
     least = of.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
@@ -668,56 +683,71 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Labels (node, label), a stored table, after verifying what is needed to join the components."""
     asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).union(groups.select("key")).distinct()
-    texts = stored(texts_of(docs, classes, asked), spark, "jaccard-texts")
+    texts = stored(texts_of(docs, classes, asked, s), spark, "jaccard-texts")
     free_finished(spark)
     # first one pair for each set, the one with most signatures; most components are whole then
     first = near.groupBy("b").agg(F.max(F.struct("n", -F.col("a"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = [stored(verified(first, texts, s), spark, "jaccard-links")]
+    links = stored(verified(first, texts, s), spark, "jaccard-links")
     free_finished(spark)
-    labels = connected(spark, links[0])
+    labels = connected(spark, links)
+    forget(links)
 
     def joined(more: DataFrame) -> DataFrame:
         nonlocal labels
-        links.append(more)
-        whole = links[0]
-        for part in links[1:]:
-            whole = whole.union(part)
-        old, labels = labels, connected(spark, whole)
+        old, labels = labels, relabelled(spark, labels, more)
         forget(old)
         free_finished(spark)
         return labels
 
     rest = stored(verified(apart(near, labels), texts, s), spark, "jaccard-links")
     free_finished(spark)
-    if rest.isEmpty():
-        forget(rest)
-    else:
+    if not rest.isEmpty():
         joined(rest)
-    # groups that still hold several components: forests of untested pairs, eight times as many each round, until no pair is left
+    forget(rest)
+    # groups that still hold several components: forests of untested pairs, eight times as many each round, from the cells that have pairs left
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     failed = near.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "a", "b").limit(0)
-    forests = 8
-    rounds: list[DataFrame] = []  # tables of candidates, which ``failed`` reads until the end
+    forests, left = 8, None
+    rounds: list[DataFrame] = []  # tables of candidates and links, which ``failed`` reads until the end
     while True:
         of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        if left is not None:
+            of_group = of_group.join(left.select("group").distinct(), "group", "left_semi")
         split = of_group.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("group")
-        open_rows = in_cells(of_group.join(split, "group", "left_semi").join(classes.select("key", "n_shingles", "sketch"), "key"), s)
-        crossed = stored(cross_pairs(open_rows, failed, s, parts, forests), spark, "jaccard-cross")
+        cells = in_cells(of_group.join(split, "group", "left_semi"), s)
+        if left is not None:
+            cells = cells.join(left, ["group", "lo", "hi"], "left_semi")
+        crossed = stored(cross_pairs(cells.join(classes.select("key", "n_shingles", "sketch"), "key"), failed, s, parts, forests), spark, "jaccard-cross")
         rounds.append(crossed)
         free_finished(spark)
-        if crossed.isEmpty():
+        tried = crossed.where("a is not null")
+        if tried.isEmpty():
             break
-        found = stored(verified(crossed.select("a", "b").distinct(), texts, s), spark, "jaccard-links")
-        if found.isEmpty():
-            rounds.append(found)
-        else:
+        found = stored(verified(tried.select("a", "b").distinct(), texts, s), spark, "jaccard-links")
+        rounds.append(found)
+        if not found.isEmpty():
             joined(found)
-        failed = failed.union(crossed.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b"))
+        left = crossed.where("a is null").select("group", "lo", "hi")
+        if left.isEmpty():
+            break
+        failed = failed.union(tried.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b")).join(left, ["group", "lo", "hi"], "left_semi")
         forests *= 8
-    forget(texts, *links, *rounds)
+    forget(texts, *rounds)
     return labels
 
 
+def relabelled(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only what these join is connected, and old labels follow it."""
+    of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    to = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = links.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = connected(spark, between)
+    old = labels.select("node", F.col("label").alias("was")).join(new.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
+    out = stored(old.union(new.join(labels.select("node"), "node", "left_anti").select("node", "label")), spark, "labels")
+    forget(new)
+    return out
+
+
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet in one component."""
     of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -725,10 +755,13 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "n")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text): one text of each class asked for; copies of a text are one before they move."""
+def texts_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
+    """(key, text): one text of each class asked for; copies of a text are one before they move, and of few classes no other text moves."""
     asked = classes.join(keys, "key").select("key", "text_key")
-    return docs.groupBy(text_key().alias("text_key")).agg(F.first("text").alias("text")).join(asked, "text_key").select("key", "text")
+    docs = docs.select(text_key().alias("text_key"), "text")
+    if keys.count() <= s.small:
+        docs = docs.join(F.broadcast(asked.select("text_key").distinct()), "text_key", "left_semi")
+    return docs.groupBy("text_key").agg(F.first("text").alias("text")).join(asked, "text_key").select("key", "text")
 
 
 def representatives(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
