@@ -1,8 +1,9 @@
 """Stateful ingest on ``transformWithState``: duplicate flags and links that late rows put right.
 
-State of a subject, each part read and written by itself: its cases by span of
-time (a map from span to the cases in it), the times of each kind (a map from kind
-to times), and, for streams that never end, a timer. Spans and times older than
+State of a subject, each part read and written by itself: its cases in chunks of one or
+more spans of time (a map from a chunk's first span to its cases; a full chunk is cut in
+two, so that calls to state don't grow with spans that hold few cases), the times of each
+kind (a map from kind to times), and, for streams that never end, a timer. Chunks and times older than
 ``window + late`` before the newest case go, but for the newest case among them,
 which later cases still link to.
 """
@@ -22,6 +23,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 DUPLICATE_DAYS = 30
 #: spans that the kept time is cut into
 SPANS = 64
+#: cases of a chunk before it is cut in two between spans
+CHUNK = 128
 
 OUT = "event_id long, user_id long, event_type string, at long, base string, seen boolean, prior_id long"
 
@@ -31,60 +34,94 @@ class Cases:
 
     def __init__(self, state: Any, width: int):
         self.state, self.width = state, width
-        self.spans = sorted(key[0] for key in state.keys())
+        self.begins = sorted(key[0] for key in state.keys())  # a chunk has the spans from its begin to the next one's
+        self.stored = set(self.begins)
         self.read: dict[int, list[tuple]] = {}
         self.changed: set[int] = set()
 
-    def of(self, span: int) -> list[tuple]:
-        """(at, event_id, kind, base, seen, prior_id) of a span, in order."""
-        if span not in self.read:
-            i = bisect_left(self.spans, span)
-            there = i < len(self.spans) and self.spans[i] == span
-            self.read[span] = [tuple(x) for x in self.state.getValue((span,))[0]] if there else []
-        return self.read[span]
+    def place(self, at: int) -> int:
+        return max(0, bisect_right(self.begins, at // self.width) - 1)
+
+    def of(self, i: int) -> list[tuple]:
+        """(at, event_id, kind, base, seen, prior_id) of a chunk, in order."""
+        begin = self.begins[i]
+        if begin not in self.read:
+            self.read[begin] = [tuple(x) for x in self.state.getValue((begin,))[0]]
+        return self.read[begin]
+
+    def put(self, i: int, rows: list[tuple]) -> None:
+        self.read[self.begins[i]] = rows
+        self.changed.add(self.begins[i])
+
+    def drop(self, i: int) -> None:
+        begin = self.begins.pop(i)
+        self.read.pop(begin, None)
+        self.changed.discard(begin)
 
     def add(self, case: tuple) -> None:
         span = case[0] // self.width
-        rows = self.of(span)
-        if not rows:
-            insort(self.spans, span)
+        if not self.begins:
+            self.begins.append(span)
+            self.put(0, [case])
+            return
+        i = self.place(case[0])
+        rows = self.of(i)
+        if span < self.begins[i]:  # before all others: the first chunk begins here now
+            self.drop(i)
+            self.begins.insert(i, span)
         insort(rows, case, key=lambda c: (c[0], c[1]))
-        self.changed.add(span)
+        self.put(i, rows)
+        if len(rows) > CHUNK:
+            span_of = lambda c: c[0] // self.width
+            middle = span_of(rows[len(rows) // 2])
+            cut = bisect_left(rows, middle, key=span_of) or bisect_right(rows, middle, key=span_of)
+            if cut < len(rows):
+                self.begins.insert(i + 1, span_of(rows[cut]))
+                self.put(i + 1, rows[cut:])
+                self.put(i, rows[:cut])
 
     def replace(self, old: tuple, new: tuple) -> None:
-        span = old[0] // self.width
-        rows = self.of(span)
+        i = self.place(old[0])
+        rows = self.of(i)
         rows[rows.index(old)] = new
-        self.changed.add(span)
+        self.put(i, rows)
 
     def neighbours(self, at: int, event_id: int) -> tuple[tuple | None, tuple | None]:
         """The cases just before and just after a place."""
-        span = at // self.width
-        rows, i = self.of(span), bisect_right(self.spans, span)
+        if not self.begins:
+            return None, None
+        i = self.place(at)
+        rows = self.of(i)
         k = bisect_right(rows, (at, event_id), key=lambda c: (c[0], c[1]))
-        first = i - 1 if rows else i  # where this span is or would be
-        before = rows[k - 1] if k else self.of(self.spans[first - 1])[-1] if first > 0 else None
-        after = rows[k] if k < len(rows) else self.of(self.spans[i])[0] if i < len(self.spans) else None
+        before = rows[k - 1] if k else self.of(i - 1)[-1] if i else None
+        after = rows[k] if k < len(rows) else self.of(i + 1)[0] if i + 1 < len(self.begins) else None
         return before, after
 
     def at_time(self, at: int, kind: str | None) -> list[tuple]:
-        rows = self.of(at // self.width)
+        rows = self.of(self.place(at))
         return [c for c in rows[bisect_left(rows, at, key=lambda c: c[0]) : bisect_right(rows, at, key=lambda c: c[0])] if c[2] == kind]
 
+    def at_place(self, at: int, event_id: int) -> list[tuple]:
+        rows = self.of(self.place(at))
+        key = lambda c: (c[0], c[1])
+        return rows[bisect_left(rows, (at, event_id), key=key) : bisect_right(rows, (at, event_id), key=key)]
+
     def forget(self, before: int) -> None:
-        """Drop cases older than a time; of these the newest stays."""
-        old = [s for s in self.spans if (s + 1) * self.width <= before]
-        for s in old[:-1]:
-            self.state.removeKey((s,))
-            self.changed.discard(s)
-            self.spans.remove(s)
-        if old and len(self.of(old[-1])) > 1:
-            self.read[old[-1]] = self.of(old[-1])[-1:]
-            self.changed.add(old[-1])
+        """Drop cases older than a time; of these the newest stays. A chunk with newer ones is cut when it is written."""
+        old = sum(begin * self.width <= before for begin in self.begins[1:])
+        for _ in range(old - 1):
+            self.drop(0)
+        if old and len(self.of(0)) > 1:
+            self.put(0, self.of(0)[-1:])
+        elif not old and self.begins[0] in self.changed:
+            rows = self.of(0)
+            self.put(0, rows[max(0, bisect_left(rows, before, key=lambda c: c[0]) - 1) :])
 
     def save(self) -> None:
-        for span in sorted(self.changed):
-            self.state.updateValue((span,), (self.read[span],))
+        for begin in sorted(self.stored.difference(self.begins)):
+            self.state.removeKey((begin,))
+        for begin in sorted(self.changed):
+            self.state.updateValue((begin,), (self.read[begin],))
 
 
 class Ingest(StatefulProcessor):
@@ -100,13 +137,14 @@ class Ingest(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         cases = Cases(self.cases, self.width)
+        known_subject = bool(cases.begins)
         times: dict[str | None, list[int]] = {}
         out: dict[tuple, None] = {}  # places of new and changed cases
 
         def times_of(kind: str | None) -> list[int]:
             if kind not in times:
                 stored = (kind or "",) if kind is not None else ("\0",)
-                times[kind] = list(self.kinds.getValue(stored)[0]) if self.kinds.containsKey(stored) else []
+                times[kind] = list(self.kinds.getValue(stored)[0]) if known_subject and self.kinds.containsKey(stored) else []
             return times[kind]
 
         for r in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
@@ -128,10 +166,9 @@ class Ingest(StatefulProcessor):
             cases.add((at, r["event_id"], kind, r["base"], seen, before[1] if before else None))
             out[at, r["event_id"]] = None
         for at, event_id in out:
-            for c in cases.of(at // self.width):
-                if c[:2] == (at, event_id):
-                    yield Row(event_id=c[1], user_id=key[0], event_type=c[2], at=c[0], base=c[3], seen=c[4], prior_id=c[5])
-        newest = cases.of(cases.spans[-1])[-1][0]
+            for c in cases.at_place(at, event_id):
+                yield Row(event_id=c[1], user_id=key[0], event_type=c[2], at=c[0], base=c[3], seen=c[4], prior_id=c[5])
+        newest = cases.of(len(cases.begins) - 1)[-1][0]
         cases.forget(newest - self.keep)
         cases.save()
         for kind, known in times.items():
@@ -174,7 +211,7 @@ def ingest(
     still is judged by what is kept. Cases of one time go by event_id and are no
     duplicates of each other. A null kind is a kind. With ``expire`` (a timer in
     processing time, for streams that never end) a subject idle for ``window + late`` is
-    forgotten. State is bounded by a subject's cases in ``window + late``.
+    forgotten. State is bounded by a subject's cases in ``window + late`` and a chunk.
     """
     use_state_store(stream.sparkSession)
     rule = F.lit("Processed")

@@ -73,6 +73,42 @@ def test_state_is_bounded_by_the_window(spark, tmp_path):
     assert sorted(state) == [(s,) for s in range(44, 50)] and len(state[(44,)][0]) == 1
 
 
+def test_calls_to_state_grow_with_chunks():
+    """A subject's cases were written one call a span, about one a case; order, neighbours and what is kept stay right in any order of arrival."""
+    from casegrid.streaming.ingest import CHUNK, Cases
+
+    class Map(dict):
+        calls = 0
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    rng = random.Random(8)
+    rows = [(at, k, "a", "", False, None) for k, at in enumerate(rng.choices(range(-500, 6000), k=900))]
+    for ordered in (True, False):
+        state, known = Map(), []
+        for batch in (rows[:300], rows[300:600], rows[600:]):
+            cases = Cases(state, 10)
+            for c in sorted(batch) if ordered else batch:
+                below, above = [x for x in known if x[:2] < c[:2]], [x for x in known if x[:2] > c[:2]]
+                assert cases.neighbours(*c[:2]) == (max(below, default=None), min(above, default=None))
+                cases.add(c)
+                known.append(c)
+                assert cases.at_place(*c[:2]) == [c] and set(cases.at_time(c[0], "a")) == {x for x in known if x[0] == c[0]}
+            cases.save()
+        assert state.calls < 60
+        kept = [c for key in sorted(state) for c in state[key][0]]
+        assert kept == sorted(rows) and all(len(v[0]) <= CHUNK for v in state.values())
+        cases = Cases(state, 10)
+        cases.forget(3000)
+        cases.save()
+        kept = [c for key in sorted(state) for c in state[key][0]]
+        newer = sorted(c for c in rows if c[0] >= 3000)
+        assert kept[-len(newer) :] == newer and kept[-len(newer) - 1] == max(c for c in rows if c[0] < 3000) and len(kept) < len(newer) + CHUNK
+
+
 def table_of(spark, path, buckets=8):
     t = StatusTable(spark, str(path), "id", "status", "at", ["P", "F", "S"], buckets)
     t.create(spark.createDataFrame([(k, "new", 0, f"n{k}") for k in range(40)], "id long, status string, at long, name string"))
