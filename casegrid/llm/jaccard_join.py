@@ -21,9 +21,14 @@ Signatures travel packed by bucket. In a group of equal signatures each set
 meets the group's first and its own predecessor; candidates pass a lower bound
 of their difference (parity sketches) and are verified exactly on their texts.
 Groups of four or more whose members are still in different components are
-compared by sketches, in blocks, large groups over several tasks, and untested
-pairs verified, a growing number of spanning forests of them a round, until none
-is left; only the component is asked for, so pairs inside one are never expanded.
+compared by sketches, in blocks, large groups over several tasks, once; of the
+pairs that the sketches allow a spanning forest of each group leaves the task.
+What these forests connect, whatever groups it came from, is a cluster, of which
+each set is a member once; all pairs of a cluster in different components are
+verified exactly where their texts are met, large clusters over several tasks,
+and links that join components leave. So memberships of groups are read once and
+no pair is written, tested or not; only the component is asked for, so pairs
+inside one are never expanded.
 
 Defined results: a text with fewer words than n is one shingle of all its words;
 null texts, empty texts and texts without words have the empty set, link with
@@ -47,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from casegrid.llm.common import CARRIED, carry, drawn, forget, free_finished, refuse_empty, stored, tidy
-from casegrid.llm.components import connected, hub_join
+from casegrid.llm.components import connected, hub_join, stars
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,8 @@ class Settings:
     #: members of a part of a group, and parts of a group at most; pairs of parts are dealt to tasks
     part: int = 2000
     parts: int = 64
+    #: shingles of a part of a cluster (about as many as the cluster's texts have, and 8 bytes each); more parts are made where it takes them
+    part_shingles: int = 1_000_000
     #: pairs of numbers (16 bytes each) that are broadcast at most
     small: int = 1_000_000
     #: bytes of a text that is broadcast when more than a hundredth of all pairs have it
@@ -398,7 +405,8 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def groups_of(both: DataFrame, s: Settings, buckets: int) -> DataFrame:
-    """The rows of documents as they came (kind null), and rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more;
+    """The rows of documents as they came (kind null), and rows of three kinds: 0, candidate pairs (a, b) with n signatures; 1, members b of the groups a of four or more
+    (a: a hash of all members, so that equal memberships are one group whichever tasks found them);
     2, sets a with n signatures in groups of two or more, of b // 2 that a linked set shares at least (b odd: own band)."""
 
     of_documents = StructType([f for f in both.schema.fields if f.name not in ("bucket", "data")])
@@ -409,18 +417,16 @@ def groups_of(both: DataFrame, s: Settings, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(a), x) for x in kinds), pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, blobs = [], []
+        blobs: list[bytes] = []
         for b in batches:
             kinds[:] = [b.column(k).type for k in range(own)]
             here = b.column(own).is_valid()
-            numbers += b.column(own).filter(here).to_pylist()
             blobs += b.column(own + 1).filter(here).to_pylist()
             rest = b.filter(b.column(own).is_null())
             if len(rest):
                 yield pa.RecordBatch.from_arrays([*rest.columns[:own], pa.nulls(len(rest), pa.int32()), *(pa.nulls(len(rest), pa.int64()) for _ in range(3))], names)
         if not blobs:
             return
-        number = min(numbers)
         sig, member, of_band, least = unpacked(blobs)
         blobs.clear()
         order = np.argsort(sig)
@@ -447,18 +453,19 @@ def groups_of(both: DataFrame, s: Settings, buckets: int) -> DataFrame:
         at = inside[inside != start[group[inside]]]
         pairs, n = np.unique(np.stack([np.concatenate([member[start[group[at]]], member[at - 1]]), np.concatenate([member[at], member[at]])], axis=1), axis=0, return_counts=True)
         yield rows(0, pairs[:, 0], pairs[:, 1], n)
-        seen: set[bytes] = set()
-        keep = []
+        seen: set[int] = set()
+        keep, marks = [], []
         for k in np.flatnonzero(good & (size > 3)).tolist():  # equal memberships are kept once
-            mark = xxhash.xxh3_128_digest(member[start[k] : start[k] + size[k]].tobytes())
+            mark = signed(xxhash.xxh3_64_intdigest(member[start[k] : start[k] + size[k]].tobytes()))  # groups of one hash would be one larger group: no pair is lost
             if mark not in seen:
                 seen.add(mark)
                 keep.append(k)
+                marks.append(mark)
         if keep:
             chosen = np.array(keep, dtype=np.int64)
             of = size[chosen]
             place = np.repeat(start[chosen] - (np.cumsum(of) - of), of) + np.arange(of.sum())
-            yield rows(1, np.repeat((number << 36) + chosen, of), member[place], np.ones(len(place)))
+            yield rows(1, np.repeat(np.array(marks, dtype=np.int64), of), member[place], np.ones(len(place)))
 
     dealt = both.repartitionById(buckets, F.coalesce("bucket", F.pmod(F.hash("doc_id", "text_key"), F.lit(buckets))).cast("int"))
     return dealt.mapInArrow(tidy(run), StructType([*of_documents.fields, *StructType.fromDDL("kind int, a long, b long, n long").fields]))
@@ -519,120 +526,121 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
-def forest(pairs: np.ndarray, apart: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Rows of ``pairs`` (positions) that join components for the first time, nearest pairs first."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    left = len(set(labels[pairs.ravel()].tolist())) - 1
-    taken = []
-    for k in np.argsort(apart, kind="stable").tolist():
-        x, y = top(int(labels[pairs[k, 0]])), top(int(labels[pairs[k, 1]]))
-        if x != y:
-            parent[x] = y
-            taken.append(k)
-            left -= 1
-            if not left:
-                break
-    return np.array(taken, dtype=np.int64)
-
-
-def in_cells(members: DataFrame, s: Settings) -> DataFrame:
-    """``members`` (group, key, ...) with lo, hi: large groups are cut into parts, and every pair of parts is a cell; two members of a group meet in one cell at least."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("n")).withColumn("parts", F.least(F.lit(s.parts), F.ceil(F.col("n") / F.lit(s.part))).cast("int"))
-    large = F.broadcast(sizes.where("parts > 1").select("group", "parts")) if sizes.where("parts > 1").count() < 100_000 else sizes.where("parts > 1").select("group", "parts")
-    placed = members.join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def in_cells(members: DataFrame, s: Settings, part: int) -> DataFrame:
+    """``members`` (group, key, label, ...) of groups with several labels, with own, lo, hi: large groups are cut into parts, and every pair of parts is a cell.
+
+    ``own`` is a member's part; the cell of two members' parts compares them. Parts are bounded in shingles, too, if ``members`` has n_shingles.
+    """
+    shingles = F.sum("n_shingles") if "n_shingles" in members.columns else F.lit(0)
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), shingles.alias("shingles"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    parts = F.greatest(F.least(F.lit(s.parts), F.ceil(F.col("n") / F.lit(part))), F.ceil(F.col("shingles") / F.lit(s.part_shingles)))
+    sizes = sizes.select("group", "n", parts.cast("int").alias("parts"))
+    placed = members.join(F.broadcast(sizes.drop("n")), "group") if sizes.count() <= s.small else hub_join(members, sizes, "group", members.count())
     placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     cells = F.expr("transform(sequence(0, parts - 1), k -> struct(least(own, k) as lo, greatest(own, k) as hi))")
-    return placed.withColumn("cell", F.explode(cells)).withColumn("lo", F.col("cell.lo")).withColumn("hi", F.col("cell.hi")).drop("cell", "parts", "own")
+    return placed.withColumn("cell", F.explode(cells)).withColumn("lo", F.col("cell.lo")).withColumn("hi", F.col("cell.hi")).drop("cell", "parts")
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """Each cell of rows in order of group, lo, hi (the first columns), and whether it is a pair of parts."""
+    rest: pa.Table | None = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not len(rest):
+            continue
+        cell = np.stack([rest.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        edge = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
+        ends = np.append(edge[1:], len(rest)).tolist()
+        done = len(edge) if batch is None else len(edge) - 1
+        for at, end in zip(edge[:done].tolist(), ends[:done]):
+            if end - at > 1:
+                yield bool(cell[1, at] != cell[2, at]), rest.slice(at, end - at)
+        rest = rest.slice(int(edge[done])) if done < len(edge) else None
+
+
+def allowed(n: np.ndarray, sketches: list[bytes], own: np.ndarray, crossed: bool, apart: list[np.ndarray], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions, ordered by the first, whose sizes and sketches allow a link and that differ in all of ``apart``, whose arrays the caller may change between blocks.
+
+    Pairs of different parts where ``crossed``, else all pairs.
+    """
+    width = min(map(len, sketches))
+    bits = np.stack([folded(x, width) for x in sketches]).view(np.uint64)
+    one, two = (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())) if crossed else (np.arange(len(n)),) * 2
+    step = max(1, min(s.block, s.cells // (max(1, len(two)) * bits.shape[1])))
+    most = max(1, s.cells // bits.shape[1])
+    for lo in range(0, len(one), step):
+        a, b = one[lo : lo + step], two if crossed else two[lo:]
+        fit = 100 * np.minimum(n[a][:, None], n[b]) >= s.percent * np.maximum(n[a][:, None], n[b])
+        for x in apart:
+            fit &= x[a][:, None] != x[b]
+        i, j = np.nonzero(fit if crossed else np.triu(fit, 1))
+        i, j = a[i], b[j]
+        near = np.zeros(len(i), bool)
+        for at in range(0, len(i), most):
+            x, y = i[at : at + most], j[at : at + most]
+            near[at : at + most] = (100 + s.percent) * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (100 - s.percent) * (n[x] + n[y])
+        if near.any():
+            yield i[near], j[near]
+
+
+def near_forests(members: DataFrame, s: Settings, parts: int) -> DataFrame:
+    """(a, b): of each cell a spanning forest of the pairs in different components whose sizes and sketches allow a link; fewer than its members.
+
+    ``members``: group, lo, hi, own, key, label, n_shingles, sketch.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for crossed, rows in cells_of(batches):
+            own, keys, labels, n = (rows.column(k).to_numpy() for k in ("own", "key", "label", "n_shingles"))
+            of = np.arange(len(keys))
+            for i, j in allowed(n, rows.column("sketch").to_pylist(), own, crossed, [labels, of], s):
+                x, y = stars(of[i], of[j])
+                to = np.arange(len(keys))
+                to[x] = y
+                of[:] = to[of]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], ["a", "b"])
 
-def cross_pairs(members: DataFrame, failed: DataFrame, s: Settings, parts: int, forests: int) -> DataFrame:
-    """(group, lo, hi, a, b) between members of a group in different components whose sizes and sketches allow a link, but for those that ``failed`` (the same columns).
+    rows = members.select("group", "lo", "hi", "own", "key", "label", "n_shingles", "sketch")
+    return rows.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
-    ``members``: group, lo, hi, key, label, n_shingles, sketch. Cells are read in
-    order, blocks of members against the rest of their cell. Of a cell's pairs
-    those of some edge-disjoint spanning forests over its components leave the
-    task: fewer than ``forests`` times its members, never all pairs. A cell that has
-    more pairs than it could give has one row with null a and b.
-    """
 
-    def of_cell(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, sketches: list[bytes], bad: np.ndarray) -> tuple[np.ndarray | None, bool]:
-        size = min(map(len, sketches))
-        bits = np.stack([folded(x, size) for x in sketches]).view(np.uint64)
-        g = len(keys)
-        order = np.argsort(keys)
-        known = np.empty(0, np.int64)
-        if len(bad):
-            i, j = (order[np.minimum(np.searchsorted(keys[order], bad[:, k]), g - 1)] for k in (0, 1))
-            known = np.unique(np.minimum(i, j) * g + np.maximum(i, j))
-        step = max(1, min(s.block, s.cells // (g * bits.shape[1])))
-        found, far = [], []
-        for lo in range(0, g, step):
-            hi = min(lo + step, g)
-            fit = (labels[lo:hi, None] != labels[None, lo:]) & (100 * np.minimum(n[lo:hi, None], n[None, lo:]) >= s.percent * np.maximum(n[lo:hi, None], n[None, lo:]))
-            i, j = np.nonzero(np.triu(fit, 1))
-            i, j = i + lo, j + lo
-            if len(known) and len(i):
-                new = ~np.isin(i * g + j, known)
-                i, j = i[new], j[new]
-            for at in range(0, len(i), max(1, s.cells // bits.shape[1])):
-                a, b = i[at : at + s.cells // bits.shape[1]], j[at : at + s.cells // bits.shape[1]]
-                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                near = (100 + s.percent) * apart <= (100 - s.percent) * (n[a] + n[b])
-                found.append(np.stack([a[near], b[near]], axis=1))
-                far.append(apart[near] / (n[a[near]] + n[b[near]]))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        distance = np.concatenate(far) if far else np.empty(0)
-        taken = []
-        for _ in range(forests):
-            if not len(pairs):
-                break
-            rows = forest(pairs, distance, labels)
-            taken.append(pairs[rows])
-            left = np.ones(len(pairs), bool)
-            left[rows] = False
-            pairs, distance = pairs[left], distance[left]
-        return np.sort(keys[np.concatenate(taken)], axis=1) if taken else None, len(pairs) > 0
+def links_in_cells(members: DataFrame, s: Settings, parts: int) -> DataFrame:
+    """(a, b): links that join the components of a cell's members, all pairs of different components being verified exactly.
+
+    ``members``: group, lo, hi, own, key, label, text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-            if rest is None or not len(rest):
-                continue
-            cell = np.stack([rest.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            edge = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
-            ends = np.append(edge[1:], len(rest)).tolist()
-            done = len(edge) if batch is None else len(edge) - 1
-            for at, end in zip(edge[:done].tolist(), ends[:done]):
-                rows = rest.slice(at, end - at)
-                pair = ~np.isnan(rows.column("b").to_numpy(zero_copy_only=False).astype(np.float64)) if rows.column("b").null_count < len(rows) else np.zeros(len(rows), bool)
-                own = rows.filter(pa.array(~pair))
-                bad = rows.filter(pa.array(pair))
-                if len(own) < 2:
-                    continue
-                bad_pairs = np.stack([bad.column("key").to_numpy().astype(np.int64), bad.column("b").to_numpy().astype(np.int64)], axis=1) if len(bad) else np.empty((0, 2), np.int64)
-                got, more = of_cell(own.column("key").to_numpy(), own.column("label").to_numpy(), own.column("n_shingles").to_numpy(), own.column("sketch").to_pylist(), bad_pairs)
-                if got is not None and len(got):
-                    here = [int(x) for x in cell[:, at]]
-                    m = len(got) + more
-                    ends_ = (pa.array([*got[:, k].tolist(), *[None] * more], pa.int64()) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, here[0], np.int64)), pa.array(np.full(m, here[1], np.int32)), pa.array(np.full(m, here[2], np.int32)), *ends_], ["group", "lo", "hi", "a", "b"])
-            rest = rest.slice(int(edge[done])) if done < len(edge) else None
-
-    none = F.lit(None)
-    rows = members.select("group", "lo", "hi", "key", "label", "n_shingles", "sketch", none.cast("long").alias("b"))
-    bad = failed.select("group", "lo", "hi", F.col("a").alias("key"), none.cast("long").alias("label"), none.cast("long").alias("n_shingles"), none.cast("binary").alias("sketch"), "b")
-    in_order = rows.union(bad).repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-    return in_order.mapInArrow(tidy(run), "group long, lo int, hi int, a long, b long")
+        shingler = Shingler(s.n)
+        for crossed, rows in cells_of(batches):
+            own, keys, labels = (rows.column(k).to_numpy() for k in ("own", "key", "label"))
+            sets = [shingler(text.as_py()) for text in rows.column("text")]
+            n, sketches = np.array(list(map(len, sets))), list(map(sketch, sets))
+            values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            there, labels = np.zeros(len(values), bool), labels.copy()
+            sets = np.split(numbers, np.cumsum(n)[:-1])
+            for i, j in allowed(n, sketches, own, crossed, [labels], s):
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                for a, others in zip(i[first].tolist(), np.split(j, first[1:])):
+                    there[sets[a]] = True
+                    others = others[labels[others] != labels[a]]
+                    for chunk in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // s.cells)) + 1):
+                        chunk = chunk[labels[chunk] != labels[a]]
+                        if not len(chunk):
+                            continue
+                        begin = np.cumsum(n[chunk]) - n[chunk]
+                        both = np.add.reduceat(there[np.concatenate([sets[b] for b in chunk.tolist()])], begin, dtype=np.int64)
+                        met = chunk[100 * both >= s.percent * (n[a] + n[chunk] - both)]
+                        if len(met):
+                            old, at = np.unique(labels[met], return_index=True)
+                            labels[np.isin(labels, old)] = labels[a]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[a])), pa.array(keys[met[at]])], ["a", "b"])
+                    there[sets[a]] = False
+
+    rows = members.select("group", "lo", "hi", "own", "key", "label", "text")
+    return rows.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -667,7 +675,7 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     candidates = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(of_a, "a", "left_semi").join(of_b, "b", "left_semi")
     near = stored(sketched(candidates, classes, s), spark, "jaccard-near")
     free_finished(spark)
-    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")).join(sets, "key", "left_semi")
+    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("key")).distinct().join(sets, "key", "left_semi")
     labels = link_up(spark, docs, classes, near, groups, s)
     forget(both, sets, near)
     # only linked classes have a label; the others are components of their own
@@ -682,7 +690,7 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Labels (node, label), a stored table, after verifying what is needed to join the components."""
-    asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).union(groups.select("key")).distinct()
+    asked = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
     texts = stored(texts_of(docs, classes, asked, s), spark, "jaccard-texts")
     free_finished(spark)
     # first one pair for each set, the one with most signatures; most components are whole then
@@ -704,35 +712,24 @@ def link_up(spark: SparkSession, docs: DataFrame, classes: DataFrame, near: Data
     if not rest.isEmpty():
         joined(rest)
     forget(rest)
-    # groups that still hold several components: forests of untested pairs, eight times as many each round, from the cells that have pairs left
+    forget(texts)
+    # groups that still hold several components, each membership read once
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    failed = near.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "a", "b").limit(0)
-    forests, left = 8, None
-    rounds: list[DataFrame] = []  # tables of candidates and links, which ``failed`` reads until the end
-    while True:
-        of_group = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if left is not None:
-            of_group = of_group.join(left.select("group").distinct(), "group", "left_semi")
-        split = of_group.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("group")
-        cells = in_cells(of_group.join(split, "group", "left_semi"), s)
-        if left is not None:
-            cells = cells.join(left, ["group", "lo", "hi"], "left_semi")
-        crossed = stored(cross_pairs(cells.join(classes.select("key", "n_shingles", "sketch"), "key"), failed, s, parts, forests), spark, "jaccard-cross")
-        rounds.append(crossed)
+    named = labels.withColumnRenamed("node", "key")
+    of_group = stored(groups.join(named, "key", "left").select("group", "key", F.coalesce("label", "key").alias("label")), spark, "jaccard-open")
+    clusters = connected(spark, near_forests(in_cells(of_group, s, s.part).join(classes.select("key", "n_shingles", "sketch"), "key"), s, parts))
+    forget(of_group)
+    free_finished(spark)
+    if not clusters.isEmpty():
+        of_cluster = clusters.select(F.col("node").alias("key"), F.col("label").alias("group")).join(named, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        of_cluster = stored(of_cluster.join(classes.select("key", "n_shingles"), "key"), spark, "jaccard-open")
+        texts = stored(texts_of(docs, classes, of_cluster.select("key"), s), spark, "jaccard-texts")
+        found = stored(links_in_cells(in_cells(of_cluster, s, max(1, s.part // 2)).join(texts, "key"), s, parts), spark, "jaccard-links")
         free_finished(spark)
-        tried = crossed.where("a is not null")
-        if tried.isEmpty():
-            break
-        found = stored(verified(tried.select("a", "b").distinct(), texts, s), spark, "jaccard-links")
-        rounds.append(found)
         if not found.isEmpty():
             joined(found)
-        left = crossed.where("a is null").select("group", "lo", "hi")
-        if left.isEmpty():
-            break
-        failed = failed.union(tried.join(found, ["a", "b"], "left_anti").select("group", "lo", "hi", "a", "b")).join(left, ["group", "lo", "hi"], "left_semi")
-        forests *= 8
-    forget(texts, *rounds)
+        forget(of_cluster, texts, found)
+    forget(clusters)
     return labels
 
 
