@@ -569,7 +569,7 @@ def allowed(n: np.ndarray, sketches: list[bytes], own: np.ndarray, crossed: bool
     bits = np.stack([folded(x, width) for x in sketches]).view(np.uint64)
     one, two = (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())) if crossed else (np.arange(len(n)),) * 2
     step = max(1, min(s.block, s.cells // (max(1, len(two)) * bits.shape[1])))
-    most = max(1, s.cells // bits.shape[1])
+    most = max(1, s.cells // (16 * bits.shape[1]))  # few MB at a time: an executor has several workers
     for lo in range(0, len(one), step):
         a, b = one[lo : lo + step], two if crossed else two[lo:]
         fit = 100 * np.minimum(n[a][:, None], n[b]) >= s.percent * np.maximum(n[a][:, None], n[b])
@@ -580,7 +580,9 @@ def allowed(n: np.ndarray, sketches: list[bytes], own: np.ndarray, crossed: bool
         near = np.zeros(len(i), bool)
         for at in range(0, len(i), most):
             x, y = i[at : at + most], j[at : at + most]
-            near[at : at + most] = (100 + s.percent) * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (100 - s.percent) * (n[x] + n[y])
+            differ = bits[x]
+            differ ^= bits[y]
+            near[at : at + most] = (100 + s.percent) * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= (100 - s.percent) * (n[x] + n[y])
         if near.any():
             yield i[near], j[near]
 
@@ -620,13 +622,14 @@ def links_in_cells(members: DataFrame, s: Settings, parts: int) -> DataFrame:
             n, sketches = np.array(list(map(len, sets))), list(map(sketch, sets))
             values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
             there, labels = np.zeros(len(values), bool), labels.copy()
-            sets = np.split(numbers, np.cumsum(n)[:-1])
+            sets = np.split(numbers.astype(np.int32), np.cumsum(n)[:-1])
+            del values, numbers
             for i, j in allowed(n, sketches, own, crossed, [labels], s):
                 first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                 for a, others in zip(i[first].tolist(), np.split(j, first[1:])):
                     there[sets[a]] = True
                     others = others[labels[others] != labels[a]]
-                    for chunk in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // s.cells)) + 1):
+                    for chunk in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // (s.cells // 16))) + 1):
                         chunk = chunk[labels[chunk] != labels[a]]
                         if not len(chunk):
                             continue
